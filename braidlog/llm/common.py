@@ -43,10 +43,12 @@ def attach(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int,
     limit = max(hot_keys, total // hot_keys)
     values = [c for c in groups.columns if c != key]
     hot = groups.filter(F.col(size) > limit).select(F.col(key).alias("__hot"), F.struct(*values).alias("__found"))
-    cold = groups.filter(F.col(size) <= limit).select(F.col(key).alias("__cold"), F.lit(0).alias("__no_salt"), F.struct(*values).alias("__other"))
+    # Key and salt are one struct: a salt of its own would be a constant of the cold side, which Spark leaves out of the partitioning.
+    cold = groups.filter(F.col(size) <= limit).select(F.struct(F.col(key).alias("key"), F.lit(0).alias("salt")).alias("__cold"), F.struct(*values).alias("__other"))
     out = rows.join(F.broadcast(hot), F.col(key) == F.col("__hot"), "left")
     done = F.col("__hot").isNotNull() | F.col(key).isNull()
-    out = out.withColumn("__key", F.when(~done, F.col(key))).withColumn("__salt", F.when(done, F.pmod(F.xxhash64(spread), F.lit(1 << 20)).cast("int") + 1).otherwise(0))
-    out = out.join(cold, (F.col("__key") == F.col("__cold")) & (F.col("__salt") == F.col("__no_salt")), "left")
+    salt = F.when(done, F.pmod(F.xxhash64(spread), F.lit(1 << 20)).cast("int") + 1).otherwise(0)
+    out = out.withColumn("__key", F.struct(F.when(~done, F.col(key)).alias("key"), salt.alias("salt")))
+    out = out.join(cold, F.col("__key") == F.col("__cold"), "left")
     out = out.withColumn("__found", F.coalesce("__found", "__other"))
     return out.select(*rows.columns, *[F.col(f"__found.{c}").alias(c) for c in values])
