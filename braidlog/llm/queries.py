@@ -10,6 +10,20 @@ from pyspark.sql import functions as F
 from braidlog.llm.common import read
 
 
+def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from braidlog.llm.fingerprint import fingerprint_documents
+
+    return fingerprint_documents(read(spark, sf_dir, "documents"))
+
+
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from braidlog.llm.packing import pack_documents
+
+    return pack_documents(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from braidlog.llm.dedup import exact_groups, normalised
 
@@ -74,6 +88,8 @@ FROM marked GROUP BY conv_id
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_fingerprints": op1_fingerprints,
+    "op3_packing": op3_packing,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_rendezvous_shards": op5_rendezvous_shards,
     "op8_chat_format": op8_chat_format,
