@@ -87,12 +87,24 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM marked GROUP BY conv_id
 """
 
+def op9_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from braidlog.llm.urlrules import HostRule, judge_urls, labelled_urls, mine_rules
+
+    pages, labels = read(spark, sf_dir, "pages"), read(spark, sf_dir, "labels")
+    # A page whose label says low quality or toxic is one to block.
+    bad = ((F.col("quality") == 0) | (F.col("toxic") == 1)).cast("int")
+    mined = mine_rules(labelled_urls(pages, labels, bad))
+    fixed = [HostRule("com", "/", "allow"), HostRule("example.com", "/en/", "block"), HostRule("www.example.com", "/en/", "allow"), HostRule("net", "/es/", "block"), HostRule("net", "/fr/", "block")]
+    return judge_urls(pages, fixed, mined)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
     "op3_packing": op3_packing,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_rendezvous_shards": op5_rendezvous_shards,
     "op8_chat_format": op8_chat_format,
+    "op9_url_rules": op9_url_rules,
 }
 
 ORACLE_SQL: dict[str, str] = {"op4_exact_dedup": OP4_SQL, "op8_chat_format": OP8_SQL}
