@@ -98,6 +98,16 @@ def op9_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(pages, fixed, mined)
 
 
+def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from braidlog.llm.bpe import decode_documents, encode_documents
+
+    tokenizer = public_tokenizers.path("byte_bpe_50k.json")
+    encoded = encode_documents(read(spark, sf_dir, "documents"), tokenizer).withColumn("ids_sha256", F.sha2("ids", 256))
+    return decode_documents(encoded, tokenizer).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
     "op3_packing": op3_packing,
@@ -105,6 +115,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_rendezvous_shards": op5_rendezvous_shards,
     "op8_chat_format": op8_chat_format,
     "op9_url_rules": op9_url_rules,
+    "op10_bpe_codec": op10_bpe_codec,
 }
 
 ORACLE_SQL: dict[str, str] = {"op4_exact_dedup": OP4_SQL, "op8_chat_format": OP8_SQL}
