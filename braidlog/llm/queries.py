@@ -16,6 +16,30 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_documents(read(spark, sf_dir, "documents"))
 
 
+#: A score from which a document is taken to carry the label.
+THRESHOLD = 0.7
+
+
+def fold(doc_id, folds: int):
+    """crc32 of the id as text, modulo folds."""
+    return F.crc32(doc_id.cast("string").cast("binary")) % folds
+
+
+def toxicity_network(spark: SparkSession, docs: DataFrame, sf_dir: str):
+    from braidlog.llm.toxicity import Training, labelled_sample, train
+
+    texts, labels, prior = labelled_sample(docs, read(spark, sf_dir, "labels"), "toxic", lambda i: fold(i, 3) != 1, Training().sample)
+    return train(texts, labels, prior)
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from braidlog.llm.toxicity import score_documents
+
+    docs = read(spark, sf_dir, "documents")
+    scored = score_documents(docs, toxicity_network(spark, docs, sf_dir))
+    return scored.select("doc_id", F.coalesce(fold(F.col("doc_id"), 3) == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -110,6 +134,7 @@ def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
+    "op2_toxicity": op2_toxicity,
     "op3_packing": op3_packing,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_rendezvous_shards": op5_rendezvous_shards,
