@@ -75,6 +75,22 @@ def op5_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(docs, "doc_id", (1.0,) * 40, keep).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
+def quality_network(spark: SparkSession, docs: DataFrame, sf_dir: str):
+    from braidlog.llm.quality import Training, train
+    from braidlog.llm.toxicity import labelled_sample
+
+    texts, labels, prior = labelled_sample(docs, read(spark, sf_dir, "labels"), "quality", lambda i: fold(i, 4) != 2, Training().sample)
+    return train(texts, labels, prior)
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from braidlog.llm.quality import score_documents
+
+    docs = read(spark, sf_dir, "documents")
+    scored = score_documents(docs, quality_network(spark, docs, sf_dir))
+    return scored.select("doc_id", F.coalesce(fold(F.col("doc_id"), 4) == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     from braidlog.llm.chat import format_conversations, parse_conversations
 
@@ -138,6 +154,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_packing": op3_packing,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_rendezvous_shards": op5_rendezvous_shards,
+    "op7_quality": op7_quality,
     "op8_chat_format": op8_chat_format,
     "op9_url_rules": op9_url_rules,
     "op10_bpe_codec": op10_bpe_codec,

@@ -298,8 +298,9 @@ def train(texts: list[str], labels: np.ndarray, prior: float, shape: Shape = Sha
 
     Each fold of the texts is seen with the log-odds of the others, as new texts will be. A text's
     windows are ranked by their words' log-odds: the first stands for a toxic text; the first two and
-    one at random are clean in a clean text. Then the texts' greatest logits are fitted to the labels, as
-    if both were as frequent; prior is the score where there is one label only.
+    one at random are clean in a clean text. The last fold isn't learned from: its texts' greatest logits
+    are fitted to their labels, with a share of label 1 half way between prior and a half. prior is the
+    score where there is one label only.
     """
     net, rng = Network(shape, training.seed), np.random.default_rng(training.seed)
     labels = np.asarray(labels, np.int64)
@@ -322,15 +323,15 @@ def train(texts: list[str], labels: np.ndarray, prior: float, shape: Shape = Sha
         whole.counts += odds.counts
         whole.texts += odds.texts
     net.odds = whole.tables()
-    seen: list[tuple[np.ndarray, Lexemes, np.ndarray]] = []
+    seen: list[list[tuple[np.ndarray, Lexemes, np.ndarray]]] = []
     for blocks, odds in parts:
         rest = Odds(shape)
         rest.counts, rest.texts = whole.counts - odds.counts, whole.texts - odds.texts
         tables = rest.tables()
-        seen += [(places, lex, net.word_inputs(lex, tables)[:, -3:]) for places, lex in blocks]
+        seen.append([(places, lex, net.word_inputs(lex, tables)[:, -3:]) for places, lex in blocks])
     # The windows to learn from; the words that they hold are numbered anew.
     chosen: list[tuple[Lexemes, np.ndarray, np.ndarray, np.ndarray]] = []
-    for places, lex, given in seen:
+    for places, lex, given in (x for fold_seen in seen[:-1] for x in fold_seen):
         codes, of = net.windows(lex)
         evidence = np.append(np.maximum(given[:, 0], given[:, 1]), 0.0)
         rank = np.lexsort((-np.maximum(evidence[codes], 0).sum(1), of))
@@ -359,12 +360,13 @@ def train(texts: list[str], labels: np.ndarray, prior: float, shape: Shape = Sha
                 slope = ((q - target[pick]) * np.where(target[pick] == 1, 0.5 / share, 0.5 / (1 - share)) / len(pick)).astype(np.float32)
                 g, d_inputs = net.gradients(kept, slope)
                 adam.step(g | net.embedding_gradients(few, np.arange(len(rows)), d_inputs))
-    found = np.empty(len(texts))
-    for places, lex, given in seen:
+    found, last = np.zeros(len(texts)), fold == training.folds - 1
+    for places, lex, given in seen[-1]:
         inputs = net.word_inputs(lex)
         inputs[:, -3:] = given
         found[places] = net.greatest(inputs, *net.windows(lex), len(places))
-    net.scale, net.shift = fit_logistic(found, labels, 0.5)
+    if len(set(labels[last].tolist())) == 2:
+        net.scale, net.shift = fit_logistic(found[last], labels[last], (prior + 0.5) / 2)
     return net
 
 
