@@ -35,7 +35,7 @@ class Shape:
 class Training:
     """sample: labelled rows that the fit takes at most, half of them of each label where there are enough."""
 
-    sample: int = 5000
+    sample: int = 4000
     folds: int = 5
     epochs: int = 8
     batch: int = 256
@@ -73,8 +73,8 @@ class Lexemes:
                 owner.append(of[fits])
         gram, owner = np.concatenate(grams), np.concatenate(owner)
         order = np.argsort(owner, kind="stable")
-        self.gram, self.owner = gram[order], owner[order]
-        self.first_gram = np.searchsorted(self.owner, np.arange(len(size) + 1))
+        self.gram = gram[order].astype(np.uint32)  # the tables take fewer bits
+        self.first_gram = np.searchsorted(owner[order], np.arange(len(size) + 1))
 
 
 class Odds:
@@ -92,7 +92,7 @@ class Odds:
         self._count(0, of, lex.hash[code], labels)
         n = np.diff(lex.first_gram)[code]
         at = np.repeat(lex.first_gram[code] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        self._count(1, np.repeat(of, n), lex.gram[at], labels)
+        self._count(1, np.repeat(of, n), lex.gram[at].astype(np.uint64), labels)
         self.texts += np.bincount(labels, minlength=2)
 
     def _count(self, kind: int, of: np.ndarray, key: np.ndarray, labels: np.ndarray) -> None:
@@ -132,8 +132,8 @@ class Network:
         n = np.maximum(np.diff(lex.first_gram), 1)[:, None]
         at = np.minimum(lex.first_gram[:-1], max(0, len(lex.gram) - 1))
         if len(lex.gram):
-            chars = np.add.reduceat(self.p["char"][(lex.gram & np.uint64((1 << s.char_bits) - 1)).astype(np.int64)], at, axis=0) / n
-            value = odds[1][(lex.gram & mask).astype(np.int64)]
+            chars = np.add.reduceat(self.p["char"][(lex.gram & np.uint32((1 << s.char_bits) - 1)).astype(np.int64)], at, axis=0) / n
+            value = odds[1][(lex.gram & np.uint32(mask)).astype(np.int64)]
             most, mean = np.maximum.reduceat(value, at)[:, None], np.add.reduceat(value, at)[:, None] / n
         else:
             chars, most, mean = np.zeros((len(lex.hash), s.char_dims)), np.zeros((len(lex.hash), 1)), np.zeros((len(lex.hash), 1))
@@ -236,7 +236,7 @@ class Network:
         n = np.diff(lex.first_gram)[rows]
         at = np.repeat(lex.first_gram[rows] - (np.cumsum(n) - n), n) + np.arange(n.sum())
         share = np.repeat(d_inputs[:, s.word_dims : s.word_dims + s.char_dims] / np.maximum(n, 1)[:, None], n, axis=0)
-        np.add.at(g["char"], (lex.gram[at] & np.uint64((1 << s.char_bits) - 1)).astype(np.int64), share)
+        np.add.at(g["char"], (lex.gram[at] & np.uint32((1 << s.char_bits) - 1)).astype(np.int64), share)
         return g
 
     def text_logits(self, texts: pa.Array) -> np.ndarray:
@@ -316,12 +316,13 @@ def train(texts: list[str], labels: np.ndarray, prior: float, shape: Shape = Sha
     parts = []  # places of texts, their words, their log-odds
     for k in range(training.folds):
         here, odds = np.flatnonzero(fold == k), Odds(shape)
-        blocks = [(here[at : at + len(block)], Lexemes(words_of(block), shape)) for at, block in blocks_of(column.take(pa.array(here)))]
+        blocks = [(here[at : at + len(block)], Lexemes(words_of(block), shape)) for at, block in blocks_of(column.take(pa.array(here)), 1 << 19)]
         for places, lex in blocks:
             odds.add(lex, labels[places])
         parts.append((blocks, odds))
         whole.counts += odds.counts
         whole.texts += odds.texts
+        odds.counts = odds.counts.astype(np.uint16)  # a fold has fewer texts
     net.odds = whole.tables()
     seen: list[list[tuple[np.ndarray, Lexemes, np.ndarray]]] = []
     for blocks, odds in parts:
