@@ -75,6 +75,12 @@ def op5_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(docs, "doc_id", (1.0,) * 40, keep).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from braidlog.llm.jaccard import jaccard_components
+
+    return jaccard_components(read(spark, sf_dir, "documents"))
+
+
 def quality_network(spark: SparkSession, docs: DataFrame, sf_dir: str):
     from braidlog.llm.quality import Training, train
     from braidlog.llm.toxicity import labelled_sample
@@ -154,6 +160,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_packing": op3_packing,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_rendezvous_shards": op5_rendezvous_shards,
+    "op6_jaccard_join": op6_jaccard_join,
     "op7_quality": op7_quality,
     "op8_chat_format": op8_chat_format,
     "op9_url_rules": op9_url_rules,
