@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Characters that separate words and that exact duplicates may differ in: [\x20\x09-\x0D].
 WHITE = " \t\n\x0b\x0c\r"
@@ -52,3 +56,37 @@ def attach(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int,
     out = out.join(cold, F.col("__key") == F.col("__cold"), "left")
     out = out.withColumn("__found", F.coalesce("__found", "__other"))
     return out.select(*rows.columns, *[F.col(f"__found.{c}").alias(c) for c in values])
+
+
+def without(docs: DataFrame, id_col: str, dropped: DataFrame, filter_bits: int = 1 << 25) -> DataFrame:
+    """docs without the rows whose id is in dropped (one column); null ids stay.
+
+    The dropped ids are broadcast as a bitmap of fixed size, filter_bits / 8 bytes. Rows that it clears
+    pass where they are; only the others, the dropped ones and few more, are shuffled to be looked up.
+    """
+    (name,) = dropped.columns
+    slot = lambda c: F.pmod(F.xxhash64(c.cast("string")), F.lit(filter_bits)) + 1
+    bits = dropped.select(slot(F.col(name)).alias("__slot")).groupBy(F.bitmap_bucket_number("__slot").alias("__bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("__slot")).alias("__bits"))
+    rows = docs.select(F.struct(*docs.columns).alias("__row"), slot(F.col(id_col)).alias("__slot"), F.col(id_col).alias("__id"))
+    rows = rows.join(F.broadcast(bits), F.bitmap_bucket_number("__slot") == F.col("__bucket"), "left")
+    byte = F.conv(F.hex(F.expr("substring(__bits, cast(bitmap_bit_position(__slot) div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    hit = F.coalesce(F.pmod(F.floor(byte / F.pow(F.lit(2), F.bitmap_bit_position("__slot") % 8)), F.lit(2)) == 1, F.lit(False))
+    clear = rows.filter(~hit).select("__row.*")
+    again = rows.filter(hit).select("__row", "__id").join(dropped.select(F.col(name).alias("__dropped")), F.col("__id") == F.col("__dropped"), "left_anti")
+    return clear.unionByName(again.select("__row.*"))
+
+
+def kept_by(docs: DataFrame, text_col: str, keep: Callable[[pa.Array], np.ndarray]) -> DataFrame:
+    """The rows, with all their columns, for whose texts keep gives true; it gets blocks of texts."""
+    arrow = to_arrow_schema(docs.schema)
+    at = docs.columns.index(text_col)
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from braidlog.llm.words import blocks_of
+
+        for batch in batches:
+            batch = pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(batch.columns, arrow)], schema=arrow)
+            for k, block in blocks_of(batch.column(at)):
+                yield batch.slice(k, len(block)).filter(pa.array(keep(block).astype(bool)))
+
+    return docs.mapInArrow(pick, docs.schema)

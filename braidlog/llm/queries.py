@@ -40,12 +40,16 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(fold(F.col("doc_id"), 3) == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
-def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+def op3_packing_of(docs: DataFrame) -> DataFrame:
     import public_tokenizers
 
     from braidlog.llm.packing import pack_documents
 
-    return pack_documents(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op3_packing_of(read(spark, sf_dir, "documents"))
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
