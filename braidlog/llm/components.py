@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from braidlog.llm.common import attach, written
+from braidlog.llm.common import attach, discard, written
 
 
 def _least_neighbours(edges: DataFrame, total: int) -> DataFrame:
@@ -31,7 +31,8 @@ def connected(links: DataFrame, rounds: int = 60) -> DataFrame:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _least_neighbours(both, 2 * total).filter("v > u").select(F.col("v").alias("u"), F.least("u", "least").alias("v")).distinct()
         small = _least_neighbours(large, total).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("least").alias("v")), F.struct(F.col("u").alias("u"), F.col("least").alias("v")))).alias("e"))
-        edges = written(small.select("e.*").filter("u <> v").distinct(), "edges")
+        last, edges = edges, written(small.select("e.*").filter("u <> v").distinct(), "edges")
+        discard(last)
         now = edges.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
         if now == before:
             break

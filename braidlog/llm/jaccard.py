@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from braidlog.llm.common import attach, written
+from braidlog.llm.common import attach, discard, written
 from braidlog.llm.components import connected
 from braidlog.llm.words import blocks_of, mix, words_of
 
@@ -220,11 +220,44 @@ def _compatible(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
     return 100 * np.minimum(a, b) >= percent * np.maximum(a, b)
 
 
+def _led(drawn: np.ndarray, run: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of each row and of the row with the least draw in its run; runs lie together."""
+    new = np.append(True, run[1:] != run[:-1])
+    starts, of = np.flatnonzero(new), np.cumsum(new) - 1
+    leader = np.flatnonzero(drawn == np.minimum.reduceat(drawn, starts)[of])
+    leader = leader[np.append(True, of[leader][1:] != of[leader][:-1])]
+    return np.arange(len(run)), leader[of]
+
+
+def _drawn(rows: DataFrame, join: Join, parts: int) -> DataFrame:
+    """a, b: each document of a list (sig, salt, doc, n, comp) with three that hashes of list and document choose, in other components."""
+    schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
+    arrow = to_arrow_schema(schema)
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        columns = [[b.column(k).to_numpy() for b in batches_ if b.num_rows] for batches_ in [list(batches)] for k in range(5)]
+        if not columns[0]:
+            return
+        sig, salt, doc, n, comp = (np.concatenate(c) for c in columns)
+        order = np.lexsort((doc, salt, sig))
+        sig, salt, doc, n, comp = (x[order] for x in (sig, salt, doc, n, comp))
+        run = np.cumsum(np.append(True, (sig[1:] != sig[:-1]) | (salt[1:] != salt[:-1]))) - 1
+        pairs = [_led(mix(doc.view(np.uint64) * _PLACE[k] + sig.view(np.uint64)), run) for k in (5, 6, 7)]
+        a, b = (np.concatenate(x) for x in zip(*pairs))
+        good = (comp[a] != comp[b]) & _compatible(n[a], n[b], join.percent)
+        both = np.unique(np.stack([np.minimum(doc[a], doc[b])[good], np.maximum(doc[a], doc[b])[good]], 1), axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], schema=arrow)
+
+    salt = F.pmod(F.xxhash64("doc"), F.greatest(F.lit(1), F.ceil(F.col("length") / join.run))).cast("int")
+    dealt = rows.select("sig", salt.alias("salt"), "doc", "n", "comp")
+    return dealt.repartition(parts, "sig", "salt").mapInArrow(draw, schema).distinct()
+
+
 def _lists(rows: DataFrame, join: Join, parts: int) -> DataFrame:
-    """Of lists with two documents or more: their rows again (sig, doc, n), and pairs to begin with (doc, n, mate).
+    """Of lists with two documents or more: their rows again (sig, doc, n), and pairs to begin with (doc, mate).
 
-    Each document of a list is paired with two chosen by hashes of list and document, and with the
-    next smaller one: as many pairs as rows, which join most of what belongs together.
+    Each document is paired with the one of its list that comes first by a hash, so the lists of a group
+    of near copies mostly name the same few pairs.
     """
     schema = T.StructType([T.StructField("sig", T.LongType()), T.StructField("doc", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("mate", T.LongType())])
     arrow = to_arrow_schema(schema)
@@ -244,17 +277,8 @@ def _lists(rows: DataFrame, join: Join, parts: int) -> DataFrame:
         sig, salt, doc, n, run = sig[keep], salt[keep], doc[keep], n[keep], run[keep]
         if not len(sig):
             return
-        starts = np.flatnonzero(np.append(True, run[1:] != run[:-1]))
-        of = np.cumsum(np.append(True, run[1:] != run[:-1])) - 1
-        mates, pairs = [np.append(doc[0], doc[:-1])], [(np.arange(len(doc)), np.maximum(np.arange(len(doc)) - 1, 0))]
-        for place in (5, 7):
-            drawn = mix(doc.view(np.uint64) * _PLACE[place] + sig.view(np.uint64))
-            least = np.minimum.reduceat(drawn, starts)[of]
-            leader = np.flatnonzero(drawn == least)
-            leader = leader[np.append(True, of[leader][1:] != of[leader][:-1])]
-            pairs.append((np.arange(len(doc)), leader[of]))
-        a, b = (np.concatenate(x) for x in zip(*pairs))
-        good = (of[a] == of[b]) & (doc[a] != doc[b]) & _compatible(n[a], n[b], join.percent)
+        a, b = _led(mix(doc.view(np.uint64)), run)
+        good = (doc[a] != doc[b]) & _compatible(n[a], n[b], join.percent)
         low, high = np.minimum(doc[a], doc[b])[good], np.maximum(doc[a], doc[b])[good]
         both = np.unique(np.stack([low, high], 1), axis=0) if len(low) else np.empty((0, 2), np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array(doc), pa.array(n, pa.int32()), pa.nulls(len(sig), pa.int64())], schema=arrow)
@@ -263,8 +287,20 @@ def _lists(rows: DataFrame, join: Join, parts: int) -> DataFrame:
     return rows.repartition(parts, "sig", "salt").mapInArrow(shared, schema)
 
 
+def _packed(tokens: np.ndarray) -> bytes:
+    """The upper 40 bits of each token. Of two sets of 20,000, fewer than one in two thousand pairs has tokens that agree by chance."""
+    return (tokens >> np.uint64(24)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+
+
+def _unpacked(data: pa.Scalar) -> np.ndarray:
+    raw = np.frombuffer(data.as_buffer(), np.uint8).reshape(-1, 5)
+    out = np.zeros((len(raw), 8), np.uint8)
+    out[:, :5] = raw
+    return out.view("<u8")[:, 0]
+
+
 def _sets(docs: DataFrame, id_col: str, text_col: str, join: Join, wanted: DataFrame) -> DataFrame:
-    """doc, tokens (sorted 64-bit hashes) of the documents in wanted, and of few others.
+    """doc, tokens (sorted, the upper 40 bits of each) of the documents in wanted, and of few others.
 
     wanted goes to the workers as a bitmap of fixed size, so texts aren't shuffled.
     """
@@ -283,7 +319,7 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, join: Join, wanted: DataF
             at = batch.column(2).to_numpy() - 1
             batch = batch.filter(pa.array((bits[at >> 3] >> (at & 7)) & 1 == 1))
             for k, block in blocks_of(batch.column(1)):
-                found = [s.tobytes() for s in shingle_sets(block, join.words)]
+                found = [_packed(s) for s in shingle_sets(block, join.words)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, len(block)).cast(pa.int64()), pa.array(found, pa.binary())], schema=arrow)
 
     return docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string")).withColumn("slot", slot).filter("doc IS NOT NULL").mapInArrow(sets, schema)
@@ -298,8 +334,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, join: Join) -> DataFrame:
         for batch in batches:
             keep = []
             for x, y in zip(batch.column(2), batch.column(3)):
-                left, right = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = np.concatenate([left, right])
+                both = np.concatenate([_unpacked(x), _unpacked(y)])
                 both.sort(kind="stable")
                 met = int((both[1:] == both[:-1]).sum())
                 keep.append(100 * met >= join.percent * (len(both) - met) and met > 0)
@@ -358,7 +393,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     nothing; a text of fewer words than a shingle has one shingle, the whole sequence. A row without id
     has no component. An empty table gives no rows; other columns aren't read.
 
-    All links between different sets are found, but not all are listed: a list's documents are first
+    All links between components are found, but not all within one are listed: a list's documents are first
     compared with few of it, which gives components, and then with all that are in other components. Equal
     sets are one class.
     """
@@ -371,17 +406,24 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     pairs = found.filter("mate IS NOT NULL").select(F.col("doc").alias("a"), F.col("mate").alias("b"))
     sets = written(_sets(docs, id_col, text_col, join, lists.select("doc").distinct()), "sets")
     links = written(_verified(pairs.distinct(), sets, join), "links")
-    # What the first links have joined needs no comparison; lists that lie in one component are done.
-    first = connected(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    placed = lists.join(first, F.col("doc") == F.col("node"), "left").select("sig", "doc", "n", F.coalesce("component", "doc").alias("comp"))
-    mixed = placed.groupBy("sig").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("length")).filter("low < high").select("sig", "length")
-    more = _verified(_across(placed.join(mixed, "sig"), join, parts), sets, join)
-    more = written(more, "links")
+    # What links have joined needs no comparison: lists that lie in one component are done. The others are
+    # compared by a few pairs for each document first, then by all pairs across components.
+    def mixed(lists: DataFrame, joined: DataFrame) -> DataFrame:
+        placed = lists.join(joined, F.col("doc") == F.col("node"), "left").select("sig", "doc", "n", F.coalesce("component", "doc").alias("comp"))
+        still = placed.groupBy("sig").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("length")).filter("low < high").select("sig", "length")
+        return written(placed.join(still, "sig"), "mixed")
+
+    first = mixed(lists, connected(links.select(F.col("a").alias("u"), F.col("b").alias("v"))))
+    discard(found)
+    links = links.unionByName(written(_verified(_drawn(first, join, parts), sets, join), "links"))
+    second = mixed(first.select("sig", "doc", "n"), connected(links.select(F.col("a").alias("u"), F.col("b").alias("v"))))
+    discard(first)
+    every = links.unionByName(written(_verified(_across(second, join, parts), sets, join), "links"))
+    discard(second, sets)
     # Classes of equal sets are the nodes now; each is named by its smallest document.
     classes = rows.filter("key IS NOT NULL").groupBy("key").agg(F.min("doc").alias("rep"), F.count(F.lit(1)).alias("copies"))
     copies = attach(rows.filter("key IS NOT NULL"), classes, "key", "copies", total[0], F.col("doc")).filter("copies > 1 AND doc <> rep").select(F.col("doc").alias("u"), F.col("rep").alias("v"))
     named = copies.select(F.col("u").alias("of"), F.col("v").alias("rep"))
-    every = links.unionByName(more)
     every = every.join(named, F.col("a") == F.col("of"), "left").select(F.coalesce("rep", "a").alias("a"), "b")
     every = every.join(named, F.col("b") == F.col("of"), "left").select(F.col("a").alias("u"), F.coalesce("rep", "b").alias("v"))
     component = connected(every.filter("u <> v"))
