@@ -33,13 +33,15 @@ _LOWER[ord("A") : ord("Z") + 1] += 32
 class Join:
     """words: of a shingle. percent: documents link from this Jaccard similarity on.
 
-    frequent: tokens that the table of frequent tokens has at most. run: rows of a list that one task
-    takes; longer lists are dealt to several. chunk: tokens that are counted together in the survey.
+    frequent: tokens that the table of frequent tokens has at most. short: documents of a list up to
+    which all its pairs are looked at once. run: rows of a list that one task takes; longer lists are
+    dealt to several. chunk: tokens that are counted together in the survey.
     """
 
     words: int = 5
     percent: int = 80
     frequent: int = 1 << 20
+    short: int = 24
     run: int = 20_000
     chunk: int = 1 << 22
     filter_bits: int = 1 << 26
@@ -48,6 +50,14 @@ class Join:
         """Tokens that a set of n shares at least with any set that it links with."""
         return (self.percent * n + 99) // 100
 
+    def meet(self, n: np.ndarray, reach: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether rows a and b of a list can be of sets that link: both must reach what sets of their sizes share at least.
+
+        A row's reach is how much its set can still share if nothing before this place is shared.
+        """
+        least = -(-self.percent * (n[a].astype(np.int64) + n[b]) // (100 + self.percent))
+        return (reach[a] >= least) & (reach[b] >= least)
+
 
 def shingle_sets(texts: pa.Array, words: int) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each text; fewer words are one shingle, no words none."""
@@ -147,47 +157,54 @@ class Signatures:
             out[at[hit]] = self.count[place[hit]]
         return out
 
-    def of(self, tokens: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """signatures, and how many documents each may have where that is known (else 0).
+    def of(self, tokens: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """signatures, how many documents each may have where that is known (else 0), and their reach.
 
         With needed(n) = a, the first n - a + 1 tokens of one of two sets that link hold a token of the
         other's. With n - a + 1 + g they share g + 1; of those that are frequent two then fall into one
         of g classes, if no rare one is shared. g depends on the size's power of two, and a set whose
         partners may be of the next power is indexed for both. Small sets are indexed by single tokens.
+        If the first token that is shared stands at place i (from 0), n - i tokens can be; if it is the
+        later of two among the first g + 1 shared, n - i + g.
         """
         n = len(tokens)
         prefix = n - self.join.needed(n) + 1
         rare = np.flatnonzero(counts == 0)
         if len(rare) >= prefix:
-            return tokens[rare[:prefix]], np.zeros(prefix, np.int64)
+            return tokens[rare[:prefix]], np.zeros(prefix, np.int64), n - np.arange(prefix)
         often = np.flatnonzero(counts)
         often = often[np.lexsort((tokens[often], counts[often]))]
         level = n.bit_length() - 1
-        singles, pairs, sizes = rare, [], []
+        sigs, sizes, reach = [tokens[rare]], [counts[rare]], [n - np.arange(len(rare))]
+        single = 0
         for k in (level, level + 1):
             if k > level and n * 100 < self.join.percent << k:
                 break
             classes = (1 << k) // 8 if k > 4 else 0
             taken = often[: max(0, prefix + classes - len(rare))]
             if not classes:
-                singles = np.concatenate([singles, taken])
+                single = max(single, len(taken))
                 continue
             of = (mix(tokens[taken] ^ _PLACE[6]) % np.uint64(classes)).tolist()
             members: dict[int, list[int]] = {}
-            for c, at in zip(of, taken.tolist()):
-                members.setdefault(c, []).append(at)
+            for place, c in enumerate(of):
+                members.setdefault(c, []).append(place)
             both = [p for m in members.values() for p in combinations(m, 2)]
             if both:
                 a, b = np.array(both).T
-                pairs.append(mix(np.minimum(tokens[a], tokens[b]) * _PLACE[4] + np.maximum(tokens[a], tokens[b]) * _PLACE[5] + np.uint64(k)))
-                sizes.append(np.minimum(counts[a], counts[b]))
-        singles = np.unique(singles)
-        return np.concatenate([tokens[singles], *pairs]), np.concatenate([counts[singles], *sizes])
+                x, y = tokens[taken[a]], tokens[taken[b]]
+                sigs.append(mix(np.minimum(x, y) * _PLACE[4] + np.maximum(x, y) * _PLACE[5] + np.uint64(k)))
+                sizes.append(np.minimum(counts[taken[a]], counts[taken[b]]))
+                reach.append(n - len(rare) - b + classes)
+        sigs.append(tokens[often[:single]])
+        sizes.append(counts[often[:single]])
+        reach.append(n - len(rare) - np.arange(single))
+        return np.concatenate(sigs), np.concatenate(sizes), np.minimum(np.concatenate(reach), n)
 
 
 def _index(docs: DataFrame, id_col: str, text_col: str, join: Join, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """sig, salt, doc, n: what each document is indexed under; of equal sets in a block one is enough. salt: the part of a long list, else -1."""
-    schema = T.StructType([T.StructField("sig", T.LongType()), T.StructField("salt", T.IntegerType()), T.StructField("doc", T.LongType()), T.StructField("n", T.IntegerType())])
+    """sig, salt, doc, n, reach: what each document is indexed under; of equal sets in a block one is enough. salt: the part of a long list, else -1."""
+    schema = T.StructType([T.StructField("sig", T.LongType()), T.StructField("salt", T.IntegerType()), T.StructField("doc", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("reach", T.IntegerType())])
     arrow = to_arrow_schema(schema)
     sent = docs.sparkSession.sparkContext.broadcast(frequent)
 
@@ -199,25 +216,32 @@ def _index(docs: DataFrame, id_col: str, text_col: str, join: Join, frequent: tu
                 sets = shingle_sets(block, join.words)
                 counts = signatures.counts(np.concatenate(sets)) if sets else np.empty(0, np.int64)
                 bounds = np.append(0, np.cumsum([len(s) for s in sets]))
-                seen, sigs, expected, docs_, sizes = set(), [], [], [], []
+                seen, sigs, expected, docs_, sizes, reaches = set(), [], [], [], [], []
                 for k, s in enumerate(sets):
                     if not len(s) or not ids[at + k].is_valid or (key := _key(s)) in seen:
                         continue
                     seen.add(key)
-                    sig, often = signatures.of(s, counts[bounds[k] : bounds[k + 1]])
-                    sigs.append(sig), expected.append(often)
+                    sig, often, reach = signatures.of(s, counts[bounds[k] : bounds[k + 1]])
+                    sigs.append(sig), expected.append(often), reaches.append(reach)
                     docs_.append(np.full(len(sig), ids[at + k].as_py())), sizes.append(np.full(len(sig), len(s)))
                 if not sigs:
                     continue
                 doc, parts = np.concatenate(docs_), np.concatenate(expected) // join.run + 1
                 salt = np.where(parts > 1, (mix(doc.view(np.uint64)) % parts.astype(np.uint64)).astype(np.int64), -1)
-                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip((np.concatenate(sigs).view(np.int64), salt, doc, np.concatenate(sizes)), arrow)], schema=arrow)
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip((np.concatenate(sigs).view(np.int64), salt, doc, np.concatenate(sizes), np.concatenate(reaches)), arrow)], schema=arrow)
 
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(index, schema)
 
 
-def _compatible(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
-    return 100 * np.minimum(a, b) >= percent * np.maximum(a, b)
+def _gathered(batches: Iterator[pa.RecordBatch], columns: int) -> list[np.ndarray]:
+    held = [b for b in batches if b.num_rows]
+    return [np.concatenate([b.column(k).to_numpy() for b in held]) if held else np.empty(0, np.int64) for k in range(columns)]
+
+
+def _once(doc: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Each pair of different documents once, the smaller first."""
+    x, y = np.minimum(doc[a], doc[b]), np.maximum(doc[a], doc[b])
+    return np.unique(np.stack([x, y], 1)[x < y], axis=0)
 
 
 def _led(drawn: np.ndarray, run: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -230,59 +254,65 @@ def _led(drawn: np.ndarray, run: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _drawn(rows: DataFrame, join: Join, parts: int) -> DataFrame:
-    """a, b: each document of a list (sig, salt, doc, n, comp) with three that hashes of list and document choose, in other components."""
+    """a, b: each document of a list with three that hashes of list and document choose, in other components."""
     schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
     arrow = to_arrow_schema(schema)
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        columns = [[b.column(k).to_numpy() for b in batches_ if b.num_rows] for batches_ in [list(batches)] for k in range(5)]
-        if not columns[0]:
+        sig, salt, doc, n, reach, comp = _gathered(batches, 6)
+        if not len(sig):
             return
-        sig, salt, doc, n, comp = (np.concatenate(c) for c in columns)
         order = np.lexsort((doc, salt, sig))
-        sig, salt, doc, n, comp = (x[order] for x in (sig, salt, doc, n, comp))
+        sig, salt, doc, n, reach, comp = (x[order] for x in (sig, salt, doc, n, reach, comp))
         run = np.cumsum(np.append(True, (sig[1:] != sig[:-1]) | (salt[1:] != salt[:-1]))) - 1
         pairs = [_led(mix(doc.view(np.uint64) * _PLACE[k] + sig.view(np.uint64)), run) for k in (5, 6, 7)]
         a, b = (np.concatenate(x) for x in zip(*pairs))
-        good = (comp[a] != comp[b]) & _compatible(n[a], n[b], join.percent)
-        both = np.unique(np.stack([np.minimum(doc[a], doc[b])[good], np.maximum(doc[a], doc[b])[good]], 1), axis=0)
+        good = (comp[a] != comp[b]) & join.meet(n, reach, a, b)
+        both = _once(doc, a[good], b[good])
         yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], schema=arrow)
 
     salt = F.pmod(F.xxhash64("doc"), F.greatest(F.lit(1), F.ceil(F.col("length") / join.run))).cast("int")
-    dealt = rows.select("sig", salt.alias("salt"), "doc", "n", "comp")
+    dealt = rows.select("sig", salt.alias("salt"), "doc", "n", "reach", "comp")
     return dealt.repartition(parts, "sig", "salt").mapInArrow(draw, schema).distinct()
 
 
 def _lists(rows: DataFrame, join: Join, parts: int) -> DataFrame:
-    """Of lists with two documents or more: their rows again (sig, doc, n), and pairs to begin with (doc, mate).
+    """Pairs that may link (doc, mate), and the rows of long lists (sig, doc, n, reach).
 
-    Each document is paired with the one of its list that comes first by a hash, so the lists of a group
-    of near copies mostly name the same few pairs.
+    A list of at most join.short documents gives all its pairs. A longer one gives each document with
+    the one that comes first by a hash, so the lists of a group of near copies mostly name the same
+    pairs; its rows are given for what follows.
     """
-    schema = T.StructType([T.StructField("sig", T.LongType()), T.StructField("doc", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("mate", T.LongType())])
+    schema = T.StructType([T.StructField("sig", T.LongType()), T.StructField("doc", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("reach", T.IntegerType()), T.StructField("mate", T.LongType())])
     arrow = to_arrow_schema(schema)
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        columns = [[b.column(k).to_numpy() for b in batches_ if b.num_rows] for batches_ in [list(batches)] for k in range(4)]
-        if not columns[0]:
+        sig, salt, doc, n, reach = _gathered(batches, 5)
+        if not len(sig):
             return
-        sig, salt, doc, n = (np.concatenate(c) for c in columns)
-        order = np.lexsort((doc, n, salt, sig))
-        sig, salt, doc, n = sig[order], salt[order], doc[order], n[order]
-        new = np.append(True, (sig[1:] != sig[:-1]) | (salt[1:] != salt[:-1]))
-        run = np.cumsum(new) - 1
-        size = np.bincount(run)
-        keep = size[run] > 1
-        keep |= salt >= 0  # the rest of a list that is dealt to several tasks is elsewhere
-        sig, salt, doc, n, run = sig[keep], salt[keep], doc[keep], n[keep], run[keep]
+        order = np.argsort(sig, kind="stable")
+        near = sig[order][1:] == sig[order][:-1]
+        order = order[np.append(False, near) | np.append(near, False) | (salt[order] >= 0)]  # rows alone in their list go
+        order = order[np.lexsort((doc[order], salt[order], sig[order]))]
+        sig, salt, doc, n, reach = (x[order] for x in (sig, salt, doc, n, reach))
         if not len(sig):
             return
-        a, b = _led(mix(doc.view(np.uint64)), run)
-        good = (doc[a] != doc[b]) & _compatible(n[a], n[b], join.percent)
-        low, high = np.minimum(doc[a], doc[b])[good], np.maximum(doc[a], doc[b])[good]
-        both = np.unique(np.stack([low, high], 1), axis=0) if len(low) else np.empty((0, 2), np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array(doc), pa.array(n, pa.int32()), pa.nulls(len(sig), pa.int64())], schema=arrow)
-        yield pa.RecordBatch.from_arrays([pa.nulls(len(both), pa.int64()), pa.array(both[:, 0]), pa.nulls(len(both), pa.int32()), pa.array(both[:, 1])], schema=arrow)
+        run = np.cumsum(np.append(True, (sig[1:] != sig[:-1]) | (salt[1:] != salt[:-1]))) - 1
+        long = (np.bincount(run)[run] > join.short) | (salt >= 0)  # the rest of a dealt list is elsewhere
+        pairs, at = [], np.flatnonzero(~long)
+        for step in range(1, join.short):
+            at = at[at + step < len(run)]
+            at = at[run[at] == run[np.minimum(at + step, len(run) - 1)]]
+            good = at[join.meet(n, reach, at, at + step)]
+            pairs.append((good, good + step))
+        at = np.flatnonzero(long)
+        if len(at):
+            a, b = (at[x] for x in _led(mix(doc[at].view(np.uint64)), run[at]))
+            good = join.meet(n, reach, a, b)
+            pairs.append((a[good], b[good]))
+        both = _once(doc, *(np.concatenate(x) for x in zip(*pairs))) if pairs else np.empty((0, 2), np.int64)
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(both), pa.int64()), pa.array(both[:, 0]), pa.nulls(len(both), pa.int32()), pa.nulls(len(both), pa.int32()), pa.array(both[:, 1])], schema=arrow)
+        yield pa.RecordBatch.from_arrays([pa.array(sig[at]), pa.array(doc[at]), pa.array(n[at], pa.int32()), pa.array(reach[at], pa.int32()), pa.nulls(len(at), pa.int64())], schema=arrow)
 
     return rows.repartition(parts, "sig", "salt").mapInArrow(shared, schema)
 
@@ -347,41 +377,41 @@ def _verified(pairs: DataFrame, sets: DataFrame, join: Join) -> DataFrame:
 
 
 def _across(rows: DataFrame, join: Join, parts: int) -> DataFrame:
-    """a, b: all pairs of a list's documents that are in different components and of compatible sizes, each pair once for each task.
+    """a, b: all pairs of a list's documents that are in different components and may link.
 
-    rows: sig, doc, n, comp, and the list's length. A list that is longer than join.run / 4 is cut into
+    rows: sig, doc, n, reach, comp, and the list's length. A list that is longer than join.run / 4 is cut into
     blocks, and each two blocks meet in a task of their own.
     """
     schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
     arrow = to_arrow_schema(schema)
 
     def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        columns = [[b.column(k).to_numpy() for b in batches_ if b.num_rows] for batches_ in [list(batches)] for k in range(7)]
-        if not columns[0]:
+        sig, one, two, own, doc, n, reach, comp = _gathered(batches, 8)
+        if not len(sig):
             return
-        sig, one, two, own, doc, n, comp = (np.concatenate(c) for c in columns)
         order = np.lexsort((comp, two, one, sig))
-        sig, one, two, own, doc, n, comp = (x[order] for x in (sig, one, two, own, doc, n, comp))
+        sig, one, two, own, doc, n, reach, comp = (x[order] for x in (sig, one, two, own, doc, n, reach, comp))
         starts = np.flatnonzero(np.append(True, (sig[1:] != sig[:-1]) | (one[1:] != one[:-1]) | (two[1:] != two[:-1])))
-        found: set[tuple[int, int]] = set()
+        found, held = np.empty((0, 2), np.int64), []
         for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(sig)]):
             if comp[a] == comp[b - 1]:
                 continue
             for k in range(a, b):  # those of later components come after in order
-                later = a + np.searchsorted(comp[a:b], comp[k], side="right")
-                at = np.arange(later, b)
+                at = np.arange(a + np.searchsorted(comp[a:b], comp[k], side="right"), b)
                 if one[k] != two[k]:
                     at = at[own[at] != own[k]]
-                at = at[_compatible(n[at], n[k], join.percent)]
-                x = int(doc[k])
-                found.update((min(x, y), max(x, y)) for y in doc[at].tolist())
-        pairs = np.array(sorted(found), np.int64).reshape(-1, 2)
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], schema=arrow)
+                at = at[join.meet(n, reach, np.full(len(at), k), at)]
+                if len(at):
+                    held.append(np.stack([np.minimum(doc[k], doc[at]), np.maximum(doc[k], doc[at])], 1))
+            if sum(map(len, held)) > 1 << 18:
+                found, held = np.unique(np.concatenate([found, *held]), axis=0), []
+        found = np.unique(np.concatenate([found, *held]), axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], schema=arrow)
 
     blocks = F.greatest(F.lit(1), F.ceil(F.col("length") / (join.run // 4))).cast("int")
     own = F.pmod(F.xxhash64("doc"), blocks).cast("int")
     dealt = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    dealt = dealt.select("sig", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"), "own", "doc", "n", "comp")
+    dealt = dealt.select("sig", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"), "own", "doc", "n", "reach", "comp")
     return dealt.repartition(parts, "sig", "one", "two").mapInArrow(across, schema).distinct()
 
 
@@ -402,21 +432,23 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     total = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), total[1] // 4_000_000)
     found = written(_lists(_index(docs, id_col, text_col, join, _frequent(survey, join.frequent)), join, parts), "lists")
-    lists = found.filter("sig IS NOT NULL").select("sig", "doc", "n")
+    lists = found.filter("sig IS NOT NULL").select("sig", "doc", "n", "reach")
     pairs = found.filter("mate IS NOT NULL").select(F.col("doc").alias("a"), F.col("mate").alias("b"))
-    sets = written(_sets(docs, id_col, text_col, join, lists.select("doc").distinct()), "sets")
+    wanted = found.select(F.explode(F.array("doc", "mate")).alias("doc")).filter("doc IS NOT NULL").distinct()
+    sets = written(_sets(docs, id_col, text_col, join, wanted), "sets")
     links = written(_verified(pairs.distinct(), sets, join), "links")
-    # What links have joined needs no comparison: lists that lie in one component are done. The others are
-    # compared by a few pairs for each document first, then by all pairs across components.
+
     def mixed(lists: DataFrame, joined: DataFrame) -> DataFrame:
-        placed = lists.join(joined, F.col("doc") == F.col("node"), "left").select("sig", "doc", "n", F.coalesce("component", "doc").alias("comp"))
+        placed = lists.join(joined, F.col("doc") == F.col("node"), "left").select("sig", "doc", "n", "reach", F.coalesce("component", "doc").alias("comp"))
         still = placed.groupBy("sig").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("length")).filter("low < high").select("sig", "length")
         return written(placed.join(still, "sig"), "mixed")
 
+    # What links have joined needs no comparison: long lists that lie in one component are done. The others
+    # are compared by a few pairs for each document first, then by all pairs across components.
     first = mixed(lists, connected(links.select(F.col("a").alias("u"), F.col("b").alias("v"))))
     discard(found)
     links = links.unionByName(written(_verified(_drawn(first, join, parts), sets, join), "links"))
-    second = mixed(first.select("sig", "doc", "n"), connected(links.select(F.col("a").alias("u"), F.col("b").alias("v"))))
+    second = mixed(first.select("sig", "doc", "n", "reach"), connected(links.select(F.col("a").alias("u"), F.col("b").alias("v"))))
     discard(first)
     every = links.unionByName(written(_verified(_across(second, join, parts), sets, join), "links"))
     discard(second, sets)
