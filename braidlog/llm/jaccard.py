@@ -35,7 +35,8 @@ class Join:
 
     frequent: tokens that the table of frequent tokens has at most. short: documents of a list up to
     which all its pairs are looked at once. run: rows of a list that one task takes; longer lists are
-    dealt to several. chunk: tokens that are counted together in the survey.
+    dealt to several. block: documents of which each two blocks meet at last. chunk: tokens that are
+    counted together in the survey.
     """
 
     words: int = 5
@@ -43,6 +44,7 @@ class Join:
     frequent: int = 1 << 20
     short: int = 24
     run: int = 20_000
+    block: int = 1024
     chunk: int = 1 << 22
     filter_bits: int = 1 << 26
 
@@ -355,6 +357,13 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, join: Join, wanted: DataF
     return docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string")).withColumn("slot", slot).filter("doc IS NOT NULL").mapInArrow(sets, schema)
 
 
+def _links(left: np.ndarray, right: np.ndarray, join: Join) -> bool:
+    both = np.concatenate([left, right])
+    both.sort(kind="stable")
+    met = int((both[1:] == both[:-1]).sum())
+    return met > 0 and 100 * met >= join.percent * (len(both) - met)
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, join: Join) -> DataFrame:
     """a, b of the pairs whose sets link."""
     schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
@@ -362,13 +371,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, join: Join) -> DataFrame:
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                both = np.concatenate([_unpacked(x), _unpacked(y)])
-                both.sort(kind="stable")
-                met = int((both[1:] == both[:-1]).sum())
-                keep.append(100 * met >= join.percent * (len(both) - met) and met > 0)
-            keep = pa.array(keep, pa.bool_())
+            keep = pa.array([_links(_unpacked(x), _unpacked(y), join) for x, y in zip(batch.column(2), batch.column(3))], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], schema=arrow)
 
     one = sets.select(F.col("doc").alias("a"), F.col("tokens").alias("left"))
@@ -376,43 +379,51 @@ def _verified(pairs: DataFrame, sets: DataFrame, join: Join) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("a", "b", "left", "right").mapInArrow(verify, schema)
 
 
-def _across(rows: DataFrame, join: Join, parts: int) -> DataFrame:
-    """a, b: all pairs of a list's documents that are in different components and may link.
+def _compared(rows: DataFrame, sets: DataFrame, join: Join, parts: int) -> DataFrame:
+    """a, b: the links across components among documents that lists bring together.
 
-    rows: sig, doc, n, reach, comp, and the list's length. A list that is longer than join.run / 4 is cut into
-    blocks, and each two blocks meet in a task of their own.
+    rows: sig, doc, comp and the list's least document. Lists that share documents make a family; a family is cut into
+    blocks, and each two blocks meet in one task, which compares documents of different components and
+    gives the links alone. Two sets differ at least by the difference of their histograms of hashed
+    tokens, so few pairs need their tokens compared.
     """
     schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
     arrow = to_arrow_schema(schema)
 
-    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sig, one, two, own, doc, n, reach, comp = _gathered(batches, 8)
-        if not len(sig):
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = pa.Table.from_batches(list(batches)) if (batches := [b for b in batches if b.num_rows]) else None
+        if held is None:
             return
-        order = np.lexsort((comp, two, one, sig))
-        sig, one, two, own, doc, n, reach, comp = (x[order] for x in (sig, one, two, own, doc, n, reach, comp))
-        starts = np.flatnonzero(np.append(True, (sig[1:] != sig[:-1]) | (one[1:] != one[:-1]) | (two[1:] != two[:-1])))
-        found, held = np.empty((0, 2), np.int64), []
-        for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(sig)]):
-            if comp[a] == comp[b - 1]:
-                continue
-            for k in range(a, b):  # those of later components come after in order
-                at = np.arange(a + np.searchsorted(comp[a:b], comp[k], side="right"), b)
-                if one[k] != two[k]:
-                    at = at[own[at] != own[k]]
-                at = at[join.meet(n, reach, np.full(len(at), k), at)]
-                if len(at):
-                    held.append(np.stack([np.minimum(doc[k], doc[at]), np.maximum(doc[k], doc[at])], 1))
-            if sum(map(len, held)) > 1 << 18:
-                found, held = np.unique(np.concatenate([found, *held]), axis=0), []
-        found = np.unique(np.concatenate([found, *held]), axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], schema=arrow)
-
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("length") / (join.run // 4))).cast("int")
-    own = F.pmod(F.xxhash64("doc"), blocks).cast("int")
-    dealt = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    dealt = dealt.select("sig", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"), "own", "doc", "n", "reach", "comp")
-    return dealt.repartition(parts, "sig", "one", "two").mapInArrow(across, schema).distinct()
+        held = held.sort_by([(c, "ascending") for c in ("family", "one", "two", "doc")]).combine_chunks()
+        family, one, two, own, doc, comp = (held[c].to_numpy() for c in ("family", "one", "two", "own", "doc", "comp"))
+        starts = np.flatnonzero(np.append(True, (family[1:] != family[:-1]) | (one[1:] != one[:-1]) | (two[1:] != two[:-1])))
+        found = []
+        for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(doc)]):
+            tokens = [_unpacked(x) for x in held["tokens"].slice(a, b - a)]
+            n = np.array([len(x) for x in tokens], np.int64)
+            bins = np.stack([np.bincount((x & np.uint64(511)).astype(np.int64), minlength=512) for x in tokens]).astype(np.int32)
+            for k in range(b - a):
+                at = np.arange(k + 1, b - a)
+                at = at[comp[a + at] != comp[a + k]]
+                if one[a] != two[a]:
+                    at = at[own[a + at] != own[a + k]]
+                both = n[at] + n[k]
+                least = -(-join.percent * both // (100 + join.percent))
+                near = np.minimum(n[at], n[k]) >= least
+                at, most = at[near], (both - 2 * least)[near]
+                at = at[np.abs(bins[at] - bins[k]).sum(1) <= most]
+                found += [(min(x, y), max(x, y)) for x, y in ((int(doc[a + k]), int(doc[a + j])) for j in at.tolist() if _links(tokens[k], tokens[j], join))]
+        pairs = np.array(found, np.int64).reshape(-1, 2)
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], schema=arrow)
+
+    families = connected(rows.select(F.col("doc").alias("u"), F.col("least").alias("v")))
+    members = rows.select("doc", "comp").distinct().join(families, F.col("doc") == F.col("node")).select("doc", "comp", F.col("component").alias("family"))
+    sizes = members.groupBy("family").agg(F.count(F.lit(1)).alias("size"))
+    members = attach(members, sizes, "family", "size", members.count(), F.col("doc"))
+    blocks = F.greatest(F.lit(1), F.ceil(F.col("size") / join.block)).cast("int")
+    members = members.withColumn("own", F.pmod(F.xxhash64("doc"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    dealt = members.join(sets, "doc").select("family", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"), "own", "doc", "comp", "tokens")
+    return dealt.repartition(parts, "family", "one", "two").mapInArrow(compare, schema).distinct()
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", join: Join = Join()) -> DataFrame:
@@ -440,17 +451,17 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     def mixed(lists: DataFrame, joined: DataFrame) -> DataFrame:
         placed = lists.join(joined, F.col("doc") == F.col("node"), "left").select("sig", "doc", "n", "reach", F.coalesce("component", "doc").alias("comp"))
-        still = placed.groupBy("sig").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("length")).filter("low < high").select("sig", "length")
+        still = placed.groupBy("sig").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("length"), F.min("doc").alias("least")).filter("low < high").select("sig", "length", "least")
         return written(placed.join(still, "sig"), "mixed")
 
     # What links have joined needs no comparison: long lists that lie in one component are done. The others
-    # are compared by a few pairs for each document first, then by all pairs across components.
+    # are compared by a few pairs for each document first, then by blocks across components.
     first = mixed(lists, connected(links.select(F.col("a").alias("u"), F.col("b").alias("v"))))
     discard(found)
     links = links.unionByName(written(_verified(_drawn(first, join, parts), sets, join), "links"))
     second = mixed(first.select("sig", "doc", "n", "reach"), connected(links.select(F.col("a").alias("u"), F.col("b").alias("v"))))
     discard(first)
-    every = links.unionByName(written(_verified(_across(second, join, parts), sets, join), "links"))
+    every = links.unionByName(written(_compared(second, sets, join, parts), "links"))
     discard(second, sets)
     # Classes of equal sets are the nodes now; each is named by its smallest document.
     classes = rows.filter("key IS NOT NULL").groupBy("key").agg(F.min("doc").alias("rep"), F.count(F.lit(1)).alias("copies"))
