@@ -36,7 +36,7 @@ class Join:
     frequent: tokens that the table of frequent tokens has at most. short: documents of a list up to
     which all its pairs are looked at once. run: rows of a list that one task takes; longer lists are
     dealt to several. block: documents of which each two blocks meet at last. chunk: tokens that are
-    counted together in the survey.
+    counted together in the survey. bytes: of texts that are hashed together.
     """
 
     words: int = 5
@@ -45,7 +45,8 @@ class Join:
     short: int = 24
     run: int = 20_000
     block: int = 1024
-    chunk: int = 1 << 22
+    chunk: int = 1 << 21
+    bytes: int = 1 << 19
     filter_bits: int = 1 << 26
 
     def needed(self, n: int) -> int:
@@ -105,7 +106,7 @@ def _survey(docs: DataFrame, id_col: str, text_col: str, join: Join) -> DataFram
             return table(token=token[n > 1].view(np.int64), count=n[n > 1])
 
         for batch in batches:
-            for at, block in blocks_of(batch.column(1)):
+            for at, block in blocks_of(batch.column(1), join.bytes):
                 sets = shingle_sets(block, join.words)
                 keys = [_key(s) for s in sets]
                 yield table(doc=batch.column(0).slice(at, len(block)).cast(pa.int64()), n=[len(s) for s in sets], k1=[k[0] for k in keys], k2=[k[1] for k in keys])
@@ -146,13 +147,13 @@ class Signatures:
 
     def __init__(self, join: Join, token: np.ndarray, count: np.ndarray):
         self.join, self.token, self.count = join, token, count
-        self.maybe = np.zeros(1 << 24, bool)
-        self.maybe[(token & np.uint64((1 << 24) - 1)).astype(np.int64)] = True
+        self.maybe = np.zeros(1 << 22, bool)
+        self.maybe[(token & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
 
     def counts(self, tokens: np.ndarray) -> np.ndarray:
         """How frequent each token is; 0 for rare ones."""
         out = np.zeros(len(tokens), np.int64)
-        at = np.flatnonzero(self.maybe[(tokens & np.uint64((1 << 24) - 1)).astype(np.int64)])
+        at = np.flatnonzero(self.maybe[(tokens & np.uint64((1 << 22) - 1)).astype(np.int64)])
         if len(self.token):
             place = np.minimum(np.searchsorted(self.token, tokens[at]), len(self.token) - 1)
             hit = self.token[place] == tokens[at]
@@ -214,7 +215,7 @@ def _index(docs: DataFrame, id_col: str, text_col: str, join: Join, frequent: tu
         signatures = Signatures(join, *sent.value)
         for batch in batches:
             ids = batch.column(0).cast(pa.int64())
-            for at, block in blocks_of(batch.column(1)):
+            for at, block in blocks_of(batch.column(1), join.bytes):
                 sets = shingle_sets(block, join.words)
                 counts = signatures.counts(np.concatenate(sets)) if sets else np.empty(0, np.int64)
                 bounds = np.append(0, np.cumsum([len(s) for s in sets]))
@@ -350,7 +351,7 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, join: Join, wanted: DataF
         for batch in batches:
             at = batch.column(2).to_numpy() - 1
             batch = batch.filter(pa.array((bits[at >> 3] >> (at & 7)) & 1 == 1))
-            for k, block in blocks_of(batch.column(1)):
+            for k, block in blocks_of(batch.column(1), join.bytes):
                 found = [_packed(s) for s in shingle_sets(block, join.words)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, len(block)).cast(pa.int64()), pa.array(found, pa.binary())], schema=arrow)
 
@@ -441,7 +442,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     survey = written(_survey(docs, id_col, text_col, join), "survey")
     rows = survey.filter("n IS NOT NULL").select("doc", "n", F.when(F.col("n") > 0, F.struct("k1", "k2")).alias("key"))
     total = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
-    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), total[1] // 4_000_000)
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), total[1] // 2_000_000)
     found = written(_lists(_index(docs, id_col, text_col, join, _frequent(survey, join.frequent)), join, parts), "lists")
     lists = found.filter("sig IS NOT NULL").select("sig", "doc", "n", "reach")
     pairs = found.filter("mate IS NOT NULL").select(F.col("doc").alias("a"), F.col("mate").alias("b"))

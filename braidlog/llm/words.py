@@ -29,7 +29,7 @@ def _byte_values() -> np.ndarray:
     return mix(np.arange(1, 257, dtype=np.uint64))
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=2)
 def _powers(size: int, base: int) -> np.ndarray:
     out = np.full(size, base, np.uint64)
     out[0] = 1
