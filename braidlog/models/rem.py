@@ -8,6 +8,7 @@ from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -269,8 +270,6 @@ def predict_linear(fit: LinearFit, data: DataFrame, out: str = "eta") -> DataFra
 
 
 def predict_net(fit: NetFit, data: DataFrame, out: str = "eta") -> DataFrame:
-    import pandas as pd
-
     @F.pandas_udf("double")
     def score(columns: pd.DataFrame) -> pd.Series:
         return pd.Series(fit.predict(columns.to_numpy(float)))
