@@ -40,7 +40,7 @@ class Shape:
 class Training:
     """sample: labelled rows that the fit takes at most, half of them of each label where there are enough."""
 
-    sample: int = 6000
+    sample: int = 3000
     epochs: int = 30
     batch: int = 64
     rate: float = 0.004
@@ -154,20 +154,21 @@ def train(texts: list[str], labels: np.ndarray, prior: float, shape: Shape = Sha
     last = np.zeros(len(texts), bool)
     for y in (0, 1):
         last[labels == y] = np.arange((labels == y).sum()) % 5 == 4
-    rows, of = [], []
-    for at, block in blocks_of(pa.array(texts, pa.string())):
+    parts, of = [], []
+    for at, block in blocks_of(pa.array(texts, pa.string()), 1 << 18):
         x, owner = passage_inputs(block, shape)
-        rows.append(x), of.append(owner + at)
-    rows, of = np.concatenate(rows), np.concatenate(of)
+        parts.append(x.astype(np.float16)), of.append(owner + at)
+    rows, of = np.concatenate(parts), np.concatenate(of)
+    del parts
     bounds = np.searchsorted(of, np.arange(len(texts) + 1))
-    net.middle, net.wide = rows.mean(0), np.maximum(rows.std(0), 0.02)
+    net.middle, net.wide = rows.mean(0, dtype=np.float32), np.maximum(np.sqrt(np.maximum((rows.astype(np.float32) ** 2).mean(0) - rows.mean(0, dtype=np.float32) ** 2, 0)), 0.02)
     adam, learn = Adam(net.p, training.rate), np.flatnonzero(~last)
     share = np.clip(labels[learn].mean(), 0.02, 0.98)
 
     def some(pick: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         n = np.diff(bounds)[pick]
         at = np.repeat(bounds[pick] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        return rows[at], np.repeat(np.arange(len(pick)), n)
+        return rows[at].astype(np.float32), np.repeat(np.arange(len(pick)), n)
 
     epochs = max(training.epochs, min(300, 40_000 // max(1, len(learn))))
     for epoch in range(epochs):

@@ -33,11 +33,15 @@ class Shape:
 
 @dataclass(frozen=True)
 class Training:
-    """sample: labelled rows that the fit takes at most, half of them of each label where there are enough."""
+    """sample: labelled rows that the fit takes at most, half of them of each label where there are enough.
+
+    Few texts are gone through more often, so that least of them are seen (in 40 epochs at most).
+    """
 
     sample: int = 4000
     folds: int = 5
     epochs: int = 8
+    least: int = 48_000
     batch: int = 256
     rate: float = 0.004
     seed: int = 7
@@ -271,18 +275,21 @@ class Adam:
             self.p[k] -= rate * self.m[k] / (np.sqrt(self.v[k]) + 1e-8)
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, prior: float, ridge: float = 1e-4, steps: int = 50) -> tuple[float, float]:
-    """scale and shift of a logistic curve by damped Newton steps; label 1 weighs as if its share were prior."""
+def fit_logistic(x: np.ndarray, y: np.ndarray, prior: float, expected: float = 2.0, steps: int = 50) -> tuple[float, float]:
+    """scale and shift of a logistic curve by damped Newton steps; label 1 weighs as if its share were prior.
+
+    Few values are drawn towards the expected slope, in standard deviations.
+    """
     share = float(np.clip(y.mean(), 1e-6, 1 - 1e-6))
     weight = np.where(y == 1, prior / share, (1 - prior) / (1 - share)) / len(x)
     mean, wide = float(x.mean()), float(x.std()) or 1.0
     rows = np.stack([(x - mean) / wide, np.ones(len(x))], 1)
-    pull = np.array([ridge, 0.0])
-    loss = lambda c: float((weight * np.logaddexp(0, np.where(y == 1, -1, 1) * (rows @ c))).sum() + 0.5 * (pull * c * c).sum())
+    pull, aim = np.array([2 / len(x), 0.0]), np.array([expected, 0.0])
+    loss = lambda c: float((weight * np.logaddexp(0, np.where(y == 1, -1, 1) * (rows @ c))).sum() + 0.5 * (pull * (c - aim) ** 2).sum())
     c = np.array([1.0, np.log((prior + 1e-6) / (1 - prior + 1e-6))])
     for _ in range(steps):
         q = _sigmoid(np.clip(rows @ c, -30, 30))
-        slope = rows.T @ (weight * (q - y)) + pull * c
+        slope = rows.T @ (weight * (q - y)) + pull * (c - aim)
         move = np.linalg.solve((rows * (weight * q * (1 - q))[:, None]).T @ rows + np.diag(pull + 1e-9), slope)
         size, now = 1.0, loss(c)
         while size > 1e-6 and loss(c - size * move) > now:
@@ -290,7 +297,8 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, prior: float, ridge: float = 1e-4
         c = c - size * move
         if abs(size * move).max() < 1e-8:
             break
-    return max(c[0], 1e-3) / wide, c[1] - max(c[0], 1e-3) * mean / wide
+    slope = max(float(c[0]), expected / 4)
+    return slope / wide, float(c[1]) - slope * mean / wide
 
 
 def train(texts: list[str], labels: np.ndarray, prior: float, shape: Shape = Shape(), training: Training = Training()) -> Network:
@@ -344,7 +352,7 @@ def train(texts: list[str], labels: np.ndarray, prior: float, shape: Shape = Sha
         chosen.append((_only(lex, rows), codes, target[take].astype(np.float32), given[rows]))
     share = np.clip(np.concatenate([x[2] for x in chosen]).mean(), 0.02, 0.98)
     adam = Adam(net.p, training.rate)
-    for _ in range(training.epochs):
+    for _ in range(max(training.epochs, min(40, training.least // max(1, len(texts))))):
         for c in rng.permutation(len(chosen)):
             lex, codes, target, given = chosen[c]
             order = rng.permutation(len(target))
