@@ -26,10 +26,10 @@ def fold(doc_id, folds: int):
 
 
 def toxicity_network(spark: SparkSession, docs: DataFrame, sf_dir: str):
-    from braidlog.llm.toxicity import Training, labelled_sample, train
+    from braidlog.llm.toxicity import Training, labelled_sample, train, trained
 
-    texts, labels, prior = labelled_sample(docs, read(spark, sf_dir, "labels"), "toxic", lambda i: fold(i, 3) != 1, Training().sample)
-    return train(texts, labels, prior)
+    rows, prior = labelled_sample(docs, read(spark, sf_dir, "labels"), "toxic", lambda i: fold(i, 3) != 1, Training().sample)
+    return trained(rows, lambda texts, labels: train(texts, labels, prior))
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,10 +87,10 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def quality_network(spark: SparkSession, docs: DataFrame, sf_dir: str):
     from braidlog.llm.quality import Training, train
-    from braidlog.llm.toxicity import labelled_sample
+    from braidlog.llm.toxicity import labelled_sample, trained
 
-    texts, labels, prior = labelled_sample(docs, read(spark, sf_dir, "labels"), "quality", lambda i: fold(i, 4) != 2, Training().sample)
-    return train(texts, labels, prior)
+    rows, prior = labelled_sample(docs, read(spark, sf_dir, "labels"), "quality", lambda i: fold(i, 4) != 2, Training().sample)
+    return trained(rows, lambda texts, labels: train(texts, labels, prior))
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

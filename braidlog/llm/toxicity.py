@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -395,21 +396,33 @@ def _only(lex: Lexemes, rows: np.ndarray) -> Lexemes:
     return out
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, learns: Callable[[Column], Column], sample: int, id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id") -> tuple[list[str], np.ndarray, float]:
-    """Texts and labels of at most sample labelled rows for which learns holds, and the share of label 1 among all such rows.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, learns: Callable[[Column], Column], sample: int, id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id") -> tuple[DataFrame, float]:
+    """id, text, label of at most sample labelled rows for which learns holds, and the share of label 1 among all such rows.
 
     Rows are taken in the order of a hash of the id, up to half of the sample for each label, so the
     choice doesn't depend on how the tables lie; only the ids chosen are sent to the workers.
     """
-    seen = labels.select(F.col(label_id).alias("__id"), F.col(label_col).cast("int").alias("__y")).filter(F.col("__y").isin(0, 1) & F.col("__id").isNotNull())
-    seen = seen.filter(learns(F.col("__id")))
-    counts = {r["__y"]: r["n"] for r in seen.groupBy("__y").agg(F.count(F.lit(1)).alias("n")).collect()}
-    parts = [seen.filter(F.col("__y") == y).orderBy(F.xxhash64("__id"), "__id").limit(sample // 2) for y in (0, 1)]
+    seen = labels.select(F.col(label_id).alias("id"), F.col(label_col).cast("int").alias("label")).filter(F.col("label").isin(0, 1) & F.col("id").isNotNull())
+    seen = seen.filter(learns(F.col("id")))
+    counts = {r["label"]: r["n"] for r in seen.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    parts = [seen.filter(F.col("label") == y).orderBy(F.xxhash64("id"), "id").limit(sample // 2) for y in (0, 1)]
     chosen = parts[0].unionByName(parts[1])
-    rows = docs.select(F.col(id_col).alias("__of"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("__text")).join(F.broadcast(chosen), F.col("__of") == F.col("__id")).select("__id", "__text", "__y")
-    table = rows.toArrow().sort_by([("__id", "ascending"), ("__text", "ascending")])
+    rows = docs.select(F.col(id_col).alias("__of"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).join(F.broadcast(chosen), F.col("__of") == F.col("id")).select("id", "text", "label")
     total = sum(counts.values())
-    return table["__text"].to_pylist(), np.array(table["__y"].to_pylist(), np.int64), counts.get(1, 0) / total if total else 0.5
+    return rows, counts.get(1, 0) / total if total else 0.5
+
+
+def trained(rows: DataFrame, fit: Callable[[list[str], np.ndarray], object]) -> object:
+    """What fit makes of the sample's texts and labels, in the order of ids. One task fits, so the driver holds the result alone."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts, labels = [], []
+        if held := [b for b in batches if b.num_rows]:
+            table = pa.Table.from_batches(held).sort_by([("id", "ascending"), ("text", "ascending"), ("label", "ascending")])
+            texts, labels = table["text"].to_pylist(), table["label"].to_pylist()
+        yield pa.RecordBatch.from_pydict({"model": pa.array([pickle.dumps(fit(texts, np.array(labels, np.int64)))], pa.binary())})
+
+    return pickle.loads(rows.repartition(1).mapInArrow(run, "model binary").first()[0])
 
 
 def score_documents(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
