@@ -288,3 +288,155 @@ for _scope, _mode in (("all", "two"), ("all", "one")):
     registered(f"sample_{_scope}_{_mode}", f"SELECT 1 AS event, count(*) AS n, count(*) AS strata, count(*) FILTER (s = r) AS loops FROM ({DENSE}) UNION ALL SELECT 0, 2 * count(*), count(*), 0 FROM ({DENSE})")(_sampled(_scope, _mode, "standard"))
 for _scope, _mode, _risk in (("appearance", "one", "standard"), ("citation", "two", "standard"), ("citation", "one", "standard"), ("all", "one", "remove")):
     registered(f"sample_{_scope}_{_mode}_{_risk}")(_sampled(_scope, _mode, _risk))
+
+
+@registered("clogit_step", f"""
+WITH x AS (SELECT floor(rid / 4)::BIGINT AS g, rid % 4 = 0 AS y, value AS v, exp(0.01 * value) AS w FROM ({SPARSE})),
+p AS (SELECT g, sum(w) AS w, sum(w * v) / sum(w) AS m, sum(w * v * v) / sum(w) AS q, max(v) FILTER (y) AS c, max(w) FILTER (y) AS wc FROM x GROUP BY g HAVING count(*) FILTER (y) = 1 AND count(*) > 1)
+SELECT count(*) AS n, round(sum(ln(w / wc)), 6) AS loss, round(sum(m - c), 6) AS gradient, round(sum(q - m * m), 6) AS curvature FROM p""")
+def _clogit_step(spark, sf_dir):
+    from braidlog.models.likelihood import stratified_step
+
+    step = stratified_step(_cases(spark, sf_dir), ["value"], [0.01])
+    return rounded(step.select("n", "loss", F.col("gradient")[0].alias("gradient"), F.col("curvature")[0].alias("curvature")), "loss", "gradient", "curvature")
+
+
+@registered("residual_process", f"""
+WITH x AS (SELECT *, floor(rid / 4)::BIGINT AS g, rid % 4 AS k FROM ({SPARSE})), d AS (SELECT a.g, a.value - b.value AS d FROM x a JOIN x b ON a.g = b.g AND a.k = 0 AND b.k = 1),
+s AS (SELECT g, d * (1 - 1 / (1 + exp(-0.01 * d))) AS v, row_number() OVER (ORDER BY g) / count(*) OVER () AS u FROM d)
+SELECT g AS stratum, round(u, 6) AS u, round(sum(v) OVER (ORDER BY g) - u * sum(v) OVER (), 4) AS w FROM s""")
+def _process(spark, sf_dir):
+    from braidlog.models.compare import residual_process
+
+    wide = widen_case_control(_cases(spark, sf_dir), stratum="stratum", covariates=["value"])
+    wide = wide.withColumns({"__p": 1 / (1 + F.exp(-0.01 * F.col("d_value"))), "__order": F.col("stratum").cast("long")})
+    got = residual_process(wide, ["d_value"]).select(F.col("__order").alias("stratum"), "u", F.col("w_d_value").alias("w"))
+    return got.withColumns({"u": F.round("u", 6), "w": F.round("w", 4)})
+
+
+@registered("cauchy_combination", """
+WITH p AS (SELECT DISTINCT least(greatest(l_discount * 5 + 0.01, 1e-15), 1 - 1e-15) AS p FROM lineitem), t AS (SELECT avg(tan(pi() * (0.5 - p))) AS t FROM p)
+SELECT round(t, 6) AS statistic, round(0.5 - atan(t) / pi(), 6) AS p_value FROM t""")
+def _cauchy(spark, sf_dir):
+    p = F.least(F.greatest(F.col("l_discount") * 5 + 0.01, F.lit(1e-15)), F.lit(1 - 1e-15))
+    table = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(p.alias("p")).distinct()
+    t = table.agg(F.avg(F.tan(F.pi() * (0.5 - F.col("p")))).alias("t"))
+    return rounded(t.select(F.col("t").alias("statistic"), (0.5 - F.atan("t") / F.pi()).alias("p_value")), "statistic", "p_value")
+
+
+# Fits, goodness of fit, simulation and streams: SQL can't express them; the tests hold them against brute force.
+_STATS = ["reciprocity_count", "sender_outdegree"]
+
+
+def _rows(spark, rows: list[dict], schema: str) -> DataFrame:
+    return spark.createDataFrame([tuple(r.values()) for r in rows], schema)
+
+
+def _events(spark, sf_dir):
+    return dense_log(spark, sf_dir).select("sender", "receiver", "time", "rid")
+
+
+@registered("compare_models")
+def _compare(spark, sf_dir):
+    from braidlog.models.compare import Sampling, compare_models
+
+    return compare_models(_events(spark, sf_dir), {"reciprocity": _STATS[:1], "both": _STATS}, Sampling(seed=11))[0]
+
+
+@registered("compare_models_smooth")
+def _compare_smooth(spark, sf_dir):
+    from braidlog.models.compare import Sampling, compare_models_smooth
+
+    return compare_models_smooth(_events(spark, sf_dir), {"curve": {"reciprocity_count": "nl"}, "over_time": {"reciprocity_count": "tv"}}, Sampling(seed=11), k=6)[0]
+
+
+@registered("compare_models_global")
+def _compare_global(spark, sf_dir):
+    from braidlog.models.compare import Sampling, compare_models_global
+
+    return compare_models_global(_events(spark, sf_dir), {"time": {"reciprocity_count": "linear", "time": "global_time"}}, sampling=Sampling(seed=11), k=6)[0]
+
+
+@registered("rem_clogit")
+def _rem_clogit(spark, sf_dir):
+    from braidlog.models.rem import rem
+
+    return _rows(spark, rem("value", _cases(spark, sf_dir), "clogit", stratum="stratum").summary(), "term string, estimate double, std_error double, z double")
+
+
+@registered("rem_gam")
+def _rem_gam(spark, sf_dir):
+    from braidlog.models.rem import rem
+
+    fit = rem("nl(value)", _cases(spark, sf_dir), "gam", stratum="stratum", k=6)
+    return spark.createDataFrame([(fit.n, float(fit.edf), float(fit.log_lik), fit.converged)], "n long, edf double, log_lik double, converged boolean")
+
+
+@registered("rem_nn")
+def _rem_nn(spark, sf_dir):
+    from braidlog.models.nn import NetControl
+    from braidlog.models.rem import rem
+
+    fit = rem("value", _cases(spark, sf_dir), "nn", stratum="stratum", nn=NetControl(epochs=40, seed=1))
+    return spark.createDataFrame([(fit.n, fit.parameters, fit.concordance, float(fit.log_lik))], "n long, parameters long, concordance double, log_lik double")
+
+
+@registered("martingale_residuals")
+def _residuals(spark, sf_dir):
+    from braidlog.models.compare import Sampling, martingale_residuals
+
+    return martingale_residuals(_events(spark, sf_dir), _STATS, Sampling(seed=11))
+
+
+@registered("gof_global")
+def _gof(spark, sf_dir):
+    from braidlog.models.compare import Sampling, gof_global
+
+    return _rows(spark, gof_global(_events(spark, sf_dir), _STATS, Sampling(seed=11))["components"], "covariate string, statistic double, p_value double")
+
+
+@registered("gof_univariate")
+def _gof_one(spark, sf_dir):
+    from braidlog.models.compare import Sampling, gof_univariate
+
+    return gof_univariate(_events(spark, sf_dir), _STATS, _STATS[0], Sampling(seed=11))["process"]
+
+
+@registered("gof_multivariate")
+def _gof_many(spark, sf_dir):
+    from braidlog.models.compare import Sampling, gof_multivariate
+
+    got = gof_multivariate(_events(spark, sf_dir), _STATS, _STATS[0], n_sim=200, sampling=Sampling(seed=11))
+    return spark.createDataFrame([(got["covariate"], float(got["statistic"]), float(got["p_value"]))], "covariate string, statistic double, p_value double")
+
+
+@registered("gof_auxiliary")
+def _gof_other(spark, sf_dir):
+    from braidlog.models.compare import Sampling, gof_auxiliary
+
+    got = gof_auxiliary(_events(spark, sf_dir), _STATS[:1], _STATS[1], 200, Sampling(seed=11))
+    return spark.createDataFrame([(got["auxiliary"], float(got["statistic"]), float(got["p_value"]))], "auxiliary string, statistic double, p_value double")
+
+
+@registered("simulate_relational_events")
+def _simulated(spark, sf_dir):
+    from braidlog.models.simulate import Simulation, simulate_relational_events
+
+    names = tuple(r["n_name"] for r in spark.read.parquet(f"{sf_dir}/nation.parquet").orderBy("n_nationkey").collect())
+    return simulate_relational_events(spark, Simulation(300, names, names, endogenous_effects={"reciprocity_count": 0.1}, n_controls=1), replicates=4, seed=3)
+
+
+@registered("simulate_actor_covariates")
+def _simulated_actors(spark, sf_dir):
+    from braidlog.models.simulate import simulate_actor_covariates
+
+    names = [r["n_name"] for r in spark.read.parquet(f"{sf_dir}/nation.parquet").orderBy("n_nationkey").collect()]
+    return simulate_actor_covariates(spark, names, ["x", "y"], [0.0, 1.0, 2.0], rho=0.5, seed=3)
+
+
+@registered("simulate_hyperedge_events")
+def _simulated_hyper(spark, sf_dir):
+    from braidlog.models.simulate import simulate_directed_hyperedge_events
+
+    names = [r["r_name"] for r in spark.read.parquet(f"{sf_dir}/region.parquet").orderBy("r_regionkey").collect()]
+    return simulate_directed_hyperedge_events(spark, 100, names, names, (1, 2), (1, 2), effects={"subrep_1_1": 0.1}, stats=["size_I", "activity"], seed=3)
