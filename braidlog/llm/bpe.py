@@ -29,6 +29,10 @@ def _split_pattern(letter: str, number: str) -> str:
     return rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{letter}]+| ?[{number}]+| ?[^{_SPACE}{letter}{number}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
 
 
+#: Above all ranks.
+_NONE = 1 << 60
+
+
 class Splitter:
     """Cuts texts into special tokens and the words whose bytes are merged."""
 
@@ -61,13 +65,65 @@ class Merger:
         self.n = len(vocabulary.bytes_of)
         self.of = {a * self.n + b: found for (a, b), found in vocabulary.merges.items()}
         self.byte = [vocabulary.id_of[bytes([b])] for b in range(256)]
+        keys = np.array(sorted(self.of), np.int64)
+        self.keys = np.append(keys, np.iinfo(np.int64).max)
+        self.found = np.array([self.of[k] for k in keys.tolist()] + [(_NONE, 0)], np.int64)
+
+    def many(self, words: list[bytes]) -> list[list[int]]:
+        """The ids of each word. Short words are merged together, a step of all at a time."""
+        out: list[list[int]] = [[]] * len(words)
+        short = [k for k, w in enumerate(words) if 0 < len(w) <= 32]
+        for k in set(range(len(words))) - set(short):
+            out[k] = self.ids(words[k])
+        short.sort(key=lambda k: len(words[k]))
+        for a in range(0, len(short), 4096):  # words of like lengths, so little is padding
+            part = short[a : a + 4096]
+            for k, ids in zip(part, self._together([words[k] for k in part])):
+                out[k] = ids
+        return out
+
+    def _looked_up(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """rank and merged id of pairs; pairs past a word's end and pairs that never merge have the rank _NONE."""
+        key = left * self.n + right
+        at = np.searchsorted(self.keys, key)
+        hit = (self.keys[at] == key) & (left >= 0) & (right >= 0)
+        return np.where(hit[..., None], self.found[at], (_NONE, 0))
+
+    def _together(self, words: list[bytes]) -> list[list[int]]:
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        n, width = len(words), int(sizes.max()) + 1
+        ids = np.full((n, width), -1, np.int64)
+        ids[np.arange(width) < sizes[:, None]] = np.array(self.byte, np.int64)[np.frombuffer(b"".join(words), np.uint8)]
+        pairs = self._looked_up(ids[:, :-1], ids[:, 1:])
+        live = np.arange(n)
+        column = np.arange(width)
+        while len(live):
+            ranks = pairs[live, :, 0]
+            at = ranks.argmin(1)  # of equal ranks the leftmost
+            going = ranks[np.arange(len(live)), at] < _NONE
+            live, at = live[going], at[going]
+            if not len(live):
+                break
+            ids[live, at] = pairs[live, at, 1]
+            after = np.minimum(column + (column > at[:, None]), width - 1)  # what follows moves up by one
+            ids[live] = np.take_along_axis(ids[live], after, 1)
+            ids[live, -1] = -1
+            after = np.minimum(column[:-1] + (column[:-1] >= at[:, None]), width - 2)
+            pairs[live] = np.take_along_axis(pairs[live], after[:, :, None], 1)
+            pairs[live, -1] = (_NONE, 0)
+            pairs[live, at] = self._looked_up(ids[live, at], ids[live, np.minimum(at + 1, width - 1)])
+            before = at > 0
+            rows, left = live[before], at[before] - 1
+            pairs[rows, left] = self._looked_up(ids[rows, left], ids[rows, left + 1])
+        flat, ends = ids[ids >= 0].tolist(), np.cumsum((ids >= 0).sum(1)).tolist()
+        return [flat[a:b] for a, b in zip([0, *ends], ends)]
 
     def ids(self, word: bytes) -> list[int]:
         ids = [self.byte[b] for b in word]
         return self._short(ids) if len(ids) <= 64 else self._long(ids)
 
     def _short(self, ids: list[int]) -> list[int]:
-        get, n, none = self.of.get, self.n, (1 << 60, 0)
+        get, n, none = self.of.get, self.n, (_NONE, 0)
         found = [get(a * n + b, none) for a, b in zip(ids, ids[1:])]
         while found:
             best = min(found)
@@ -205,6 +261,18 @@ class Transducer:
         return self.ids[self.at[number] : self.at[number + 1]]
 
 
+class Codes(dict):
+    """Words numbered as they are first asked for; new holds those that haven't been learned."""
+
+    def __init__(self):
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self[word] = code = len(self)
+        self.new.append(word)
+        return code
+
+
 class Encoder:
     """Texts to ids: words seen lately from a bounded memo, others through the transducer, unseen ones through merges."""
 
@@ -214,15 +282,16 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.code: dict[str, int] = {}
+        self.code = Codes()
         self.at, self.ids = array("q", [0]), array("I")
 
-    def _learn(self, words: Iterable[str]) -> None:
-        words = list(words)
+    def _learn(self) -> None:
+        words, self.code.new = self.code.new, []
         raw = [w.encode() for w in words]
-        for word, data, number in zip(words, raw, self.transducer.numbers(raw).tolist()):
-            self.code[word] = len(self.at) - 1
-            self.ids.extend(self.merger.ids(data) if number < 0 else self.transducer.ids_of(number).tolist())
+        numbers = self.transducer.numbers(raw).tolist()
+        merged = iter(self.merger.many([data for data, number in zip(raw, numbers) if number < 0]))
+        for number in numbers:
+            self.ids.extend(next(merged) if number < 0 else self.transducer.ids_of(number).tolist())
             self.at.append(len(self.ids))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
@@ -237,8 +306,8 @@ class Encoder:
                     marks.append(len(words))
                 words += part
             ends.append(len(words))
-        self._learn({w for w in set(words) if w not in self.code})
         codes = np.fromiter(map(self.code.__getitem__, words), np.int64, len(words))
+        self._learn()
         at, ids = np.frombuffer(self.at, np.int64), np.frombuffer(self.ids, np.uint32) if self.ids else np.empty(0, np.uint32)
         sizes = (at[1:] - at[:-1])[codes]
         first = at[:-1][codes]
@@ -283,7 +352,8 @@ def frequent_words(docs: DataFrame, tokenizer: str, text_col: str = "text", lexi
 
 def compile_lexicon(words: Iterable[str], tokenizer: str) -> bytes:
     merger = Merger(Vocabulary(tokenizer))
-    return Transducer.compile({w.encode(): merger.ids(w.encode()) for w in words})
+    raw = [w.encode() for w in words]
+    return Transducer.compile(dict(zip(raw, merger.many(raw))))
 
 
 def encode_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", lexicon: bytes | None = None) -> DataFrame:
