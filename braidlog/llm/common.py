@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import gc
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -13,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from braidlog.storage import discard, shared_dir, written  # noqa: F401
+
 #: Characters that separate words and that exact duplicates may differ in: [\x20\x09-\x0D].
 WHITE = " \t\n\x0b\x0c\r"
 
@@ -21,40 +20,6 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='braidlog-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder, read back: lineage is cut and a lost executor costs nothing of it.
-
-    Shuffle files that only the lineage needed go as soon as the driver has no reference to them, which
-    its collector is asked to notice now rather than some time later.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.written_at = path
-    del df
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-    return out
-
-
-def discard(*tables: DataFrame) -> None:
-    """Deletes tables that written() made and that no plan reads any more."""
-    for df in tables:
-        context = df.sparkSession.sparkContext
-        path = context._jvm.org.apache.hadoop.fs.Path(df.written_at)
-        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def attach(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int, spread: Column, hot_keys: int = 1000) -> DataFrame:
     """rows left-joined with groups on key, where a key may hold a third of all rows.
 

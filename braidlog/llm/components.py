@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from braidlog.llm.common import attach, discard, written
@@ -21,22 +21,25 @@ def connected(links: DataFrame, rounds: int = 60) -> DataFrame:
     its smaller ones and it itself. After few rounds each node points at its component's smallest.
     Each round's links are a table in the shared folder, so lineage doesn't grow.
     """
-    edges = links.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    edges = written(edges, "edges")
-    before = None
+    def settled(df: DataFrame) -> tuple[DataFrame, dict]:
+        """df as a table, with the number and a hash of its links, which the write observes."""
+        seen = Observation()
+        out = written(df.observe(seen, F.count(F.lit(1)).alias("n"), F.expr("bit_xor(xxhash64(u, v))").alias("hash")), "edges")
+        return out, seen.get
+
+    edges, now = settled(links.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     for _ in range(rounds):
-        total = edges.count()
+        total, before = now["n"], now
         if not total:
             break
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _least_neighbours(both, 2 * total).filter("v > u").select(F.col("v").alias("u"), F.least("u", "least").alias("v")).distinct()
         small = _least_neighbours(large, total).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("least").alias("v")), F.struct(F.col("u").alias("u"), F.col("least").alias("v")))).alias("e"))
-        last, edges = edges, written(small.select("e.*").filter("u <> v").distinct(), "edges")
+        last = edges
+        edges, now = settled(small.select("e.*").filter("u <> v").distinct())
         discard(last)
-        now = edges.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
         if now == before:
             break
-        before = now
     else:
         raise RuntimeError(f"components didn't settle in {rounds} rounds")
     nodes = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))

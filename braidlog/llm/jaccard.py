@@ -47,7 +47,7 @@ class Join:
     block: int = 1024
     chunk: int = 1 << 21
     bytes: int = 1 << 19
-    filter_bits: int = 1 << 26
+    filter_bits: int = 1 << 24
 
     def needed(self, n: int) -> int:
         """Tokens that a set of n shares at least with any set that it links with."""

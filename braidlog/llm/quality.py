@@ -63,13 +63,15 @@ def passage_inputs(texts: pa.Array, shape: Shape) -> tuple[np.ndarray, np.ndarra
     word_of = starts[words.text] + (np.arange(len(words.start)) - first[words.text]) // shape.passage_words
     length = (words.end - words.start).astype(np.float32)
     total = np.maximum(np.bincount(word_of, minlength=n), 1)[:, None]
-    # Bytes belong to the passage of the word that begins at or before them.
-    spans = np.diff(np.append(words.start, len(words.data)))
-    lead = int(words.start[0]) if len(words.start) else 0
-    data = _KIND[words.data[lead:]].astype(np.int64)
-    owner = np.repeat(word_of, spans)
-    triple = data[:-2] * KINDS**2 + data[1:-1] * KINDS + data[2:] if len(data) > 2 else np.empty(0, np.int64)
-    shares = np.bincount(owner[: len(triple)] * KINDS**3 + triple, minlength=n * KINDS**3).reshape(n, -1).astype(np.float32)
+    # Bytes belong to the passage of the word that begins at or before them, up to the end of its text.
+    to = np.minimum(np.append(words.start[1:], len(words.data)), words.ends[words.text])
+    spans = to - words.start
+    at = np.repeat(words.start - (np.cumsum(spans) - spans), spans) + np.arange(spans.sum())
+    data, owner, text = _KIND[words.data[at]].astype(np.int64), np.repeat(word_of, spans), np.repeat(words.text, spans)
+    inside = text[:-2] == text[2:] if len(data) > 2 else np.empty(0, bool)
+    triple = (data[:-2] * KINDS**2 + data[1:-1] * KINDS + data[2:])[inside] if len(data) > 2 else np.empty(0, np.int64)
+    owner = owner[:-2][inside] if len(data) > 2 else owner[:0]
+    shares = np.bincount(owner * KINDS**3 + triple, minlength=n * KINDS**3).reshape(n, -1).astype(np.float32)
     shares = np.sqrt(shares / np.maximum(shares.sum(1, keepdims=True), 1))
     key = words.hashes()
     again = np.append(False, (key[1:] == key[:-1]) & (word_of[1:] == word_of[:-1]))

@@ -138,7 +138,7 @@ class Network:
         at = np.minimum(lex.first_gram[:-1], max(0, len(lex.gram) - 1))
         if len(lex.gram):
             chars = np.add.reduceat(self.p["char"][(lex.gram & np.uint32((1 << s.char_bits) - 1)).astype(np.int64)], at, axis=0) / n
-            value = odds[1][(lex.gram & np.uint32(mask)).astype(np.int64)]
+            value = odds[1][(lex.gram & np.uint32(mask)).astype(np.int64)].astype(np.float32)
             most, mean = np.maximum.reduceat(value, at)[:, None], np.add.reduceat(value, at)[:, None] / n
         else:
             chars, most, mean = np.zeros((len(lex.hash), s.char_dims)), np.zeros((len(lex.hash), 1)), np.zeros((len(lex.hash), 1))
@@ -332,7 +332,7 @@ def train(texts: list[str], labels: np.ndarray, prior: float, shape: Shape = Sha
         whole.counts += odds.counts
         whole.texts += odds.texts
         odds.counts = odds.counts.astype(np.uint16)  # a fold has fewer texts
-    net.odds = whole.tables()
+    net.odds = whole.tables().astype(np.float16)  # as it is sent to the workers
     seen: list[list[tuple[np.ndarray, Lexemes, np.ndarray]]] = []
     for blocks, odds in parts:
         rest = Odds(shape)

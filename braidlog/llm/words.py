@@ -37,13 +37,14 @@ def _powers(size: int, base: int) -> np.ndarray:
 
 
 class Words(NamedTuple):
-    """Of a block of texts: data bytes; start and end of each word in it; the text each word is in; number of texts."""
+    """Of a block of texts: data bytes; start and end of each word in it; the text each word is in; number of texts; where in data each text ends."""
 
     data: np.ndarray
     start: np.ndarray
     end: np.ndarray
     text: np.ndarray
     texts: int
+    ends: np.ndarray
 
     def first_of_text(self) -> np.ndarray:
         """For each text, the index of its first word, and at last the number of words."""
@@ -73,7 +74,7 @@ def words_of(texts: pa.Array) -> Words:
         starts[cut] = inside[cut]
         ends[cut - 1] = inside[cut - 1]
     start, end = np.flatnonzero(starts), np.flatnonzero(ends) + 1
-    return Words(data, start, end, np.searchsorted(bounds, start, side="right") - 1, len(texts))
+    return Words(data, start, end, np.searchsorted(bounds, start, side="right") - 1, len(texts), bounds[1:])
 
 
 def lower(data: np.ndarray) -> np.ndarray:
