@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +12,9 @@ from braidlog.plans.features import check_log
 from braidlog.plans.numbered import numbered
 from braidlog.storage import written
 
+#: Attempts after which strata with few candidate pairs draw from a list of the pairs that are left.
+LISTED_FROM = 24
+
 
 def _pools(rows: DataFrame, scope: str, mode: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """rows with the sizes of the pools of first and second actors (__a, __b, and __a0 where the first begin); both pools as actor, place.
@@ -30,7 +36,7 @@ def _pools(rows: DataFrame, scope: str, mode: str) -> tuple[DataFrame, DataFrame
     for k, columns in enumerate(roles):
         seen = rows.select(F.explode(F.array(*[F.col(c) for c in columns])).alias("actor"), "stratum").groupBy("actor").agg(F.min("stratum").alias("since"))
         placed = numbered(seen, ["since", "actor"], rank="place")
-        tables.append(placed.select("actor", "place"))
+        tables.append(placed.select("actor", "place", (F.lit(0) if scope == "all" else F.col("since")).cast("long").alias("since")))
         size = placed.count()
         if scope == "all":
             rows = rows.withColumn(f"__size{k}", F.lit(size))
@@ -75,35 +81,54 @@ def sample_non_events(
     fired = base.groupBy("sender", "receiver").agg(F.min("stratum").alias("__first")).select(F.col("sender").alias("__s"), F.col("receiver").alias("__r"), "__first")
     at_once = base.select(F.col("sender").alias("__s"), F.col("receiver").alias("__r"), F.col("time").alias("__t")).distinct()
     pending = written(pending, "pending")
-    drawn, begun, found = None, 0, []
-    while begun < max_attempts:
-        attempts = min(8 if begun == 0 else 2 * begun, max_attempts - begun)
-        tried = pending.withColumn("attempt", F.explode(F.sequence(F.lit(begun + 1), F.lit(begun + attempts))))
-        tried = _drawn(tried, firsts, seconds, scope, mode, seed)
+    gone = None
+    if exclude_pairs is not None:
+        one, two = exclude_pairs.columns[:2]
+        gone = exclude_pairs.select(F.col(one).cast("string").alias("__s"), F.col(two).cast("string").alias("__r")).distinct()
+
+    def valid(tried: DataFrame) -> DataFrame:
         tried = tried.filter(~((F.col("s") == F.col("sender")) & (F.col("r") == F.col("receiver"))))
+        same = (F.col("s") == F.col("__s")) & (F.col("r") == F.col("__r"))
         if not allow_loops:
             tried = tried.filter("s <> r")
-        if exclude_pairs is not None:
-            one, two = exclude_pairs.columns[:2]
-            tried = tried.join(exclude_pairs.select(F.col(one).cast("string").alias("__s"), F.col(two).cast("string").alias("__r")), (F.col("s") == F.col("__s")) & (F.col("r") == F.col("__r")), "left_anti")
+        if gone is not None:
+            tried = tried.join(gone, same, "left_anti")
         if risk == "remove":
-            same = (F.col("s") == F.col("__s")) & (F.col("r") == F.col("__r"))
             tried = tried.join(fired, same & (F.col("__first") < F.col("stratum")), "left_anti").join(at_once, same & (F.col("time") == F.col("__t")), "left_anti")
-        best = written(tried.groupBy("stratum", "control").agg(F.min(F.struct("attempt", "s", "r")).alias("pick"), F.first("time").alias("time")), "drawn")
-        found.append(best)
+        return tried
+
+    begun, found, limit = 0, [], max(1, min(LISTED_FROM, max_attempts))
+    while True:
+        attempts = min(8 if begun == 0 else 2 * begun, limit - begun if begun < limit else 1000)
+        tried = pending.withColumn("attempt", F.explode(F.sequence(F.lit(begun + 1), F.lit(begun + attempts))))
+        tried = valid(_drawn(tried, firsts, seconds, scope, mode, seed))
+        best = tried.groupBy("stratum", "control").agg(F.min(F.struct("attempt", "s", "r")).alias("pick"), F.first("time").alias("time"))
+        found.append(written(best.select("stratum", "control", F.col("pick.s").alias("s"), F.col("pick.r").alias("r"), "time"), "drawn"))
         begun += attempts
-        pending = written(pending.join(best.select("stratum", "control"), ["stratum", "control"], "left_anti"), "pending")
+        pending = written(pending.join(found[-1].select("stratum", "control"), ["stratum", "control"], "left_anti"), "pending")
         if pending.isEmpty():
             break
-    else:
-        if strict:
-            raise ValueError(f"no valid non-event after {max_attempts} attempts")
+        if begun == limit:
+            # Twice the pairs that can be invalid: those ruled out, the event's own, loops and own actors that have a place.
+            out = (fired.count() if risk == "remove" else 0) + (gone.count() if gone is not None else 0) + 1
+            na, nb = F.col("__a") - F.col("__a0") + 1, F.col("__b") + 1
+            few = na * nb <= 2 * out + 4 * (na + nb)
+            listed = pending.filter(few)
+            if scope == "citation":
+                found.append(_picked(listed, firsts, seconds, mode, seed, valid))
+            elif not listed.isEmpty():
+                found.append(_placed(listed, base, firsts, seconds, fired if risk == "remove" else None, gone, allow_loops, scope, mode, seed))
+            if strict and not listed.join(found[-1].select("stratum", "control"), ["stratum", "control"], "left_anti").isEmpty():
+                raise ValueError("an event has no valid non-event")
+            pending = written(pending.filter(~few), "pending")
+            if pending.isEmpty():
+                break
     drawn = found[0]
     for more in found[1:]:
         drawn = drawn.unionByName(more)
     place = lambda c: (F.col("stratum") * (n_controls + 1) + c).cast("long")
     events = base.select("stratum", F.lit(1).alias("event"), "sender", "receiver", "time", *extra, place(F.lit(0)).alias("rid"))
-    controls = drawn.select("stratum", F.lit(0).alias("event"), F.col("pick.s").alias("sender"), F.col("pick.r").alias("receiver"), "time", place(F.col("control")).alias("rid"))
+    controls = drawn.select("stratum", F.lit(0).alias("event"), F.col("s").alias("sender"), F.col("r").alias("receiver"), "time", place(F.col("control")).alias("rid"))
     return events.unionByName(controls, allowMissingColumns=True)
 
 
@@ -114,6 +139,11 @@ def _drawn(tried: DataFrame, firsts: DataFrame, seconds: DataFrame, scope: str,
     sizes = {"__na": F.col("__a") - F.col("__a0") + own, "__nb": F.col("__b") + own}
     tried = tried.withColumns(sizes).filter("__na > 0 AND __nb > 0")
     tried = tried.withColumns({"__pa": F.col("__a0") + F.pmod(hashed, "__na"), "__pb": F.pmod(F.xxhash64(hashed, F.lit(1)), "__nb")})
+    return _named(tried, firsts, seconds, mode, own)
+
+
+def _named(tried: DataFrame, firsts: DataFrame, seconds: DataFrame, mode: str, own: int) -> DataFrame:
+    """tried with the actors s and r at the places __pa and __pb; the place after the pool is the event's own actor."""
     one = firsts.select(F.col("actor").alias("__x"), F.col("place").alias("__px"))
     two = seconds.select(F.col("actor").alias("__y"), F.col("place").alias("__py"))
     inside_a, inside_b = F.col("__pa") < F.col("__a"), F.col("__pb") < F.col("__b")
@@ -129,3 +159,88 @@ def _drawn(tried: DataFrame, firsts: DataFrame, seconds: DataFrame, scope: str,
         tried = tried.filter(inside_b | ~placed_b).drop("__who", "__where")
         return tried.withColumns({"s": F.when(inside_a, F.col("__x")).otherwise(other), "r": F.when(inside_b, F.col("__y")).otherwise(F.col("receiver"))})
     return tried.withColumns({"s": F.col("__x"), "r": F.col("__y")})
+
+
+def _picked(listed: DataFrame, firsts: DataFrame, seconds: DataFrame, mode: str, seed: int, valid) -> DataFrame:
+    """stratum, control, s, r, time: of all valid pairs of the scope "citation", listed for each stratum, the one with the least hash."""
+    strata = listed.drop("control").distinct().withColumns({"__na": F.col("__a") - F.col("__a0") + 1, "__nb": F.col("__b") + 1})
+    pairs = strata.withColumn("__cell", F.explode(F.sequence(F.lit(0).cast("long"), (F.col("__na") * F.col("__nb") - 1).cast("long"))))
+    pairs = pairs.withColumns({"__pa": F.col("__a0") + F.col("__cell") % F.col("__na"), "__pb": F.floor(F.col("__cell") / F.col("__na"))})
+    pairs = valid(_named(pairs, firsts, seconds, mode, 1)).select("stratum", "s", "r")
+    pairs = listed.select("stratum", "control", "time").join(pairs, "stratum")
+    best = pairs.groupBy("stratum", "control").agg(F.min(F.struct(F.xxhash64(F.lit(seed), "stratum", "control", "s", "r").alias("h"), "s", "r")).alias("pick"), F.first("time").alias("time"))
+    return written(best.select("stratum", "control", F.col("pick.s").alias("s"), F.col("pick.r").alias("r"), "time"), "drawn")
+
+
+def _nodes(early: int, born: int, first: int, cuts: list) -> Iterator[tuple[int, int]]:
+    """Levels and numbers of the halved ranges that make up the strata 1 to early and born + 1 to first, without those from cuts (from, to)."""
+    for low, high in ((1, min(early, first)), (max(early, born) + 1, first)):
+        for a, b in [*sorted(cuts), (high + 1, high + 1)]:
+            left, right, level = low, min(a - 1, high) + 1, 0
+            while left < right:
+                if left & 1:
+                    yield level, left
+                    left += 1
+                if right & 1:
+                    right -= 1
+                    yield level, right
+                left, right, level = left >> 1, right >> 1, level + 1
+            low = max(low, b + 1)
+
+
+def _placed(listed: DataFrame, base: DataFrame, firsts: DataFrame, seconds: DataFrame, fired: DataFrame | None, gone: DataFrame | None, allow_loops: bool, scope: str, mode: str, seed: int) -> DataFrame:
+    """stratum, control, s, r, time: the valid pair at the place that the hash of seed, stratum and control names.
+
+    A pair is valid in a few runs of strata: from where its actors are candidates to where it first fires,
+    without the strata of its own times (or, if none is removed, its own strata). Each run is a few
+    ranges of a tree that halves all strata, and a stratum's valid pairs are those of the ranges above
+    it, so neither pairs are listed for each stratum nor strata for each pair.
+    """
+    top = listed.agg(F.max("__a").alias("a"), F.max("__b").alias("b")).first()
+    n = base.count()
+    one = firsts.filter(F.col("place") < top["a"]).select(F.col("actor").alias("s"), F.col("since").alias("__since"))
+    two = seconds.filter(F.col("place") < top["b"]).select(F.col("actor").alias("r"), F.col("since").alias("__also"))
+    pairs = F.broadcast(one).crossJoin(two) if top["a"] < top["b"] else one.crossJoin(F.broadcast(two))
+    if not allow_loops:
+        pairs = pairs.filter("s <> r")
+    same = (F.col("s") == F.col("__s")) & (F.col("r") == F.col("__r"))
+    if gone is not None:
+        pairs = pairs.join(gone, same, "left_anti")
+    if fired is None:
+        pairs = pairs.withColumn("first", F.lit(n).cast("long"))
+        cuts = listed.select(F.col("sender").alias("__s"), F.col("receiver").alias("__r"), F.col("stratum").alias("lo"), F.col("stratum").alias("hi")).distinct()
+    else:
+        pairs = pairs.join(fired, same, "left").withColumn("first", F.coalesce("__first", F.lit(n)).cast("long")).drop("__s", "__r", "__first")
+        before = base.select((F.col("stratum") + 1).alias("__next"), F.col("time").alias("__before"))
+        runs = base.select("stratum", "time").join(before, F.col("stratum") == F.col("__next"), "left").withColumn("new", (~F.col("time").eqNullSafe(F.col("__before"))).cast("long"))
+        runs = numbered(runs.select("stratum", "time", "new"), ["stratum"], {"run": F.col("new")})
+        runs = runs.groupBy((F.col("run") + F.col("new")).alias("run"), F.col("time").alias("__at")).agg(F.min("stratum").alias("lo"), F.max("stratum").alias("hi"))
+        own = base.select(F.col("sender").alias("__s"), F.col("receiver").alias("__r"), "time").distinct().join(fired.withColumnsRenamed({"__s": "__x", "__r": "__y"}), (F.col("__s") == F.col("__x")) & (F.col("__r") == F.col("__y")))
+        # Later runs don't matter, as the pair is gone by then.
+        cuts = own.join(runs, (F.col("time") == F.col("__at")) & (F.col("lo") <= F.col("__first"))).select("__s", "__r", "lo", "hi")
+    cuts = cuts.groupBy("__s", "__r").agg(F.collect_list(F.struct("lo", "hi")).alias("cuts"))
+    # Strata at the start where too few actors have been seen, so that all are candidates.
+    early = 0
+    if scope == "appearance":
+        least = firsts.filter(F.col("place") == (1 if mode == "one" else 0)).select("since").first()
+        early = least["since"] if least else n
+    pairs = pairs.join(cuts, same, "left").select("s", "r", F.greatest("__since", "__also").alias("born"), "first", "cuts")
+
+    def ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                found = list(_nodes(early, row["born"], row["first"], [(c["lo"], c["hi"]) for c in row["cuts"] or ()]))
+                if found:
+                    size = len(found)
+                    yield pa.RecordBatch.from_pydict({"s": [row["s"]] * size, "r": [row["r"]] * size, "level": pa.array([x[0] for x in found], pa.int32()), "node": pa.array([x[1] for x in found], pa.int64())})
+
+    held = written(numbered(pairs.mapInArrow(ranges, "s string, r string, level int, node long"), ["level", "node", "s", "r"], rank="place"), "valid")
+    nodes = held.groupBy("level", "node").agg(F.min("place").alias("start"), F.count(F.lit(1)).alias("n"))
+    above = listed.select("stratum").distinct().withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(int(n).bit_length()))))
+    above = above.withColumn("node", F.expr("shiftright(stratum, level)")).join(nodes, ["level", "node"])
+    whole = Window.partitionBy("stratum")
+    earlier = whole.orderBy("level").rowsBetween(Window.unboundedPreceding, -1)
+    above = above.select("stratum", "start", "n", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"), F.sum("n").over(whole).alias("total"))
+    drawn = listed.select("stratum", "control", "time").join(above, "stratum").withColumn("at", F.pmod(F.xxhash64(F.lit(seed), "stratum", "control", F.lit("listed")), "total"))
+    drawn = drawn.filter("at >= before AND at < before + n").withColumn("place", F.col("start") + F.col("at") - F.col("before"))
+    return written(drawn.join(held.select("place", "s", "r"), "place").select("stratum", "control", "s", "r", "time"), "drawn")

@@ -151,3 +151,50 @@ def test_sources(spark, tmp_path):
     assert dataset(spark, "mine").count() == 2
     with pytest.raises(KeyError):
         dataset(spark, "none")
+
+
+def test_every_event_with_a_valid_pair_has_controls(spark):
+    log = [(f"a{(k * k + k // 5) % 5}", f"a{(3 * k + k // 7) % 5}", float(k // 2 if k < 40 else 60 - k), k) for k in range(60)]
+    debut, since = {}, [{}, {}, {}]
+    for k, (s, r, t, _) in enumerate(log, 1):
+        debut[s] = min(t, debut.get(s, t))
+        for role, actors in enumerate(((s,), (r,), (s, r))):
+            for a in actors:
+                since[role].setdefault(a, k)
+    first = {}
+    for k, (s, r, _, _) in enumerate(log, 1):
+        first.setdefault((s, r), k)
+    gone = {("a0", "a1"), ("a3", "a2")}
+
+    def pools(scope, mode, k):
+        s, r, t, _ = log[k - 1]
+        if scope == "citation":
+            a, b = {x for x in debut if debut[x] == t} | {s}, {x for x in debut if debut[x] < t} | {r}
+            return (a | b, a | b) if mode == "one" else (a, b)
+        out = []
+        for role in (2, 2) if mode == "one" else (0, 1):
+            pool = {x for x, n in since[role].items() if scope == "all" or n < k}
+            out.append(pool if len(pool) >= (2 if mode == "one" else 1) else set(since[role]))
+        return out
+
+    runs = [("all", "two", "remove", True), ("appearance", "one", "remove", False), ("citation", "one", "remove", False)]
+    for scope, mode, risk, loops in runs:
+        got = {}
+        cc = sample_non_events(frame(spark, log), 12, scope, mode, risk, frame(spark, sorted(gone), "x string, y string"), allow_loops=loops, seed=3, max_attempts=1)
+        for r in cc.filter("event = 0").collect():
+            got.setdefault(r["stratum"], []).append((r["sender"], r["receiver"]))
+        for k, (s, r, t, _) in enumerate(log, 1):
+            a, b = pools(scope, mode, k)
+            now = {e[:2] for e in log if e[2] == t}
+            may = {(x, y) for x in a for y in b if (loops or x != y) and (x, y) != (s, r) and (x, y) not in gone}
+            if risk == "remove":
+                may = {p for p in may if first.get(p, 99) >= k and p not in now}
+            assert len(got.get(k, [])) == (12 if may else 0) and set(got.get(k, [])) <= may, (scope, mode, risk, k)
+
+
+def test_listed_draws_are_even(spark):
+    pairs = [(f"a{x}", f"a{y}") for x in range(5) for y in range(5) if x != y]
+    log = frame(spark, [(s, r, float(k), k) for k, (s, r) in enumerate(pairs[:17] + [pairs[0]] * 40)])
+    got = sample_non_events(log, 30, mode="one", risk="remove", seed=2, max_attempts=1).filter("event = 0 AND stratum > 17")
+    n = {(r["sender"], r["receiver"]): r["count"] for r in got.groupBy("sender", "receiver").count().collect()}
+    assert set(n) == set(pairs[17:]) and sum(n.values()) == 1200 and max(n.values()) < 1.25 * min(n.values())
