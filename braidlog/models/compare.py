@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from braidlog.functions.temporal import as_of_small
 from braidlog.functions.splines import Basis
 from braidlog.models.likelihood import LinearFit, difference_step, newton, stratified_step
-from braidlog.models.rem import Term, fit_smooth, predict_linear
+from braidlog.models.rem import Term, fit_effects, fit_smooth, predict_linear
 from braidlog.operators.log import fill_missing
 from braidlog.operators.reshape import widen_case_control
 from braidlog.operators.sampling import sample_non_events
@@ -56,22 +56,26 @@ def _table(spark, fits: dict[str, tuple[int, int, float, float]], failed: Sequen
     return spark.createDataFrame(rows + [(m, None, None, None, None, None) for m in failed], TABLE)
 
 
-def compare_models(log: DataFrame, models: Mapping[str, Sequence[str]], sampling: Sampling = Sampling(), random_effects: str | None = None, frailty_variance: float = 1.0) -> tuple[DataFrame, dict[str, LinearFit]]:
+def compare_models(log: DataFrame, models: Mapping[str, Sequence[str]], sampling: Sampling = Sampling(), random_effects: str | Sequence[str] | None = None, frailty_variance: float = 1.0) -> tuple[DataFrame, dict[str, LinearFit]]:
     """The AIC table and fits of specifications that are lists of statistics.
 
     With one control the likelihood is that of differences, with more that of strata; both are conditional
-    logits. random_effects: sender or receiver; the effects of its levels are added with a ridge.
+    logits. random_effects: sender, receiver or both; the effects of their levels are added with a ridge, in
+    the likelihood of strata with all their controls. frailty_variance: where their variance begins, which
+    REML then estimates.
     """
     _checked(models)
+    axes = [random_effects] if isinstance(random_effects, str) else list(random_effects or ())
+    if len(set(axes)) < len(axes) or not set(axes) <= {"sender", "receiver"} or frailty_variance <= 0:
+        raise ValueError("random_effects or frailty_variance")
     stats = list(dict.fromkeys(s for m in models.values() for s in m))
     data = case_control_features(log, stats, sampling)
-    wide = written(widen_case_control(data, "event", "stratum", stats), "wide") if sampling.n_controls == 1 else None
+    wide = written(widen_case_control(data, "event", "stratum", stats), "wide") if sampling.n_controls == 1 and not axes else None
     fits: dict[str, LinearFit] = {}
     table = {}
     for name, spec in models.items():
-        if random_effects:
-            source = wide if wide is not None else written(widen_case_control(data, "event", "stratum", stats), "wide")
-            fit = fit_smooth(source, [*(Term("linear", s) for s in spec), Term("re", random_effects)])
+        if axes:
+            fit = fit_effects(data, list(spec), axes, frailty_variance)
             fits[name], table[name] = fit, (len(spec), fit.n, fit.log_lik, fit.aic)
             continue
         if wide is not None:

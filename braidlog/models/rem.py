@@ -17,6 +17,7 @@ from braidlog.functions.splines import Basis
 from braidlog.models.likelihood import LinearFit, difference_step, newton, stratified_step
 from braidlog.models.nn import NetControl, NetFit, fit_net
 from braidlog.operators.reshape import case_column, derive_stratum, widen_case_control
+from braidlog.storage import written
 
 
 @dataclass(frozen=True)
@@ -185,10 +186,16 @@ def fit_smooth(wide: DataFrame, terms: list[Term], time: str = "time", k: int =
             S[at : at + b.size, at : at + b.size] = P
             whole.append(S)
         at += b.size
-    lam, beta = np.ones(len(whole)), np.zeros(q)
+    beta, V, lam, edf, log_lik, n, converged = _penalised(lambda beta: _normal(wide, blocks, beta), whole, np.ones(len(whole)), q, rounds)
+    return SmoothFit(terms, blocks, beta, V, lam, edf, log_lik, n, converged)
+
+
+def _penalised(step, whole: list[np.ndarray], lam: np.ndarray, q: int, rounds: int) -> tuple[np.ndarray, np.ndarray, list[float], float, float, int, bool]:
+    """Coefficients, covariance, smoothing, edf, log_lik, n and whether the steps settled; step: beta -> n, loss, gradient, curvature. lam: where smoothing begins."""
+    lam, beta = lam.copy(), np.zeros(q)
     small = 1e-6 * np.eye(q)
     total = lambda: sum((x * S for x, S in zip(lam, whole)), np.zeros((q, q))) + small
-    n, loss, g, H = _normal(wide, blocks, beta)
+    n, loss, g, H = step(beta)
     converged = False
     for _ in range(rounds):
         S = total()
@@ -196,7 +203,7 @@ def fit_smooth(wide: DataFrame, terms: list[Term], time: str = "time", k: int =
         size, before = 1.0, loss + 0.5 * beta @ S @ beta
         while True:
             new = beta - size * move
-            n, loss2, g2, H2 = _normal(wide, blocks, new)
+            n, loss2, g2, H2 = step(new)
             if loss2 + 0.5 * new @ S @ new <= before + 1e-9 * abs(before) or size < 1e-3:
                 break
             size /= 2
@@ -212,7 +219,63 @@ def fit_smooth(wide: DataFrame, terms: list[Term], time: str = "time", k: int =
             break
     S = total()
     V = np.linalg.inv(H + S)
-    return SmoothFit(terms, blocks, beta, V, lam.tolist(), float(np.trace(V @ H)), -loss, n, converged)
+    return beta, V, lam.tolist(), float(np.trace(V @ H)), -loss, n, converged
+
+
+def fit_effects(data: DataFrame, columns: Sequence[str], axes: Sequence[str], variance: float = 1.0, stratum: str = "stratum", case: str = "event", rounds: int = 40) -> SmoothFit:
+    """The stratified conditional logit over all controls, with an effect for each level of each axis.
+
+    The effects of an axis have a ridge, which is the inverse of their variance: it begins at `variance` and
+    follows by REML, as in fit_smooth. Strata without exactly one case or without controls are left out.
+    """
+    levels = {a: [r[0] for r in data.select(F.col(a).cast("string").alias("l")).filter("l IS NOT NULL").distinct().orderBy("l").collect()] for a in axes}
+    for a, names in levels.items():
+        if len(names) > 5000:
+            raise ValueError(f"re({a}) has {len(names)} levels; the normal matrix is dense")
+    starts = np.cumsum([len(columns), *map(len, levels.values())])
+    q, p = int(starts[-1]), len(columns)
+    place = [{x: int(at) + i for i, x in enumerate(names)} for at, names in zip(starts, levels.values())]
+    row = F.struct((F.col(case) == 1).cast("int").alias("y"), F.array(*[F.col(c).cast("double") for c in columns]).alias("x"), F.array(*[F.col(a).cast("string") for a in axes]).alias("a"))
+    strata = written(data.groupBy(stratum).agg(F.collect_list(row).alias("rows")).filter("aggregate(rows, 0, (n, r) -> n + r.y) = 1 AND size(rows) > 1").select("rows"), "strata")
+
+    def sums(beta: np.ndarray) -> tuple[int, float, np.ndarray, np.ndarray]:
+        def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            n, loss, g, H = 0, 0.0, np.zeros(q), np.zeros((q, q))
+            most = max(1, (1 << 21) // q)  # rows of the design held at a time
+            for batch in batches:
+                held = batch.column(0).to_pylist()
+                ends = np.cumsum([len(s) for s in held])
+                at = 0
+                while at < len(held):
+                    to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+                    flat = [r for s in held[at:to] for r in s]
+                    first = np.append(0, np.cumsum([len(s) for s in held[at:to]]))[:-1]
+                    of = np.repeat(np.arange(to - at), [len(s) for s in held[at:to]])
+                    X = np.zeros((len(flat), q))
+                    X[:, :p] = np.array([r["x"] for r in flat], float).reshape(len(flat), p)
+                    for j, where in enumerate(place):
+                        found = np.array([where.get(r["a"][j], -1) for r in flat])
+                        X[np.flatnonzero(found >= 0), found[found >= 0]] = 1
+                    y = np.array([r["y"] for r in flat]) == 1
+                    eta = X @ beta
+                    top = np.maximum.reduceat(eta, first)
+                    w = np.exp(eta - top[of])
+                    total = np.add.reduceat(w, first)
+                    w /= total[of]
+                    mean = np.add.reduceat(X * w[:, None], first, 0)
+                    n, loss = n + to - at, loss + float((np.log(total) + top - eta[y]).sum())
+                    g += mean.sum(0) - X[y].sum(0)
+                    H += (X * w[:, None]).T @ X - mean.T @ mean
+                    at = to
+            yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64()), "loss": [loss], "g": [g.tolist()], "h": [H.ravel().tolist()]})
+
+        got = strata.mapInArrow(part, "n long, loss double, g array<double>, h array<double>").collect()
+        return sum(r["n"] for r in got), sum(r["loss"] for r in got), np.sum([r["g"] for r in got], 0), np.sum([r["h"] for r in got], 0).reshape(q, q)
+
+    blocks = [Block(Term("linear", c), 1, [c], None, []) for c in columns] + [Block(Term("re", a), len(names), [a], None, [np.eye(len(names))]) for a, names in levels.items()]
+    whole = [np.diag(((np.arange(q) >= at) & (np.arange(q) < at + len(names))).astype(float)) for at, names in zip(starts, levels.values())]
+    beta, V, lam, edf, log_lik, n, converged = _penalised(sums, whole, np.full(len(whole), 1 / variance), q, rounds)
+    return SmoothFit([b.term for b in blocks], blocks, beta, V, lam, edf, log_lik, n, converged)
 
 
 def collected_strata(data: DataFrame, columns: Sequence[str], stratum: str, case: str, most: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

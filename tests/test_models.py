@@ -134,6 +134,39 @@ def test_comparison(log):
         compare_models(log, {})
 
 
+def test_random_effects_use_all_controls(spark):
+    from braidlog.models.rem import fit_effects
+
+    rng = np.random.default_rng(5)
+    effect, rows = {f"s{k}": 1.5 * (k - 2) / 2 for k in range(5)}, []
+    for g in range(300):
+        x, s, r = rng.normal(size=4), rng.choice(5, 4), rng.choice(3, 4)
+        case = int(np.argmax(0.7 * x + [effect[f"s{k}"] for k in s] + rng.gumbel(size=4)))
+        rows += [(g, int(k == case), float(x[k]), f"s{s[k]}", f"r{r[k]}") for k in range(4)]
+    data = spark.createDataFrame(rows, "stratum long, event int, x double, sender string, receiver string")
+    fit = fit_effects(data, ["x"], ["sender", "receiver"])
+    X = np.array([[r[2], *(r[3] == f"s{k}" for k in range(5)), *(r[4] == f"r{k}" for k in range(3))] for r in rows], float)
+    y, g = np.array([r[1] for r in rows]), np.array([r[0] for r in rows])
+    assert fit.n == 300 and fit.log_lik == pytest.approx(brute_clogit(X, y, g, fit.beta))
+    ridge = np.repeat([0, *fit.smoothing], [1, 5, 3])
+    goal = lambda b: brute_clogit(X, y, g, b) - 0.5 * (ridge * b**2).sum()
+    slope = [(goal(fit.beta + d) - goal(fit.beta - d)) / 2e-4 for d in 1e-4 * np.eye(9)]
+    assert fit.converged and np.abs(slope).max() < 0.1
+    assert np.corrcoef(fit.coef()["re(sender)"], list(effect.values()))[0, 1] > 0.95 and fit.coef()["x"] == pytest.approx(0.7, abs=0.25)
+
+
+def test_comparison_with_random_effects(log):
+    models, s = {"one": ["reciprocity_count"]}, Sampling(seed=4, n_controls=3)
+    plain = compare_models(log, models, s)[0].first()["log_lik"]
+    table, fits = compare_models(log, models, s, ["sender", "receiver"], 0.5)
+    row = table.first()
+    # Of all four rows of a stratum; the first control alone would begin at 160 log 2.
+    assert row["n_obs"] == 160 and -160 * np.log(4) <= plain <= row["log_lik"] + 0.01 and row["log_lik"] < -160 * np.log(2)
+    assert len(fits["one"].smoothing) == 2 and row["AIC"] == pytest.approx(-2 * row["log_lik"] + 2 * fits["one"].edf)
+    with pytest.raises(ValueError):
+        compare_models(log, models, s, "actor")
+
+
 def test_goodness_of_fit(log):
     stats, s = ["reciprocity_count", "sender_outdegree"], Sampling(seed=4)
     rest = martingale_residuals(log, stats, s)
