@@ -42,21 +42,30 @@ def attach(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int,
     return out.select(*rows.columns, *[F.col(f"__found.{c}").alias(c) for c in values])
 
 
+def flagged(rows: DataFrame, key: Column, wanted: DataFrame, bits: int) -> DataFrame:
+    """rows with __hit: whether key may be in wanted (one column), by a bitmap of fixed size, bits / 8 bytes, that is broadcast.
+
+    It is true for all keys that are in wanted and for few others, so what it clears needs no shuffle; null keys are false.
+    """
+    slot = lambda c: F.pmod(F.xxhash64(c.cast("string")), F.lit(bits)) + 1
+    (name,) = wanted.columns
+    table = wanted.select(slot(F.col(name)).alias("__slot")).groupBy(F.bitmap_bucket_number("__slot").alias("__bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("__slot")).alias("__bits"))
+    at = rows.withColumn("__slot", slot(key)).join(F.broadcast(table), F.bitmap_bucket_number("__slot") == F.col("__bucket"), "left")
+    byte = F.conv(F.hex(F.expr("substring(__bits, cast(bitmap_bit_position(__slot) div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    hit = F.pmod(F.floor(byte / F.pow(F.lit(2), F.bitmap_bit_position("__slot") % 8)), F.lit(2)) == 1
+    return at.select(*rows.columns, (F.coalesce(hit, F.lit(False)) & key.isNotNull()).alias("__hit"))
+
+
 def without(docs: DataFrame, id_col: str, dropped: DataFrame, filter_bits: int = 1 << 25) -> DataFrame:
     """docs without the rows whose id is in dropped (one column); null ids stay.
 
-    The dropped ids are broadcast as a bitmap of fixed size, filter_bits / 8 bytes. Rows that it clears
-    pass where they are; only the others, the dropped ones and few more, are shuffled to be looked up.
+    Rows that a bitmap of the dropped ids clears pass where they are; only the others, the dropped ones
+    and few more, are shuffled to be looked up.
     """
     (name,) = dropped.columns
-    slot = lambda c: F.pmod(F.xxhash64(c.cast("string")), F.lit(filter_bits)) + 1
-    bits = dropped.select(slot(F.col(name)).alias("__slot")).groupBy(F.bitmap_bucket_number("__slot").alias("__bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("__slot")).alias("__bits"))
-    rows = docs.select(F.struct(*docs.columns).alias("__row"), slot(F.col(id_col)).alias("__slot"), F.col(id_col).alias("__id"))
-    rows = rows.join(F.broadcast(bits), F.bitmap_bucket_number("__slot") == F.col("__bucket"), "left")
-    byte = F.conv(F.hex(F.expr("substring(__bits, cast(bitmap_bit_position(__slot) div 8 as int) + 1, 1)")), 16, 10).cast("int")
-    hit = F.coalesce(F.pmod(F.floor(byte / F.pow(F.lit(2), F.bitmap_bit_position("__slot") % 8)), F.lit(2)) == 1, F.lit(False))
-    clear = rows.filter(~hit).select("__row.*")
-    again = rows.filter(hit).select("__row", "__id").join(dropped.select(F.col(name).alias("__dropped")), F.col("__id") == F.col("__dropped"), "left_anti")
+    rows = flagged(docs.select(F.struct(*docs.columns).alias("__row"), F.col(id_col).alias("__id")), F.col("__id"), dropped, filter_bits)
+    clear = rows.filter("NOT __hit").select("__row.*")
+    again = rows.filter("__hit").select("__row", "__id").join(dropped.select(F.col(name).alias("__dropped")), F.col("__id") == F.col("__dropped"), "left_anti")
     return clear.unionByName(again.select("__row.*"))
 
 

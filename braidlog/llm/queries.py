@@ -137,13 +137,17 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM marked GROUP BY conv_id
 """
 
+#: Words of host names that mark junk; their URLs are label 1 beside those of the table of labels, which says nothing of URLs here.
+JUNK_WORDS = ("ads", "adult", "bets", "casino", "pills", "spam")
+
+
 def op9_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from braidlog.llm.urlrules import HostRule, judge_urls, labelled_urls, mine_rules
 
     pages, labels = read(spark, sf_dir, "pages"), read(spark, sf_dir, "labels")
-    # A page whose label says low quality or toxic is one to block.
+    # A page to block: its label says low quality or toxic, or its host has a word of hosts that are junk anywhere.
     bad = ((F.col("quality") == 0) | (F.col("toxic") == 1)).cast("int")
-    mined = mine_rules(labelled_urls(pages, labels, bad))
+    mined = mine_rules(labelled_urls(pages, labels, bad, junk=JUNK_WORDS))
     fixed = [HostRule("com", "/", "allow"), HostRule("example.com", "/en/", "block"), HostRule("www.example.com", "/en/", "allow"), HostRule("net", "/es/", "block"), HostRule("net", "/fr/", "block")]
     return judge_urls(pages, fixed, mined)
 

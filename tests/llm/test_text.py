@@ -17,7 +17,7 @@ from braidlog.llm.bpe import Encoder, Merger, Splitter, Transducer, compile_lexi
 from braidlog.llm.fingerprint import SYMBOLS, fingerprint, fingerprint_documents, likeness, likeness_of_signatures
 from braidlog.llm.packing import OpenWindows, best_fit_decreasing, pack_documents
 from braidlog.llm.tokenizer import Vocabulary, fast_encoder
-from braidlog.llm.urlrules import HostIndex, HostRule, MinedRule, TokenIndex, judge_urls, mine_rules, split_url, url_tokens
+from braidlog.llm.urlrules import HostIndex, HostRule, MinedRule, TokenIndex, _parts, host_of, judge_urls, labelled_urls, mine_rules, path_of, surely, tokens_of
 from braidlog.llm.words import blocks_of, words_of
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -136,16 +136,22 @@ def test_packing(spark):
     assert pack_documents(spark.createDataFrame([(1, "a"), (1, "a"), (None, None)], DOCS), PATH).count() == 3
 
 
-def test_urls():
-    cases = {"http://A.Com/x?y#z": ("a.com", "/x"), "https://a.b": ("a.b", ""), "a.com/x": ("", ""), None: ("", ""), "": ("", ""), "x://?q": ("", ""), "x://h#/p": ("h", ""), "x://h/a://b/c": ("h", "/a://b/c"), "x://É.Com/İ": ("É.com", "/İ")}
-    assert {u: split_url(u) for u in cases} == cases
+def split_urls(spark, urls):
+    rows = spark.createDataFrame([(k, u) for k, u in enumerate(urls)], "page_id long, url string")
+    found = {r["page_id"]: (r["host"], r["path"], r["tokens"]) for r in rows.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), tokens_of(F.col("url")).alias("tokens")).collect()}
+    return [found[k] for k in range(len(urls))]
+
+
+def test_urls(spark):
+    cases = {"http://A.Com/x?y#z": ("a.com", "/x"), "https://a.b": ("a.b", ""), "a.com/x": ("", ""), None: ("", ""), "": ("", ""), "x://?q": ("", ""), "x://h#/p": ("h", ""), "x://h/a://b/c": ("h", "/a://b/c"), "x://É.Com/İ": ("É.com", "/İ"), "https://a.com\n": ("a.com\n", ""), "x\ny://a\r/\n?": ("a\r", "/\n"), "x://h/p?": ("h", "/p"), "://h/": ("h", "/")}
+    assert [x[:2] for x in split_urls(spark, cases)] == list(cases.values())
     rules = [HostRule("com", "/", "allow"), HostRule("example.com", "/en/", "block"), HostRule("www.example.com", "/en/", "allow"), HostRule("net", "/es/", "block")]
     index = HostIndex(rules)
     for host, path, want in (("x.com", "/", "com/"), ("x.com", "", None), ("a.example.com", "/en/1", "example.com/en/"), ("www.example.com", "/en/", "www.example.com/en/"), ("a.www.example.com", "/en/", "www.example.com/en/"), ("badexample.com", "/en/", "com/"), ("net", "/es/x", "net/es/"), ("a.net", "/en/", None)):
         brute = max((r for r in rules if (host == r.host or host.endswith("." + r.host)) and path.startswith(r.path)), key=lambda r: len(str(r)), default=None)
         found = index.match(host, path)
         assert found == brute and (str(found) if found else None) == want
-    assert "q:page" in url_tokens("http://a.com/b/12?page=2&page=3") and "p:0" in url_tokens("http://a.com/b/12")
+    assert split_urls(spark, ["http://b.com/b/12?page=2&page=3&ref#?no=1", "http://b.com#x?q=1", "?"]) == [("b.com", "/b/12", ["h0:com", "h1:b", "p:b", "p:0", "q:page", "q:ref"]), ("b.com", "", ["h0:com", "h1:b"]), ("", "", [])]
 
 
 def test_mining_and_judging(spark):
@@ -155,12 +161,22 @@ def test_mining_and_judging(spark):
         host, lang, key = draw.choice(["good", "bad", "meh"]), draw.choice(["en", "fr"]), draw.choice(["page", "ref"])
         rows.append((f"http://{host}.org/{lang}/{k}?{key}=1", int(host == "bad" and lang == "fr" or draw.random() < 0.05)))
     rows += [(None, 1), ("http://bad.org/fr/1", None)]
-    mined = mine_rules(spark.createDataFrame(rows, "url string, label int"), min_support=0.02, min_confidence=0.7)
-    assert ("h1:bad", "p:fr") in [r.tokens for r in mined] and all("h1:bad" in r.tokens and "p:fr" in r.tokens for r in mined)
-    sets = [(set(url_tokens(u)), y) for u, y in rows if u and y is not None]
-    for r in mined:
-        hit = [y for s, y in sets if set(r.tokens) <= s]
-        assert r.confidence == pytest.approx(sum(hit) / len(hit)) and r.support == pytest.approx(sum(hit) / len(sets))
+    table = spark.createDataFrame(rows, "url string, label int")
+    sets = [(set(t), y) for (_, _, t), (u, y) in zip(split_urls(spark, [u for u, _ in rows]), rows) if t and y is not None]
+    for most in (10, 3):  # few items make sub-sets of the URLs' tokens
+        mined = mine_rules(table, min_support=0.02, min_confidence=0.7, most_items=most)
+        want = set()
+        every = sorted(set().union(*(s for s, _ in sets)))
+        stats = {}
+        for c in (c for n in (1, 2, 3) for c in combinations(every, n)):
+            hit = [y for s, y in sets if s.issuperset(c)]
+            if sum(hit) >= max(6, 0.02 * len(sets)) and surely(sum(hit), len(hit)) >= 0.7:
+                stats[c] = sum(hit) / len(hit)
+        want = {c for c in stats if not any(d != c and set(d) <= set(c) and stats[d] >= stats[c] for d in stats)}
+        assert {r.tokens for r in mined} == want and ("h1:bad", "p:fr") in want
+        for r in mined:
+            hit = [y for s, y in sets if set(r.tokens) <= s]
+            assert r.confidence == pytest.approx(sum(hit) / len(hit)) and r.support == pytest.approx(sum(hit) / len(sets))
     tokens = ["a", "b", "c", "d"]
     every = [c for n in (1, 2, 3) for c in combinations(tokens, n)]
     assert [every[k] for k in TokenIndex(every).match(["a", "c", "x"])] == [("a",), ("c",), ("a", "c")]
@@ -170,6 +186,34 @@ def test_mining_and_judging(spark):
     assert judge_urls(pages.limit(0), [], []).count() == 0 and mine_rules(spark.createDataFrame([], "url string, label int")) == []
 
 
+def test_mining_long_urls(spark):
+    """URLs of 60 frequent segments don't make FP-growth exponential."""
+    rows = [("http://bad.org/" + "/".join(f"s{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(60)), 1)] * 50 + [("http://good.org/x", 0)] * 50
+    mined = mine_rules(spark.createDataFrame(rows, "url string, label int"))
+    assert {r.tokens for r in mined} == {("h1:bad",)} | {(f"p:s{chr(97 + k % 26)}{chr(97 + k // 26)}",) for k in range(60)}
+    assert all(len(p) <= 6 for p in _parts(list("abcdefghijk"), 10)) and {c for p in _parts(list("abcdefghijk"), 10) for c in combinations(sorted(p), 3)} == set(combinations("abcdefghijk", 3))
+
+
+def test_labelled_urls(spark):
+    pages = spark.createDataFrame([(1, "http://a.org/"), (2, "http://best-casino.org/"), (3, None), (3, "http://b.org"), (None, "http://c.org"), (9, "http://casinos.org")], "page_id long, url string")
+    labels = spark.createDataFrame([(1, 0), (1, 1), (2, 0), (3, 0), (None, 1), (9, None)], "doc_id long, bad int")
+    got = labelled_urls(pages, labels, F.col("bad"), junk=("casino",)).collect()
+    assert sorted(((r["url"] or "", r["label"]) for r in got)) == [("", 0), ("http://a.org/", 1), ("http://b.org", 0), ("http://best-casino.org/", 1)]
+    assert labelled_urls(pages, labels, F.col("bad")).count() == 4
+
+
+def test_registered_url_rules(spark, tmp_path):
+    """The query blocks what no fixed rule decides through mined rules; labels that don't depend on URLs make none."""
+    from braidlog.llm.queries import op9_url_rules
+
+    rows = [(k, f"http://www.{'spam-farm' if k % 4 == 0 else 'fine'}.example.org/en/{k}") for k in range(80)] + [(100, "http://www.spam-farm.example.com/en/1"), (101, "http://x.net/fr/")]
+    spark.createDataFrame(rows, "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    spark.createDataFrame([(k, 1, 0) for k in range(1, 80, 2)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = {r["page_id"]: (r["rule"], r["verdict"], r["mined"]) for r in op9_url_rules(spark, str(tmp_path)).collect()}
+    assert got[100][:2] == ("example.com/en/", "block") and got[101][:2] == ("net/fr/", "block")
+    assert all(got[k] == ((None, "block", "h2:spam-farm") if k % 4 == 0 else (None, "allow", None)) for k in range(80))
+
+
 def test_transducer():
     draw = random.Random(2)
     words = {"".join(draw.choice("abc") for _ in range(draw.randint(1, 6))).encode(): [k % 50, k] for k in range(300)} | {b"\xc3\xa9s": [7]}
