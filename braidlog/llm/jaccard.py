@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from braidlog.llm.common import attach, discard, written
+from braidlog.llm.common import attach, discard, flagged, without, written
 from braidlog.llm.components import connected
 from braidlog.llm.words import blocks_of, mix, words_of
 
@@ -35,8 +35,9 @@ class Join:
 
     frequent: tokens that the table of frequent tokens has at most. short: documents of a list up to
     which all its pairs are looked at once. run: rows of a list that one task takes; longer lists are
-    dealt to several. block: documents of which each two blocks meet at last. chunk: tokens that are
-    counted together in the survey. bytes: of texts that are hashed together.
+    dealt to several. block: rows of a list of which each two blocks meet at last. chunk: tokens that are
+    counted together in the survey; one in `sampled` of those that a chunk holds once is counted too, for
+    all of them. bytes: of texts that are hashed together. sketch: bits of a set's sketch.
     """
 
     words: int = 5
@@ -44,21 +45,27 @@ class Join:
     frequent: int = 1 << 20
     short: int = 24
     run: int = 20_000
-    block: int = 1024
+    block: int = 512
     chunk: int = 1 << 21
+    sampled: int = 256
     bytes: int = 1 << 19
+    sketch: int = 1024
     filter_bits: int = 1 << 24
 
     def needed(self, n: int) -> int:
         """Tokens that a set of n shares at least with any set that it links with."""
         return (self.percent * n + 99) // 100
 
+    def least(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Tokens that sets of a and of b tokens share at least if they link."""
+        return -(-self.percent * (a.astype(np.int64) + b) // (100 + self.percent))
+
     def meet(self, n: np.ndarray, reach: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Whether rows a and b of a list can be of sets that link: both must reach what sets of their sizes share at least.
 
         A row's reach is how much its set can still share if nothing before this place is shared.
         """
-        least = -(-self.percent * (n[a].astype(np.int64) + n[b]) // (100 + self.percent))
+        least = self.least(n[a], n[b])
         return (reach[a] >= least) & (reach[b] >= least)
 
 
@@ -89,7 +96,11 @@ def _key(tokens: np.ndarray) -> tuple[int, int]:
 
 
 def _survey(docs: DataFrame, id_col: str, text_col: str, join: Join) -> DataFrame:
-    """Rows of two kinds: doc, n, k1, k2 for each document, and token, count for tokens that a chunk of different sets holds twice or more."""
+    """Rows of two kinds: doc, n, k1, k2 for each document, and token, count for tokens of a chunk of different sets.
+
+    A token that a chunk holds once is given, with count 0, if a hash of chunk and token chooses it: a token that is spread so
+    thinly that no chunk holds it twice still shows.
+    """
     schema = T.StructType([T.StructField(c, T.LongType()) for c in ("doc", "n", "k1", "k2", "token", "count")])
     arrow = to_arrow_schema(schema)
 
@@ -103,7 +114,9 @@ def _survey(docs: DataFrame, id_col: str, text_col: str, join: Join) -> DataFram
 
         def counted() -> pa.RecordBatch:
             token, n = np.unique(np.concatenate(held), return_counts=True)
-            return table(token=token[n > 1].view(np.int64), count=n[n > 1])
+            drawn = mix(token + np.bitwise_xor.reduce(token)) % np.uint64(join.sampled) == 0
+            given = (n > 1) | drawn
+            return table(token=token[given].view(np.int64), count=np.where(n > 1, n, 0)[given])
 
         for batch in batches:
             for at, block in blocks_of(batch.column(1), join.bytes):
@@ -124,14 +137,21 @@ def _survey(docs: DataFrame, id_col: str, text_col: str, join: Join) -> DataFram
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(survey, schema)
 
 
-def _frequent(surveyed: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """The most frequent tokens, sorted, and their counts. At most `most`: a histogram of counts says from which count on they fit."""
-    counts = surveyed.filter("token IS NOT NULL").groupBy("token").agg(F.sum("count").alias("n"))
-    counts = counts.filter("n > 3")
+def _placed(survey: DataFrame, total: int) -> DataFrame:
+    """doc, n, rep for each row: the smallest document with an equal set; null for empty sets and rows without id."""
+    rows = survey.filter("n IS NOT NULL").select("doc", "n", F.when((F.col("n") > 0) & F.col("doc").isNotNull(), F.struct("k1", "k2")).alias("key"))
+    classes = rows.filter("key IS NOT NULL").groupBy("key").agg(F.min("doc").alias("rep"), F.count(F.lit(1)).alias("copies"))
+    return attach(rows, classes, "key", "copies", total, F.coalesce(F.col("doc"), F.lit(-1))).select("doc", "n", "rep")
+
+
+def _frequent(surveyed: DataFrame, join: Join) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent tokens, sorted, and about how many sets hold them. At most join.frequent: a histogram of counts says from which count on they fit."""
+    counts = surveyed.filter("token IS NOT NULL").groupBy("token").agg(F.sum("count").alias("n"), F.count(F.when(F.col("count") == 0, 1)).alias("drawn"))
+    counts = counts.select("token", (F.col("n") + F.when(F.col("drawn") > 1, F.col("drawn") * join.sampled).otherwise(F.col("drawn"))).alias("n")).filter("n > 3")
     bands = sorted(((r["band"], r["tokens"]) for r in counts.groupBy(F.floor(F.log2("n") * 8).alias("band")).agg(F.count(F.lit(1)).alias("tokens")).collect()), reverse=True)
     total, lowest = 0, None
     for band, tokens in bands:
-        if total + tokens > most:
+        if total + tokens > join.frequent:
             break
         total, lowest = total + tokens, band
     if lowest is None:
@@ -205,8 +225,8 @@ class Signatures:
         return np.concatenate(sigs), np.concatenate(sizes), np.minimum(np.concatenate(reach), n)
 
 
-def _index(docs: DataFrame, id_col: str, text_col: str, join: Join, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """sig, salt, doc, n, reach: what each document is indexed under; of equal sets in a block one is enough. salt: the part of a long list, else -1."""
+def _index(docs: DataFrame, join: Join, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """sig, salt, doc, n, reach: what each document (id, text) is indexed under. salt: the part of a long list, else -1."""
     schema = T.StructType([T.StructField("sig", T.LongType()), T.StructField("salt", T.IntegerType()), T.StructField("doc", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("reach", T.IntegerType())])
     arrow = to_arrow_schema(schema)
     sent = docs.sparkSession.sparkContext.broadcast(frequent)
@@ -219,11 +239,10 @@ def _index(docs: DataFrame, id_col: str, text_col: str, join: Join, frequent: tu
                 sets = shingle_sets(block, join.words)
                 counts = signatures.counts(np.concatenate(sets)) if sets else np.empty(0, np.int64)
                 bounds = np.append(0, np.cumsum([len(s) for s in sets]))
-                seen, sigs, expected, docs_, sizes, reaches = set(), [], [], [], [], []
+                sigs, expected, docs_, sizes, reaches = [], [], [], [], []
                 for k, s in enumerate(sets):
-                    if not len(s) or not ids[at + k].is_valid or (key := _key(s)) in seen:
+                    if not len(s) or not ids[at + k].is_valid:
                         continue
-                    seen.add(key)
                     sig, often, reach = signatures.of(s, counts[bounds[k] : bounds[k + 1]])
                     sigs.append(sig), expected.append(often), reaches.append(reach)
                     docs_.append(np.full(len(sig), ids[at + k].as_py())), sizes.append(np.full(len(sig), len(s)))
@@ -233,7 +252,7 @@ def _index(docs: DataFrame, id_col: str, text_col: str, join: Join, frequent: tu
                 salt = np.where(parts > 1, (mix(doc.view(np.uint64)) % parts.astype(np.uint64)).astype(np.int64), -1)
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip((np.concatenate(sigs).view(np.int64), salt, doc, np.concatenate(sizes), np.concatenate(reaches)), arrow)], schema=arrow)
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(index, schema)
+    return docs.mapInArrow(index, schema)
 
 
 def _gathered(batches: Iterator[pa.RecordBatch], columns: int) -> list[np.ndarray]:
@@ -256,29 +275,6 @@ def _led(drawn: np.ndarray, run: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.arange(len(run)), leader[of]
 
 
-def _drawn(rows: DataFrame, join: Join, parts: int) -> DataFrame:
-    """a, b: each document of a list with three that hashes of list and document choose, in other components."""
-    schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
-    arrow = to_arrow_schema(schema)
-
-    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sig, salt, doc, n, reach, comp = _gathered(batches, 6)
-        if not len(sig):
-            return
-        order = np.lexsort((doc, salt, sig))
-        sig, salt, doc, n, reach, comp = (x[order] for x in (sig, salt, doc, n, reach, comp))
-        run = np.cumsum(np.append(True, (sig[1:] != sig[:-1]) | (salt[1:] != salt[:-1]))) - 1
-        pairs = [_led(mix(doc.view(np.uint64) * _PLACE[k] + sig.view(np.uint64)), run) for k in (5, 6, 7)]
-        a, b = (np.concatenate(x) for x in zip(*pairs))
-        good = (comp[a] != comp[b]) & join.meet(n, reach, a, b)
-        both = _once(doc, a[good], b[good])
-        yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], schema=arrow)
-
-    salt = F.pmod(F.xxhash64("doc"), F.greatest(F.lit(1), F.ceil(F.col("length") / join.run))).cast("int")
-    dealt = rows.select("sig", salt.alias("salt"), "doc", "n", "reach", "comp")
-    return dealt.repartition(parts, "sig", "salt").mapInArrow(draw, schema).distinct()
-
-
 def _lists(rows: DataFrame, join: Join, parts: int) -> DataFrame:
     """Pairs that may link (doc, mate), and the rows of long lists (sig, doc, n, reach).
 
@@ -320,42 +316,64 @@ def _lists(rows: DataFrame, join: Join, parts: int) -> DataFrame:
     return rows.repartition(parts, "sig", "salt").mapInArrow(shared, schema)
 
 
-def _packed(tokens: np.ndarray) -> bytes:
-    """The upper 40 bits of each token. Of two sets of 20,000, fewer than one in two thousand pairs has tokens that agree by chance."""
-    return (tokens >> np.uint64(24)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+def _drawn(rows: DataFrame, join: Join, parts: int) -> DataFrame:
+    """Of rows (sig, doc, n, reach, comp, length): pairs (doc, mate) to look at, and the rows that may still link with another component.
+
+    Each document of a list is paired with three that hashes of list and document choose. A row stays if its list has
+    a row of another component that it can meet; where a list is dealt to several tasks all of its rows stay.
+    """
+    schema = T.StructType([T.StructField("sig", T.LongType()), T.StructField("doc", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("reach", T.IntegerType()), T.StructField("mate", T.LongType())])
+    arrow = to_arrow_schema(schema)
+
+    def stays(n: np.ndarray, reach: np.ndarray, comp: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(n), bool)
+        for at in range(0, len(n), 256):
+            part = slice(at, at + 256)
+            least = join.least(n[part, None], n)
+            out[part] = ((reach[part, None] >= least) & (reach >= least) & (comp[part, None] != comp)).any(1)
+        return out
 
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sig, salt, doc, n, reach, comp = _gathered(batches, 6)
+        if not len(sig):
+            return
+        order = np.lexsort((doc, salt, sig))
+        sig, salt, doc, n, reach, comp = (x[order] for x in (sig, salt, doc, n, reach, comp))
+        run = np.cumsum(np.append(True, (sig[1:] != sig[:-1]) | (salt[1:] != salt[:-1]))) - 1
+        pairs = [_led(mix(doc.view(np.uint64) * _PLACE[k] + sig.view(np.uint64)), run) for k in (5, 6, 7)]
+        a, b = (np.concatenate(x) for x in zip(*pairs))
+        good = (comp[a] != comp[b]) & join.meet(n, reach, a, b)
+        both = _once(doc, a[good], b[good])
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(both), pa.int64()), pa.array(both[:, 0]), pa.nulls(len(both), pa.int32()), pa.nulls(len(both), pa.int32()), pa.array(both[:, 1])], schema=arrow)
+        starts = np.flatnonzero(np.append(True, run[1:] != run[:-1])).tolist()
+        keep = [salt[a] >= 0 or stays(n[a:b], reach[a:b], comp[a:b]) for a, b in zip(starts, [*starts[1:], len(run)])]
+        at = np.flatnonzero(np.concatenate([np.broadcast_to(k, b - a) for k, a, b in zip(keep, starts, [*starts[1:], len(run)])]))
+        yield pa.RecordBatch.from_arrays([pa.array(sig[at]), pa.array(doc[at]), pa.array(n[at], pa.int32()), pa.array(reach[at], pa.int32()), pa.nulls(len(at), pa.int64())], schema=arrow)
 
-def _unpacked(data: pa.Scalar) -> np.ndarray:
-    raw = np.frombuffer(data.as_buffer(), np.uint8).reshape(-1, 5)
-    out = np.zeros((len(raw), 8), np.uint8)
-    out[:, :5] = raw
-    return out.view("<u8")[:, 0]
+    parted = F.ceil(F.col("length") / join.run).cast("int")
+    salt = F.when(parted > 1, F.pmod(F.xxhash64("doc"), parted).cast("int")).otherwise(-1)
+    return rows.select("sig", salt.alias("salt"), "doc", "n", "reach", "comp").repartition(parts, "sig", "salt").mapInArrow(draw, schema)
 
 
 def _sets(docs: DataFrame, id_col: str, text_col: str, join: Join, wanted: DataFrame) -> DataFrame:
-    """doc, tokens (sorted, the upper 40 bits of each) of the documents in wanted, and of few others.
+    """doc, n, tokens (sorted), sketch of the documents in wanted, and of few others.
 
-    wanted goes to the workers as a bitmap of fixed size, so texts aren't shuffled.
+    A sketch's bits say of each residue of tokens whether the set has an odd number of it; those in which two sketches
+    differ are at most the tokens in which the sets do.
     """
-    slot = F.pmod(F.xxhash64("doc"), F.lit(join.filter_bits)) + 1
-    rows = wanted.select(slot.alias("slot")).groupBy(F.bitmap_bucket_number("slot").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits")).toArrow()
-    bits = np.zeros(join.filter_bits // 8 + 4096, np.uint8)
-    for bucket, part in zip(rows["bucket"].to_pylist(), rows["bits"].to_pylist()):
-        bits[(bucket - 1) * 4096 : bucket * 4096] = np.frombuffer(part, np.uint8)
-    sent = docs.sparkSession.sparkContext.broadcast(bits.tobytes())
-    schema = T.StructType([T.StructField("doc", T.LongType()), T.StructField("tokens", T.BinaryType())])
+    schema = T.StructType([T.StructField("doc", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("tokens", T.BinaryType()), T.StructField("sketch", T.ArrayType(T.LongType()))])
     arrow = to_arrow_schema(schema)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.frombuffer(sent.value, np.uint8)
         for batch in batches:
-            at = batch.column(2).to_numpy() - 1
-            batch = batch.filter(pa.array((bits[at >> 3] >> (at & 7)) & 1 == 1))
             for k, block in blocks_of(batch.column(1), join.bytes):
-                found = [_packed(s) for s in shingle_sets(block, join.words)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, len(block)).cast(pa.int64()), pa.array(found, pa.binary())], schema=arrow)
+                found = shingle_sets(block, join.words)
+                odd = [np.packbits(np.bincount((s % np.uint64(join.sketch)).astype(np.int64), minlength=join.sketch) & 1 == 1) for s in found]
+                columns = batch.column(0).slice(k, len(block)), [len(s) for s in found], [s.astype("<u8").tobytes() for s in found], [x.view(np.int64) for x in odd]
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) if isinstance(x, list) else x.cast(f.type) for x, f in zip(columns, arrow)], schema=arrow)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string")).withColumn("slot", slot).filter("doc IS NOT NULL").mapInArrow(sets, schema)
+    rows = flagged(docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text")), F.col("doc"), wanted, join.filter_bits)
+    return rows.filter("__hit").select("doc", "text").mapInArrow(sets, schema)
 
 
 def _links(left: np.ndarray, right: np.ndarray, join: Join) -> bool:
@@ -365,66 +383,88 @@ def _links(left: np.ndarray, right: np.ndarray, join: Join) -> bool:
     return met > 0 and 100 * met >= join.percent * (len(both) - met)
 
 
+def _near(pairs: DataFrame, sets: DataFrame, join: Join) -> DataFrame:
+    """The distinct pairs whose sketches don't differ in more bits than the tokens in which linked sets of their sizes do."""
+    side = lambda c: sets.select(F.col("doc").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"of_{c}"))
+    differ = F.aggregate(F.zip_with("of_a", "of_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda sum_, x: sum_ + x)
+    both = F.col("n_a") + F.col("n_b")
+    least = F.ceil(F.lit(join.percent) * both / (100 + join.percent))
+    return pairs.distinct().join(side("a"), "a").join(side("b"), "b").filter(differ <= both - 2 * least).select("a", "b")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, join: Join) -> DataFrame:
-    """a, b of the pairs whose sets link."""
+    """a, b of the pairs whose sets link, as a table; sets in no pair that sketches leave aren't shuffled."""
     schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
     arrow = to_arrow_schema(schema)
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = pa.array([_links(_unpacked(x), _unpacked(y), join) for x, y in zip(batch.column(2), batch.column(3))], pa.bool_())
+            read = lambda x: np.frombuffer(x.as_buffer(), "<u8")
+            keep = pa.array([_links(read(x), read(y), join) for x, y in zip(batch.column(2), batch.column(3))], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], schema=arrow)
 
-    one = sets.select(F.col("doc").alias("a"), F.col("tokens").alias("left"))
-    two = sets.select(F.col("doc").alias("b"), F.col("tokens").alias("right"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "left", "right").mapInArrow(verify, schema)
+    pairs = written(_near(pairs, sets, join).distinct(), "pairs")
+    here = flagged(sets.select("doc", "tokens"), F.col("doc"), pairs.select(F.explode(F.array("a", "b")).alias("doc")), join.filter_bits).filter("__hit")
+    one = here.select(F.col("doc").alias("a"), F.col("tokens").alias("left"))
+    two = here.select(F.col("doc").alias("b"), F.col("tokens").alias("right"))
+    out = written(pairs.join(one, "a").join(two, "b").select("a", "b", "left", "right").mapInArrow(verify, schema).distinct(), "links")
+    discard(pairs)
+    return out
 
 
-def _compared(rows: DataFrame, sets: DataFrame, join: Join, parts: int) -> DataFrame:
-    """a, b: the links across components among documents that lists bring together.
+def _crossed(rows: DataFrame, sets: DataFrame, join: Join, parts: int) -> DataFrame:
+    """a, b: the pairs of a list, of different components, that may link.
 
-    rows: sig, doc, comp and the list's least document. Lists that share documents make a family; a family is cut into
-    blocks, and each two blocks meet in one task, which compares documents of different components and
-    gives the links alone. Two sets differ at least by the difference of their histograms of hashed
-    tokens, so few pairs need their tokens compared.
+    rows: sig, doc, n, reach, comp, length. A long list is cut into blocks and each two blocks meet in a task. Pairs must
+    reach what sets of their sizes share, and their sketches differ no more than linked sets do, so few are left.
     """
     schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
     arrow = to_arrow_schema(schema)
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = pa.Table.from_batches(list(batches)) if (batches := [b for b in batches if b.num_rows]) else None
-        if held is None:
+    def cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if not held:
             return
-        held = held.sort_by([(c, "ascending") for c in ("family", "one", "two", "doc")]).combine_chunks()
-        family, one, two, own, doc, comp = (held[c].to_numpy() for c in ("family", "one", "two", "own", "doc", "comp"))
-        starts = np.flatnonzero(np.append(True, (family[1:] != family[:-1]) | (one[1:] != one[:-1]) | (two[1:] != two[:-1])))
-        found = []
-        for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(doc)]):
-            tokens = [_unpacked(x) for x in held["tokens"].slice(a, b - a)]
-            n = np.array([len(x) for x in tokens], np.int64)
-            bins = np.stack([np.bincount((x & np.uint64(511)).astype(np.int64), minlength=512) for x in tokens]).astype(np.int32)
-            for k in range(b - a):
-                at = np.arange(k + 1, b - a)
-                at = at[comp[a + at] != comp[a + k]]
-                if one[a] != two[a]:
-                    at = at[own[a + at] != own[a + k]]
-                both = n[at] + n[k]
-                least = -(-join.percent * both // (100 + join.percent))
-                near = np.minimum(n[at], n[k]) >= least
-                at, most = at[near], (both - 2 * least)[near]
-                at = at[np.abs(bins[at] - bins[k]).sum(1) <= most]
-                found += [(min(x, y), max(x, y)) for x, y in ((int(doc[a + k]), int(doc[a + j])) for j in at.tolist() if _links(tokens[k], tokens[j], join))]
-        pairs = np.array(found, np.int64).reshape(-1, 2)
+        sig, one, two, own, doc, n, reach, comp = _gathered(iter(held), 8)
+        sketch = np.concatenate([b.column(8).flatten().to_numpy().view(np.uint64).reshape(b.num_rows, -1) for b in held])
+        order = np.lexsort((doc, two, one, sig))
+        sig, one, two, own, doc, n, reach, comp, sketch = (x[order] for x in (sig, one, two, own, doc, n, reach, comp, sketch))
+        starts = np.flatnonzero(np.append(True, (sig[1:] != sig[:-1]) | (one[1:] != one[:-1]) | (two[1:] != two[:-1]))).tolist()
+        found = [np.empty((0, 2), np.int64)]
+        for first, end in zip(starts, [*starts[1:], len(sig)]):
+            for at in range(first, end, 64):
+                x, y = np.arange(at, min(at + 64, end)), np.arange(at + 1, end)
+                least = join.least(n[x, None], n[y])
+                good = (y > x[:, None]) & (comp[x, None] != comp[y]) & (reach[x, None] >= least) & (reach[y] >= least)
+                if one[first] != two[first]:
+                    good &= own[x, None] != own[y]
+                a, b = np.nonzero(good)
+                few, a, b = least[a, b], x[a], y[b]
+                differ = np.bitwise_count(sketch[a] ^ sketch[b]).sum(1, dtype=np.int64)
+                good = differ <= n[a].astype(np.int64) + n[b] - 2 * few
+                found.append(_once(doc, a[good], b[good]))
+        pairs = np.unique(np.concatenate(found), axis=0)
         yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], schema=arrow)
 
-    families = connected(rows.select(F.col("doc").alias("u"), F.col("least").alias("v")))
-    members = rows.select("doc", "comp").distinct().join(families, F.col("doc") == F.col("node")).select("doc", "comp", F.col("component").alias("family"))
-    sizes = members.groupBy("family").agg(F.count(F.lit(1)).alias("size"))
-    members = attach(members, sizes, "family", "size", members.count(), F.col("doc"))
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("size") / join.block)).cast("int")
-    members = members.withColumn("own", F.pmod(F.xxhash64("doc"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    dealt = members.join(sets, "doc").select("family", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"), "own", "doc", "comp", "tokens")
-    return dealt.repartition(parts, "family", "one", "two").mapInArrow(compare, schema).distinct()
+    blocks = F.greatest(F.lit(1), F.ceil(F.col("length") / join.block)).cast("int")
+    rows = rows.join(sets.select("doc", "sketch"), "doc").withColumn("own", F.pmod(F.xxhash64("doc"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    dealt = rows.select("sig", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"), "own", "doc", "n", "reach", "comp", "sketch")
+    return dealt.repartition(parts, "sig", "one", "two").mapInArrow(cross, schema)
+
+
+def _labels(links: DataFrame, total: int) -> DataFrame:
+    """doc, label: the smallest document within two links. Documents of one label are in one component; a component may have several."""
+    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    near = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("least"), F.count(F.lit(1)).alias("links"))
+    of = attach(both, near.withColumnRenamed("a", "b"), "b", "links", 2 * total, F.col("a"))
+    return of.groupBy(F.col("a").alias("node")).agg(F.min("least").alias("component"))
+
+
+def _mixed(lists: DataFrame, joined: DataFrame) -> DataFrame:
+    """The rows of lists that hold several components, with comp and the list's length."""
+    placed = lists.join(joined, F.col("doc") == F.col("node"), "left").select("sig", "doc", "n", "reach", F.coalesce("component", "doc").alias("comp"))
+    still = placed.groupBy("sig").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("length")).filter("low < high").select("sig", "length")
+    return placed.join(still, "sig")
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", join: Join = Join()) -> DataFrame:
@@ -433,45 +473,45 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     Documents link when percent / 100 of their sets' union is shared. Ids are whole numbers and keys:
     rows that repeat one share its component. A null or empty text has an empty set and links with
     nothing; a text of fewer words than a shingle has one shingle, the whole sequence. A row without id
-    has no component. An empty table gives no rows; other columns aren't read.
+    has no component. An empty table gives no rows; other columns aren't read. A very long text is one
+    set, which one task holds. Tokens are 64-bit hashes of shingles.
 
-    All links between components are found, but not all within one are listed: a list's documents are first
-    compared with few of it, which gives components, and then with all that are in other components. Equal
-    sets are one class.
+    Of documents with equal sets only the smallest is indexed. All links between components are found, but not all
+    within one are listed: a list's documents are first compared with few of it, which gives components, and then
+    with those that are in other components.
     """
+    kind = docs.schema[id_col].dataType
+    if not isinstance(kind, T.IntegralType):
+        raise TypeError(f"{id_col} must hold whole numbers, not {kind.simpleString()}")
     survey = written(_survey(docs, id_col, text_col, join), "survey")
-    rows = survey.filter("n IS NOT NULL").select("doc", "n", F.when(F.col("n") > 0, F.struct("k1", "k2")).alias("key"))
-    total = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
-    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), total[1] // 2_000_000)
-    found = written(_lists(_index(docs, id_col, text_col, join, _frequent(survey, join.frequent)), join, parts), "lists")
-    lists = found.filter("sig IS NOT NULL").select("sig", "doc", "n", "reach")
-    pairs = found.filter("mate IS NOT NULL").select(F.col("doc").alias("a"), F.col("mate").alias("b"))
-    wanted = found.select(F.explode(F.array("doc", "mate")).alias("doc")).filter("doc IS NOT NULL").distinct()
-    sets = written(_sets(docs, id_col, text_col, join, wanted), "sets")
-    links = written(_verified(pairs.distinct(), sets, join), "links")
-
-    def mixed(lists: DataFrame, joined: DataFrame) -> DataFrame:
-        placed = lists.join(joined, F.col("doc") == F.col("node"), "left").select("sig", "doc", "n", "reach", F.coalesce("component", "doc").alias("comp"))
-        still = placed.groupBy("sig").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("length"), F.min("doc").alias("least")).filter("low < high").select("sig", "length", "least")
-        return written(placed.join(still, "sig"), "mixed")
-
-    # What links have joined needs no comparison: long lists that lie in one component are done. The others
-    # are compared by a few pairs for each document first, then by blocks across components.
-    first = mixed(lists, connected(links.select(F.col("a").alias("u"), F.col("b").alias("v"))))
+    rows, tokens = survey.filter("n IS NOT NULL").agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), tokens // 2_000_000)
+    placed = written(_placed(survey, rows), "placed")
+    frequent = _frequent(survey, join)
+    discard(survey)
+    of_doc = placed.filter("rep IS NOT NULL").groupBy("doc").agg(F.max(F.col("doc") == F.col("rep")).alias("leads"), F.min("rep").alias("rep"), F.max("rep").alias("last"))
+    singles = without(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")), "id", of_doc.filter("NOT leads").select("doc"))
+    found = written(_lists(_index(singles, join, frequent), join, parts), "lists")
+    del frequent
+    pairs = lambda df: df.filter("mate IS NOT NULL").select(F.col("doc").alias("a"), F.col("mate").alias("b"))
+    lists = lambda df: df.filter("sig IS NOT NULL").select("sig", "doc", "n", "reach")
+    edges = lambda df: df.select(F.col("a").alias("u"), F.col("b").alias("v"))
+    sets = written(_sets(docs, id_col, text_col, join, found.select(F.explode(F.array("doc", "mate")).alias("doc")).filter("doc IS NOT NULL")), "sets")
+    links = _verified(pairs(found), sets, join)
+    # Lists that lie in one component are done. The others are compared by a few pairs for each document, then whole.
+    drawn = written(_drawn(_mixed(lists(found), _labels(links, rows)), join, parts), "drawn")
     discard(found)
-    links = links.unionByName(written(_verified(_drawn(first, join, parts), sets, join), "links"))
-    second = mixed(first.select("sig", "doc", "n", "reach"), connected(links.select(F.col("a").alias("u"), F.col("b").alias("v"))))
-    discard(first)
-    every = links.unionByName(written(_compared(second, sets, join, parts), "links"))
-    discard(second, sets)
-    # Classes of equal sets are the nodes now; each is named by its smallest document.
-    classes = rows.filter("key IS NOT NULL").groupBy("key").agg(F.min("doc").alias("rep"), F.count(F.lit(1)).alias("copies"))
-    copies = attach(rows.filter("key IS NOT NULL"), classes, "key", "copies", total[0], F.col("doc")).filter("copies > 1 AND doc <> rep").select(F.col("doc").alias("u"), F.col("rep").alias("v"))
-    named = copies.select(F.col("u").alias("of"), F.col("v").alias("rep"))
-    every = every.join(named, F.col("a") == F.col("of"), "left").select(F.coalesce("rep", "a").alias("a"), "b")
-    every = every.join(named, F.col("b") == F.col("of"), "left").select(F.col("a").alias("u"), F.coalesce("rep", "b").alias("v"))
-    component = connected(every.filter("u <> v"))
-    classes = classes.join(component, F.col("rep") == F.col("node"), "left").select("key", "copies", F.coalesce("component", "rep").alias("component"))
-    out = attach(rows, classes, "key", "copies", total[0], F.coalesce(F.col("doc"), F.lit(-1)))
-    kind = docs.schema[id_col].dataType
+    more = _verified(pairs(drawn), sets, join)
+    # An id whose rows have different sets joins their classes.
+    repeated = placed.join(of_doc.filter("rep < last").select("doc", F.col("rep").alias("v")), "doc").filter("rep <> v").select(F.col("rep").alias("u"), "v")
+    joined = connected(edges(links).unionByName(edges(more)).unionByName(repeated))
+    last = _verified(_crossed(_mixed(lists(drawn), joined), sets, join, parts), sets, join)
+    discard(drawn, sets, links, more)
+    # The last links join components; so few nodes are left that this is quick.
+    name = lambda df, c: df.join(joined.select(F.col("node").alias(c), F.col("component").alias(f"{c}_of")), c, "left").withColumn(c, F.coalesce(f"{c}_of", c)).drop(f"{c}_of")
+    again = connected(name(name(edges(last), "u"), "v"))
+    classes = placed.filter("rep IS NOT NULL").groupBy("rep").agg(F.count(F.lit(1)).alias("copies"))
+    classes = classes.join(joined, F.col("rep") == F.col("node"), "left").select("rep", "copies", F.coalesce("component", "rep").alias("first"))
+    classes = classes.join(again, F.col("first") == F.col("node"), "left").select("rep", "copies", F.coalesce("component", "first").alias("component"))
+    out = attach(placed, classes, "rep", "copies", rows, F.coalesce(F.col("doc"), F.lit(-1)))
     return out.select(F.col("doc").cast(kind).alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("doc").isNotNull(), F.coalesce("component", "doc")).cast(kind).alias("component_id"))
