@@ -44,7 +44,11 @@ def test_exact_groups_against_brute_force(spark):
 def test_exact_groups_edges(spark):
     assert exact_groups(docs(spark).limit(0)).count() == 0 and drop_exact_duplicates(docs(spark).limit(0)).count() == 0
     twice = docs(spark, ["q", "q"]).union(docs(spark, ["q"]))
-    assert [(r["keep_id"], r["group_size"]) for r in exact_groups(twice).collect()] == [(0, 3)] * 3
+    assert sorted((r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in exact_groups(twice).collect()) == [(0, 0, 3, False), (0, 0, 3, True), (1, 0, 3, False)]
+    assert [r["doc_id"] for r in drop_exact_duplicates(twice).collect()] == [0]
+    named = spark.createDataFrame([("b", "x y"), ("a", "xy "), ("c", "z"), (None, "x y"), (None, "q"), (None, "q")], "doc_id string, text string")
+    assert sorted(((r["doc_id"] or "", r["keep_id"] or "", r["group_size"], r["kept"]) for r in exact_groups(named).collect())) == [("", "", 2, False), ("", "", 2, True), ("", "a", 3, False), ("a", "a", 3, True), ("b", "a", 3, False), ("c", "c", 1, True)]
+    assert sorted((r["doc_id"] or "") for r in drop_exact_duplicates(named).collect()) == ["", "a", "c"]
     odd = docs(spark, ["q", "q"]).withColumns({"kept": F.lit(1), "__len": F.lit(2), "keep_id": F.lit(3)}).union(spark.createDataFrame([(None, "q", None, 1, 2, 3)], "doc_id long, text string, lang string, kept int, `__len` int, keep_id int"))
     kept = drop_exact_duplicates(odd)
     assert kept.columns == odd.columns and [r["doc_id"] for r in kept.collect()] == [0]
