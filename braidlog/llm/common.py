@@ -20,6 +20,12 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bounded_batches(spark: SparkSession, most: str = "4m") -> None:
+    """Arrow batches hold at most so many bytes from now on, else 10,000 rows of any length; a session's own setting stays."""
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", most)
+
+
 def attach(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int, spread: Column, hot_keys: int = 1000) -> DataFrame:
     """rows left-joined with groups on key, where a key may hold a third of all rows.
 
@@ -71,6 +77,7 @@ def without(docs: DataFrame, id_col: str, dropped: DataFrame, filter_bits: int =
 
 def kept_by(docs: DataFrame, text_col: str, keep: Callable[[pa.Array], np.ndarray]) -> DataFrame:
     """The rows, with all their columns, for whose texts keep gives true; it gets blocks of texts."""
+    bounded_batches(docs.sparkSession)
     arrow = to_arrow_schema(docs.schema)
     at = docs.columns.index(text_col)
 

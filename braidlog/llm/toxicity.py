@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from braidlog.llm.common import bounded_batches
 from braidlog.llm.words import Words, blocks_of, lower, mix, words_of
 
 
@@ -24,9 +25,7 @@ class Shape:
     attention: int = 8
     word_dims: int = 8
     char_dims: int = 8
-    word_bits: int = 15
-    char_bits: int = 16
-    odds_bits: int = 20
+    char_bits: int = 17
     grams: tuple[int, ...] = (3, 4, 5)
     window: int = 32
     stride: int = 20
@@ -36,15 +35,24 @@ class Shape:
 class Training:
     """sample: labelled rows that the fit takes at most, half of them of each label where there are enough.
 
-    Few texts are gone through more often, so that least of them are seen (in 40 epochs at most).
+    known: texts that hold a word at least for it to have an embedding of its own. The embeddings are learned
+    from whole texts first (bag_: epochs, texts at once, rate, share of words left out, pull towards 0), in bag_least steps at least.
+    Then the network learns from windows; few texts are gone through more often, so that least of them are seen (in 40 epochs at most).
     """
 
-    sample: int = 4000
+    sample: int = 5000
     folds: int = 5
-    epochs: int = 8
-    least: int = 48_000
+    known: int = 3
+    bag_epochs: int = 8
+    bag_batch: int = 64
+    bag_least: int = 400
+    bag_rate: float = 0.01
+    bag_drop: float = 0.3
+    bag_pull: float = 1e-4
+    epochs: int = 6
+    least: int = 24_000
     batch: int = 256
-    rate: float = 0.004
+    rate: float = 0.003
     seed: int = 7
 
 
@@ -82,68 +90,39 @@ class Lexemes:
         self.first_gram = np.searchsorted(owner[order], np.arange(len(size) + 1))
 
 
-class Odds:
-    """Smoothed log-odds of label 1 for words and character n-grams, by the texts that hold them, in tables of fixed size."""
-
-    def __init__(self, shape: Shape):
-        self.mask = np.uint64((1 << shape.odds_bits) - 1)
-        self.counts = np.zeros((2, 2, 1 << shape.odds_bits), np.float32)  # kind, label
-        self.texts = np.zeros(2)
-
-    def add(self, lex: Lexemes, labels: np.ndarray) -> None:
-        text = np.repeat(np.arange(len(lex.of_text) - 1), np.diff(lex.of_text))
-        pair = np.unique(text.astype(np.int64) * len(lex.hash) + lex.code)
-        of, code = np.divmod(pair, max(1, len(lex.hash)))
-        self._count(0, of, lex.hash[code], labels)
-        n = np.diff(lex.first_gram)[code]
-        at = np.repeat(lex.first_gram[code] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        self._count(1, np.repeat(of, n), lex.gram[at].astype(np.uint64), labels)
-        self.texts += np.bincount(labels, minlength=2)
-
-    def _count(self, kind: int, of: np.ndarray, key: np.ndarray, labels: np.ndarray) -> None:
-        bits = int(self.mask).bit_length()
-        both = np.unique(of.astype(np.uint64) << np.uint64(bits) | (key & self.mask))
-        slot, label = (both & self.mask).astype(np.int64), labels[(both >> np.uint64(bits)).astype(np.int64)]
-        for y in (0, 1):
-            self.counts[kind, y] += np.bincount(slot[label == y], minlength=self.counts.shape[2]).astype(np.float32)
-
-    def tables(self) -> np.ndarray:
-        """Log-odds a quarter in size; a slot that few texts hold is drawn towards 0."""
-        total = np.maximum(self.texts, 1)
-        rate = (self.counts + 0.5) / (total[None, :, None] + 1)
-        seen = self.counts.sum(1)
-        return (np.log(rate[:, 1] / rate[:, 0]) * (seen / (seen + 3)) / 4).astype(np.float32)
-
-
 class Network:
-    """Inputs of a word: its embedding and log-odds, and the pooled embeddings and log-odds of its character n-grams."""
+    """Inputs of a word: its embedding, if it is known, and the pooled embeddings of its character n-grams."""
 
-    def __init__(self, shape: Shape, seed: int):
+    def __init__(self, shape: Shape, seed: int, known: np.ndarray | None = None):
         rng = np.random.default_rng(seed)
         s, h = shape, shape.hidden
-        self.shape, self.inputs = shape, shape.word_dims + shape.char_dims + 3
+        self.shape, self.inputs = shape, shape.word_dims + shape.char_dims
+        self.known = np.empty(0, np.uint64) if known is None else known
         draw = lambda *size, by=1.0: (rng.standard_normal(size) * by).astype(np.float32)
-        self.p: dict[str, np.ndarray] = {"word": draw(1 << s.word_bits, s.word_dims, by=0.1), "char": draw(1 << s.char_bits, s.char_dims, by=0.1)}
+        # The last row is that of unknown words and stays 0.
+        self.p: dict[str, np.ndarray] = {"word": np.zeros((len(self.known) + 1, s.word_dims), np.float32), "char": np.zeros((1 << s.char_bits, s.char_dims), np.float32)}
         for side in "fb":
             self.p |= {f"W{side}": draw(self.inputs, 3 * h, by=self.inputs**-0.5), f"c{side}": np.zeros(3 * h, np.float32), f"U{side}": draw(h, 3 * h, by=h**-0.5)}
         self.p |= {"A": draw(2 * h, s.attention, by=(2 * h) ** -0.5), "v": draw(s.attention, by=0.5), "o": draw(2 * h, by=0.3), "bias": np.zeros(1, np.float32)}
-        self.odds = np.zeros((2, 1 << s.odds_bits), np.float32)
         self.scale, self.shift = 1.0, 0.0
 
-    def word_inputs(self, lex: Lexemes, odds: np.ndarray | None = None) -> np.ndarray:
+    def _rows(self, lex: Lexemes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rows of the words' and of the n-grams' embeddings, and the root of how many n-grams each word has."""
+        place = np.searchsorted(self.known, lex.hash)
+        if len(self.known):
+            hit = self.known[np.minimum(place, len(self.known) - 1)] == lex.hash
+            place = np.where(hit, place, len(self.known))
+        grams = (lex.gram & np.uint32((1 << self.shape.char_bits) - 1)).astype(np.int64)
+        return place, grams, np.sqrt(np.maximum(np.diff(lex.first_gram), 1))[:, None].astype(np.float32)
+
+    def word_inputs(self, lex: Lexemes) -> np.ndarray:
         """A row of inputs for each distinct word."""
-        odds, s = self.odds if odds is None else odds, self.shape
-        mask = np.uint64(odds.shape[1] - 1)
-        n = np.maximum(np.diff(lex.first_gram), 1)[:, None]
-        at = np.minimum(lex.first_gram[:-1], max(0, len(lex.gram) - 1))
-        if len(lex.gram):
-            chars = np.add.reduceat(self.p["char"][(lex.gram & np.uint32((1 << s.char_bits) - 1)).astype(np.int64)], at, axis=0) / n
-            value = odds[1][(lex.gram & np.uint32(mask)).astype(np.int64)].astype(np.float32)
-            most, mean = np.maximum.reduceat(value, at)[:, None], np.add.reduceat(value, at)[:, None] / n
+        word, grams, root = self._rows(lex)
+        if len(grams):
+            chars = np.add.reduceat(self.p["char"][grams], np.minimum(lex.first_gram[:-1], len(grams) - 1), axis=0) / root
         else:
-            chars, most, mean = np.zeros((len(lex.hash), s.char_dims)), np.zeros((len(lex.hash), 1)), np.zeros((len(lex.hash), 1))
-        word = self.p["word"][(lex.hash & np.uint64((1 << s.word_bits) - 1)).astype(np.int64)]
-        return np.concatenate([word, chars, odds[0][(lex.hash & mask).astype(np.int64)][:, None], most, mean], 1).astype(np.float32)
+            chars = np.zeros((len(lex.hash), self.shape.char_dims), np.float32)
+        return np.concatenate([self.p["word"][word], chars], 1)
 
     def windows(self, lex: Lexemes) -> tuple[np.ndarray, np.ndarray]:
         """Word codes of every window of every text, -1 past a text's end, and the text of each window. A text without words has one empty window."""
@@ -233,16 +212,12 @@ class Network:
             d_inputs += d_gates @ p[f"W{side}"].T
         return g, d_inputs
 
-    def embedding_gradients(self, lex: Lexemes, rows: np.ndarray, d_inputs: np.ndarray) -> dict[str, np.ndarray]:
-        """What the inputs' gradients of some distinct words (rows) say of the embeddings."""
-        s = self.shape
-        g = {"word": np.zeros_like(self.p["word"]), "char": np.zeros_like(self.p["char"])}
-        np.add.at(g["word"], (lex.hash[rows] & np.uint64((1 << s.word_bits) - 1)).astype(np.int64), d_inputs[:, : s.word_dims])
-        n = np.diff(lex.first_gram)[rows]
-        at = np.repeat(lex.first_gram[rows] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        share = np.repeat(d_inputs[:, s.word_dims : s.word_dims + s.char_dims] / np.maximum(n, 1)[:, None], n, axis=0)
-        np.add.at(g["char"], (lex.gram[at] & np.uint32((1 << s.char_bits) - 1)).astype(np.int64), share)
-        return g
+    def embedding_gradients(self, lex: Lexemes, d_inputs: np.ndarray) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+        """What the inputs' gradients say of the embeddings: the rows that they touch, each once, and their gradients."""
+        word, grams, root = self._rows(lex)
+        seen = word < len(self.known)
+        share = np.repeat(d_inputs[:, self.shape.word_dims :] / root, np.diff(lex.first_gram), axis=0)
+        return {"word": _summed(word[seen], d_inputs[seen, : self.shape.word_dims]), "char": _summed(grams, share)}
 
     def text_logits(self, texts: pa.Array) -> np.ndarray:
         lex = Lexemes(words_of(texts), self.shape)
@@ -259,21 +234,33 @@ class Network:
         return np.round(_sigmoid(self.scale * self.text_logits(texts).astype(np.float64) + self.shift), 6)
 
 
+def _summed(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each row once, with the sum of its values."""
+    order = np.argsort(rows, kind="stable")
+    rows = rows[order]
+    starts = np.flatnonzero(np.append(True, rows[1:] != rows[:-1])) if len(rows) else np.empty(0, np.int64)
+    return rows[starts], np.add.reduceat(values[order], starts, axis=0) if len(rows) else values
+
+
 class Adam:
+    """Gradients are arrays, or (rows, their gradients) of a table, of which only these rows move."""
+
     def __init__(self, p: dict[str, np.ndarray], rate: float):
         self.p, self.rate, self.t = p, rate, 0
         self.m, self.v = ({k: np.zeros_like(x) for k, x in p.items()} for _ in range(2))
 
-    def step(self, g: dict[str, np.ndarray]) -> None:
+    def step(self, g: dict[str, np.ndarray | tuple[np.ndarray, np.ndarray]]) -> None:
         self.t += 1
-        size = np.sqrt(sum(float((x.astype(np.float64) ** 2).sum()) for x in g.values()))
+        whole = {k: x if isinstance(x, tuple) else (slice(None), x) for k, x in g.items()}
+        size = np.sqrt(sum(float((x.astype(np.float64) ** 2).sum()) for _, x in whole.values()))
         clip = min(1.0, 5.0 / max(size, 1e-9))
         rate = self.rate * np.sqrt(1 - 0.999**self.t) / (1 - 0.9**self.t)
-        for k, x in g.items():
+        for k, (at, x) in whole.items():
             x = (x * clip).astype(np.float32)
-            self.m[k] += 0.1 * (x - self.m[k])
-            self.v[k] += 0.001 * (x * x - self.v[k])
-            self.p[k] -= rate * self.m[k] / (np.sqrt(self.v[k]) + 1e-8)
+            m, v = self.m[k][at], self.v[k][at]
+            self.m[k][at] = m = m + 0.1 * (x - m)
+            self.v[k][at] = v = v + 0.001 * (x * x - v)
+            self.p[k][at] -= rate * m / (np.sqrt(v) + 1e-8)
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, prior: float, expected: float = 2.0, steps: int = 50) -> tuple[float, float]:
@@ -302,81 +289,117 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, prior: float, expected: float = 2
     return slope / wide, float(c[1]) - slope * mean / wide
 
 
+def _learn_embeddings(net: Network, lex: Lexemes, texts: list[np.ndarray], labels: np.ndarray, prior: float, training: Training, rng: np.random.Generator) -> tuple[np.ndarray, float]:
+    """Fits the embeddings by whole texts: a text's logit is the log of the sum of exp of its distinct words' scores, so few words can make it.
+
+    texts: each one's distinct words. Gives what an embedding is weighed by for a score, and the bias.
+    """
+    some = np.flatnonzero([len(t) > 0 for t in texts])
+    p = {"word": net.p["word"], "char": net.p["char"], "a": rng.standard_normal(net.inputs).astype(np.float32), "bias": np.zeros(1, np.float32)}
+    if not len(some):
+        return p["a"], 0.0
+    share = float(np.clip(prior, 0.01, 0.99))
+    p["bias"][0] = np.log(share / (1 - share)) - np.mean([np.log(max(1.0, len(texts[k]) * (1 - training.bag_drop))) for k in some])
+    adam = Adam(p, training.bag_rate)
+    steps = -(-len(some) // training.bag_batch)
+    for _ in range(max(training.bag_epochs, min(40, -(-training.bag_least // steps)))):
+        order = rng.permutation(some)
+        for at in range(0, len(order), training.bag_batch):
+            pick = order[at : at + training.bag_batch]
+            words = np.concatenate([texts[k] for k in pick])
+            of = np.repeat(np.arange(len(pick)), [len(texts[k]) for k in pick])
+            rows, local = np.unique(words, return_inverse=True)
+            few = _only(lex, rows)
+            inputs = net.word_inputs(few)
+            score = np.where(rng.random(len(words)) >= training.bag_drop, (inputs @ p["a"])[local], -30.0)
+            top = np.full(len(pick), -30.0)
+            np.maximum.at(top, of, score)
+            part = np.exp(score - top[of])
+            total = np.bincount(of, part, len(pick))
+            slope = (_sigmoid(top + np.log(total) + p["bias"][0]) - labels[pick]) / len(pick)
+            d_score = np.bincount(local, slope[of] * part / total[of], len(rows)).astype(np.float32)
+            g = net.embedding_gradients(few, d_score[:, None] * p["a"])
+            g = {k: (r, x + training.bag_pull * p[k][r]) for k, (r, x) in g.items()}
+            adam.step(g | {"a": inputs.T @ d_score, "bias": np.array([slope.sum()])})
+    return p["a"], float(p["bias"][0])
+
+
+def _joined(parts: list[Lexemes]) -> tuple[Lexemes, list[np.ndarray]]:
+    """The distinct words of several blocks, and where each block's are among them."""
+    every = np.concatenate([x.hash for x in parts])
+    hashes, first, place = np.unique(every, return_index=True, return_inverse=True)
+    out = object.__new__(Lexemes)
+    size = np.concatenate([np.diff(x.first_gram) for x in parts])
+    starts = np.append(0, np.cumsum(size))[:-1][first]
+    n = size[first]
+    at = np.repeat(starts - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    out.hash, out.gram, out.first_gram = hashes, np.concatenate([x.gram for x in parts])[at], np.append(0, np.cumsum(n))
+    return out, np.split(place, np.cumsum([len(x.hash) for x in parts])[:-1])
+
+
 def train(texts: list[str], labels: np.ndarray, prior: float, shape: Shape = Shape(), training: Training = Training()) -> Network:
     """Fits the network to texts with labels 0 and 1.
 
-    Each fold of the texts is seen with the log-odds of the others, as new texts will be. A text's
-    windows are ranked by their words' log-odds: the first stands for a toxic text; the first two and
-    one at random are clean in a clean text. The last fold isn't learned from: its texts' greatest logits
+    The embeddings are learned from whole texts first. A text's windows are then ranked by the scores of their words' embeddings:
+    the first stands for a toxic text; the first two and one at random are clean in a clean text; from these the whole
+    network learns, embeddings too. The last fold isn't learned from: its texts' greatest logits
     are fitted to their labels, with a share of label 1 half way between prior and a half. prior is the
     score where there is one label only.
     """
-    net, rng = Network(shape, training.seed), np.random.default_rng(training.seed)
+    rng = np.random.default_rng(training.seed)
     labels = np.asarray(labels, np.int64)
     if len(set(labels.tolist())) < 2:
+        net = Network(shape, training.seed)
         net.p["o"][:] = 0
         net.shift = float(np.log((prior + 1e-3) / (1 - prior + 1e-3)))
         return net
     fold = np.zeros(len(texts), np.int64)
     for y in (0, 1):  # every fold gets its part of each label
         fold[labels == y] = np.arange((labels == y).sum()) % training.folds
-    whole = Odds(shape)
+    last = fold == training.folds - 1
     column = pa.array(texts, pa.string())
-    parts = []  # places of texts, their words, their log-odds
-    for k in range(training.folds):
-        here, odds = np.flatnonzero(fold == k), Odds(shape)
-        blocks = [(here[at : at + len(block)], Lexemes(words_of(block), shape)) for at, block in blocks_of(column.take(pa.array(here)), 1 << 19)]
-        for places, lex in blocks:
-            odds.add(lex, labels[places])
-        parts.append((blocks, odds))
-        whole.counts += odds.counts
-        whole.texts += odds.texts
-        odds.counts = odds.counts.astype(np.uint16)  # a fold has fewer texts
-    net.odds = whole.tables().astype(np.float16)  # as it is sent to the workers
-    seen: list[list[tuple[np.ndarray, Lexemes, np.ndarray]]] = []
-    for blocks, odds in parts:
-        rest = Odds(shape)
-        rest.counts, rest.texts = whole.counts - odds.counts, whole.texts - odds.texts
-        tables = rest.tables()
-        seen.append([(places, lex, net.word_inputs(lex, tables)[:, -3:]) for places, lex in blocks])
-    # The windows to learn from; the words that they hold are numbered anew.
-    chosen: list[tuple[Lexemes, np.ndarray, np.ndarray, np.ndarray]] = []
-    for places, lex, given in (x for fold_seen in seen[:-1] for x in fold_seen):
-        codes, of = net.windows(lex)
-        evidence = np.append(np.maximum(given[:, 0], given[:, 1]), 0.0)
-        rank = np.lexsort((-np.maximum(evidence[codes], 0).sum(1), of))
+    learn, held = np.flatnonzero(~last), np.flatnonzero(last)
+    blocks = [(learn[at : at + len(block)], Lexemes(words_of(block), shape)) for at, block in blocks_of(column.take(pa.array(learn)))]
+    lex, codes_of = _joined([x for _, x in blocks])
+    bags = [np.empty(0, np.int64)] * len(texts)
+    for (places, x), codes in zip(blocks, codes_of):
+        for k, place in enumerate(places.tolist()):
+            bags[place] = np.unique(codes[x.code[x.of_text[k] : x.of_text[k + 1]]])
+    held_by = np.bincount(np.concatenate([bags[k] for k in learn]), minlength=len(lex.hash))
+    net = Network(shape, training.seed, lex.hash[held_by >= training.known])
+    weights, _ = _learn_embeddings(net, lex, [bags[k] for k in learn], labels[learn], prior, training, rng)
+    # The windows to learn from; the words that they hold are numbered among all.
+    evidence = np.append(net.word_inputs(lex) @ weights, -np.inf)
+    chosen, target = [], []
+    for (places, x), codes in zip(blocks, codes_of):
+        windows, of = net.windows(x)
+        windows = np.where(windows >= 0, np.append(codes, -1)[windows], -1)
+        rank = np.lexsort((-np.logaddexp.reduce(np.maximum(evidence[windows], -50), axis=1), of))
         place = np.arange(len(of)) - np.searchsorted(of[rank], of[rank])
-        target = labels[places][of[rank]]
+        label = labels[places][of[rank]]
         lucky = rng.random(len(of)) < 1.5 / np.maximum(np.bincount(of)[of[rank]], 1)
-        take = np.where(target == 1, place == 0, (place < 2) | lucky)
-        rows, codes = _numbered(codes[rank][take])
-        chosen.append((_only(lex, rows), codes, target[take].astype(np.float32), given[rows]))
-    share = np.clip(np.concatenate([x[2] for x in chosen]).mean(), 0.02, 0.98)
+        take = np.where(label == 1, place == 0, (place < 2) | lucky)
+        chosen.append(windows[rank][take])
+        target.append(label[take].astype(np.float32))
+    windows, label = np.concatenate(chosen), np.concatenate(target)
+    share = np.clip(label.mean(), 0.02, 0.98)
     adam = Adam(net.p, training.rate)
     for _ in range(max(training.epochs, min(40, training.least // max(1, len(texts))))):
-        for c in rng.permutation(len(chosen)):
-            lex, codes, target, given = chosen[c]
-            order = rng.permutation(len(target))
-            for a in range(0, len(order), training.batch):
-                pick = order[a : a + training.batch]
-                rows, local = _numbered(codes[pick])
-                if not len(rows):
-                    continue
-                few = _only(lex, rows)
-                inputs = net.word_inputs(few)
-                inputs[:, -3:] = given[rows]
-                kept: dict = {}
-                q = _sigmoid(net.logits(inputs, local, kept))
-                slope = ((q - target[pick]) * np.where(target[pick] == 1, 0.5 / share, 0.5 / (1 - share)) / len(pick)).astype(np.float32)
-                g, d_inputs = net.gradients(kept, slope)
-                adam.step(g | net.embedding_gradients(few, np.arange(len(rows)), d_inputs))
-    found, last = np.zeros(len(texts)), fold == training.folds - 1
-    for places, lex, given in seen[-1]:
-        inputs = net.word_inputs(lex)
-        inputs[:, -3:] = given
-        found[places] = net.greatest(inputs, *net.windows(lex), len(places))
-    if len(set(labels[last].tolist())) == 2:
-        net.scale, net.shift = fit_logistic(found[last], labels[last], (prior + 0.5) / 2)
+        order = rng.permutation(len(label))
+        for a in range(0, len(order), training.batch):
+            pick = order[a : a + training.batch]
+            rows, local = _numbered(windows[pick])
+            if not len(rows):
+                continue
+            few = _only(lex, rows)
+            kept: dict = {}
+            q = _sigmoid(net.logits(net.word_inputs(few), local, kept))
+            slope = ((q - label[pick]) * np.where(label[pick] == 1, 0.5 / share, 0.5 / (1 - share)) / len(pick)).astype(np.float32)
+            g, d_inputs = net.gradients(kept, slope)
+            adam.step(g | net.embedding_gradients(few, d_inputs))
+    if len(set(labels[held].tolist())) == 2:
+        found = np.concatenate([net.text_logits(block) for _, block in blocks_of(column.take(pa.array(held)))])
+        net.scale, net.shift = fit_logistic(found, labels[held], (prior + 0.5) / 2)
     return net
 
 
@@ -397,24 +420,27 @@ def _only(lex: Lexemes, rows: np.ndarray) -> Lexemes:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, learns: Callable[[Column], Column], sample: int, id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id") -> tuple[DataFrame, float]:
-    """id, text, label of at most sample labelled rows for which learns holds, and the share of label 1 among all such rows.
+    """id, text, label of at most sample labelled ids for which learns holds, and the share of label 1 among all such ids.
 
-    Rows are taken in the order of a hash of the id, up to half of the sample for each label, so the
-    choice doesn't depend on how the tables lie; only the ids chosen are sent to the workers.
+    Ids are taken in the order of a hash, up to half of the sample for each label, so the
+    choice doesn't depend on how the tables lie; only the ids chosen are sent to the workers. An id that labels has
+    several times takes its greatest label, one that docs has several times its least text; so the bound holds for any tables.
     """
     seen = labels.select(F.col(label_id).alias("id"), F.col(label_col).cast("int").alias("label")).filter(F.col("label").isin(0, 1) & F.col("id").isNotNull())
-    seen = seen.filter(learns(F.col("id")))
+    seen = seen.filter(learns(F.col("id"))).groupBy("id").agg(F.max("label").alias("label"))
     counts = {r["label"]: r["n"] for r in seen.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     parts = [seen.filter(F.col("label") == y).orderBy(F.xxhash64("id"), "id").limit(sample // 2) for y in (0, 1)]
     chosen = parts[0].unionByName(parts[1])
-    rows = docs.select(F.col(id_col).alias("__of"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).join(F.broadcast(chosen), F.col("__of") == F.col("id")).select("id", "text", "label")
+    rows = docs.select(F.col(id_col).alias("__of"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).join(F.broadcast(chosen), F.col("__of") == F.col("id"))
     total = sum(counts.values())
-    return rows, counts.get(1, 0) / total if total else 0.5
+    return rows.groupBy("id", "label").agg(F.min("text").alias("text")).select("id", "text", "label"), counts.get(1, 0) / total if total else 0.5
 
 
 def trained(rows: DataFrame, fit: Callable[[list[str], np.ndarray], object]) -> object:
     """What fit makes of the sample's texts and labels, in the order of ids. One task fits, so the driver holds the result alone."""
 
+    bounded_batches(rows.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts, labels = [], []
         if held := [b for b in batches if b.num_rows]:
@@ -431,6 +457,7 @@ def score_documents(docs: DataFrame, net: Network, id_col: str = "doc_id", text_
     Whole texts are scored: the score is that of a text's most toxic window. Null and empty texts have
     one window without words. Repeated rows score alike; an empty table gives no rows.
     """
+    bounded_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(net)
     carry = tuple(c for c in carry if c.lower() not in {id_col.lower(), "score"})
     schema = T.StructType([docs.schema[id_col], *(docs.schema[c] for c in carry), T.StructField("score", T.DoubleType())])

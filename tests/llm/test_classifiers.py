@@ -1,6 +1,7 @@
 """The networks: gradients against differences, whole texts, held-out accuracy, edges."""
 
 import random
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -47,11 +48,19 @@ def test_held_out_accuracy(nets):
         assert ((net.scores(texts) >= 0.5) == label).mean() > 0.95
 
 
-def test_recurrent_gradients():
-    shape = toxicity.Shape(hidden=3, attention=2, word_dims=2, char_dims=2, word_bits=6, char_bits=6, odds_bits=6, window=5, stride=3)
-    net = toxicity.Network(shape, 0)
-    net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
+def small_network():
+    shape = toxicity.Shape(hidden=3, attention=2, word_dims=2, char_dims=2, char_bits=6, window=5, stride=3)
     lex = toxicity.Lexemes(words_of(pa.array(["aa bb cc dd ee ff gg", "hh aa", ""])), shape)
+    net = toxicity.Network(shape, 0, np.sort(lex.hash[::2]))
+    rng = np.random.default_rng(4)
+    net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
+    net.p["word"][:-1] = rng.standard_normal(net.p["word"][:-1].shape)
+    net.p["char"][:] = rng.standard_normal(net.p["char"].shape)
+    return net, lex
+
+
+def test_recurrent_gradients():
+    net, lex = small_network()
     codes, of = net.windows(lex)
     assert of.tolist() == [0, 0, 1, 2] and (codes[3] == -1).all()
     target = np.array([1.0, 0.0, 1.0, 0.0])
@@ -63,7 +72,10 @@ def test_recurrent_gradients():
     kept = {}
     q = net.logits(net.word_inputs(lex).astype(np.float64), codes, kept)
     g, d_inputs = net.gradients(kept, 1 / (1 + np.exp(-q)) - target)
-    g |= net.embedding_gradients(lex, np.arange(len(lex.hash)), d_inputs)
+    for name, (rows, values) in net.embedding_gradients(lex, d_inputs).items():
+        assert len(set(rows.tolist())) == len(rows)
+        g[name] = np.zeros_like(net.p[name])
+        g[name][rows] = values
     rng = np.random.default_rng(1)
     for name, p in net.p.items():
         spots = [tuple(rng.integers(0, s) for s in p.shape) for _ in range(6)] if name not in ("word", "char") else [tuple(x) for x in np.argwhere(g[name])[:6]]
@@ -77,6 +89,66 @@ def test_recurrent_gradients():
             assert g[name][at] == pytest.approx((up - down) / 2e-3, rel=2e-2, abs=2e-3), (name, at)
 
 
+def test_recurrent_forward_pass_word_by_word():
+    """The network's equations, one window and one word at a time."""
+    net, lex = small_network()
+    codes, _ = net.windows(lex)
+    inputs, p, h = net.word_inputs(lex), net.p, net.shape.hidden
+    sig = lambda x: 1 / (1 + np.exp(-x))
+    want = []
+    for window in codes:
+        words = [c for c in window if c >= 0]
+        states = {}
+        for side, order in (("f", range(len(words))), ("b", range(len(words) - 1, -1, -1))):
+            state = np.zeros(h)
+            for t in order:
+                given, fed = inputs[words[t]] @ p[f"W{side}"] + p[f"c{side}"], state @ p[f"U{side}"]
+                reset, update = sig(given[:h] + fed[:h]), sig(given[h : 2 * h] + fed[h : 2 * h])
+                state = update * state + (1 - update) * np.tanh(given[2 * h :] + reset * fed[2 * h :])
+                states[side, t] = state
+        both = np.array([np.concatenate([states["f", t], states["b", t]]) for t in range(len(words))]).reshape(-1, 2 * h)
+        weight = np.exp(np.tanh(both @ p["A"]) @ p["v"])
+        pooled = (weight[:, None] * both).sum(0) / max(weight.sum(), 1e-30)
+        want.append(pooled @ p["o"] + p["bias"][0])
+    assert net.logits(inputs, codes) == pytest.approx(np.array(want), abs=1e-5)
+
+
+def test_attention_forward_pass_text_by_text():
+    """Gated attention over a text's passages, written out."""
+    shape = quality.Shape(passage_words=4, encoded=3, gate=2)
+    net = quality.Network(shape, 0)
+    rows, of = quality.passage_inputs(pa.array(["a B c% d e f", "g", "", "h i j k l m n o p"]), shape)
+    p = net.p
+    want = []
+    for text in range(4):
+        coded = np.tanh(rows[of == text] @ p["E"] + p["e"])
+        gate = (np.tanh(coded @ p["V"]) * (1 / (1 + np.exp(-(coded @ p["U"]))))) @ p["w"]
+        weight = np.exp(gate) / np.exp(gate).sum()
+        want.append((weight[:, None] * coded).sum(0) @ p["c"] + p["b"][0])
+    assert net.logits(rows, of, 4) == pytest.approx(np.array(want), abs=1e-5)
+
+
+@pytest.mark.parametrize("name", ["op2_toxicity", "op7_quality"])
+def test_registered_rows(spark, tmp_path, name):
+    """Fold, threshold and one row for each document; labels of the other fold change nothing."""
+    from braidlog.llm.queries import QUERIES
+
+    rows = labelled(3, 160)
+    folds, left = {"op2_toxicity": (3, 1), "op7_quality": (4, 2)}[name]
+    held = {k for k, *_ in rows if zlib.crc32(str(k).encode()) % folds == left}
+    found = []
+    for turn in range(2):
+        folder = tmp_path / str(turn)
+        spark.createDataFrame([(k, t) for k, t, *_ in rows] + [(900, None), (901, "")], "doc_id long, text string").write.parquet(f"{folder}/documents.parquet")
+        labels = [(k, (1 - good if turn and k in held else good), (1 - toxic if turn and k in held else toxic)) for k, _, toxic, good in rows]
+        spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+        got = QUERIES[name](spark, str(folder)).collect()
+        assert len(got) == 162 and {r["doc_id"] for r in got if r["held_out"]} == held | {k for k in (900, 901) if zlib.crc32(str(k).encode()) % folds == left}
+        assert all(r["predicted"] == int(r["score"] >= 0.7) and 0 <= r["score"] <= 1 for r in got)
+        found.append({r["doc_id"]: r["score"] for r in got})
+    assert found[0] == found[1]
+
+
 def test_attention_gradients():
     shape = quality.Shape(passage_words=4, encoded=3, gate=2)
     net = quality.Network(shape, 0)
@@ -131,6 +203,8 @@ def test_sample_and_one_label(spark):
     rows, prior = toxicity.labelled_sample(docs, labels, "toxic", lambda i: i % 3 != 1, 40)
     got = rows.collect()
     assert len(got) == 40 and sum(r["label"] for r in got) == 20 and all(r["id"] % 3 != 1 for r in got) and abs(prior - 0.25) < 0.02
+    again, _ = toxicity.labelled_sample(docs.unionByName(docs), labels.unionByName(labels), "toxic", lambda i: i % 3 != 1, 40)
+    assert sorted(again.collect()) == sorted(got)  # repeated ids don't widen the sample
     for module in (toxicity, quality):
         for texts, y in ((["a b"], [0]), ([], [])):
             net = module.train(texts, np.array(y, int), 0.2)
