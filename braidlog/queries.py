@@ -62,16 +62,18 @@ def _measures(alias: str, time: str, name: Callable[[str], str], extra: str = "t
 
 
 def _dyad_sql(log: str) -> str:
+    """log: s, r, t, rid, ev and v, by which a row sees events: its number in row order, its time in strict order."""
     full = lambda g: lambda m: "_".join(filter(None, ("reciprocity", m, g)))
+    before = "ORDER BY v RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
     return f"""
 WITH x AS ({log}), e AS (SELECT * FROM x WHERE ev),
-own AS (SELECT x.rid, max(e.t) AS last FROM x LEFT JOIN e ON e.s = x.s AND e.r = x.r AND e.t < x.t GROUP BY 1),
-deg AS (SELECT rid, coalesce(sum(ev::INT) OVER (PARTITION BY s ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE AS sender_outdegree,
-  coalesce(sum(ev::INT) OVER (PARTITION BY r ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE AS receiver_indegree FROM x),
+own AS (SELECT x.rid, max(e.t) AS last, max(e.rid) AS number FROM x LEFT JOIN e ON e.s = x.s AND e.r = x.r AND e.v < x.v GROUP BY 1),
+deg AS (SELECT rid, coalesce(sum(ev::INT) OVER (PARTITION BY s {before}), 0)::DOUBLE AS sender_outdegree,
+  coalesce(sum(ev::INT) OVER (PARTITION BY r {before}), 0)::DOUBLE AS receiver_indegree FROM x),
 rec AS (
   SELECT x.rid, any_value(x.t) - any_value(own.last) AS recency, {_measures('e', 'e.t', full(''))},
-  {_measures('e', 'e.t', full('interrupted'), 'CASE WHEN x.s = x.r THEN e.t = own.last ELSE own.last IS NULL OR e.t > own.last END')}
-  FROM x JOIN own USING (rid) LEFT JOIN e ON e.s = x.r AND e.r = x.s AND e.t < x.t GROUP BY x.rid)
+  {_measures('e', 'e.t', full('interrupted'), 'CASE WHEN x.s = x.r THEN e.rid = own.number ELSE own.number IS NULL OR e.rid > own.number END')}
+  FROM x JOIN own USING (rid) LEFT JOIN e ON e.s = x.r AND e.r = x.s AND e.v < x.v GROUP BY x.rid)
 SELECT rid, sender_outdegree, receiver_indegree, recency, {', '.join(_names('reciprocity'))}, reciprocity_binary AS reciprocity FROM deg JOIN rec USING (rid)
 """
 
@@ -84,14 +86,14 @@ def _triad_sql(log: str, family: str) -> str:
     full = lambda g: lambda m: "_".join(filter(None, (family, m, g)))
     leg2 = " AND ".join(f"e.{col} = {'w.k' if end == 'k' else 'w.' + end}" for col, end in zip(("s", "r"), two))
     part = lambda g, marks, time, extra: f"""(SELECT x.rid, {_measures('m', f'm.{time}', full(g), extra)}
-      FROM x JOIN own USING (rid) LEFT JOIN {marks} m ON m.s = x.s AND m.r = x.r AND m.{time} < x.t GROUP BY x.rid)"""
+      FROM x JOIN own USING (rid) LEFT JOIN {marks} m ON m.s = x.s AND m.r = x.r AND m.v < x.v GROUP BY x.rid)"""
     return f"""
-WITH x AS ({log}), e AS (SELECT * FROM x WHERE ev), f AS (SELECT s, r, min(t) AS t FROM e GROUP BY s, r),
-own AS (SELECT x.rid, max(e.t) AS last FROM x LEFT JOIN e ON e.s = x.s AND e.r = x.r AND e.t < x.t GROUP BY 1),
+WITH x AS ({log}), e AS (SELECT * FROM x WHERE ev), f AS (SELECT s, r, min(t) AS t, min(v) AS v FROM e GROUP BY s, r),
+own AS (SELECT x.rid, max(e.t) AS last FROM x LEFT JOIN e ON e.s = x.s AND e.r = x.r AND e.v < x.v GROUP BY 1),
 d AS (SELECT DISTINCT s, r FROM x),
-w AS (SELECT d.s, d.r, {k('a', one)} AS k, greatest(a.t, b.t) AS f, a.t AS t1 FROM d JOIN f a ON {on('a', one)} JOIN f b ON {on('b', two)} AND {k('b', two)} = {k('a', one)}
+w AS (SELECT d.s, d.r, {k('a', one)} AS k, greatest(a.t, b.t) AS f, greatest(a.v, b.v) AS v, a.t AS t1 FROM d JOIN f a ON {on('a', one)} JOIN f b ON {on('b', two)} AND {k('b', two)} = {k('a', one)}
   WHERE {k('a', one)} NOT IN (d.s, d.r)),
-o AS (SELECT w.s, w.r, w.k, min(e.t) AS fo FROM w JOIN e ON {leg2} AND e.t > w.t1 GROUP BY 1, 2, 3)
+o AS (SELECT w.s, w.r, w.k, min(e.t) AS fo, min(e.v) AS v FROM w JOIN e ON {leg2} AND e.t > w.t1 GROUP BY 1, 2, 3)
 SELECT rid, {', '.join(_names(family))}
 FROM {part('', 'w', 'f', 'true')} JOIN {part('ordered', 'o', 'fo', 'true')} USING (rid) JOIN {part('interrupted', 'w', 'f', '(own.last IS NULL OR m.f > own.last)')} USING (rid)
 """
@@ -101,20 +103,34 @@ _MASK = "is_event"
 _DYADIC = ["sender_outdegree", "receiver_indegree", "recency", *_names("reciprocity"), "reciprocity"]
 
 
-def _register_families() -> None:
-    every = lambda sql: f"SELECT s, r, t, rid, true AS ev FROM ({sql})"
-    for mode, hide in (("rows", every), ("events", lambda sql: sql)):
+#: Events by sevens at one time, so that row order and strict order differ; a row is an event if an event has its triple.
+TIES = 7
+TIED = "SELECT s, r, floor(rid / {n}) AS t, rid, value, bool_or(ev) OVER (PARTITION BY s, r, floor(rid / {n})) AS ev FROM ({log})"
+
 
-        def run(spark, sf_dir, log, stats, mode=mode):
-            rows = log(spark, sf_dir)
-            past = rows.filter(_MASK) if mode == "events" else None
-            return _shown(endogenous_features(rows, stats, HALF_LIFE, history=past), stats)
+def _tied(log: DataFrame) -> DataFrame:
+    return log.withColumn("time", F.floor(F.col("rid") / TIES).cast("double"))
 
-        QUERIES[f"reciprocity_family_{mode}"] = lambda s, d, run=run: run(s, d, sparse_log, _DYADIC)
-        ORACLE_SQL[f"reciprocity_family_{mode}"] = _dyad_sql(hide(SPARSE))
-        for family in LEGS:
-            QUERIES[f"{family}_family_{mode}"] = lambda s, d, f=family, run=run: run(s, d, dense_log, _names(f))
-            ORACLE_SQL[f"{family}_family_{mode}"] = _triad_sql(hide(DENSE), family)
+
+def _register_families() -> None:
+    every = lambda sql: f"SELECT s, r, t, rid, true AS ev, rid AS v FROM ({sql})"
+    events = lambda sql: f"SELECT *, t AS v FROM ({sql})"
+    for mode, seen in (("rows", every), ("events", events)):
+        for ties in (False, True):
+
+            def run(spark, sf_dir, log, stats, mode=mode, ties=ties):
+                rows = log(spark, sf_dir)
+                rows = _tied(rows) if ties else rows
+                past = rows.filter(_MASK) if mode == "events" else None
+                return _shown(endogenous_features(rows, stats, HALF_LIFE, history=past), stats)
+
+            name = lambda family, mode=mode, ties=ties: f"{family}_family_{'ties_' * ties}{mode}"
+            log = lambda sql, seen=seen, ties=ties: seen(TIED.format(n=TIES, log=sql) if ties else sql)
+            QUERIES[name("reciprocity")] = lambda s, d, run=run: run(s, d, sparse_log, _DYADIC)
+            ORACLE_SQL[name("reciprocity")] = _dyad_sql(log(SPARSE))
+            for family in LEGS:
+                QUERIES[name(family)] = lambda s, d, f=family, run=run: run(s, d, dense_log, _names(f))
+                ORACLE_SQL[name(family)] = _triad_sql(log(DENSE), family)
 
 
 _register_families()
@@ -138,6 +154,15 @@ def _warm(spark, sf_dir):
     return endogenous_features(own, ["reciprocity_count", "reciprocity_time_recent"], prior_log=earlier).select("rid", "reciprocity_count", "reciprocity_time_recent")
 
 
+@registered("prior_log_warm_start_ties", f"""
+WITH x AS (SELECT s, r, floor(rid / {TIES}) AS t, rid, ev FROM ({DENSE})), q AS (SELECT * FROM x WHERE ev)
+SELECT q.rid, count(e.t)::DOUBLE AS reciprocity_count, any_value(q.t) - max(e.t) AS reciprocity_time_recent
+FROM q LEFT JOIN x e ON e.s = q.r AND e.r = q.s AND e.t < q.t GROUP BY q.rid""")
+def _warm_tied(spark, sf_dir):
+    log = _tied(dense_log(spark, sf_dir))
+    return endogenous_features(log.filter("is_event"), ["reciprocity_count", "reciprocity_time_recent"], prior_log=log.filter("NOT is_event")).select("rid", "reciprocity_count", "reciprocity_time_recent")
+
+
 @registered("standardize_event_log", f"SELECT s AS sender, r AS receiver, t AS time FROM ({TRADE}) WHERE s <> r GROUP BY ALL")
 def _standard(spark, sf_dir):
     return standardize_event_log(trade_log(spark, sf_dir), drop_loops=True, remove_duplicates=True).select("sender", "receiver", "time")
@@ -274,20 +299,56 @@ def _locf(spark, sf_dir):
 
 
 def _sampled(scope: str, mode: str, risk: str) -> Query:
-    """Per stratum of a sample: how many controls it has, and whether each is one that the rules allow; the counts are what SQL can foretell."""
+    """For each event's stratum its controls, and how many of them break a rule, found from the log apart from the sampler.
+
+    A control breaks a rule if it is a loop, the event's own dyad, if an actor isn't in scope at the event's time, or
+    (risk "remove") if its dyad fired before or at it. A stratum without any valid pair has no controls.
+    """
 
     def run(spark, sf_dir):
         log = dense_log(spark, sf_dir).select("sender", "receiver", "time", "rid")
         cc = sample_non_events(log, 2, scope, mode, risk, seed=5)
-        return cc.groupBy("event").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("stratum").alias("strata"), F.count(F.when(F.col("sender") == F.col("receiver"), 1)).alias("loops"))
+        case = cc.filter("event = 1").select("stratum", F.col("sender").alias("s"), F.col("receiver").alias("r"), F.col("time").alias("t"))
+        sent = log.groupBy(F.col("sender").alias("actor")).agg(F.min("time").alias("since"))
+        seen = log.select(F.explode(F.array("sender", "receiver")).alias("actor"), "time").groupBy("actor").agg(F.min("time").alias("since"))
+        all_until = seen.orderBy("since").limit(2).agg(F.max("since")).first()[0]  # as long as fewer than two actors have appeared, all are in scope
+        dyads = log.groupBy(F.col("sender").alias("ds"), F.col("receiver").alias("dr")).agg(F.min("time").alias("fired"))
+        out = cc.filter("event = 0").select("stratum", "sender", "receiver").join(case, "stratum").join(dyads, (F.col("sender") == F.col("ds")) & (F.col("receiver") == F.col("dr")), "left")
+        for who, tag in (("sender", "one"), ("receiver", "two")):
+            table = (sent if scope == "citation" else seen).select(F.col("actor").alias("of"), F.col("since").alias(tag))
+            out = out.join(table, F.col(who) == F.col("of"), "left").drop("of")
+        t, own_s, own_r = F.col("t"), F.col("sender") == F.col("s"), F.col("receiver") == F.col("r")
+        scoped = {
+            ("all", "one"): F.col("one").isNotNull() & F.col("two").isNotNull(), ("all", "two"): F.col("one").isNotNull() & F.col("two").isNotNull(),
+            ("appearance", "one"): (t <= all_until) | ((F.col("one") < t) & (F.col("two") < t)),
+            ("citation", "two"): (own_s | (F.col("one") == t)) & (own_r | (F.col("two") < t)), ("citation", "one"): (own_s | (F.col("sender") == F.col("r")) | (F.col("one") <= t)) & (own_r | (F.col("two") <= t)),
+        }[scope, mode]
+        broken = (F.col("sender") == F.col("receiver")) | (own_s & own_r) | ~F.coalesce(scoped, F.lit(False))
+        if risk == "remove":
+            broken = broken | F.coalesce(F.col("fired") <= t, F.lit(False))
+        found = out.groupBy("stratum").agg(F.count(F.lit(1)).alias("controls"), F.count(F.when(broken, 1)).alias("broken"))
+        every = case.select("stratum", F.col("s").alias("sender"), F.col("r").alias("receiver")).join(found, "stratum", "left")
+        return every.select("stratum", "sender", "receiver", F.coalesce("controls", F.lit(0)).cast("long").alias("controls"), F.coalesce("broken", F.lit(0)).cast("long").alias("broken"))
 
     return run
 
 
-for _scope, _mode in (("all", "two"), ("all", "one")):
-    registered(f"sample_{_scope}_{_mode}", f"SELECT 1 AS event, count(*) AS n, count(*) AS strata, count(*) FILTER (s = r) AS loops FROM ({DENSE}) UNION ALL SELECT 0, 2 * count(*), count(*), 0 FROM ({DENSE})")(_sampled(_scope, _mode, "standard"))
-for _scope, _mode, _risk in (("appearance", "one", "standard"), ("citation", "two", "standard"), ("citation", "one", "standard"), ("all", "one", "remove")):
-    registered(f"sample_{_scope}_{_mode}_{_risk}")(_sampled(_scope, _mode, _risk))
+#: The pairs that each event may be given, counted from the log.
+_ALWAYS = f"SELECT *, 1 AS pairs FROM ({DENSE})"
+_SENT = f"WITH x AS ({DENSE}), d AS (SELECT s AS a, min(t) AS since FROM x GROUP BY 1)"
+_PAIRS = {
+    ("all", "two", "standard"): _ALWAYS, ("all", "one", "standard"): _ALWAYS, ("appearance", "one", "standard"): _ALWAYS,
+    ("citation", "two", "standard"): f"{_SENT} SELECT x.*, (SELECT count(*) FROM d WHERE since < x.t AND a <> x.s AND a <> x.r) AS pairs FROM x",
+    ("citation", "one", "standard"): f"""{_SENT}, k AS (SELECT x.*, (SELECT count(*) FROM d WHERE since <= x.t) AS k, (SELECT count(*) FROM d WHERE since <= x.t AND a = x.r) AS r_sent FROM x)
+      SELECT *, (k + 1 - r_sent) * (k - r_sent) - (s <> r)::INT AS pairs FROM k""",
+    ("all", "one", "remove"): f"""WITH x AS ({DENSE}), f AS (SELECT s, r, min(t) AS t FROM x WHERE s <> r GROUP BY 1, 2), n AS (SELECT count(*) AS n FROM (SELECT s FROM x UNION SELECT r FROM x))
+      SELECT x.*, n * (n - 1) - (SELECT count(*) FROM f WHERE f.t <= x.t) AS pairs FROM x, n""",
+}
+for _scope, _mode, _risk in _PAIRS:
+    registered(
+        f"sample_{_scope}_{_mode}" + (f"_{_risk}" if (_scope, _risk) != ("all", "standard") else ""),
+        f"SELECT row_number() OVER (ORDER BY rid) AS stratum, s AS sender, r AS receiver, CASE WHEN pairs > 0 THEN 2 ELSE 0 END::BIGINT AS controls, 0::BIGINT AS broken FROM ({_PAIRS[_scope, _mode, _risk]})",
+    )(_sampled(_scope, _mode, _risk))
 
 
 @registered("clogit_step", f"""
