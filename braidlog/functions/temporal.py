@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from braidlog.storage import written
+
 
 def as_of(rows: DataFrame, values: DataFrame, time_col: str, value_time: str, value_cols: Sequence[str], by: Sequence[str] = (), first_before: bool = True, compat: bool = False) -> DataFrame:
     """rows with the values of the last row of values whose time isn't later.
@@ -24,6 +26,8 @@ def as_of(rows: DataFrame, values: DataFrame, time_col: str, value_time: str, va
     known = values.select(*keys, F.col(value_time).cast("double").alias("__time"), packed.alias("__value"), F.lit(0).alias("__kind"), F.lit(None).cast(rows.select(F.struct(*rows.columns)).schema[0].dataType).alias("__row"))
     asked = rows.select(*keys, F.col(time_col).cast("double").alias("__time"), F.lit(None).cast(known.schema["__value"].dataType).alias("__value"), F.lit(1).alias("__kind"), F.struct(*rows.columns).alias("__row"))
     both = known.unionByName(asked)
+    if not keys:
+        return _carried(both, first_before).select("__row.*", *[F.col(f"__found.{c}").alias(c) for c in value_cols])
     value = F.last("__value", ignorenulls=True).over(Window.partitionBy(*keys).orderBy("__time", "__kind").rowsBetween(Window.unboundedPreceding, 0))
     if first_before:
         ahead = F.first("__value", ignorenulls=True).over(Window.partitionBy(*keys).orderBy("__time", "__kind").rowsBetween(0, Window.unboundedFollowing))
@@ -31,10 +35,27 @@ def as_of(rows: DataFrame, values: DataFrame, time_col: str, value_time: str, va
     return both.withColumn("__found", value).filter("__kind = 1").select("__row.*", *[F.col(f"__found.{c}").alias(c) for c in value_cols])
 
 
+def _carried(both: DataFrame, first_before: bool) -> DataFrame:
+    """The rows that ask, with __found. Times are dealt by ranges, so no task has them all; a range begins with the last value of the ranges before it."""
+    parts = int(both.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = written(both.repartitionByRange(parts, "__time").withColumn("__part", F.spark_partition_id()), "carried")
+    place = F.struct("__time", "__kind")
+    ends = rows.filter("__kind = 0").groupBy("__part").agg(F.max_by("__value", place).alias("__end"), F.min_by("__value", place).alias("__begin"))
+    ends = rows.select("__part").distinct().join(ends, "__part", "left").select(F.col("__part").alias("__of"), "__end", "__begin")
+    order = Window.orderBy("__of")  # as many rows as shuffle partitions
+    before = F.last("__end", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    after = F.first("__begin", ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing))
+    ends = ends.select("__of", before.alias("__before"), after.alias("__after"))
+    value = F.last("__value", ignorenulls=True).over(Window.partitionBy("__part").orderBy("__time", "__kind").rowsBetween(Window.unboundedPreceding, 0))
+    out = rows.withColumn("__found", value).filter("__kind = 1").join(F.broadcast(ends), F.col("__part") == F.col("__of"))
+    # Only rows before all values find nothing so far: the first value of their own range or a later one is the first of all.
+    return out.withColumn("__found", F.coalesce("__found", "__before", *(["__after"] if first_before else [])))
+
+
 def as_of_small(rows: DataFrame, values: DataFrame, time_col: str, value_time: str, value_cols: Sequence[str], compat: bool = False, most: int = 100_000) -> DataFrame:
-    """The same for a short table of values (at most `most` rows, which is checked): its rows become intervals, joined by broadcast."""
+    """The same for a short table of values: its rows become intervals, joined by broadcast. A table of more than `most` rows goes through as_of."""
     if values.count() > most:
-        raise ValueError("the table of values is too long to be broadcast")
+        return as_of(rows, values, time_col, value_time, value_cols, compat=compat)
     order = Window.orderBy(value_time)
     spans = values.select(F.col(value_time).cast("double").alias("__from"), F.lead(F.col(value_time).cast("double")).over(order).alias("__to"), F.row_number().over(order).alias("__k"), *[F.col(c).alias(f"__v_{c}") for c in value_cols])
     if compat:

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from braidlog.functions.temporal import as_of_small
@@ -18,6 +19,7 @@ from braidlog.operators.log import fill_missing
 from braidlog.operators.reshape import widen_case_control
 from braidlog.operators.sampling import sample_non_events
 from braidlog.plans.features import endogenous_features
+from braidlog.plans.numbered import numbered
 from braidlog.storage import written
 
 TABLE = "model string, n_terms int, n_obs long, log_lik double, AIC double, delta_AIC double"
@@ -174,15 +176,19 @@ def martingale_residuals(log: DataFrame, stats: Sequence[str], sampling: Samplin
 def residual_process(wide: DataFrame, columns: Sequence[str]) -> DataFrame:
     """u and, for each column, the cumulative score process less a ramp to its end, in the order of strata.
 
-    wide has __p, the fitted probability of each case, and __order. The one window over all strata is the
-    process itself, one row for each event; its inputs are a few numbers each.
+    wide has __p, the fitted probability of each case, and __order, one for each row.
     """
-    order = Window.orderBy("__order")
-    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    u = F.row_number().over(order) / F.count(F.lit(1)).over(whole)
-    out = wide.select("__order", u.alias("u"), *[((1 - F.col("__p")) * F.col(c)).alias(f"g_{c}") for c in columns])
-    running = order.rowsBetween(Window.unboundedPreceding, 0)
-    return out.select("__order", "u", *[f"g_{c}" for c in columns], *[(F.sum(f"g_{c}").over(running) - F.col("u") * F.sum(f"g_{c}").over(whole)).alias(f"w_{c}") for c in columns])
+    return _process(wide.select("__order", *[((1 - F.col("__p")) * F.col(c)).alias(f"g_{c}") for c in columns]), columns)
+
+
+def _process(scored: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """__order, u, g_ and w_ of each column: running totals by ranges of the order, less a ramp to the end. scored: __order and g_."""
+    scored = numbered(scored, ["__order"], {f"before_{c}": F.col(f"g_{c}").cast("double") for c in columns})
+    whole = scored.agg(F.count(F.lit(1)).alias("n"), *[F.sum(f"g_{c}").alias(f"s_{c}") for c in columns]).first()
+    u = (F.col("__rank") + 1) / F.lit(max(1, whole["n"]))
+    ramp = {c: F.lit(float(whole[f"s_{c}"] or 0.0)) * F.col("u") for c in columns}
+    out = scored.withColumn("u", u)
+    return out.select("__order", "u", *[f"g_{c}" for c in columns], *[(F.col(f"before_{c}") + F.col(f"g_{c}") - ramp[c]).alias(f"w_{c}") for c in columns])
 
 
 def ks_p_value(t: float) -> float:
@@ -219,65 +225,118 @@ def gof_global(log: DataFrame, stats: Sequence[str], sampling: Sampling = Sampli
     return {"statistic": t, "p_value": p, "components": [{k: x[k] for k in ("covariate", "statistic", "p_value")} for x in parts]}
 
 
-def _inverse_root(J: np.ndarray, ridge: float = 1e-8) -> np.ndarray:
-    values, vectors = np.linalg.eigh(J + ridge * np.eye(len(J)))
-    return vectors @ np.diag(1 / np.sqrt(np.maximum(values, ridge))) @ vectors.T
-
-
-def bridge_suprema(n: int, q: int, n_sim: int, seed: int = 0) -> np.ndarray:
-    """Greatest squared norms of q-dimensional Brownian bridges on n points."""
-    rng, u = np.random.default_rng(seed), np.arange(1, n + 1)[:, None] / n
-    out = np.empty(n_sim)
-    for k in range(n_sim):
-        B = np.cumsum(rng.standard_normal((n, q)) / math.sqrt(n), 0)
-        out[k] = ((B - u * B[-1]) ** 2).sum(1).max()
-    return out
+def bridge_suprema(spark: SparkSession, n: int, q: int, n_sim: int, seed: int = 0, block: int = 1 << 16) -> DataFrame:
+    """sim, top: the greatest squared norm of each of n_sim q-dimensional Brownian bridges on n points, each made by a task in blocks.
 
-
-def gof_multivariate(log: DataFrame, stats: Sequence[str], covariate: str, k_basis: int = 5, n_sim: int = 1000, sampling: Sampling = Sampling(), grid: int = 2000) -> dict:
-    """The process of a curve's basis columns. The driver takes the process at `grid` of its points at most, evenly spaced."""
+    A bridge is a walk less a ramp to the walk's end, which is known after going through the same draws once before.
+    """
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for sim in batch.column(0).to_pylist():
+                walk = lambda sim=sim: ((at, np.random.default_rng((seed, sim, at)).standard_normal((min(block, n - at), q))) for at in range(0, n, block))
+                end = sum((x.sum(0) for _, x in walk()), np.zeros(q))
+                top, come = 0.0, np.zeros(q)
+                for at, x in walk():
+                    path = come + np.cumsum(x, 0)
+                    come = path[-1]
+                    left = path - np.arange(at + 1, at + len(x) + 1)[:, None] / n * end
+                    top = max(top, float((left**2).sum(1).max()) / n)
+                yield pa.RecordBatch.from_pydict({"sim": [sim], "top": [top]})
+
+    parts = max(1, min(n_sim, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    return spark.range(0, n_sim, 1, parts).mapInArrow(made, "sim long, top double")
+
+
+def gof_multivariate(log: DataFrame, stats: Sequence[str], covariate: str, k_basis: int = 5, n_sim: int = 1000, sampling: Sampling = Sampling()) -> dict:
+    """The process of a curve's basis columns, against Brownian bridges on as many points. W: a table of u and the process's columns."""
     if covariate not in stats or k_basis < 4 or n_sim < 50:
         raise ValueError("covariate, k_basis or n_sim")
     ready = prepare_linear(log, stats, sampling)
     others = [Term("linear", s) for s in stats if s != covariate]
     fit = fit_smooth(ready.wide.drop("__p"), [Term("nl", covariate), *others], k=k_basis)
-    block = fit.blocks[0]
-    basis_range = ready.wide.agg(F.min(F.least(f"{covariate}_ev", f"{covariate}_nv")).alias("lo"), F.max(F.greatest(f"{covariate}_ev", f"{covariate}_nv")).alias("hi")).first()
-    basis = Basis(float(basis_range["lo"]), float(basis_range["hi"]), k_basis)
-    rows = ready.wide.select("__order", *[F.col(c).cast("double") for c in (f"{covariate}_ev", f"{covariate}_nv", *[f"d_{s}" for s in stats if s != covariate])]).orderBy("__order").toArrow()
-    held = [rows[c].to_numpy() for c in rows.column_names[1:]]
-    H = basis(held[0]) - basis(held[1])
-    eta = np.concatenate([H, *(x[:, None] for x in held[2:])], 1) @ fit.beta
-    G = H[:, : block.size - 1] * (1 - 1 / (1 + np.exp(-eta)))[:, None]  # the columns sum to one at each end
-    n = len(G)
-    cum = np.cumsum(G, 0)
-    W = ((cum - (np.arange(1, n + 1) / n)[:, None] * cum[-1]) / math.sqrt(n)) @ _inverse_root(G.T @ G / n)
-    statistic = float((W**2).sum(1).max())
-    sims = bridge_suprema(min(n, grid), W.shape[1], n_sim, sampling.seed)
-    return {"statistic": statistic, "p_value": float((sims >= statistic).mean()), "W": W, "covariate": covariate, "n_sim": n_sim}
+    q, beta = fit.blocks[0].size - 1, fit.beta  # the columns sum to one at each end
+    edges = ready.wide.agg(F.min(F.least(f"{covariate}_ev", f"{covariate}_nv")).alias("lo"), F.max(F.greatest(f"{covariate}_ev", f"{covariate}_nv")).alias("hi")).first()
+    basis = Basis(float(edges["lo"]), float(edges["hi"]), k_basis)
+    names = [str(k) for k in range(q)]
+
+    def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            H = basis(held[1]) - basis(held[2])
+            eta = np.concatenate([H, *(x[:, None] for x in held[3:])], 1) @ beta
+            G = H[:, :q] * (1 - 1 / (1 + np.exp(-eta)))[:, None]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(g) for g in G.T)], names=["__order", *(f"g_{c}" for c in names)])
+
+    picked = ready.wide.select("__order", *[F.col(c).cast("double") for c in (f"{covariate}_ev", f"{covariate}_nv", *[f"d_{s}" for s in stats if s != covariate])])
+    process = _process(picked.mapInArrow(scores, ", ".join(["__order long", *(f"g_{c} double" for c in names)])), names)
+    pairs = [(a, b) for a in range(q) for b in range(a, q)]
+    sums = process.agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.col(f"g_{a}") * F.col(f"g_{b}")).alias(f"j{a}_{b}") for a, b in pairs]).first()
+    n, J = sums["n"], np.zeros((q, q))
+    for a, b in pairs:
+        J[a, b] = J[b, a] = sums[f"j{a}_{b}"] / n
+    spread, axes = np.linalg.eigh(J + 1e-8 * np.eye(q))
+    root = axes / np.sqrt(np.maximum(spread, 1e-8)) @ axes.T / math.sqrt(n)
+    columns = [sum((F.col(f"w_{a}") * float(root[a, b]) for a in range(q)), F.lit(0.0)) for b in range(q)]
+    W = process.select("__order", "u", *[c.alias(f"W{b}") for b, c in enumerate(columns)])
+    statistic = float(W.agg(F.max(sum((F.col(f"W{b}") ** 2 for b in range(q)), F.lit(0.0)))).first()[0])
+    p = bridge_suprema(log.sparkSession, n, q, n_sim, sampling.seed).agg(F.avg((F.col("top") >= statistic).cast("double"))).first()[0]
+    return {"statistic": statistic, "p_value": float(p), "W": W, "covariate": covariate, "n_sim": n_sim}
 
 
 def gof_auxiliary(log: DataFrame, stats: Sequence[str], auxiliary: str, n_sim: int = 1000, sampling: Sampling = Sampling()) -> dict:
-    """A statistic outside the model: its residual process against signs drawn anew, the model's own score taken out."""
+    """A statistic outside the model: its residual process against signs drawn anew, the model's own score taken out.
+
+    The order is dealt by ranges. A range's sums for every simulation come first; with those of the ranges
+    before it, it then follows each simulated path by itself. The driver gets sums: ranges by simulations.
+    """
     if auxiliary in stats:
         raise ValueError(f"{auxiliary} is in the model")
     data = case_control_features(log, [*stats, auxiliary], sampling)
     wide = written(widen_case_control(data, "event", "stratum", [*stats, auxiliary]), "wide")
     fit = newton(lambda b: difference_step(wide, [f"d_{s}" for s in stats], b), list(stats))
-    columns = [f"d_{s}" for s in [*stats, auxiliary]]
-    rows = wide.select(F.col("stratum").cast("long").alias("o"), *columns).orderBy("o").toArrow()
-    D = np.stack([rows[c].to_numpy() for c in columns], 1)
-    p = 1 / (1 + np.exp(-(D[:, :-1] @ fit.beta)))
-    X, h, r = D[:, :-1], D[:, -1], 1 - p
-    w = p * (1 - p)
-    n = len(r)
-    cum = np.cumsum(h * r)
-    # How the process moves with the coefficients, along the order.
-    drift = np.cumsum((h * w)[:, None] * X, 0) @ np.linalg.pinv((X * w[:, None]).T @ X)
-    observed = float(np.abs(cum).max() / math.sqrt(n))
-    rng, more = np.random.default_rng(sampling.seed + 17), 0
-    for _ in range(n_sim):
-        e = rng.standard_normal(n) * r
-        path = np.cumsum(h * e) - drift @ (X * e[:, None]).sum(0)
-        more += np.abs(path).max() / math.sqrt(n) >= observed
-    return {"statistic": observed, "p_value": float((1 + more) / (1 + n_sim)), "auxiliary": auxiliary, "n_sim": n_sim}
+    columns, p, seed, beta = [f"d_{s}" for s in [*stats, auxiliary]], len(stats), sampling.seed + 17, fit.beta
+    parts = int(log.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = wide.select(F.col("stratum").cast("long").alias("o"), *[F.col(c).cast("double") for c in columns])
+    rows = written(rows.repartitionByRange(parts, "o").withColumn("part", F.spark_partition_id()), "ranges")
+
+    def read(table: pa.Table) -> tuple[np.ndarray, ...]:
+        table = table.sort_by("o")
+        D = np.stack([table[c].to_numpy() for c in columns], 1)
+        X, h = D[:, :-1], D[:, -1]
+        fitted = 1 / (1 + np.exp(-(X @ beta)))
+        return X, h, 1 - fitted, fitted * (1 - fitted)
+
+    def signs(part: int, n: int) -> Iterator[tuple[int, np.ndarray]]:
+        for sim in range(n_sim):
+            yield sim, np.random.default_rng((seed, part, sim)).standard_normal(n)
+
+    def sums(key: tuple, table: pa.Table) -> pa.Table:
+        X, h, r, w = read(table)
+        drawn = [np.append((h * r * e).sum(), (X * (r * e)[:, None]).sum(0)) for _, e in signs(key[0].as_py(), len(h))]
+        own = np.concatenate([[len(h), (h * r).sum()], ((h * w)[:, None] * X).sum(0), ((X * w[:, None]).T @ X).ravel()])
+        return pa.table({"part": [key[0].as_py()], "own": [own.tolist()], "drawn": [np.concatenate(drawn).tolist()]}, schema=pa.schema([("part", pa.int32()), ("own", pa.list_(pa.float64())), ("drawn", pa.list_(pa.float64()))]))
+
+    found = sorted(rows.groupBy("part").applyInArrow(sums, "part int, own array<double>, drawn array<double>").collect(), key=lambda x: x["part"])
+    if not found:
+        return {"statistic": 0.0, "p_value": 1.0, "auxiliary": auxiliary, "n_sim": n_sim}
+    own, drawn = np.array([x["own"] for x in found]), np.array([x["drawn"] for x in found]).reshape(len(found), n_sim, p + 1)
+    n = int(own[:, 0].sum())
+    inverse = np.linalg.pinv(own[:, 2 + p :].sum(0).reshape(p, p))
+    # Per range: what the process, the simulated processes and their drift have come to before it; per simulation: the model's score.
+    earlier = lambda x: np.cumsum(x, 0) - x
+    starts = {x["part"]: (a, b, c) for x, a, b, c in zip(found, earlier(own[:, 1]), earlier(own[:, 2 : 2 + p]), earlier(drawn[:, :, 0]))}
+    score = drawn[:, :, 1:].sum(0) @ inverse
+
+    def tops(key: tuple, table: pa.Table) -> pa.Table:
+        X, h, r, w = read(table)
+        came, drifted, walked = starts[key[0].as_py()]
+        drift = drifted + np.cumsum((h * w)[:, None] * X, 0)
+        top = [np.abs(came + np.cumsum(h * r)).max()]
+        for sim, e in signs(key[0].as_py(), len(h)):
+            top.append(np.abs(walked[sim] + np.cumsum(h * r * e) - drift @ score[sim]).max())
+        return pa.table({"sim": pa.array(range(-1, n_sim), pa.int32()), "top": pa.array(top, pa.float64())})
+
+    top = rows.groupBy("part").applyInArrow(tops, "sim int, top double").groupBy("sim").agg((F.max("top") / math.sqrt(n)).alias("top"))
+    observed = top.filter("sim < 0").first()["top"]
+    more = top.filter((F.col("sim") >= 0) & (F.col("top") >= observed)).count()
+    return {"statistic": float(observed), "p_value": (1 + more) / (1 + n_sim), "auxiliary": auxiliary, "n_sim": n_sim}

@@ -17,7 +17,7 @@ def numbered(df: DataFrame, order: list[str], totals: dict[str, Column] | None =
     """
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     totals = totals or {}
-    rows = df.withColumns({f"__add_{k}": c.cast("long") for k, c in totals.items()})
+    rows = df.withColumns({f"__add_{k}": c for k, c in totals.items()})
     rows = written(rows.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id()), "numbered")
     sums = rows.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"), *[F.sum(f"__add_{k}").alias(f"__sum_{k}") for k in totals])
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)

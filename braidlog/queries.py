@@ -438,7 +438,7 @@ def _rem_nn(spark, sf_dir):
     from braidlog.models.nn import NetControl
     from braidlog.models.rem import rem
 
-    fit = rem("value", _cases(spark, sf_dir), "nn", stratum="stratum", nn=NetControl(epochs=40, seed=1))
+    fit = rem("value", _cases(spark, sf_dir), "nn", stratum="stratum", nn=NetControl(seed=1))
     return spark.createDataFrame([(fit.n, fit.parameters, fit.concordance, float(fit.log_lik))], "n long, parameters long, concordance double, log_lik double")
 
 
@@ -467,7 +467,7 @@ def _gof_one(spark, sf_dir):
 def _gof_many(spark, sf_dir):
     from braidlog.models.compare import Sampling, gof_multivariate
 
-    got = gof_multivariate(_events(spark, sf_dir), _STATS, _STATS[0], n_sim=200, sampling=Sampling(seed=11))
+    got = gof_multivariate(_events(spark, sf_dir), _STATS, _STATS[0], sampling=Sampling(seed=11))
     return spark.createDataFrame([(got["covariate"], float(got["statistic"]), float(got["p_value"]))], "covariate string, statistic double, p_value double")
 
 
@@ -475,7 +475,7 @@ def _gof_many(spark, sf_dir):
 def _gof_other(spark, sf_dir):
     from braidlog.models.compare import Sampling, gof_auxiliary
 
-    got = gof_auxiliary(_events(spark, sf_dir), _STATS[:1], _STATS[1], 200, Sampling(seed=11))
+    got = gof_auxiliary(_events(spark, sf_dir), _STATS[:1], _STATS[1], sampling=Sampling(seed=11))
     return spark.createDataFrame([(got["auxiliary"], float(got["statistic"]), float(got["p_value"]))], "auxiliary string, statistic double, p_value double")
 
 

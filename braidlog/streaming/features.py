@@ -2,7 +2,8 @@
 
 Rows of a micro-batch are read in (time, number) order, each sees those before it, and rows of earlier
 batches come before. Statistics of past rows can't be taken back, so a stream must be in order up to
-its watermark: a row that is older than what its key has seen is dropped and counted as late.
+its watermark: a row that is older than what its key has seen is given with late set, without
+statistics, and isn't counted by later rows; so a sink can count or keep late rows.
 """
 
 from __future__ import annotations
@@ -49,13 +50,14 @@ class DyadProcessor(StatefulProcessor):
         seen = max((s[2] for s in state.values() if s), default=-math.inf)
         for s, r, t, rid in batch[["sender", "receiver", "time", "rid"]].itertuples(index=False):
             if t < seen:
-                continue  # late
+                out.append((s, r, t, rid, *[None] * len(DYAD), True))
+                continue
             seen = t
             up = s < r
             own, back = state[up], state[up] if s == r else state[not up]
             n = back[0] if back else 0.0
             decay = back[3] * math.exp(-self.rate * (t - back[2])) if back and self.rate else 0.0
-            out.append((s, r, t, rid, t - own[2] if own else None, int(n > 0), n, t - back[2] if back else None, t - back[1] if back else None, decay))
+            out.append((s, r, t, rid, t - own[2] if own else None, int(n > 0), n, t - back[2] if back else None, t - back[1] if back else None, decay, False))
             if own:
                 own[3] = own[3] * math.exp(-self.rate * (t - own[2])) + 1
                 own[0], own[2] = own[0] + 1, t
@@ -64,7 +66,8 @@ class DyadProcessor(StatefulProcessor):
         for up, s in state.items():
             if s:
                 self.ways.updateValue((up,), tuple(s))
-        yield pd.DataFrame(out, columns=["sender", "receiver", "time", "rid", *DYAD])
+        out = pd.DataFrame(out, columns=["sender", "receiver", "time", "rid", *DYAD, "late"])
+        yield out.astype({"reciprocity_binary": "Int32"})
 
     def close(self) -> None:
         pass
@@ -80,46 +83,48 @@ def dyad_state(log: DataFrame, half_life: float | None = None) -> DataFrame:
 
 
 def stream_dyad_features(stream: DataFrame, half_life: float | None = None, initial: DataFrame | None = None) -> DataFrame:
-    """sender, receiver, time, rid and the statistics of DYAD of a stream with these columns."""
+    """sender, receiver, time, rid, the statistics of DYAD and late of a stream with these columns."""
     rows = stream.select(F.col("sender").cast("string"), F.col("receiver").cast("string"), F.col("time").cast("double"), F.col("rid").cast("long"))
     rows = rows.withColumns({"lo": F.least("sender", "receiver"), "hi": F.greatest("sender", "receiver")})
-    schema = f"{_ROW}, recency double, reciprocity_binary int, reciprocity_count double, reciprocity_time_recent double, reciprocity_time_first double, reciprocity_exp_decay double"
+    schema = f"{_ROW}, recency double, reciprocity_binary int, reciprocity_count double, reciprocity_time_recent double, reciprocity_time_first double, reciprocity_exp_decay double, late boolean"
     return rows.groupBy("lo", "hi").transformWithStateInPandas(DyadProcessor(half_life), schema, "Append", "None", initial.groupBy("lo", "hi") if initial is not None else None)
 
 
 class DegreeProcessor(StatefulProcessor):
-    """Keeps how many events an actor has had."""
+    """Keeps how many events an actor has had, and the time of the last."""
 
     def __init__(self, name: str):
         self.name = name
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.count = handle.getValueState("count", T.StructType([T.StructField("n", T.LongType())]))
+        self.count = handle.getValueState("count", T.StructType([T.StructField("n", T.LongType()), T.StructField("last", T.DoubleType())]))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
         batch = pd.concat(list(rows)).sort_values(["time", "rid"])
-        n = self.count.get()[0] if self.count.exists() else 0
-        self.count.update((n + len(batch),))
-        yield batch[["rid"]].assign(**{self.name: [float(n + k) for k in range(len(batch))]})
+        n, last = self.count.get() if self.count.exists() else (0, -math.inf)
+        newest = batch["time"].cummax().clip(lower=last)
+        late = batch["time"] < newest
+        before = n + (~late).cumsum() - (~late)
+        self.count.update((int(n + (~late).sum()), float(newest.iloc[-1])))
+        yield pd.DataFrame({"rid": batch["rid"], self.name: before.astype(float).mask(late), "late": late})
 
     def close(self) -> None:
         pass
 
 
 def stream_degree(stream: DataFrame, actor: str = "sender") -> DataFrame:
-    """rid and sender_outdegree (or receiver_indegree) of a stream."""
+    """rid, sender_outdegree (or receiver_indegree) and late of a stream."""
     name = "sender_outdegree" if actor == "sender" else "receiver_indegree"
     rows = stream.select(F.col(actor).cast("string").alias("actor"), F.col("time").cast("double"), F.col("rid").cast("long"))
-    return rows.groupBy("actor").transformWithStateInPandas(DegreeProcessor(name), f"rid long, {name} double", "Append", "None")
+    return rows.groupBy("actor").transformWithStateInPandas(DegreeProcessor(name), f"rid long, {name} double, late boolean", "Append", "None")
 
 
 class TriadSink:
     """For foreachBatch: statistics of two-paths of each batch, over all events of the batches so far.
 
     What a batch needs of the past is kept as a table of events under path; a batch is the log and the
-    table is its prior log, so results are those of one strict run. Only first events of edges and the
-    events of dyads matter to two-paths, so compact() can thin the table of repeats when only plain counts are wanted.
-    A batch that is given again replaces what it wrote.
+    table is its prior log, so results are those of one strict run. A late row sees the events before its time;
+    rows of earlier batches aren't given anew. A batch that is given again replaces what it wrote.
     """
 
     def __init__(self, path: str, stats: list[str], half_life: float | None = None):

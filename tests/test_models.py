@@ -178,5 +178,33 @@ def test_goodness_of_fit(log):
     assert gof_global(log, ["reciprocity_count"], s)["p_value"] == pytest.approx(one["p_value"], abs=1e-9)
     assert 0 <= gof_multivariate(log, stats, "sender_outdegree", n_sim=60, sampling=s)["p_value"] <= 1
     assert 0 < gof_auxiliary(log, ["reciprocity_count"], "sender_outdegree", 60, s)["p_value"] <= 1
+
+
+def test_processes_by_ranges(spark, log):
+    """Goodness of fit whose order is dealt by ranges, against the whole order at once."""
+    from braidlog.models.compare import bridge_suprema, case_control_features, residual_process
+    from braidlog.models.likelihood import difference_step, newton
+    from braidlog.operators.reshape import widen_case_control
+
+    s = Sampling(seed=3)
+    stats = ["reciprocity_count", "sender_outdegree"]
+    wide = widen_case_control(case_control_features(log, stats, s), "event", "stratum", stats)
+    fit = newton(lambda b: difference_step(wide, ["d_reciprocity_count"], b), stats[:1])
+    rows = sorted((int(r["stratum"]), r["d_reciprocity_count"], r["d_sender_outdegree"]) for r in wide.collect())
+    x, h = np.array([r[1] for r in rows], float), np.array([r[2] for r in rows], float)
+    r = 1 - 1 / (1 + np.exp(-x * fit.beta[0]))
+    got = gof_auxiliary(log, stats[:1], stats[1], 200, s)
+    assert got["statistic"] == pytest.approx(np.abs(np.cumsum(h * r)).max() / np.sqrt(len(r)), rel=1e-9)
+    w, rng = r * (1 - r), np.random.default_rng(0)
+    drift = np.cumsum(h * w * x) / (w * x * x).sum()
+    tops = [np.abs(np.cumsum(h * r * e) - drift * (x * r * e).sum()).max() / np.sqrt(len(r)) for e in rng.standard_normal((2000, len(r)))]
+    assert abs(got["p_value"] - np.mean(np.array(tops) >= got["statistic"])) < 0.12
+    with_p = wide.withColumns({"__order": wide["stratum"].cast("long"), "__p": F.lit(1.0) - 1 / (1 + F.exp(F.col("d_reciprocity_count") * float(fit.beta[0])))})
+    process = residual_process(with_p, ["d_sender_outdegree"]).orderBy("__order").collect()
+    want = np.cumsum(h * r) - np.arange(1, len(r) + 1) / len(r) * (h * r).sum()
+    assert [p["w_d_sender_outdegree"] for p in process] == pytest.approx(want, abs=1e-8)
+    for block in (7, 1 << 16):  # blocks change the draws, not the law: suprema of a one-dimensional bridge
+        top = np.sqrt([t["top"] for t in bridge_suprema(spark, 400, 1, 600, block=block).collect()])
+        assert abs((top > 1.2238).mean() - 0.1) < 0.05
     assert ks_p_value(0) == 1 and ks_p_value(1.36) == pytest.approx(0.049, abs=0.002)
     assert cauchy_combination([0.03])[1] == pytest.approx(0.03)

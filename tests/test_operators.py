@@ -1,5 +1,7 @@
 import math
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -80,6 +82,16 @@ def test_as_of(spark):
     for f in (as_of, as_of_small):
         assert dict(rows(f(asked, known, "time", "at", ["v"]), "time")) == want
         assert dict(rows(f(asked, known, "time", "at", ["v"], compat=True), "time")) == {**want, 9.0: 20.0}
+    draw = random.Random(5)
+    asked = frame(spark, [(draw.choice([-3.0, -1.0, 0.5]) + k % 90,) for k in range(400)], "time double").distinct()
+    known = frame(spark, [(float(t), float(t) / 7) for t in draw.sample(range(2, 80), 30)], "at double, v double")
+    table = sorted((r["at"], r["v"]) for r in known.collect())
+    want = {t: next((v for at, v in reversed(table) if at <= t), table[0][1]) for (t,) in rows(asked, "time")}
+    for found in (as_of(asked, known, "time", "at", ["v"]), as_of_small(asked, known, "time", "at", ["v"], most=1)):
+        assert dict(rows(found, "time")) == want
+    early = dict(rows(as_of(asked, known, "time", "at", ["v"], first_before=False), "time"))
+    assert early == {t: v if t >= table[0][0] else None for t, v in want.items()}
+    assert dict(rows(as_of(asked, known.limit(0), "time", "at", ["v"]), "time")) == dict.fromkeys(want)
     assert [r["time"] for r in days_since_first(frame(spark, [(86_400.0,), (259_200.0,)], "time double")).orderBy("time").collect()] == [0.0, 2.0]
 
 

@@ -54,6 +54,18 @@ def test_initial_state(spark, tmp_path, log):
     close(played(spark, tmp_path, log[40:], 2, lambda s: stream_dyad_features(s, 6.0, before), "warm"), whole, DYAD)
 
 
+def test_late_rows_are_given_without_statistics(spark, tmp_path):
+    rows = [("a", "b", 1.0, 0), ("b", "a", 5.0, 1), ("a", "b", 3.0, 2), ("b", "a", 5.0, 3), ("a", "b", 6.0, 4), ("c", "a", 2.0, 5)]
+    got = {r["rid"]: r for r in played(spark, tmp_path, rows, 3, stream_dyad_features, "late_dyads").collect()}
+    assert [got[k]["late"] for k in range(6)] == [False, False, True, False, False, False]
+    assert got[2]["reciprocity_count"] is None and got[4]["reciprocity_count"] == 2.0 and got[4]["recency"] == 5.0
+    got = {r["rid"]: (r["sender_outdegree"], r["late"]) for r in played(spark, tmp_path, rows, 3, stream_degree, "late_degrees").collect()}
+    assert got == {0: (0.0, False), 1: (0.0, False), 2: (1.0, False), 3: (1.0, False), 4: (2.0, False), 5: (0.0, False)}
+    back = [("a", "b", 1.0, 0), ("a", "c", 5.0, 1), ("a", "b", 3.0, 2), ("a", "b", 5.0, 3)]
+    got = {r["rid"]: (r["sender_outdegree"], r["late"]) for r in played(spark, tmp_path, back, 2, stream_degree, "late_again").collect()}
+    assert got == {0: (0.0, False), 1: (1.0, False), 2: (None, True), 3: (2.0, False)}
+
+
 def test_two_paths_by_batches(spark, tmp_path, log):
     stats = ["transitivity_count", "cyclic_count_ordered", "sending_balance_time_recent_interrupted"]
     sink = TriadSink(str(tmp_path / "kept"), stats)
