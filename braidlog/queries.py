@@ -418,11 +418,46 @@ def _compare_global(spark, sf_dir):
     return compare_models_global(_events(spark, sf_dir), {"time": {"reciprocity_count": "linear", "time": "global_time"}}, sampling=Sampling(seed=11), k=6)[0]
 
 
-@registered("rem_clogit")
+#: Newton's steps for one coefficient, written out: each reads the sums of the log-likelihood of strata at the last value.
+_STEPS = 12
+
+
+def _newton_sql(sums: str) -> str:
+    """CTEs b0, b1, ...: sums is a SELECT of gradient g and curvature h at {b}."""
+    return ", ".join(["b0 AS (SELECT 0.0::DOUBLE AS b)"] + [f"b{k} AS MATERIALIZED (SELECT b - g / h AS b FROM b{k - 1}, ({sums.format(b=f'(SELECT b FROM b{k - 1})')}))" for k in range(1, _STEPS + 1)])
+
+
+_STRATA_SUMS = """SELECT sum(m - c) AS g, sum(q - m * m) AS h FROM (SELECT g, sum(exp({b} * v) * v) / sum(exp({b} * v)) AS m, sum(exp({b} * v) * v * v) / sum(exp({b} * v)) AS q, max(v) FILTER (y) AS c
+  FROM x GROUP BY g HAVING count(*) FILTER (y) = 1 AND count(*) > 1)"""
+_PAIR_SUMS = "SELECT sum(-d * (1 - 1 / (1 + exp(-{b} * d)))) AS g, sum(d * d * (1 / (1 + exp(-{b} * d))) * (1 - 1 / (1 + exp(-{b} * d)))) AS h FROM d"
+
+
+@registered("rem_clogit", f"""
+WITH x AS (SELECT floor(rid / 4)::BIGINT AS g, rid % 4 = 0 AS y, value AS v FROM ({SPARSE})), {_newton_sql(_STRATA_SUMS)}
+SELECT 'value' AS term, round(b, 8) AS estimate, round(1 / sqrt(h), 8) AS std_error, round(b * sqrt(h), 5) AS z FROM b{_STEPS}, ({_STRATA_SUMS.format(b=f"(SELECT b FROM b{_STEPS})")})""")
 def _rem_clogit(spark, sf_dir):
     from braidlog.models.rem import rem
 
-    return _rows(spark, rem("value", _cases(spark, sf_dir), "clogit", stratum="stratum").summary(), "term string, estimate double, std_error double, z double")
+    fit = _rows(spark, rem("value", _cases(spark, sf_dir), "clogit", stratum="stratum").summary(), "term string, estimate double, std_error double, z double")
+    return fit.select("term", F.round("estimate", 8).alias("estimate"), F.round("std_error", 8).alias("std_error"), F.round("z", 5).alias("z"))
+
+
+@registered("gof_univariate_pairs", f"""
+WITH x AS (SELECT *, floor(rid / 4)::BIGINT AS g, rid % 4 AS k FROM ({SPARSE})), d AS (SELECT a.g, a.value - b.value AS d FROM x a JOIN x b ON a.g = b.g AND a.k = 0 AND b.k = 1),
+{_newton_sql(_PAIR_SUMS)}, s AS (SELECT g, d * (1 - 1 / (1 + exp(-(SELECT b FROM b{_STEPS}) * d))) AS v FROM d),
+c AS (SELECT g, count(*) OVER () AS n, row_number() OVER (ORDER BY g) / count(*) OVER () AS u, sum(v) OVER (ORDER BY g) AS run, sum(v) OVER () AS total, avg(v * v) OVER () AS J FROM s),
+w AS (SELECT g, u, (run - u * total) / sqrt(n) / sqrt(J + 1e-8) AS W FROM c), t AS (SELECT max(abs(W)) AS top FROM w)
+SELECT round(u, 6) AS u, round(W, 4) AS W, round(top, 4) AS statistic, round((SELECT least(1, greatest(0, 2 * sum((CASE WHEN k % 2 = 1 THEN 1 ELSE -1 END) * exp(-2 * k * k * top * top)))) FROM generate_series(1, 100) i(k)), 4) AS p_value FROM w, t""")
+def _gof_pairs(spark, sf_dir):
+    from braidlog.models.compare import Prepared, Sampling, gof_univariate
+    from braidlog.models.likelihood import difference_step, newton
+
+    cases = _cases(spark, sf_dir)
+    wide = widen_case_control(cases, stratum="stratum", covariates=["value"])
+    fit = newton(lambda b: difference_step(wide, ["d_value"], b), ["value"])
+    wide = wide.withColumns({"__p": 1 / (1 + F.exp(-float(fit.beta[0]) * F.col("d_value"))), "__order": F.col("stratum").cast("long")})
+    got = gof_univariate(cases, ["value"], "value", Sampling(), Prepared(["value"], fit, wide, cases))
+    return got["process"].select(F.round("u", 6).alias("u"), F.round("W", 4).alias("W"), F.lit(round(got["statistic"], 4)).alias("statistic"), F.lit(round(got["p_value"], 4)).alias("p_value"))
 
 
 @registered("rem_gam")
