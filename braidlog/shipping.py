@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import shutil
 import tempfile
 from pathlib import Path
@@ -17,6 +18,7 @@ def ship_package(spark: SparkSession) -> None:
     if context.applicationId in _shipped:
         return
     folder = Path(__file__).resolve().parent
-    archive = shutil.make_archive(f"{tempfile.mkdtemp(prefix='braidlog-code-')}/braidlog", "zip", folder.parent, folder.name)
-    context.addPyFile(archive)
+    made = tempfile.mkdtemp(prefix="braidlog-code-")
+    atexit.register(shutil.rmtree, made, ignore_errors=True)  # executors fetch the archive from the driver as long as it runs
+    context.addPyFile(shutil.make_archive(f"{made}/braidlog", "zip", folder.parent, folder.name))
     _shipped.add(context.applicationId)

@@ -3,18 +3,27 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import gc
+import re
 import shutil
 import tempfile
 import uuid
 
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Tables that written() made and nobody discarded, with their contexts; they go when the driver ends.
+_left: dict[str, SparkContext] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local folder, if driver and executors are one process."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="braidlog-")
         atexit.register(shutil.rmtree, folder, ignore_errors=True)
         found = f"file://{folder}"
@@ -22,6 +31,19 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def _delete(context: SparkContext, at: str) -> None:
+    path = context._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@atexit.register
+def _clear() -> None:
+    for at, context in _left.items():
+        with contextlib.suppress(Exception):  # the session may have ended before
+            if context._jsc is not None:
+                _delete(context, at)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder, read back: lineage is cut and a lost executor costs nothing of it.
 
@@ -33,6 +55,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_at = path
+    _left[path] = spark.sparkContext
     del df
     gc.collect()
     spark.sparkContext._jvm.System.gc()
@@ -42,6 +65,5 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def discard(*tables: DataFrame) -> None:
     """Deletes tables that written() made and that no plan reads any more."""
     for df in tables:
-        context = df.sparkSession.sparkContext
-        path = context._jvm.org.apache.hadoop.fs.Path(df.written_at)
-        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(df.sparkSession.sparkContext, df.written_at)
+        _left.pop(df.written_at, None)

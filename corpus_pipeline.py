@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from braidlog.llm.common import kept_by, read, without, written
+from braidlog.llm.common import discard, kept_by, read, without, written
 from braidlog.llm.dedup import drop_exact_duplicates
 from braidlog.llm.jaccard import jaccard_components
 from braidlog.llm.queries import op3_packing_of, quality_network, toxicity_network
@@ -55,8 +55,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of the last stage; each stage is written to the shared folder and read again."""
-    docs = read(spark, sf_dir, "documents")
+    """The rows of the last stage; each stage is written to the shared folder and read again, and goes when the next one is written.
+
+    A document with a null id has no label and no component and stays if its score lets it; a null text is empty.
+    Repeated rows are exact copies, of which one stays. Other columns go along to the last stage but one, whatever their names.
+    An empty table gives no rows.
+    """
+    docs, before = read(spark, sf_dir, "documents"), []
     for k, (_, stage) in enumerate(STAGES):
         docs = written(stage(spark, docs, sf_dir), f"pipeline{k}")
+        discard(*before)
+        before = [docs]
     return docs
