@@ -165,3 +165,27 @@ def test_pipeline_keeps_what_its_stages_keep(spark, tmp_path):
         docs = spark.read.parquet(path)
     pieces = pipeline.STAGES[-1][1](spark, docs, source)
     assert {r["doc_id"] for r in pieces.collect()} == {r["doc_id"] for r in docs.collect()}
+
+
+def test_pipeline_on_odd_tables(spark, tmp_path):
+    """Repeated rows, null ids, null texts and columns with names that the stages use; an empty table."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    table = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(30)
+    spark.read.parquet("/root/testdata/sf0.001/labels.parquet").write.parquet(f"{tmp_path}/labels.parquet")
+    odd = table.withColumns({"__row": F.lit("x"), "sig": F.lit(1), "component": F.lit(2), "__hash": F.lit(None).cast("string")})
+    nameless = odd.limit(1).withColumns({"doc_id": F.lit(None).cast("long"), "text": F.concat("text", F.lit(" another end of a text that has no id"))})
+    odd = odd.unionByName(odd).unionByName(nameless).unionByName(odd.limit(2).withColumns({"doc_id": F.col("doc_id") + 10_000, "text": F.lit(None).cast("string")}))
+    odd.write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for _, stage in pipeline.STAGES[:-1]:
+        after = stage(spark, docs, str(tmp_path))
+        assert after.columns == odd.columns
+        path = f"{tmp_path}/{_.replace(' ', '_')}"
+        after.write.parquet(path)
+        docs = spark.read.parquet(path)
+    assert docs.count() == docs.dropDuplicates(["text"]).count() > 0
+    last = {r["doc_id"] for r in pipeline.run(spark, str(tmp_path)).collect()}
+    assert last == {r["doc_id"] for r in docs.collect()}
+    docs.limit(0).write.parquet(f"{tmp_path}/none/documents.parquet")
+    spark.read.parquet(f"{tmp_path}/labels.parquet").write.parquet(f"{tmp_path}/none/labels.parquet")
+    assert pipeline.run(spark, f"{tmp_path}/none").count() == 0
