@@ -89,8 +89,9 @@ def compare_models(log: DataFrame, models: Mapping[str, Sequence[str]], sampling
 
 
 def compare_models_smooth(log: DataFrame, models: Mapping[str, Mapping[str, str]], sampling: Sampling = Sampling(), k: int = 8) -> tuple[DataFrame, dict[str, object]]:
-    """The same for specifications that give each statistic an effect: linear, tv, nl or tvnl. A fit that fails is a row of nulls."""
+    """The same for specifications that give each statistic an effect: linear, tv, nl or tvnl. One control. A fit that fails is a row of nulls."""
     _checked(models)
+    _one_control(sampling)
     stats = list(dict.fromkeys(s for m in models.values() for s in m))
     data = case_control_features(log, stats, sampling)
     wide = widen_case_control(data, "event", "stratum", [*stats, "time"]).withColumnRenamed("time_ev", "time")
@@ -111,9 +112,10 @@ def compare_models_global(log: DataFrame, models: Mapping[str, Mapping[str, str]
 
     A control is looked at an exponential time before its event, shift_scale mean gaps long on average
     and drawn by a hash, so a shared value differs within a stratum. Covariates are the last ones known
-    then (compat: the last row of the table is never used).
+    then (compat: the last row of the table is never used). One control.
     """
     _checked(models)
+    _one_control(sampling)
     shared = ("global_smooth", "global_cyclic", "global_time")
     stats = list(dict.fromkeys(s for m in models.values() for s, kind in m.items() if kind not in shared))
     values = list(dict.fromkeys(s for m in models.values() for s, kind in m.items() if kind in ("global_smooth", "global_cyclic") and s != "time"))
@@ -151,7 +153,14 @@ class Prepared:
     data: DataFrame
 
 
+def _one_control(sampling: Sampling) -> None:
+    """Differences of a case and its control say nothing of further controls, so these aren't left out without a word."""
+    if sampling.n_controls != 1:
+        raise ValueError("this needs a sample with one control; compare_models, martingale_residuals and rem take more")
+
+
 def prepare_linear(log: DataFrame, stats: Sequence[str], sampling: Sampling = Sampling()) -> Prepared:
+    _one_control(sampling)
     data = case_control_features(log, stats, sampling)
     wide = written(widen_case_control(data, "event", "stratum", list(stats)), "wide")
     fit = newton(lambda b: difference_step(wide, [f"d_{s}" for s in stats], b), list(stats))
@@ -164,8 +173,8 @@ def prepare_linear(log: DataFrame, stats: Sequence[str], sampling: Sampling = Sa
 
 def martingale_residuals(log: DataFrame, stats: Sequence[str], sampling: Sampling = Sampling()) -> DataFrame:
     """stratum, role, sender, receiver, time, eta, fitted_prob, residual: 1 - p of a case, -p of a control, which sum to 0 in a stratum."""
-    ready = prepare_linear(log, stats, sampling)
-    rows = predict_linear(ready.fit, ready.data)
+    data = case_control_features(log, stats, sampling)
+    rows = predict_linear(newton(lambda b: stratified_step(data, list(stats), b), list(stats)), data)
     top = F.max("eta").over(Window.partitionBy("stratum"))
     rows = rows.withColumn("__w", F.exp(F.col("eta") - top))
     p = F.col("__w") / F.sum("__w").over(Window.partitionBy("stratum"))
@@ -291,6 +300,7 @@ def gof_auxiliary(log: DataFrame, stats: Sequence[str], auxiliary: str, n_sim: i
     """
     if auxiliary in stats:
         raise ValueError(f"{auxiliary} is in the model")
+    _one_control(sampling)
     data = case_control_features(log, [*stats, auxiliary], sampling)
     wide = written(widen_case_control(data, "event", "stratum", [*stats, auxiliary]), "wide")
     fit = newton(lambda b: difference_step(wide, [f"d_{s}" for s in stats], b), list(stats))

@@ -10,7 +10,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from braidlog.functions.splines import Basis
@@ -296,7 +296,7 @@ def rem(formula: str | Sequence[str], data: DataFrame, method: str = "gam", case
     data: long, with a case indicator and strata, or for "gam" also wide, with d_x or x_ev and x_nv
     columns. "clogit": terms are columns, any number of controls, Newton steps that are one aggregate
     each. "gam": curves and effects of levels too, on differences to the first control. "nn": columns
-    only, on strata that are collected up to nn.strata.
+    only; it learns from at most nn.strata strata, drawn by a hash, and is evaluated over all.
     """
     terms = parse_terms(formula)
     if method not in ("gam", "clogit", "nn"):
@@ -321,7 +321,17 @@ def rem(formula: str | Sequence[str], data: DataFrame, method: str = "gam", case
     if method == "clogit":
         return newton(lambda beta: stratified_step(data, names, beta, stratum, case), names)
     control = nn or NetControl()
-    return fit_net(*collected_strata(data, names, stratum, case, control.strata, control.seed or 0), names, control)
+    return _evaluated(fit_net(*collected_strata(data, names, stratum, case, control.strata, control.seed or 0), names, control), data, stratum, case)
+
+
+def _evaluated(fit: NetFit, data: DataFrame, stratum: str, case: str) -> NetFit:
+    """fit with n, concordance and log_lik of all strata, also where it learned from a sample of them. A case that ties with the best counts."""
+    rows = predict_net(fit, data.fillna(0, fit.terms), "__eta").withColumn("__top", F.max("__eta").over(Window.partitionBy(stratum)))
+    own = F.when(F.col(case) == 1, F.col("__eta"))
+    per = rows.groupBy(stratum).agg(F.max(own).alias("own"), F.max("__top").alias("top"), F.count(own).alias("cases"), F.sum(own - F.col("__top")).alias("over"), F.log(F.sum(F.exp(F.col("__eta") - F.col("__top")))).alias("total"))
+    got = per.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("over") - F.col("cases") * F.col("total")).alias("log_lik"), F.avg(F.coalesce((F.col("own") >= F.col("top")).cast("double"), F.lit(0.0))).alias("concordance")).first()
+    fit.n, fit.log_lik, fit.concordance = got["n"], float(got["log_lik"] or 0.0), float(got["concordance"] or 0.0)
+    return fit
 
 
 def predict_linear(fit: LinearFit, data: DataFrame, out: str = "eta") -> DataFrame:

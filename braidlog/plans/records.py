@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: A decayed sum is carried in stretches of time over which it changes by at most this power of e, so no term overflows.
 STRETCH = 200.0
+#: exp(STRETCH * (1 - REACH)) times any count is below the least double, exp(-745).
+REACH = 5
 
 
 def prior(strict: bool, *keys: str):
@@ -56,13 +58,15 @@ def _decayed(records: DataFrame, keys: Sequence[str], strict: bool, rate: float,
     """Sum of exp(-rate * (time - mark's time)) over the marks before.
 
     Within a stretch of time the sum runs over exp(rate * (mark's time - stretch's start)); a stretch's
-    total is carried into later ones by their distance. All terms are positive, so nothing cancels.
+    total is carried into later ones by their distance. All terms are positive, so nothing cancels. A total
+    is at most a count times exp(STRETCH), so after REACH stretches it is 0 in a double: a window of so
+    many gives every digit, however many stretches a key has.
     """
     width = STRETCH / rate
     at = F.floor(F.col("__time") / width)
     records = records.withColumn("__at", at).withColumn("__grown", F.when(F.col("__kind") == 1, F.exp((F.col("__time") - F.col("__at") * width) * rate)))
     inner = F.coalesce(F.sum("__grown").over(prior(strict, *keys, "__at")), F.lit(0.0))
-    earlier = Window.partitionBy(*keys).orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy(*keys).orderBy("__at").rangeBetween(-REACH, -1)
     totals = records.groupBy(*keys, "__at").agg(F.coalesce(F.sum("__grown"), F.lit(0.0)).alias("__total"))
     totals = totals.withColumn("__before", F.collect_list(F.struct(F.col("__at").alias("at"), F.col("__total").alias("total"))).over(earlier)).drop("__total")
     names = [f"__k{i}" for i in range(len(keys))]

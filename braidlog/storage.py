@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
 import gc
 import re
 import shutil
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
@@ -57,11 +59,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
     out.written_at = path
     _left[path] = spark.sparkContext
     del df
-    gc.collect()
+    released()
     spark.sparkContext._jvm.System.gc()
     return out
 
 
+def released() -> None:
+    """Gives memory that Python, Arrow and the C library hold without need back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes tables that written() made and that no plan reads any more."""
     for df in tables:

@@ -82,3 +82,13 @@ def test_errors(spark):
     with pytest.raises(ValueError):
         endogenous_features(log.drop("time"))
     assert endogenous_features(log.limit(0)).count() == 0
+
+
+def test_decay_over_many_stretches(spark):
+    """A short half-life makes 10,000 stretches of one dyad; each sees a few of them, and their sums are right down to the least normal doubles."""
+    rows = [("a", "b", 400.0 * k + (k % 3), k) for k in range(10_000)] + [("b", "a", 400.0 * k + 150.0, 10_000 + k) for k in range(0, 10_000, 7)]
+    got = endogenous_features(frame(spark, rows), ["reciprocity_exp_decay"], 1.0).select("rid", "reciprocity_exp_decay").toPandas().set_index("rid")["reciprocity_exp_decay"]
+    back = sorted(r[2] for r in rows if r[0] == "b")
+    for s, r, t, rid in rows[:10_000:501]:
+        want = sum(2.0 ** -(t - x) for x in back if x < t and t - x < 2000)
+        assert got[rid] == pytest.approx(want, rel=1e-9, abs=1e-300), rid

@@ -180,6 +180,26 @@ def test_goodness_of_fit(log):
     assert 0 < gof_auxiliary(log, ["reciprocity_count"], "sender_outdegree", 60, s)["p_value"] <= 1
 
 
+def test_several_controls(log):
+    """Residuals are those of the fit to all controls; what takes differences refuses more than one."""
+    stats, s = ["reciprocity_count"], Sampling(seed=4, n_controls=3)
+    rest = martingale_residuals(log, stats, s)
+    assert rest.count() == 640 and rest.groupBy("stratum").agg(F.sum("residual").alias("x")).filter("abs(x) > 1e-9").isEmpty()
+    for call in (lambda: prepare_linear(log, stats, s), lambda: gof_auxiliary(log, stats, "sender_outdegree", 60, s), lambda: compare_models_smooth(log, {"a": {"reciprocity_count": "nl"}}, s), lambda: compare_models_global(log, {"a": {"reciprocity_count": "linear"}}, None, s)):
+        with pytest.raises(ValueError, match="one control"):
+            call()
+
+
+def test_network_is_evaluated_over_all_strata(long):
+    """A fit that learns from 50 strata reports on all 400, as its own scores have it."""
+    fit = rem("x", long, "nn", stratum="stratum", nn=NetControl(epochs=10, seed=1, strata=50))
+    rows = sorted((r["stratum"], r["event"], r["x"]) for r in long.collect())
+    eta = fit.predict(np.array([[r[2]] for r in rows])).reshape(-1, 4)
+    case = np.array([r[1] for r in rows]).reshape(-1, 4) == 1
+    want = (eta[case] - np.log(np.exp(eta).sum(1))).sum()
+    assert fit.n == 400 and fit.log_lik == pytest.approx(want, rel=1e-9) and fit.concordance == pytest.approx((eta[case] >= eta.max(1)).mean())
+
+
 def test_processes_by_ranges(spark, log):
     """Goodness of fit whose order is dealt by ranges, against the whole order at once."""
     from braidlog.models.compare import bridge_suprema, case_control_features, residual_process
