@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from braidlog.llm.common import bounded_batches, tidied
 from braidlog.llm.tokenizer import Vocabulary
 
 # Unicode's white space, as the split pattern of byte-level BPE means it.
@@ -346,7 +347,7 @@ def frequent_words(docs: DataFrame, tokenizer: str, text_col: str = "text", lexi
                 often = {w: n for w, n in found.items() if n > 1}
                 yield pa.RecordBatch.from_pydict({"word": pa.array(list(often), pa.string()), "n": pa.array(list(often.values()), pa.int64())})
 
-    counts = docs.select(F.col(text_col).cast("string")).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counts = docs.select(F.col(text_col).cast("string")).mapInArrow(tidied(count), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     return [r["word"] for r in counts.orderBy(F.desc("n"), "word").limit(lexicon).collect()]
 
 
@@ -365,6 +366,7 @@ def encode_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", te
     default that of the most frequent words of all texts. It is 65,536 words at most, about 2 MB, and is
     broadcast and mapped into memory by the workers.
     """
+    bounded_batches(docs.sparkSession)
     if lexicon is None:
         lexicon = compile_lexicon(frequent_words(docs, tokenizer, text_col), tokenizer)
     sent = docs.sparkSession.sparkContext.broadcast(lexicon)
@@ -381,11 +383,12 @@ def encode_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", te
                 at += len(block)
                 yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow)], schema=arrow)
 
-    return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(encode, schema)
+    return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(tidied(encode), schema)
 
 
 def decode_documents(encoded: DataFrame, tokenizer: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
     """encoded without ids_col, and with the text that its ids stand for, special tokens too. Bytes that aren't UTF-8 become U+FFFD; null ids are an empty text."""
+    bounded_batches(encoded.sparkSession)
     keep = [c for c in encoded.columns if c not in (ids_col, text_col)]
     schema = T.StructType([*(encoded.schema[c] for c in keep), T.StructField(text_col, T.StringType())])
     arrow = to_arrow_schema(schema)
@@ -397,4 +400,4 @@ def decode_documents(encoded: DataFrame, tokenizer: str, ids_col: str = "ids", t
             columns = [*(batch.column(k) for k in range(len(keep))), pa.array(texts, pa.string())]
             yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow)], schema=arrow)
 
-    return encoded.select(*keep, F.col(ids_col)).mapInArrow(decode, schema)
+    return encoded.select(*keep, F.col(ids_col)).mapInArrow(tidied(decode), schema)

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from braidlog.storage import discard, shared_dir, written  # noqa: F401
+from braidlog.storage import discard, released, shared_dir, written  # noqa: F401
 
 #: Characters that separate words and that exact duplicates may differ in: [\x20\x09-\x0D].
 WHITE = " \t\n\x0b\x0c\r"
@@ -26,6 +26,17 @@ def bounded_batches(spark: SparkSession, most: str = "4m") -> None:
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", most)
 
 
+def tidied(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """work for mapInArrow that gives its memory back when a partition ends; workers live on and serve other stages."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from work(batches)
+        finally:
+            released()
+
+    return run
+
+
 def attach(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int, spread: Column, hot_keys: int = 1000) -> DataFrame:
     """rows left-joined with groups on key, where a key may hold a third of all rows.
 
@@ -89,4 +100,4 @@ def kept_by(docs: DataFrame, text_col: str, keep: Callable[[pa.Array], np.ndarra
             for k, block in blocks_of(batch.column(at)):
                 yield batch.slice(k, len(block)).filter(pa.array(keep(block).astype(bool)))
 
-    return docs.mapInArrow(pick, docs.schema)
+    return docs.mapInArrow(tidied(pick), docs.schema)

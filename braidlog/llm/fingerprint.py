@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from braidlog.llm.common import written
+from braidlog.llm.common import bounded_batches, tidied, written
 
 #: Bytes under the rolling hash, blocks in a text at most, symbols of a signature at most, bits that can trigger a cut.
 ROLL, BLOCKS, SYMBOLS, TRIGGER_BITS = 8, 64, 128, 40
@@ -127,6 +127,7 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
     a task holds one batch of its sorted rows and hands its first and last row to a second step, which
     joins the last row of each range with the first of the next. An empty table gives no rows.
     """
+    bounded_batches(docs.sparkSession)
     key = docs.schema[id_col].dataType
     result = [(id_col, key), ("n_chars", T.LongType()), ("edited_sha256", T.StringType()), ("fingerprint", T.StringType()), ("edited_fingerprint", T.StringType()), ("near_edited", T.DoubleType()), ("near_next", T.DoubleType())]
     schema = T.StructType([T.StructField(n, t) for n, t in [*result, ("part", T.LongType()), ("edge", T.StringType()), ("text", T.StringType())]])
@@ -173,13 +174,13 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), docs.count() // rows_per_task)
     rows = docs.select(F.col(id_col), F.col(text_col).cast("string").alias(text_col)).repartitionByRange(parts, F.col(id_col)).sortWithinPartitions(F.col(id_col), F.col(text_col))
-    out = written(rows.mapInArrow(in_order, schema), "fingerprints")
+    out = written(rows.mapInArrow(tidied(in_order), schema), "fingerprints")
     # One row for each range: its number and the next one's, around the end.
     ring = Window.orderBy("part")
     whole = ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     ranges = out.filter("edge = 'first'").select("part").withColumn("next", F.coalesce(F.lead("part").over(ring), F.min("part").over(whole)))
     first = out.filter("edge = 'first'").select(F.col("part").alias("next"), F.col("text").alias("following"))
     last = out.filter("edge = 'last'").select(F.col(id_col), "part", "text")
-    edges = last.join(ranges, "part").join(first, "next").select(F.col(id_col), "text", "following").mapInArrow(over_edges, schema)
+    edges = last.join(ranges, "part").join(first, "next").select(F.col(id_col), "text", "following").mapInArrow(tidied(over_edges), schema)
     names = [n for n, _ in result]
     return out.filter("edge IS NULL").select(*names).unionByName(edges.select(*names))

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from braidlog.llm.common import attach, discard, flagged, without, written
+from braidlog.llm.common import attach, bounded_batches, discard, flagged, tidied, without, written
 from braidlog.llm.components import connected
 from braidlog.llm.words import blocks_of, mix, words_of
 
@@ -46,7 +46,7 @@ class Join:
     short: int = 24
     run: int = 20_000
     block: int = 512
-    chunk: int = 1 << 21
+    chunk: int = 1 << 20
     sampled: int = 256
     bytes: int = 1 << 19
     sketch: int = 1024
@@ -134,7 +134,7 @@ def _survey(docs: DataFrame, id_col: str, text_col: str, join: Join) -> DataFram
         if size:
             yield counted()
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(survey, schema)
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(tidied(survey), schema)
 
 
 def _placed(survey: DataFrame, total: int) -> DataFrame:
@@ -252,7 +252,7 @@ def _index(docs: DataFrame, join: Join, frequent: tuple[np.ndarray, np.ndarray])
                 salt = np.where(parts > 1, (mix(doc.view(np.uint64)) % parts.astype(np.uint64)).astype(np.int64), -1)
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip((np.concatenate(sigs).view(np.int64), salt, doc, np.concatenate(sizes), np.concatenate(reaches)), arrow)], schema=arrow)
 
-    return docs.mapInArrow(index, schema)
+    return docs.mapInArrow(tidied(index), schema)
 
 
 def _gathered(batches: Iterator[pa.RecordBatch], columns: int) -> list[np.ndarray]:
@@ -313,7 +313,7 @@ def _lists(rows: DataFrame, join: Join, parts: int) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.nulls(len(both), pa.int64()), pa.array(both[:, 0]), pa.nulls(len(both), pa.int32()), pa.nulls(len(both), pa.int32()), pa.array(both[:, 1])], schema=arrow)
         yield pa.RecordBatch.from_arrays([pa.array(sig[at]), pa.array(doc[at]), pa.array(n[at], pa.int32()), pa.array(reach[at], pa.int32()), pa.nulls(len(at), pa.int64())], schema=arrow)
 
-    return rows.repartition(parts, "sig", "salt").mapInArrow(shared, schema)
+    return rows.repartition(parts, "sig", "salt").mapInArrow(tidied(shared), schema)
 
 
 def _drawn(rows: DataFrame, join: Join, parts: int) -> DataFrame:
@@ -352,7 +352,7 @@ def _drawn(rows: DataFrame, join: Join, parts: int) -> DataFrame:
 
     parted = F.ceil(F.col("length") / join.run).cast("int")
     salt = F.when(parted > 1, F.pmod(F.xxhash64("doc"), parted).cast("int")).otherwise(-1)
-    return rows.select("sig", salt.alias("salt"), "doc", "n", "reach", "comp").repartition(parts, "sig", "salt").mapInArrow(draw, schema)
+    return rows.select("sig", salt.alias("salt"), "doc", "n", "reach", "comp").repartition(parts, "sig", "salt").mapInArrow(tidied(draw), schema)
 
 
 def _sets(docs: DataFrame, id_col: str, text_col: str, join: Join, wanted: DataFrame) -> DataFrame:
@@ -373,7 +373,7 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, join: Join, wanted: DataF
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) if isinstance(x, list) else x.cast(f.type) for x, f in zip(columns, arrow)], schema=arrow)
 
     rows = flagged(docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text")), F.col("doc"), wanted, join.filter_bits)
-    return rows.filter("__hit").select("doc", "text").mapInArrow(sets, schema)
+    return rows.filter("__hit").select("doc", "text").mapInArrow(tidied(sets), schema)
 
 
 def _links(left: np.ndarray, right: np.ndarray, join: Join) -> bool:
@@ -407,7 +407,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, join: Join) -> DataFrame:
     here = flagged(sets.select("doc", "tokens"), F.col("doc"), pairs.select(F.explode(F.array("a", "b")).alias("doc")), join.filter_bits).filter("__hit")
     one = here.select(F.col("doc").alias("a"), F.col("tokens").alias("left"))
     two = here.select(F.col("doc").alias("b"), F.col("tokens").alias("right"))
-    out = written(pairs.join(one, "a").join(two, "b").select("a", "b", "left", "right").mapInArrow(verify, schema).distinct(), "links")
+    out = written(pairs.join(one, "a").join(two, "b").select("a", "b", "left", "right").mapInArrow(tidied(verify), schema).distinct(), "links")
     discard(pairs)
     return out
 
@@ -449,7 +449,7 @@ def _crossed(rows: DataFrame, sets: DataFrame, join: Join, parts: int) -> DataFr
     blocks = F.greatest(F.lit(1), F.ceil(F.col("length") / join.block)).cast("int")
     rows = rows.join(sets.select("doc", "sketch"), "doc").withColumn("own", F.pmod(F.xxhash64("doc"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     dealt = rows.select("sig", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"), "own", "doc", "n", "reach", "comp", "sketch")
-    return dealt.repartition(parts, "sig", "one", "two").mapInArrow(cross, schema)
+    return dealt.repartition(parts, "sig", "one", "two").mapInArrow(tidied(cross), schema)
 
 
 def _labels(links: DataFrame, total: int) -> DataFrame:
@@ -483,6 +483,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     kind = docs.schema[id_col].dataType
     if not isinstance(kind, T.IntegralType):
         raise TypeError(f"{id_col} must hold whole numbers, not {kind.simpleString()}")
+    bounded_batches(docs.sparkSession)
     survey = written(_survey(docs, id_col, text_col, join), "survey")
     rows, tokens = survey.filter("n IS NOT NULL").agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), tokens // 2_000_000)

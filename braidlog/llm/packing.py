@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from braidlog.llm.common import written
+from braidlog.llm.common import bounded_batches, tidied, written
 
 
 class OpenWindows:
@@ -67,6 +67,7 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray,
 
 def cut_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, end_id: int = 1, with_ids: bool = False) -> DataFrame:
     """Pieces of at most capacity tokens: id, start, length, ids_crc32, doc_tokens[, ids]. Full windows first, then what is left."""
+    bounded_batches(docs.sparkSession)
     fields = [T.StructField(id_col, docs.schema[id_col].dataType)] + [T.StructField(c, T.LongType()) for c in ("start", "length", "ids_crc32", "doc_tokens")]
     schema = T.StructType(fields + [T.StructField("ids", T.ArrayType(T.IntegerType()))] * with_ids)
     arrow = to_arrow_schema(schema)
@@ -86,7 +87,7 @@ def cut_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_
                         column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(rows, arrow)], schema=arrow)
 
-    return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(cut, schema)
+    return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(tidied(cut), schema)
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, end_id: int = 1, with_ids: bool = False, group_pieces: int = 8192) -> DataFrame:

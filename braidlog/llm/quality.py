@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from braidlog.llm.common import bounded_batches, tidied
 from braidlog.llm.toxicity import Adam, fit_logistic
 from braidlog.llm.words import blocks_of, words_of
 
@@ -40,7 +41,7 @@ class Shape:
 class Training:
     """sample: labelled rows that the fit takes at most, half of them of each label where there are enough."""
 
-    sample: int = 3000
+    sample: int = 6000
     epochs: int = 30
     batch: int = 64
     rate: float = 0.004
@@ -197,6 +198,7 @@ def score_documents(docs: DataFrame, net: Network, id_col: str = "doc_id", text_
     Every passage of the whole text is encoded and weighed. Null and empty texts are one passage of
     zeros. Repeated rows score alike; an empty table gives no rows.
     """
+    bounded_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(net)
     carry = tuple(c for c in carry if c.lower() not in {id_col.lower(), "score"})
     schema = T.StructType([docs.schema[id_col], *(docs.schema[c] for c in carry), T.StructField("score", T.DoubleType())])
@@ -209,4 +211,4 @@ def score_documents(docs: DataFrame, net: Network, id_col: str = "doc_id", text_
             columns = [*batch.columns[1:], pa.array(np.concatenate(found) if found else np.empty(0), pa.float64())]
             yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow)], schema=arrow)
 
-    return docs.select(F.col(text_col).cast("string").alias("__text"), F.col(id_col), *carry).mapInArrow(score, schema)
+    return docs.select(F.col(text_col).cast("string").alias("__text"), F.col(id_col), *carry).mapInArrow(tidied(score), schema)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from braidlog.llm.common import bounded_batches
+from braidlog.llm.common import bounded_batches, tidied
 from braidlog.llm.words import Words, blocks_of, lower, mix, words_of
 
 
@@ -448,7 +448,7 @@ def trained(rows: DataFrame, fit: Callable[[list[str], np.ndarray], object]) ->
             texts, labels = table["text"].to_pylist(), table["label"].to_pylist()
         yield pa.RecordBatch.from_pydict({"model": pa.array([pickle.dumps(fit(texts, np.array(labels, np.int64)))], pa.binary())})
 
-    return pickle.loads(rows.repartition(1).mapInArrow(run, "model binary").first()[0])
+    return pickle.loads(rows.repartition(1).mapInArrow(tidied(run), "model binary").first()[0])
 
 
 def score_documents(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
@@ -470,4 +470,4 @@ def score_documents(docs: DataFrame, net: Network, id_col: str = "doc_id", text_
             columns = [*batch.columns[1:], pa.array(np.concatenate(found) if found else np.empty(0), pa.float64())]
             yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow)], schema=arrow)
 
-    return docs.select(F.col(text_col).cast("string").alias("__text"), F.col(id_col), *carry).mapInArrow(score, schema)
+    return docs.select(F.col(text_col).cast("string").alias("__text"), F.col(id_col), *carry).mapInArrow(tidied(score), schema)

@@ -85,7 +85,7 @@ def lower(data: np.ndarray) -> np.ndarray:
     return out
 
 
-def blocks_of(column: pa.Array, most_bytes: int = 1 << 21, most_texts: int = 4096) -> Iterator[tuple[int, pa.Array]]:
+def blocks_of(column: pa.Array, most_bytes: int = 1 << 19, most_texts: int = 4096) -> Iterator[tuple[int, pa.Array]]:
     """(first row, slice) of runs of about most_bytes, so that memory doesn't follow the batch."""
     sizes = np.cumsum(np.append(0, np.asarray(pa.compute.binary_length(column).fill_null(0)))) if len(column) else np.zeros(1)
     at = 0
