@@ -121,11 +121,12 @@ def _edited(text: str, following: str) -> str:
 def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows_per_task: int = 20_000) -> DataFrame:
     """id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next for each row.
 
-    Rows are ordered by id, then text; a null text is empty, a null id comes first, and the first row
+    Rows are ordered by id, then a hash of the text; a null text is empty, a null id comes first, and the first row
     follows the last (one row follows itself). The edited text has its last quarter of code points
     replaced by as many from the start of the following text. Texts are dealt once, by ranges of ids;
     a task holds one batch of its sorted rows and hands its first and last row to a second step, which
-    joins the last row of each range with the first of the next. An empty table gives no rows.
+    joins the last row of each range with the first of the next. A very long text is one value, which one task
+    holds. Other columns aren't read. An empty table gives no rows.
     """
     bounded_batches(docs.sparkSession)
     key = docs.schema[id_col].dataType
@@ -173,7 +174,10 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
                 yield from judged([row[id_col], None], texts, [fingerprint(x.encode()) for x in texts])
 
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), docs.count() // rows_per_task)
-    rows = docs.select(F.col(id_col), F.col(text_col).cast("string").alias(text_col)).repartitionByRange(parts, F.col(id_col)).sortWithinPartitions(F.col(id_col), F.col(text_col))
+    # Rows of one id are dealt on by a hash of the text, and equal rows by their number, so a repeated id isn't one task.
+    place = [F.col("__id"), F.xxhash64("__text"), F.col("__no")]
+    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__text")).withColumn("__no", F.monotonically_increasing_id())
+    rows = rows.repartitionByRange(parts, *place).sortWithinPartitions(*place).select("__id", "__text")
     out = written(rows.mapInArrow(tidied(in_order), schema), "fingerprints")
     # One row for each range: its number and the next one's, around the end.
     ring = Window.orderBy("part")

@@ -67,6 +67,34 @@ def test_fingerprints():
     assert str(prints[0]) == str(prints[1]) != str(prints[2])
 
 
+def slow_fingerprint(data):
+    """Byte by byte: block size, and the symbols of the chunks at it and at twice it."""
+    mix, whole = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F), (1 << 64) - 1
+    block = 0
+    while data and 64 << block < len(data):
+        block += 1
+    out = [block]
+    for k in (block, block + 1):
+        symbols, last, total = [], -1, 0
+        for at in range(len(data)):
+            rolled = sum(data[at - 7 + j] << 8 * j for j in range(8) if at - 7 + j >= 0) * mix[0] & whole
+            x = (rolled ^ rolled >> 31) * mix[1] & whole
+            total = (total + (x ^ x >> 29)) & whole
+            triggers = (rolled >> 24) % (1 << k) == (1 << k) - 1
+            ends = at == len(data) - 1
+            if at - last == 4 << k or ends or (triggers and at - last >= (1 << k) // 2):
+                symbols.append((total * mix[2] & whole) >> 52)
+                last, total = at, 0
+        out.append(symbols)
+    return out
+
+
+def test_fingerprints_byte_by_byte():
+    for data in (b"", b"a", b"abc", bytes(300), b"Was " * 300, *(text(k, n).encode() for k, n in enumerate((3, 12, 60, 200, 700)))):
+        got = fingerprint(data)
+        assert [got.block, got.fine.tolist(), got.coarse.tolist()] == slow_fingerprint(data), data[:20]
+
+
 def test_fingerprint_documents(spark):
     rows = [(3 * k, t) for k, t in enumerate([text(k, 40 + k) for k in range(30)] + ["", None, "x", "same", "same"])]
     for n in (len(rows), 1, 0):
