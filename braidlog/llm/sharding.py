@@ -37,7 +37,7 @@ def assign_shards(docs: DataFrame, key_col: str = "doc_id", weights: Sequence[fl
 
     The key alone decides the shard, so repeated rows share one, and a null key is a key like others
     (it hashes as -1 would). slot numbers a shard's rows without gaps from 0: rows are ordered by
-    slice (a hash of the key), then key; each (shard, slice) is ranked by itself and starts where the
+    slice (a hash of the key and keep, so the rows of a repeated key are many slices), then key; each (shard, slice) is ranked by itself and starts where the
     counts of the slices before it end, so no task holds a shard. grown_shard: where the key goes with
     one more shard of the mean weight. The counts table has len(weights) * slices rows.
     keep: further result columns, made of docs'; they break ties of equal keys.
@@ -49,7 +49,7 @@ def assign_shards(docs: DataFrame, key_col: str = "doc_id", weights: Sequence[fl
     n, even = len(weights), len(set(weights)) == 1
     key = F.coalesce(F.col(key_col), F.lit(-1).cast(docs.schema[key_col].dataType))
     shard, bid = rendezvous(key, weights)
-    rows = docs.select(F.col(key_col).alias("__key"), *[c.alias(k) for k, c in keep.items()], shard.cast("int").alias("shard"), bid.alias("__bid"), F.pmod(F.xxhash64(F.lit("slice"), key), F.lit(slices)).cast("int").alias("__slice"), key.alias("__id"))
+    rows = docs.select(F.col(key_col).alias("__key"), *[c.alias(k) for k, c in keep.items()], shard.cast("int").alias("shard"), bid.alias("__bid"), F.pmod(F.xxhash64(F.lit("slice"), key, *keep.values()), F.lit(slices)).cast("int").alias("__slice"), key.alias("__id"))
     newcomer = _score(F.col("__id"), n, sum(weights) / n, even)
     rows = rows.withColumn("grown_shard", F.when(newcomer > F.col("__bid"), F.lit(n)).otherwise(F.col("shard"))).drop("__bid", "__id")
     rows = written(rows, "shards")  # two passes follow: counts, then ranks
