@@ -12,7 +12,26 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from braidlog.plans.catalog import SIMULABLE, STATISTICS
+from braidlog.plans.catalog import LEGS, SIMULABLE, STATISTICS
+
+
+class Sums:
+    """How many two-paths each dyad has, when the first and the last formed, and their decayed sum."""
+
+    def __init__(self, actors: int):
+        square = lambda v: np.full((actors, actors), v)
+        self.count, self.first, self.last, self.decay = square(0.0), square(np.inf), square(-np.inf), square(0.0)
+
+    def add(self, cell: tuple[np.ndarray, np.ndarray], t: float, where: np.ndarray | None) -> None:
+        if where is not None:
+            cell = cell[0][where], cell[1][where]
+        self.count[cell] += 1
+        self.decay[cell] += 1
+        self.last[cell] = t
+        self.first[cell] = np.minimum(self.first[cell], t)
+
+    def clear(self, s: int, r: int) -> None:
+        self.count[s, r], self.first[s, r], self.last[s, r], self.decay[s, r] = 0, np.inf, -np.inf, 0
 
 
 class History:
@@ -26,18 +45,25 @@ class History:
         # Events of a dyad since its reverse last fired.
         self.icount, self.ifirst, self.ilast, self.idecay = square(0.0), square(np.inf), square(-np.inf), square(0.0)
         self.ordered = {f: np.full((actors,) * 3, np.inf) for f in {s.family for s in self.stats if s.gate == "ordered"}}
-        self.formed: dict[str, np.ndarray] = {}
+        # Two-paths of dyads, by family; of an interrupted one, those since the dyad last fired. An event only touches the dyads that it closes.
+        self.closed = {(s.family, s.gate): Sums(actors) for s in self.stats if s.family in LEGS and s.gate != "ordered"}
 
     def fire(self, s: int, r: int, t: float) -> None:
         self._advance(t)
         self.icount[r, s], self.ifirst[r, s], self.ilast[r, s], self.idecay[r, s] = 0, np.inf, -np.inf, 0
+        new = not np.isfinite(self.first[s, r])
         for count, first, last, decay in ((self.count, self.first, self.last, self.decay), (self.icount, self.ifirst, self.ilast, self.idecay)):
             count[s, r] += 1
             decay[s, r] += 1
             last[s, r] = t
             if not np.isfinite(first[s, r]):
                 first[s, r] = t
-        self.formed = {}
+        for (family, gate), sums in self.closed.items():
+            if new and s != r:
+                for cell in self._closes(family, s, r):
+                    sums.add(cell, t, self.last[cell] < t if gate else None)
+            if gate:
+                sums.clear(s, r)
         for family, O in self.ordered.items():  # O[s, k, r]: the second leg's first event after the first leg began
             if family == "transitivity":
                 begun, cell = self.first[:, s] < t, (slice(None), s, r)
@@ -55,15 +81,24 @@ class History:
             fade = math.exp(-self.rate * (t - self.at))
             self.decay *= fade
             self.idecay *= fade
+            for sums in self.closed.values():
+                sums.decay *= fade
         self.at = max(self.at, t)
 
-    def _formations(self, family: str) -> np.ndarray:
-        if family not in self.formed:
-            A = self.first
-            one, two = {"transitivity": (A, A), "cyclic": (A.T, A.T), "sending_balance": (A, A.T), "receiving_balance": (A.T, A)}[family]
-            # Axes s, k, r: the first leg lies between s and k, the second between k and r.
-            self.formed[family] = self._inner(np.maximum(one[:, :, None], two[None, :, :]))
-        return self.formed[family]
+    def _closes(self, family: str, x: int, y: int) -> list[tuple]:
+        """The dyads (as rows and columns) for which the new edge x -> y is the later leg of a two-path."""
+        near, far = (next(leg for leg in LEGS[family] if end in leg) for end in "sr")
+        to_k, from_k = (self.first if near == ("s", "k") else self.first.T), (self.first if far == ("k", "r") else self.first.T)
+        s, k = (x, y) if near == ("s", "k") else (y, x)
+        other = np.isfinite(from_k[k])
+        other[k] = False
+        cells = [(np.full(int(other.sum()), s), np.flatnonzero(other))]
+        k2, r = (x, y) if far == ("k", "r") else (y, x)
+        other = np.isfinite(to_k[:, k2])
+        other[k2] = False
+        if k2 == k:
+            other[s] = False  # both legs are the new edge: found above
+        return [*cells, (np.flatnonzero(other), np.full(int(other.sum()), r))]
 
     def _inner(self, Z: np.ndarray) -> np.ndarray:
         Z = Z.copy()
@@ -91,10 +126,12 @@ class History:
                 count, first, last, decay = (self.icount, self.ifirst, self.ilast, self.idecay) if s.gate else (self.count, self.first, self.last, self.decay)
                 v = {"binary": (count > 0).astype(float), "count": count, "exp_decay": decay, "time_recent": self._since(t, last), "time_first": self._since(t, first)}[s.measure].T
             else:
-                Z = self._inner(self.ordered[s.family]) if s.gate == "ordered" else self._formations(s.family)
-                seen = np.isfinite(Z) & (Z < t if s.gate == "ordered" else True)
-                if s.gate == "interrupted":
-                    seen &= Z > self.last[:, None, :]
+                if s.gate != "ordered":
+                    sums = self.closed[s.family, s.gate]
+                    out[s.name] = {"binary": (sums.count > 0).astype(float), "count": sums.count.copy(), "exp_decay": sums.decay.copy(), "time_recent": self._since(t, sums.last), "time_first": self._since(t, sums.first)}[s.measure]
+                    continue
+                Z = self._inner(self.ordered[s.family])
+                seen = np.isfinite(Z) & (Z < t)
                 if s.measure in ("binary", "count"):
                     v = seen.sum(1).astype(float)
                     v = (v > 0).astype(float) if s.measure == "binary" else v
@@ -173,11 +210,14 @@ def trajectory(sim: Simulation, seed: int) -> pd.DataFrame:
     where = lambda t: max(0, int(np.searchsorted(breaks, t, "right")) - 1)
     shared = lambda t: {g: float(v[where(t)]) for g, v in sim.global_values.items()} if len(breaks) else {}
     lift = lambda t: math.exp(sum(b * shared(t)[g] for g, b in sim.global_effects.items())) if sim.global_effects else 1.0
+    whole = np.array_equal(S, np.arange(len(actors))) and np.array_equal(R, S)
     rows: list[dict] = []
     t, made = sim.start_time, 0
 
     def read(at: float) -> tuple[dict[str, np.ndarray], np.ndarray]:
-        values = {k: v[np.ix_(S, R)] for k, v in history.values(at).items()}
+        values = history.values(at)
+        if not whole:
+            values = {k: v[np.ix_(S, R)] for k, v in values.items()}
         return values, sim.baseline_rate * np.exp(static + sum((b * values[k] for k, b in sim.endogenous_effects.items()), 0.0))
 
     def record(at: float, i: int, j: int, values: dict[str, np.ndarray], rates: np.ndarray) -> None:
@@ -208,7 +248,8 @@ def trajectory(sim: Simulation, seed: int) -> pd.DataFrame:
                 break
             if t > sim.horizon:
                 break
-            at = int(rng.choice(rates.size, p=rates.ravel() / total))
+            heaped = np.cumsum(rates)
+            at = min(int(np.searchsorted(heaped, rng.random() * heaped[-1], "right")), rates.size - 1)
             fired = [(t, at // len(R), at % len(R))]
             if sim.stats:
                 values, rates = read(t)
