@@ -257,12 +257,13 @@ def trajectory(sim: Simulation, seed: int) -> pd.DataFrame:
             mean = rates * lift(t) * sim.tau
             drawn = (rng.random(mean.shape) < -np.expm1(-mean)).astype(int) if sim.risk == "remove" else rng.poisson(mean)
             cells = np.repeat(np.arange(drawn.size), drawn.ravel())
-            when = np.sort(t + sim.tau * rng.random(len(cells)))
-            fired = [(x, int(c) // len(R), int(c) % len(R)) for x, c in zip(when.tolist(), rng.permutation(cells)) if x <= sim.horizon]
+            need = sim.n_events - made  # what a leap draws beyond the last event isn't followed
+            when = np.sort(t + sim.tau * rng.random(len(cells)))[:need]
+            fired = [(x, int(c) // len(R), int(c) % len(R)) for x, c in zip(when.tolist(), rng.permutation(cells)[:need].tolist()) if x <= sim.horizon]
             t += sim.tau
             if t > sim.horizon and not fired:
                 break
-        for at, i, j in fired[: sim.n_events - made]:
+        for at, i, j in fired:
             made += 1
             record(at, i, j, values, rates)
         for at, i, j in fired:
