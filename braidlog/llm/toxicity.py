@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from braidlog.llm.common import bounded_batches, tidied
+from braidlog.llm.common import bounded_batches, released, tidied
 from braidlog.llm.words import Words, blocks_of, lower, mix, words_of
 
 
@@ -124,17 +124,17 @@ class Network:
             chars = np.zeros((len(lex.hash), self.shape.char_dims), np.float32)
         return np.concatenate([self.p["word"][word], chars], 1)
 
-    def windows(self, lex: Lexemes) -> tuple[np.ndarray, np.ndarray]:
-        """Word codes of every window of every text, -1 past a text's end, and the text of each window. A text without words has one empty window."""
+    def windows(self, code: np.ndarray, of_text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """code: of each word; of_text: where each text's words begin. Word codes of every window of every text, -1 past a text's end, and the text of each window. A text without words has one empty window."""
         s = self.shape
-        size = np.diff(lex.of_text)
+        size = np.diff(of_text)
         count = np.maximum(1, -(-(size - (s.window - s.stride)) // s.stride))
         of = np.repeat(np.arange(len(size)), count)
         start = (np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)) * s.stride
         at = start[:, None] + np.arange(s.window)
         inside = at < size[of][:, None]
         codes = np.full(at.shape, -1, np.int64)
-        codes[inside] = lex.code[(at + lex.of_text[of][:, None])[inside]]
+        codes[inside] = code[(at + of_text[of][:, None])[inside]]
         return codes, of
 
     def _pass(self, gates: np.ndarray, codes: np.ndarray, side: str, keep: list | None) -> np.ndarray:
@@ -221,7 +221,7 @@ class Network:
 
     def text_logits(self, texts: pa.Array) -> np.ndarray:
         lex = Lexemes(words_of(texts), self.shape)
-        return self.greatest(self.word_inputs(lex), *self.windows(lex), len(texts))
+        return self.greatest(self.word_inputs(lex), *self.windows(lex.code, lex.of_text), len(texts))
 
     def greatest(self, inputs: np.ndarray, codes: np.ndarray, of: np.ndarray, texts: int, at_once: int = 4096) -> np.ndarray:
         """The greatest logit of each text's windows; every window is scored."""
@@ -332,7 +332,8 @@ def _joined(parts: list[Lexemes]) -> tuple[Lexemes, list[np.ndarray]]:
     size = np.concatenate([np.diff(x.first_gram) for x in parts])
     starts = np.append(0, np.cumsum(size))[:-1][first]
     n = size[first]
-    at = np.repeat(starts - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    at = np.repeat(starts - (np.cumsum(n) - n), n)
+    at += np.arange(len(at))
     out.hash, out.gram, out.first_gram = hashes, np.concatenate([x.gram for x in parts])[at], np.append(0, np.cumsum(n))
     return out, np.split(place, np.cumsum([len(x.hash) for x in parts])[:-1])
 
@@ -360,20 +361,26 @@ def train(texts: list[str], labels: np.ndarray, prior: float, shape: Shape = Sha
     column = pa.array(texts, pa.string())
     learn, held = np.flatnonzero(~last), np.flatnonzero(last)
     blocks = [(learn[at : at + len(block)], Lexemes(words_of(block), shape)) for at, block in blocks_of(column.take(pa.array(learn)))]
+    released()
     lex, codes_of = _joined([x for _, x in blocks])
-    bags = [np.empty(0, np.int64)] * len(texts)
-    for (places, x), codes in zip(blocks, codes_of):
+    # From here on a block is its texts' places, their words among all, and where each text's begin.
+    blocks = [(places, codes.astype(np.int32)[x.code], x.of_text) for (places, x), codes in zip(blocks, codes_of)]
+    del codes_of
+    released()
+    bags = [np.empty(0, np.int32)] * len(texts)
+    for places, codes, of_text in blocks:
         for k, place in enumerate(places.tolist()):
-            bags[place] = np.unique(codes[x.code[x.of_text[k] : x.of_text[k + 1]]])
+            bags[place] = np.unique(codes[of_text[k] : of_text[k + 1]])
     held_by = np.bincount(np.concatenate([bags[k] for k in learn]), minlength=len(lex.hash))
     net = Network(shape, training.seed, lex.hash[held_by >= training.known])
     weights, _ = _learn_embeddings(net, lex, [bags[k] for k in learn], labels[learn], prior, training, rng)
     # The windows to learn from; the words that they hold are numbered among all.
-    evidence = np.append(net.word_inputs(lex) @ weights, -np.inf)
+    few = 1 << 14  # words whose n-grams are held at once
+    evidence = [net.word_inputs(_only(lex, np.arange(at, min(at + few, len(lex.hash))))) @ weights for at in range(0, len(lex.hash), few)]
+    evidence = np.append(np.concatenate([*evidence, np.empty(0, np.float32)]), -np.inf)
     chosen, target = [], []
-    for (places, x), codes in zip(blocks, codes_of):
-        windows, of = net.windows(x)
-        windows = np.where(windows >= 0, np.append(codes, -1)[windows], -1)
+    for places, codes, of_text in blocks:
+        windows, of = net.windows(codes, of_text)
         rank = np.lexsort((-np.logaddexp.reduce(np.maximum(evidence[windows], -50), axis=1), of))
         place = np.arange(len(of)) - np.searchsorted(of[rank], of[rank])
         label = labels[places][of[rank]]

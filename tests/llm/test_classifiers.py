@@ -61,7 +61,7 @@ def small_network():
 
 def test_recurrent_gradients():
     net, lex = small_network()
-    codes, of = net.windows(lex)
+    codes, of = net.windows(lex.code, lex.of_text)
     assert of.tolist() == [0, 0, 1, 2] and (codes[3] == -1).all()
     target = np.array([1.0, 0.0, 1.0, 0.0])
 
@@ -92,7 +92,7 @@ def test_recurrent_gradients():
 def test_recurrent_forward_pass_word_by_word():
     """The network's equations, one window and one word at a time."""
     net, lex = small_network()
-    codes, _ = net.windows(lex)
+    codes, _ = net.windows(lex.code, lex.of_text)
     inputs, p, h = net.word_inputs(lex), net.p, net.shape.hidden
     sig = lambda x: 1 / (1 + np.exp(-x))
     want = []
@@ -177,7 +177,7 @@ def test_windows_cover_all_words_and_overlap(nets):
     net = nets[0]
     for n in (0, 1, 20, 32, 33, 52, 53, 400):
         lex = toxicity.Lexemes(words_of(pa.array([" ".join(f"w{k}" for k in range(n))])), net.shape)
-        codes, _ = net.windows(lex)
+        codes, _ = net.windows(lex.code, lex.of_text)
         seen = [lex.code.tolist().index(c) for c in codes.ravel() if c >= 0]
         assert set(seen) == set(range(n)) and (len(codes) == 1 or set(codes[0]) & set(codes[1]))
     words = sentence(random.Random(5), 900)
