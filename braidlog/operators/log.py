@@ -64,6 +64,44 @@ def attach_static_covariates(
     return out
 
 
+def attach_dyadic_covariates(log: DataFrame, table: DataFrame, fill: float | None = None, check: bool = True) -> DataFrame:
+    """log with the values of its (sender, receiver) in table, which has these two columns and values, one row for each pair that has any.
+
+    Pairs that the table doesn't list get fill (or null). check: repeated pairs are an error.
+    """
+    check_log(log)
+    values = [c for c in table.columns if c not in ("sender", "receiver")]
+    if not values or not {"sender", "receiver"} <= set(table.columns):
+        raise ValueError("a dyadic table needs sender, receiver and a column of values")
+    if clash := set(values) & set(log.columns):
+        raise ValueError(f"columns exist already: {', '.join(sorted(clash))}")
+    if check and not table.groupBy("sender", "receiver").count().filter("count > 1").isEmpty():
+        raise ValueError("repeated pairs in the dyadic table")
+    named = table.select(F.col("sender").cast("string").alias("__s"), F.col("receiver").cast("string").alias("__r"), *values)
+    out = log.join(named, (F.col("sender").cast("string") == F.col("__s")) & (F.col("receiver").cast("string") == F.col("__r")), "left").drop("__s", "__r")
+    return out if fill is None else out.fillna(fill, values)
+
+
+#: Kilometres, the mean radius of the earth.
+EARTH = 6371.0
+
+
+def attach_distance(log: DataFrame, places: DataFrame, out: str = "distance", log1p: bool = False, actor_col: str = "actor", lat: str = "lat", lon: str = "lon") -> DataFrame:
+    """log with the great-circle distance in kilometres of each row's sender and receiver, by their places in degrees; null where a place is missing.
+
+    It is worked out for the rows that ask, so no matrix of all pairs of actors is made. log1p: of it, as a covariate.
+    """
+    if out in log.columns:
+        raise ValueError(f"a column exists already: {out}")
+    table = places.select(F.col(actor_col).alias("actor"), F.radians(lat).alias("lat"), F.radians(lon).alias("lon"))
+    rows = attach_static_covariates(log, table, table, sender_prefix="__from_", receiver_prefix="__to_")
+    half = lambda c: F.pow(F.sin((F.col(f"__to_{c}") - F.col(f"__from_{c}")) / 2), 2)
+    chord = half("lat") + F.cos("__from_lat") * F.cos("__to_lat") * half("lon")
+    chord = F.when(chord > 1, 1.0).otherwise(chord)  # least() would take a missing place for the other end of the earth
+    found = 2 * EARTH * F.asin(F.sqrt(chord))
+    return rows.withColumn(out, F.log1p(found) if log1p else found).select(*log.columns, out)
+
+
 def recency_scale(values: DataFrame, delta: str, half_life: float | None = None, reference: DataFrame | None = None) -> float:
     """half_life, or twice the exact median of the reference's (else the values') first column."""
     if half_life is not None:

@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 
 from braidlog.functions.temporal import as_of, as_of_small
 from braidlog.operators.hyper import as_dyadic_log, as_hyperedge_log, hyperedge_activity, hyperedge_features, hyperedge_log, hyperedge_sizes, hyperedge_subrep
-from braidlog.operators.log import attach_static_covariates, nearest_value, set_minus_receiver, standardize_event_log, transform_recency
+from braidlog.operators.log import attach_distance, attach_dyadic_covariates, attach_static_covariates, nearest_value, set_minus_receiver, standardize_event_log, transform_recency
 from braidlog.operators.reshape import derive_stratum, widen_case_control
 from braidlog.operators.sampling import sample_non_events
 from braidlog.plans.catalog import GATES, LEGS, MEASURES
 from braidlog.plans.features import endogenous_features
-from braidlog.sources.logs import dense_log, order_hyperedges, sparse_log, trade_log
+from braidlog.sources.logs import dense_log, order_hyperedges, read_delimited_log, read_edges_log, sparse_log, trade_log
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -184,6 +184,84 @@ def _attached(spark, sf_dir):
     return attach_static_covariates(sparse_log(spark, sf_dir), people, others).select("rid", "sender_balance", "sender_nation", "receiver_balance")
 
 
+@registered("attach_dyadic_covariates", f"""
+WITH x AS ({DENSE}), p AS (SELECT s, r, min(value) AS least, count(*)::DOUBLE AS often FROM x WHERE ev GROUP BY 1, 2)
+SELECT x.rid, coalesce(p.least, -1.0) AS least, coalesce(p.often, -1.0) AS often FROM x LEFT JOIN p USING (s, r)""")
+def _dyadic(spark, sf_dir):
+    log = dense_log(spark, sf_dir)
+    table = log.filter("is_event").groupBy("sender", "receiver").agg(F.min("value").alias("least"), F.count(F.lit(1)).cast("double").alias("often"))
+    return attach_dyadic_covariates(log.select("sender", "receiver", "time", "rid"), table, -1.0).select("rid", "least", "often")
+
+
+_PLACES = "SELECT s_suppkey::VARCHAR AS a, radians(s_acctbal % 90) AS lat, radians(s_acctbal % 180) AS lon FROM supplier"
+
+
+@registered("attach_distance", f"""
+WITH x AS ({SPARSE}), p AS ({_PLACES})
+SELECT x.rid, round(2 * 6371.0 * asin(sqrt(pow(sin((b.lat - a.lat) / 2), 2) + cos(a.lat) * cos(b.lat) * pow(sin((b.lon - a.lon) / 2), 2))), 5) AS km
+FROM x LEFT JOIN p a ON a.a = x.s LEFT JOIN p b ON b.a = x.r""")
+def _distance(spark, sf_dir):
+    places = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").alias("actor"), (F.col("s_acctbal") % 90).alias("lat"), (F.col("s_acctbal") % 180).alias("lon"))
+    return rounded(attach_distance(sparse_log(spark, sf_dir), places, "km").select("rid", "km"), "km", places=5)
+
+
+def _kept(spark, log: DataFrame, write) -> str:
+    """Writes the log as text into the shared folder; its path."""
+    from uuid import uuid4
+
+    from braidlog.storage import shared_dir
+
+    path = f"{shared_dir(spark)}/log-{uuid4().hex}"
+    write(log.select("sender", "receiver", "time").write, path)
+    return path
+
+
+@registered("read_delimited_log", f"SELECT s AS sender, r AS receiver, t AS day, row_number() OVER (ORDER BY rid) - 1 AS rid FROM ({SPARSE})")
+def _read_delimited(spark, sf_dir):
+    path = _kept(spark, sparse_log(spark, sf_dir), lambda w, at: w.csv(at, sep="\t", header=True, compression="gzip"))
+    return read_delimited_log(spark, path, columns={"time": "day"}, order_by="day").select("sender", "receiver", "day", "rid")
+
+
+@registered("read_edges_log", f"SELECT s AS sender, r AS receiver, t::BIGINT::VARCHAR AS weight FROM ({SPARSE})")
+def _read_edges(spark, sf_dir):
+    path = _kept(spark, sparse_log(spark, sf_dir).withColumn("time", F.col("time").cast("long")), lambda w, at: w.csv(at, sep=" ", compression="gzip"))
+    return read_edges_log(spark, path).select("sender", "receiver", "weight")
+
+
+def _streamed(spark, sf_dir, make) -> DataFrame:
+    """make's rows over the events as a stream that is read to its end."""
+    from uuid import uuid4
+
+    from braidlog.storage import shared_dir
+    from braidlog.streaming.features import ready
+
+    ready(spark)
+    table = f"{sf_dir}/events.parquet"
+    stream = spark.readStream.schema(spark.read.parquet(table).schema).parquet(f"{sf_dir}/events[.]parquet")
+    log = stream.select(F.col("user_id").cast("string").alias("sender"), F.get_json_object("props", "$.k").alias("receiver"), F.col("event_id").cast("double").alias("time"), F.col("event_id").alias("rid"))
+    path = f"{shared_dir(spark)}/stream-{uuid4().hex}"
+    out = make(log)
+    out.writeStream.format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{path}/rows")
+
+
+@registered("stream_degree", f"SELECT rid, (row_number() OVER (PARTITION BY s ORDER BY t) - 1)::DOUBLE AS sender_outdegree, false AS late FROM ({SPARSE})")
+def _stream_degree(spark, sf_dir):
+    from braidlog.streaming.features import stream_degree
+
+    return _streamed(spark, sf_dir, stream_degree)
+
+
+@registered("stream_dyad_features", f"""
+WITH x AS ({SPARSE})
+SELECT x.rid, any_value(x.t - (SELECT max(t) FROM x o WHERE o.s = x.s AND o.r = x.r AND o.t < x.t)) AS recency, count(e.t)::DOUBLE AS reciprocity_count, any_value(x.t) - max(e.t) AS reciprocity_time_recent,
+  any_value(x.t) - min(e.t) AS reciprocity_time_first, false AS late FROM x LEFT JOIN x e ON e.s = x.r AND e.r = x.s AND e.t < x.t GROUP BY x.rid""")
+def _stream_dyads(spark, sf_dir):
+    from braidlog.streaming.features import stream_dyad_features
+
+    return _streamed(spark, sf_dir, lambda log: stream_dyad_features(log, HALF_LIFE)).select("rid", "recency", "reciprocity_count", "reciprocity_time_recent", "reciprocity_time_first", "late")
+
+
 @registered("transform_recency", f"""
 WITH x AS ({SPARSE}), d AS (SELECT rid, t - lag(t) OVER (PARTITION BY s, r ORDER BY t) AS recency FROM x)
 SELECT rid, recency, round(exp(-recency / (SELECT 2 * median(recency) FROM d)), 6) AS weight FROM d""")
@@ -530,9 +608,39 @@ def _simulated_actors(spark, sf_dir):
     return simulate_actor_covariates(spark, names, ["x", "y"], [0.0, 1.0, 2.0], rho=0.5, seed=3)
 
 
-@registered("simulate_hyperedge_events")
-def _simulated_hyper(spark, sf_dir):
+@registered("simulate_directed_hyperedge_events")
+def _simulated_directed(spark, sf_dir):
     from braidlog.models.simulate import simulate_directed_hyperedge_events
 
     names = [r["r_name"] for r in spark.read.parquet(f"{sf_dir}/region.parquet").orderBy("r_regionkey").collect()]
     return simulate_directed_hyperedge_events(spark, 100, names, names, (1, 2), (1, 2), effects={"subrep_1_1": 0.1}, stats=["size_I", "activity"], seed=3)
+
+
+@registered("simulate_hyperedge_events")
+def _simulated_hyper(spark, sf_dir):
+    from braidlog.models.simulate import simulate_hyperedge_events
+
+    names = [r["r_name"] for r in spark.read.parquet(f"{sf_dir}/region.parquet").orderBy("r_regionkey").collect()]
+    return simulate_hyperedge_events(spark, 100, names, 3, effects={"subrep_1": 0.1}, stats=["size", "activity"], seed=3)
+
+
+@registered("simulate_directed_hyperevents_tvnl")
+def _simulated_curves(spark, sf_dir):
+    import math
+
+    from braidlog.models.simulate import simulate_directed_hyperevents_tvnl
+
+    region = {r["r_name"]: float(r["r_regionkey"]) / 4 for r in spark.read.parquet(f"{sf_dir}/region.parquet").collect()}
+    return simulate_directed_hyperevents_tvnl(spark, region, region, lambda t: math.sin(t), lambda v: -v * v, max_group_senders=2, seed=3)
+
+
+@registered("nn_uncertainty")
+def _uncertainty(spark, sf_dir):
+    from braidlog.models.nn import NetControl
+    from braidlog.models.rem import collected_strata, nn_uncertainty
+
+    X, case, strata = collected_strata(_cases(spark, sf_dir), ["value"], "stratum", "event", 2500)
+    found = nn_uncertainty(spark, X, case, strata, ["value"], NetControl(epochs=40, seed=1), B=24)
+    band = found["bands"]["value"]
+    rows = [tuple(float(v) for v in r) for r in zip(band["x"], band["mean"], band["low"], band["high"])]
+    return spark.createDataFrame(rows, "x double, mean double, low double, high double")

@@ -23,7 +23,7 @@ def read_delimited_log(spark: SparkSession, path: str, sep: str = "\t", header:
 
 
 def read_edges_log(spark: SparkSession, path: str, names: tuple[str, ...] = ("sender", "receiver", "weight", "time"), comment: str = "%") -> DataFrame:
-    """Lines of numbers between blanks; lines that begin with the comment sign are left out."""
+    """Lines of values between runs of blanks (gzip too); lines that begin with the comment sign, and empty ones, are left out."""
     parts = F.split(F.trim("value"), r"\s+")
     rows = spark.read.text(path).filter(~F.col("value").startswith(comment) & (F.trim("value") != "")).select(parts.alias("p"))
     return rows.select(*[F.try_element_at("p", F.lit(k + 1)).alias(n) for k, n in enumerate(names)])
@@ -77,7 +77,7 @@ def trade_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("s_nationkey").cast("string").alias("sender"), F.col("c_nationkey").cast("string").alias("receiver"), F.datediff(F.col("l_shipdate").cast("date"), F.lit("1970-01-01").cast("date")).cast("double").alias("time"))
 
 
-def order_hyperedges(spark: SparkSession, sf_dir: str, every: int = 1) -> DataFrame:
+def order_hyperedges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers of an order -> its customer; rid is the order's key and time its date in days."""
     line = _table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_set(F.col("l_suppkey").cast("string")).alias("I"))
     orders = _table(spark, sf_dir, "orders")

@@ -95,6 +95,22 @@ def test_as_of(spark):
     assert [r["time"] for r in days_since_first(frame(spark, [(86_400.0,), (259_200.0,)], "time double")).orderBy("time").collect()] == [0.0, 2.0]
 
 
+def test_dyadic_covariates_and_distance(spark):
+    from braidlog.operators.log import attach_distance, attach_dyadic_covariates
+
+    log = frame(spark, [("a", "b", 1.0, 0), ("b", "a", 2.0, 1), ("a", "c", 3.0, 2)], "sender string, receiver string, time double, rid long")
+    table = frame(spark, [("a", "b", 0.5), ("b", "a", 0.25)], "sender string, receiver string, w double")
+    assert rows(attach_dyadic_covariates(log, table).select("rid", "w"), "rid") == [(0, 0.5), (1, 0.25), (2, None)]
+    assert rows(attach_dyadic_covariates(log, table, 0.0).select("rid", "w"), "rid")[2] == (2, 0.0)
+    for bad in (table.union(table), table.drop("w"), table.withColumnRenamed("w", "time")):
+        with pytest.raises(ValueError):
+            attach_dyadic_covariates(log, bad)
+    places = frame(spark, [("a", 0.0, 0.0), ("b", 0.0, 90.0)], "actor string, lat double, lon double")
+    got = dict(rows(attach_distance(log, places).select("rid", "distance"), "rid"))
+    assert got[0] == pytest.approx(6371 * 3.141592653589793 / 2) == got[1] and got[2] is None
+    assert dict(rows(attach_distance(log, places, log1p=True).select("rid", "distance"), "rid"))[0] == pytest.approx(9.21, abs=0.01)
+
+
 def test_hyperedges(spark):
     hyper = hyperedge_log(frame(spark, [(list("ab"), ["X"], 1.0, 0), (list("abc"), ["X", "Y"], 2.0, 1), (list("ac"), ["Y"], 3.0, 2), (list("bcd"), ["X", "Y", "Z"], 4.0, 3)], "I array<string>, J array<string>, time double, rid long"), order_col="rid")
     count = lambda I, J, t: hyperedge_activity(hyper, list(I), J, t).first()[0]
