@@ -562,6 +562,18 @@ def _residuals(spark, sf_dir):
     return martingale_residuals(_events(spark, sf_dir), _STATS, Sampling(seed=11))
 
 
+@registered("martingale_residual_sums", f"SELECT row_number() OVER (ORDER BY rid) AS stratum, s AS sender, r AS receiver, 2::BIGINT AS n, 0.0::DOUBLE AS total, true AS bounded FROM ({DENSE})")
+def _residual_sums(spark, sf_dir):
+    """Of each stratum the event, how many residuals it has, their sum, and whether a case's lies in 0 to 1 and a control's in -1 to 0."""
+    from braidlog.models.compare import Sampling, martingale_residuals
+
+    rows = martingale_residuals(_events(spark, sf_dir), _STATS, Sampling(seed=11))
+    case = F.col("role") == "case"
+    inside = F.when(case, F.col("residual").between(0, 1)).otherwise(F.col("residual").between(-1, 0))
+    got = rows.groupBy("stratum").agg(F.max(F.when(case, F.col("sender"))).alias("sender"), F.max(F.when(case, F.col("receiver"))).alias("receiver"), F.count(F.lit(1)).alias("n"), F.abs(F.round(F.sum("residual"), 6)).alias("total"), F.min(inside).alias("bounded"))
+    return got.select("stratum", "sender", "receiver", "n", "total", "bounded")
+
+
 @registered("gof_global")
 def _gof(spark, sf_dir):
     from braidlog.models.compare import Sampling, gof_global
