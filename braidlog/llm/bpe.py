@@ -334,8 +334,11 @@ def _blocks(texts: Iterable[str], most: int = 1 << 21) -> Iterator[list[str]]:
         yield block
 
 
-def frequent_words(docs: DataFrame, tokenizer: str, text_col: str = "text", lexicon: int = 1 << 16) -> list[str]:
-    """The words that all texts hold most often, lexicon of them at most. Words that a block of texts holds once aren't counted there."""
+def frequent_words(docs: DataFrame, tokenizer: str, text_col: str = "text", lexicon: int = 1 << 16, longest: int = 64) -> list[str]:
+    """The words that all texts hold most often, lexicon of them at most, of at most longest characters, which bounds what the driver gets.
+
+    Words that a block of texts holds once aren't counted there. Words that are left out are merged when they come.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         splitter = Splitter()
@@ -344,7 +347,7 @@ def frequent_words(docs: DataFrame, tokenizer: str, text_col: str = "text", lexi
                 found: Counter = Counter()
                 for text in block:
                     found.update(splitter.words(text))
-                often = {w: n for w, n in found.items() if n > 1}
+                often = {w: n for w, n in found.items() if n > 1 and len(w) <= longest}
                 yield pa.RecordBatch.from_pydict({"word": pa.array(list(often), pa.string()), "n": pa.array(list(often.values()), pa.int64())})
 
     counts = docs.select(F.col(text_col).cast("string")).mapInArrow(tidied(count), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))

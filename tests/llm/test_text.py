@@ -288,4 +288,5 @@ def test_bpe_is_the_library(spark):
     broken = spark.createDataFrame([(1, bytearray(np.array([vocabulary.id_of[b"\xc3"]], "<u4").tobytes())), (2, None)], "doc_id long, ids binary")
     assert {r["doc_id"]: r["decoded"] for r in decode_documents(broken, PATH).collect()} == {1: "\ufffd", 2: ""}
     assert frequent_words(spark.createDataFrame([(1, "a b a b c a")], DOCS), PATH, lexicon=2) == [" a", " b"]
+    assert frequent_words(spark.createDataFrame([(1, f"a{'x' * 70} b\n" * 3)], DOCS), PATH) == ["\n", " b"]
     assert Splitter().words("don't") == ["don", "'t"]
