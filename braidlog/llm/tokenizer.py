@@ -56,15 +56,20 @@ def fast_encoder(path: str):
     ranks, and for a text that it refuses, the library itself encodes.
     """
     import tiktoken
-    from tokenizers import Tokenizer
 
     vocabulary = Vocabulary(path)
-    library = Tokenizer.from_file(path)
-    library.no_padding()
-    library.no_truncation()
+
+    @lru_cache(maxsize=1)
+    def library():  # few texts need it, and it is held besides the other
+        from tokenizers import Tokenizer
+
+        out = Tokenizer.from_file(path)
+        out.no_padding()
+        out.no_truncation()
+        return out
 
     def by_library(text: str) -> np.ndarray:
-        return np.array(library.encode(text, add_special_tokens=False).ids, np.uint32)
+        return np.array(library().encode(text, add_special_tokens=False).ids, np.uint32)
 
     if not vocabulary.ranked_by_id():
         return by_library
