@@ -403,7 +403,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, join: Join) -> DataFrame:
             keep = pa.array([_links(read(x), read(y), join) for x, y in zip(batch.column(2), batch.column(3))], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], schema=arrow)
 
-    pairs = written(_near(pairs, sets, join).distinct(), "pairs")
+    # Without an aggregate on top, Spark can split the join's part of a document that leads many lists.
+    pairs = written(_near(pairs, sets, join), "pairs")
     here = flagged(sets.select("doc", "tokens"), F.col("doc"), pairs.select(F.explode(F.array("a", "b")).alias("doc")), join.filter_bits).filter("__hit")
     one = here.select(F.col("doc").alias("a"), F.col("tokens").alias("left"))
     two = here.select(F.col("doc").alias("b"), F.col("tokens").alias("right"))
