@@ -65,8 +65,8 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray,
     return window, offset
 
 
-def cut_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, end_id: int = 1, with_ids: bool = False) -> DataFrame:
-    """Pieces of at most capacity tokens: id, start, length, ids_crc32, doc_tokens[, ids]. Full windows first, then what is left."""
+def cut_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, end_id: int = 1, with_ids: bool = False, short_first: bool = False) -> DataFrame:
+    """Pieces of at most capacity tokens: id, start, length, ids_crc32, doc_tokens[, ids]. Full windows first, then what is left; short_first: the other way round."""
     bounded_batches(docs.sparkSession)
     fields = [T.StructField(id_col, docs.schema[id_col].dataType)] + [T.StructField(c, T.LongType()) for c in ("start", "length", "ids_crc32", "doc_tokens")]
     schema = T.StructType(fields + [T.StructField("ids", T.ArrayType(T.IntegerType()))] * with_ids)
@@ -80,8 +80,10 @@ def cut_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_
             rows: list[list] = [[] for _ in arrow]
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 ids = np.append(encode(text.as_py() or ""), np.uint32(end_id)).astype("<u4")
-                for start in range(0, len(ids), capacity):
-                    part = ids[start : start + capacity]
+                ends = range(len(ids), 0, -capacity) if short_first else range(capacity, len(ids) + capacity, capacity)
+                for end in ends:
+                    start = max(0, end - capacity)
+                    part = ids[start:end]
                     values = [key, start, len(part), zlib.crc32(part.tobytes()), len(ids)] + [part.astype(np.int32)] * with_ids
                     for column, value in zip(rows, values):
                         column.append(value)
@@ -97,7 +99,8 @@ def pack_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text
     capacity tokens are cut into full windows, which are sequences of their own, and one rest. The
     rests are dealt by a hash into groups of about group_pieces, and each group is packed best-fit
     decreasing by one task, so memory and the padded share don't depend on the corpus. Within a
-    group, equal lengths are ordered by id, then start. Repeated rows are documents of their own; an
+    group, equal lengths are ordered by id, then start. Rows that repeat an id, a text or both are dealt
+    by their number in the table of pieces too, so they don't meet in one task. Repeated rows are documents of their own; an
     empty table gives no rows; other columns aren't read. sequence_id: group * 2**32 + its window.
     """
     pieces = written(cut_documents(docs, tokenizer, id_col, text_col, capacity, end_id, with_ids), "pieces")
@@ -111,5 +114,5 @@ def pack_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text
         columns = {c: table[c] for c in table.column_names} | {"sequence_id": pa.array(window + (key[0].as_py() << 32)), "offset": pa.array(offset)}
         return pa.table([columns[f.name] for f in arrow], schema=arrow)
 
-    dealt = pieces.withColumn("__group", F.pmod(F.xxhash64(id_col, "start"), F.lit(groups)))
+    dealt = pieces.withColumn("__group", F.pmod(F.xxhash64(id_col, "start", "ids_crc32", F.monotonically_increasing_id()), F.lit(groups)))
     return dealt.groupBy("__group").applyInArrow(lambda key, table: pack(key, table.drop_columns("__group")), schema)

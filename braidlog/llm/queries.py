@@ -162,6 +162,14 @@ def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decode_documents(encoded, tokenizer).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op11_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from braidlog.llm.exchange import pack_by_exchange
+
+    return pack_by_exchange(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
     "op2_toxicity": op2_toxicity,
@@ -173,6 +181,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat_format": op8_chat_format,
     "op9_url_rules": op9_url_rules,
     "op10_bpe_codec": op10_bpe_codec,
+    "op11_best_fit_packing": op11_best_fit_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {"op4_exact_dedup": OP4_SQL, "op8_chat_format": OP8_SQL}
