@@ -170,6 +170,32 @@ def op11_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_by_exchange(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op12_dual_tree_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from braidlog.llm.dualtree import cluster_vectors
+
+    return cluster_vectors(read(spark, sf_dir, "embeddings"))
+
+
+def _lloyd_sql(rounds: int = 10) -> str:
+    """Rounds written out: c0, c1, ... hold a row for each centroid and component."""
+    nearest = "SELECT vec_id, no, arg_min(c, (d, c)) AS cluster, min(d) AS distance FROM (SELECT q.no, any_value(q.vec_id) AS vec_id, c.c, sum((q.x - c.x) * (q.x - c.x))::BIGINT AS d FROM q JOIN {c} c USING (dim) GROUP BY q.no, c.c) GROUP BY vec_id, no"
+    ctes = []
+    for k in range(1, rounds + 1):
+        ctes.append(f"a{k} AS MATERIALIZED ({nearest.format(c=f'c{k - 1}')})")
+        mean = f"SELECT cluster AS c, dim, (s - ((s % n) + n) % n) // n AS x FROM (SELECT cluster, dim, sum(x)::HUGEINT AS s, count(*)::HUGEINT AS n FROM q JOIN a{k} USING (no) GROUP BY 1, 2)"
+        ctes.append(f"c{k} AS MATERIALIZED (SELECT o.c, o.dim, coalesce(m.x, o.x)::BIGINT AS x FROM c{k - 1} o LEFT JOIN ({mean}) m USING (c, dim))")
+    last = f"c{rounds}"
+    return f"""
+WITH v AS MATERIALIZED (SELECT vec_id, embedding, row_number() OVER () AS no FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+q AS MATERIALIZED (SELECT no, vec_id, unnest(range(64)) AS dim, floor(1024 * unnest(embedding)::DOUBLE)::BIGINT AS x FROM v),
+first AS (SELECT no, row_number() OVER (ORDER BY sha256('3:' || vec_id), embedding) - 1 AS c FROM v QUALIFY c < 8),
+c0 AS MATERIALIZED (SELECT c::INTEGER AS c, dim, x FROM q JOIN first USING (no)),
+{", ".join(ctes)},
+a AS ({nearest.format(c=last)}), h AS (SELECT c, sha256(string_agg(x::VARCHAR, ',' ORDER BY dim)) AS centroid_sha256 FROM {last} GROUP BY c)
+SELECT vec_id, cluster, distance, sum(distance) OVER (PARTITION BY cluster)::BIGINT AS cluster_inertia, sum(distance) OVER ()::BIGINT AS inertia, centroid_sha256 FROM a JOIN h ON c = cluster
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
     "op2_toxicity": op2_toxicity,
@@ -182,6 +208,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_url_rules": op9_url_rules,
     "op10_bpe_codec": op10_bpe_codec,
     "op11_best_fit_packing": op11_best_fit_packing,
+    "op12_dual_tree_clusters": op12_dual_tree_clusters,
 }
 
-ORACLE_SQL: dict[str, str] = {"op4_exact_dedup": OP4_SQL, "op8_chat_format": OP8_SQL}
+ORACLE_SQL: dict[str, str] = {"op4_exact_dedup": OP4_SQL, "op8_chat_format": OP8_SQL, "op12_dual_tree_clusters": _lloyd_sql()}
