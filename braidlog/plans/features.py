@@ -9,7 +9,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from braidlog.plans.catalog import LEGS, STATISTICS, Statistic, bound
+from braidlog.plans.paths import two_paths
 from braidlog.plans.records import mark, measured, prior, query, ranked, summarise
+from braidlog.plans.segments import dealt
+from braidlog.storage import written
 
 KEY = ("sender", "receiver", "time")
 
@@ -45,21 +48,41 @@ def _prepared(log: DataFrame, history: DataFrame | None, prior_log: DataFrame |
 
 
 def _degrees(rows: DataFrame, strict: bool, wanted: set[str]) -> list[DataFrame]:
+    """Events of the actor before each row. An actor of many rows is dealt by ranges of time, which begin with the events before them."""
     out = []
     for name, key in (("sender_outdegree", "__s"), ("receiver_indegree", "__r")):
         if name in wanted:
-            seen = ranked(rows.withColumns({"__time": F.col("__t"), "__no": F.col("__rid"), "__kind": F.lit(0)}), strict, key)
-            out.append(seen.select("__rid", F.count(F.when(F.col("__event"), 1)).over(prior(strict, key)).cast("double").alias(name)))
+            parts = dealt(rows, [key], ["__t"] if strict else ["__t", "__rid"])
+            seen, own = parts.rows, [key]
+            if parts.cut:
+                begun = parts.begun({"n": F.count(F.when(F.col("__event"), 1))}, lambda segments: [{"__begun": sum(r["n"] for r in segments[:k])} for k in range(len(segments))])
+                seen, own = parts.with_begun(begun), [key, "__seg"]
+            seen = ranked(seen.withColumns({"__time": F.col("__t"), "__no": F.col("__rid"), "__kind": F.lit(0)}), strict, *own)
+            count = F.count(F.when(F.col("__event"), 1)).over(prior(strict, *own))
+            out.append(seen.select("__rid", (count + F.coalesce(F.col("__begun"), F.lit(0)) if parts.cut else count).cast("double").alias(name)))
     return out
 
 
 def _reached(rows: DataFrame) -> DataFrame:
-    """Receivers that the sender reached strictly before, in the order in which it first reached them."""
+    """Receivers that the sender reached strictly before, in the order in which it first reached them.
+
+    A row's set is what its segment of the sender's time adds before it; for a sender of several segments
+    it follows the set that the segments before have reached, which is held once for each.
+    """
     first = rows.filter("__event").groupBy("__s", "__r").agg(F.min(F.struct("__t", "__rid")).alias("o"))
     records = query(rows, __s=F.col("__s"), __to=F.lit(None).cast("string")).unionByName(mark(first, "o.__t", "o.__rid", __s=F.col("__s"), __to=F.col("__r")))
-    seen = F.collect_list(F.when(F.col("__kind") == 1, F.struct("__time", "__no", "__to"))).over(prior(True, "__s"))
-    out = ranked(records, True, "__s").withColumn("__seen", seen).filter("__kind = 0")
-    return out.select(F.col("__id").alias("__rid"), F.transform(F.array_sort("__seen"), lambda x: x["__to"]).alias("sender_receivers_set"))
+    parts = dealt(records, ["__s"], ["__time"])
+    own = ["__s", "__seg"] if parts.cut else ["__s"]
+    seen = F.collect_list(F.when(F.col("__kind") == 1, F.struct("__time", "__no", "__to"))).over(prior(True, *own))
+    out = ranked(parts.rows, True, *own).withColumn("__seen", F.array_sort(seen)).filter("__kind = 0")
+    if parts.cut:
+        marks = parts.rows.filter("__kind = 1 OR __seg > 0")
+        later = marks.filter("__seg > 0").select(F.col("__s").alias("__of"), F.col("__seg").alias("__at")).distinct()
+        base = later.join(marks.filter("__kind = 1"), (F.col("__of") == F.col("__s")) & (F.col("__seg") < F.col("__at")))
+        base = base.groupBy("__of", "__at").agg(F.array_sort(F.collect_list(F.struct("__time", "__no", "__to"))).alias("__base"))
+        out = out.join(base, (F.col("__s") == F.col("__of")) & (F.col("__seg") == F.col("__at")), "left")
+        out = out.withColumn("__seen", F.when(F.col("__base").isNotNull(), F.concat("__base", "__seen")).otherwise(F.col("__seen")))
+    return out.select(F.col("__id").alias("__rid"), F.transform("__seen", lambda x: x["__to"]).alias("sender_receivers_set"))
 
 
 def _dyad(rows: DataFrame, strict: bool, stats: list[Statistic], half_life: float | None) -> DataFrame:
@@ -117,10 +140,6 @@ def _dyad(rows: DataFrame, strict: bool, stats: list[Statistic], half_life: floa
     return out.select("__rid", *[s.name for s in stats])
 
 
-def _leg(edges: DataFrame, leg: tuple[str, str], tag: str, *values: str) -> DataFrame:
-    return edges.select(F.col("__s").alias(f"{tag}{leg[0]}"), F.col("__r").alias(f"{tag}{leg[1]}"), *[F.col(v).alias(f"{tag}_{v}") for v in values])
-
-
 def _triad(rows: DataFrame, strict: bool, family: str, stats: list[Statistic], half_life: float | None) -> DataFrame:
     """Two-paths of one family. They depend on the dyad only, so each is formed once and is a mark on the dyad.
 
@@ -131,13 +150,13 @@ def _triad(rows: DataFrame, strict: bool, family: str, stats: list[Statistic], h
     """
     one, two = LEGS[family]
     events = rows.filter("__event")
-    first = events.groupBy("__s", "__r").agg(F.min(F.struct("__t", "__rid")).alias("o"))
-    dyads = rows.filter("NOT __prior").select(F.col("__s").alias("s"), F.col("__r").alias("r")).distinct()
-    a, b = _leg(first, one, "a", "o"), _leg(first, two, "b", "o")
-    (a_end,), (b_end,) = (x for x in one if x != "k"), (x for x in two if x != "k")
-    wedges = dyads.join(a, F.col(a_end) == F.col(f"a{a_end}")).filter("ak <> s AND ak <> r")
-    wedges = wedges.join(b, (F.col("ak") == F.col("bk")) & (F.col(b_end) == F.col(f"b{b_end}"))).select("s", "r", F.col("ak").alias("k"), "a_o", "b_o")
+    edges = rows.groupBy("__s", "__r").agg(F.min(F.when(F.col("__event"), F.struct("__t", "__rid"))).alias("o"), F.max(~F.col("__prior")).alias("asked"))
+    dyads = edges.filter("asked").select(F.col("__s").alias("s"), F.col("__r").alias("r"))
+    wedges = two_paths(edges, one, two)
+    (b_end,) = (x for x in two if x != "k")
     gates = {g: {s.measure for s in stats if s.gate == g} for g in ("", "ordered", "interrupted")}
+    if sum(map(bool, gates.values())) > 1:
+        wedges = written(wedges, "paths")  # joined once for all gates
     asked = query(rows.filter("NOT __prior"), s=F.col("__s"), r=F.col("__r"))
     names: list[tuple[str, str]] = []
     parts: list[DataFrame] = []
