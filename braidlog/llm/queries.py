@@ -196,6 +196,34 @@ SELECT vec_id, cluster, distance, sum(distance) OVER (PARTITION BY cluster)::BIG
 """
 
 
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from braidlog.llm.trie import conversation_trie
+
+    return conversation_trie(read(spark, sf_dir, "conversations"))
+
+
+#: DuckDB has no crc32, so its table of bytes is made from the polynomial and applied to the digits of a number.
+OP13_SQL = r"""
+WITH RECURSIVE poly(b, k, v) AS (SELECT b, 0, b::BIGINT FROM range(256) r(b) UNION ALL SELECT b, k + 1, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END FROM poly WHERE k < 8),
+bytes AS (SELECT list(v ORDER BY b) AS t FROM poly WHERE k = 8),
+crc(c, pos, v) AS (SELECT DISTINCT conv_id, 0, 4294967295::BIGINT FROM conversations WHERE conv_id IS NOT NULL
+  UNION ALL SELECT c, pos + 1, xor(v >> 8, t[xor(v & 255, ascii(substr(c::VARCHAR, pos + 1, 1))) + 1]) FROM crc, bytes WHERE pos < length(c::VARCHAR)),
+heads AS (SELECT c, xor(v, 4294967295) % 4 AS h FROM crc WHERE pos = length(c::VARCHAR)),
+o AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS p, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations),
+r AS (SELECT h.c, o.p, role, text, 0 AS own FROM heads h JOIN o ON o.c = h.c - h.c % 20 AND o.p <= h.h UNION ALL SELECT h.c, o.p, role, text, 1 FROM heads h JOIN o ON o.c = h.c AND o.p > h.h),
+d AS (SELECT c, role, text, row_number() OVER (PARTITION BY c ORDER BY own, p) AS depth FROM r),
+m AS MATERIALIZED (SELECT c, depth, text, sha256(string_agg(sha256(role) || sha256(text), '') OVER (PARTITION BY c ORDER BY depth)) AS k FROM d UNION ALL SELECT c, 0, '', '' FROM heads),
+n AS MATERIALIZED (SELECT k, depth, min(c) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(len(list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda w: w <> ''))) AS saved FROM m GROUP BY k, depth),
+up AS MATERIALIZED (SELECT DISTINCT a.k, b.k AS parent FROM m a JOIN m b ON a.c = b.c AND b.depth = a.depth - 1),
+kids AS (SELECT parent AS k, count(*) AS n_children FROM up GROUP BY parent),
+sub AS (SELECT DISTINCT a.k, b.k AS below FROM m a JOIN m b ON a.c = b.c AND b.depth >= a.depth),
+sums AS (SELECT sub.k, sum(n.saved)::BIGINT AS saved_tokens, count(*) FILTER (kids.k IS NULL) AS n_leaves FROM sub JOIN n ON n.k = sub.below LEFT JOIN kids ON kids.k = sub.below GROUP BY sub.k),
+ends AS (SELECT k, string_agg(c::VARCHAR, ',' ORDER BY c) AS ids FROM m WHERE depth = (SELECT max(depth) FROM m x WHERE x.c = m.c) GROUP BY k)
+SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(n_children, 0) AS n_children, n_leaves, saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM n JOIN sums USING (k) LEFT JOIN kids USING (k) LEFT JOIN up USING (k) LEFT JOIN n p ON p.k = up.parent LEFT JOIN ends ON ends.k = n.k
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
     "op2_toxicity": op2_toxicity,
@@ -209,6 +237,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_bpe_codec": op10_bpe_codec,
     "op11_best_fit_packing": op11_best_fit_packing,
     "op12_dual_tree_clusters": op12_dual_tree_clusters,
+    "op13_conversation_trie": op13_conversation_trie,
 }
 
-ORACLE_SQL: dict[str, str] = {"op4_exact_dedup": OP4_SQL, "op8_chat_format": OP8_SQL, "op12_dual_tree_clusters": _lloyd_sql()}
+ORACLE_SQL: dict[str, str] = {"op4_exact_dedup": OP4_SQL, "op8_chat_format": OP8_SQL, "op12_dual_tree_clusters": _lloyd_sql(), "op13_conversation_trie": OP13_SQL}
