@@ -16,8 +16,10 @@ from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
 
-#: Tables that written() made and nobody discarded, with their contexts; they go when the driver ends.
-_left: dict[str, SparkContext] = {}
+#: Contexts whose end deletes what written() has left in the shared folder.
+_watched: set[str] = set()
+#: Shuffle files of a query go when it ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -38,29 +40,45 @@ def _delete(context: SparkContext, at: str) -> None:
     path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
-@atexit.register
-def _clear() -> None:
-    for at, context in _left.items():
-        with contextlib.suppress(Exception):  # the session may have ended before
+def application_dir(spark: SparkSession) -> str:
+    """A folder of this application within the shared one. It goes when the context stops, or at the latest when its JVM ends."""
+    context = spark.sparkContext
+    at = f"{shared_dir(spark)}/braidlog-{context.applicationId}"
+    if context.applicationId not in _watched:
+        _watched.add(context.applicationId)
+        path = context._jvm.org.apache.hadoop.fs.Path(at)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(path)
+        stop = context.stop
+
+        def stopped() -> None:
             if context._jsc is not None:
-                _delete(context, at)
+                with contextlib.suppress(Exception):  # the file system may be gone before the context
+                    _delete(context, at)
+            stop()
+
+        context.stop = stopped
+    return at
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder, read back: lineage is cut and a lost executor costs nothing of it.
 
-    Shuffle files that only the lineage needed go as soon as the driver has no reference to them, which
-    its collector is asked to notice now rather than some time later.
+    Shuffle files of the query that writes it go when it ends. The table goes when it is discarded, or with
+    the application.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path = f"{application_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_at = path
-    _left[path] = spark.sparkContext
-    del df
-    released()
-    spark.sparkContext._jvm.System.gc()
     return out
 
 
@@ -76,4 +94,3 @@ def discard(*tables: DataFrame) -> None:
     """Deletes tables that written() made and that no plan reads any more."""
     for df in tables:
         _delete(df.sparkSession.sparkContext, df.written_at)
-        _left.pop(df.written_at, None)
