@@ -9,6 +9,7 @@ Any order gives all links; the table only keeps lists short.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import combinations
@@ -35,7 +36,8 @@ class Join:
 
     frequent: tokens that the table of frequent tokens has at most. short: documents of a list up to
     which all its pairs are looked at once. run: rows of a list that one task takes; longer lists are
-    dealt to several. block: rows of a list of which each two blocks meet at last. chunk: tokens that are
+    dealt to several. block: rows of a list from which on it is cut, into at most
+    `blocks`, of which each two meet at last. chunk: tokens that are
     counted together in the survey; one in `sampled` of those that a chunk holds once is counted too, for
     all of them. bytes: of texts that are hashed together. sketch: bits of a set's sketch.
     """
@@ -45,7 +47,8 @@ class Join:
     frequent: int = 1 << 20
     short: int = 24
     run: int = 20_000
-    block: int = 512
+    block: int = 4096
+    blocks: int = 8
     chunk: int = 1 << 21
     sampled: int = 256
     bytes: int = 1 << 19
@@ -356,12 +359,12 @@ def _drawn(rows: DataFrame, join: Join, parts: int) -> DataFrame:
 
 
 def _sets(docs: DataFrame, id_col: str, text_col: str, join: Join, wanted: DataFrame) -> DataFrame:
-    """doc, n, tokens (sorted), sketch of the documents in wanted, and of few others.
+    """doc, n, sketch, text of the documents in wanted, and of few others. A text is smaller than its set's hashes, and packs better.
 
     A sketch's bits say of each residue of tokens whether the set has an odd number of it; those in which two sketches
     differ are at most the tokens in which the sets do.
     """
-    schema = T.StructType([T.StructField("doc", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("tokens", T.BinaryType()), T.StructField("sketch", T.ArrayType(T.LongType()))])
+    schema = T.StructType([T.StructField("doc", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("sketch", T.ArrayType(T.LongType())), T.StructField("text", T.StringType())])
     arrow = to_arrow_schema(schema)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -369,7 +372,7 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, join: Join, wanted: DataF
             for k, block in blocks_of(batch.column(1), join.bytes):
                 found = shingle_sets(block, join.words)
                 odd = [np.packbits(np.bincount((s % np.uint64(join.sketch)).astype(np.int64), minlength=join.sketch) & 1 == 1) for s in found]
-                columns = batch.column(0).slice(k, len(block)), [len(s) for s in found], [s.astype("<u8").tobytes() for s in found], [x.view(np.int64) for x in odd]
+                columns = batch.column(0).slice(k, len(block)), [len(s) for s in found], [x.view(np.int64) for x in odd], block
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) if isinstance(x, list) else x.cast(f.type) for x, f in zip(columns, arrow)], schema=arrow)
 
     rows = flagged(docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text")), F.col("doc"), wanted, join.filter_bits)
@@ -399,25 +402,44 @@ def _verified(pairs: DataFrame, sets: DataFrame, join: Join) -> DataFrame:
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            read = lambda x: np.frombuffer(x.as_buffer(), "<u8")
-            keep = pa.array([_links(read(x), read(y), join) for x, y in zip(batch.column(2), batch.column(3))], pa.bool_())
+            # A document that leads many lists is in many pairs of a batch; its set is made once.
+            ids = np.concatenate([batch.column(0).to_numpy(), batch.column(1).to_numpy()])
+            _, first, of = np.unique(ids, return_index=True, return_inverse=True)
+            texts = pa.concat_arrays([batch.column(2), batch.column(3)]).take(pa.array(first))
+            sets = [s for _, block in blocks_of(texts, join.bytes) for s in shingle_sets(block, join.words)]
+            keep = pa.array([_links(sets[x], sets[y], join) for x, y in zip(of[: batch.num_rows], of[batch.num_rows :])], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], schema=arrow)
 
     # Without an aggregate on top, Spark can split the join's part of a document that leads many lists.
     pairs = written(_near(pairs, sets, join), "pairs")
-    here = flagged(sets.select("doc", "tokens"), F.col("doc"), pairs.select(F.explode(F.array("a", "b")).alias("doc")), join.filter_bits).filter("__hit")
-    one = here.select(F.col("doc").alias("a"), F.col("tokens").alias("left"))
-    two = here.select(F.col("doc").alias("b"), F.col("tokens").alias("right"))
+    here = flagged(sets.select("doc", "text"), F.col("doc"), pairs.select(F.explode(F.array("a", "b")).alias("doc")), join.filter_bits).filter("__hit")
+    one = here.select(F.col("doc").alias("a"), F.col("text").alias("left"))
+    two = here.select(F.col("doc").alias("b"), F.col("text").alias("right"))
     out = written(pairs.join(one, "a").join(two, "b").select("a", "b", "left", "right").mapInArrow(tidied(verify), schema).distinct(), "links")
     discard(pairs)
     return out
 
 
+def _dealt(rows: DataFrame, sets: DataFrame, join: Join) -> DataFrame:
+    """rows of lists (sig, doc, n, reach, comp, length) with their sketches, for each class of sizes and each two blocks that they are in."""
+    blocks = F.least(F.lit(join.blocks), F.greatest(F.lit(1), F.ceil(F.col("length") / join.block))).cast("int")
+    span = math.log(100 / join.percent)
+    rows = rows.withColumn("kind", F.explode(F.array(*[(F.floor(F.log(F.col("n")) / span + 1e-9) - k).cast("int") for k in (0, 1)])))
+    # Rows that are alone with their class, or all of one component there, have no pair.
+    met = rows.groupBy("sig", "kind").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("many")).filter("low < high").select("sig", "kind", "many")
+    rows = rows.drop("length").join(met.withColumnRenamed("many", "length"), ["sig", "kind"]).join(sets.select("doc", "sketch"), "doc")
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("doc"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    return rows.select("sig", "kind", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"), "own", "doc", "n", "reach", "comp", "sketch")
+
+
 def _crossed(rows: DataFrame, sets: DataFrame, join: Join, parts: int) -> DataFrame:
     """a, b: the pairs of a list, of different components, that may link.
 
-    rows: sig, doc, n, reach, comp, length. A long list is cut into blocks and each two blocks meet in a task. Pairs must
-    reach what sets of their sizes share, and their sketches differ no more than linked sets do, so few are left.
+    rows: sig, doc, n, reach, comp, length. Sets that link are of one class of sizes or of two that follow each other
+    (a class spans the ratio that links span), so a row comes with its own class and the one below. A long list is cut
+    into blocks, `blocks` at most, and each two blocks meet in a task; so rows are copied twice `blocks` times at most,
+    however long the list is, and what grows with its square is tests inside tasks. Pairs must reach what sets of their
+    sizes share, and their sketches differ no more than linked sets do, so few are left.
     """
     schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
     arrow = to_arrow_schema(schema)
@@ -426,11 +448,12 @@ def _crossed(rows: DataFrame, sets: DataFrame, join: Join, parts: int) -> DataFr
         held = [b for b in batches if b.num_rows]
         if not held:
             return
-        sig, one, two, own, doc, n, reach, comp = _gathered(iter(held), 8)
-        sketch = np.concatenate([b.column(8).flatten().to_numpy().view(np.uint64).reshape(b.num_rows, -1) for b in held])
-        order = np.lexsort((doc, two, one, sig))
-        sig, one, two, own, doc, n, reach, comp, sketch = (x[order] for x in (sig, one, two, own, doc, n, reach, comp, sketch))
-        starts = np.flatnonzero(np.append(True, (sig[1:] != sig[:-1]) | (one[1:] != one[:-1]) | (two[1:] != two[:-1]))).tolist()
+        sig, kind, one, two, own, doc, n, reach, comp = _gathered(iter(held), 9)
+        sketch = np.concatenate([b.column(9).flatten().to_numpy().view(np.uint64).reshape(b.num_rows, -1) for b in held])
+        order = np.lexsort((doc, two, one, kind, sig))
+        sig, kind, one, two, own, doc, n, reach, comp, sketch = (x[order] for x in (sig, kind, one, two, own, doc, n, reach, comp, sketch))
+        new = (sig[1:] != sig[:-1]) | (kind[1:] != kind[:-1]) | (one[1:] != one[:-1]) | (two[1:] != two[:-1])
+        starts = np.flatnonzero(np.append(True, new)).tolist()
         found = [np.empty((0, 2), np.int64)]
         for first, end in zip(starts, [*starts[1:], len(sig)]):
             for at in range(first, end, 64):
@@ -447,10 +470,7 @@ def _crossed(rows: DataFrame, sets: DataFrame, join: Join, parts: int) -> DataFr
         pairs = np.unique(np.concatenate(found), axis=0)
         yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], schema=arrow)
 
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("length") / join.block)).cast("int")
-    rows = rows.join(sets.select("doc", "sketch"), "doc").withColumn("own", F.pmod(F.xxhash64("doc"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    dealt = rows.select("sig", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"), "own", "doc", "n", "reach", "comp", "sketch")
-    return dealt.repartition(parts, "sig", "one", "two").mapInArrow(tidied(cross), schema)
+    return _dealt(rows, sets, join).repartition(parts, "sig", "kind", "one", "two").mapInArrow(tidied(cross), schema)
 
 
 def _labels(links: DataFrame, total: int) -> DataFrame:

@@ -61,7 +61,7 @@ def corpus(seed):
     return [(3 * k + 5, t) for k, t in enumerate(texts)]
 
 
-SMALL = Join(frequent=400, short=4, run=16, block=16, chunk=512, filter_bits=1 << 16)
+SMALL = Join(frequent=400, short=4, run=16, block=8, blocks=3, chunk=512, filter_bits=1 << 16)
 
 
 @pytest.mark.parametrize("join", [Join(), SMALL])
@@ -80,6 +80,19 @@ def test_jaccard_edges(spark):
     assert got == sorted([(1, 2, 1), (1, 2, 1), (2, 2, 1), (None, 2, None), (9, 0, 9), (8, 0, 8)], key=str)
 
 
+def test_rows_of_a_long_list_are_copied_linearly(spark):
+    from pyspark.sql import functions as F
+
+    from braidlog.llm.jaccard import _dealt
+
+    join, copies = Join(block=100, blocks=4), []
+    for length in (500, 2000, 8000):
+        rows = spark.range(length).select(F.lit(1).alias("sig"), F.col("id").alias("doc"), (F.lit(90) + F.col("id") % 20).cast("int").alias("n"), F.lit(80).alias("reach"), F.col("id").alias("comp"), F.lit(length).alias("length"))
+        sets = spark.range(length).select(F.col("id").alias("doc"), F.array(F.lit(0).cast("long")).alias("sketch"))
+        copies.append(_dealt(rows, sets, join).count() / length)
+    assert max(copies) == min(copies) <= 2 * join.blocks
+
+
 def test_every_link_shares_a_signature():
     """Over random sets and tables of frequent tokens: sets at or over the threshold share a signature that both reach."""
     rng, join = np.random.default_rng(1), Join()
