@@ -7,7 +7,7 @@ import re
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -78,36 +78,71 @@ def hyperedge_subrep(hyper: DataFrame, I: Sequence[str], J: Sequence[str] = (),
     return hyper.filter(F.col("time") < t).agg((F.coalesce(F.sum(met), F.lit(0.0)) / F.lit(float(math.comb(len(I), rho) * math.comb(len(J), l)))).alias("subrep"))
 
 
+def _subsets(items: Column, size: int) -> Column:
+    """All subsets of so many items of an array, each in the array's order."""
+    places = F.when(F.size(items) > 0, F.sequence(F.lit(0), F.size(items) - 1)).otherwise(F.array().cast("array<int>"))
+    found = F.array(F.struct(F.lit(-1).alias("at"), F.array().cast(_SETS).alias("own")))
+    for _ in range(size):
+        longer = lambda s: F.transform(F.filter(places, lambda i: i > s["at"]), lambda i: F.struct(i.alias("at"), F.concat(s["own"], F.array(F.get(items, i))).alias("own")))
+        found = F.flatten(F.transform(found, longer))
+    return F.transform(found, lambda s: s["own"])
+
+
+def _earlier(counts: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, time, before: how many of n lie strictly before each time of a key; counts has keys, time, n, one row or more for a time."""
+    each = counts.groupBy(*keys, "time").agg(F.sum("n").alias("n"))
+    before = Window.partitionBy(*keys).orderBy("time").rowsBetween(Window.unboundedPreceding, -1)
+    return each.select(*keys, "time", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+
+
+def _subset_counts(hyper: DataFrame, rho: int, l: int) -> DataFrame:  # noqa: E741
+    """rid, met: over the subsets of rho senders and l receivers, how many earlier hyperedges hold each."""
+    asked = hyper.filter("time IS NOT NULL").select("rid", "time", F.col("J"), F.explode(_subsets(F.sort_array("I"), rho)).alias("A")).select("rid", "time", "A", F.explode(_subsets(F.sort_array("J"), l)).alias("B"))
+    counts = _earlier(asked.select("A", "B", "time", F.lit(1).alias("n")), ["A", "B"])
+    return asked.join(counts, ["A", "B", "time"]).groupBy("rid").agg(F.sum("before").cast("double").alias("met"))
+
+
+def _held_counts(hyper: DataFrame) -> DataFrame:
+    """rid, met: how many earlier hyperedges hold all members of each.
+
+    Distinct pairs of sets are compared, not rows: a pair of sets looks only at those that hold its two rarest
+    members together. Then the times of all that hold it are counted in order, so copies of a hyperedge are one
+    row for each time.
+    """
+    rows = hyper.filter("time IS NOT NULL AND size(I) > 0").select("rid", "time", F.sort_array("I").alias("A"), F.sort_array("J").alias("B"))
+    times = rows.groupBy("A", "B", "time").agg(F.count(F.lit(1)).alias("n"))
+    tagged = F.array_sort(F.concat(F.transform("A", lambda x: F.concat(F.lit("I"), x)), F.transform("B", lambda x: F.concat(F.lit("J"), x))))
+    sets = times.select("A", "B").distinct().withColumn("all", tagged)
+    members = sets.select("A", "B", F.explode("all").alias("member"))
+    rare = members.join(members.groupBy("member").agg(F.count(F.lit(1)).alias("often")), "member").groupBy("A", "B").agg(F.slice(F.array_sort(F.collect_list(F.struct("often", "member"))), 1, 2).alias("two"))
+    rare = rare.select(F.col("A").alias("A0"), F.col("B").alias("B0"), F.array_sort(F.transform("two", lambda x: x["member"])).alias("pair"))
+    pairs = sets.select("A", "B", F.explode(F.concat(_subsets(F.col("all"), 2), _subsets(F.col("all"), 1))).alias("pair"))
+    holds = rare.join(pairs, "pair").filter((F.size(F.array_except("A0", "A")) == 0) & (F.size(F.array_except("B0", "B")) == 0)).select("A0", "B0", "A", "B")
+    marks = holds.join(times, ["A", "B"]).select(F.col("A0").alias("A"), F.col("B0").alias("B"), "time", "n")
+    counts = _earlier(marks.unionByName(times.withColumn("n", F.lit(0).cast("long"))), ["A", "B"])
+    return rows.join(counts, ["A", "B", "time"]).select("rid", F.col("before").cast("double").alias("met"))
+
+
 def hyperedge_features(hyper: DataFrame, stats: Sequence[str], half_life: float | None = None) -> DataFrame:
     """hyper with activity, subrep_<rho>_<l> and subrep_<rho>, of each row over the strictly earlier ones.
 
     subrep is null where a set is smaller than its subset. Other names are dyadic statistics, for logs
-    of sets of one. Pairs of hyperedges are found through shared senders, so a pair that shares none is
-    never formed.
+    of sets of one. Hyperedges aren't paired: a row counts, for each of its subsets of the asked size, the
+    earlier ones that hold it, from totals that run in time order by subset. The cost follows the number of
+    subsets, also where a member is in every hyperedge. rid must be unique.
     """
     parsed = {s: tuple(int(x or 0) for x in m.groups()) for s in stats if (m := re.fullmatch(r"subrep_([1-9]\d*)(?:_(\d+))?", s))}
     dyadic = [s for s in stats if s != "activity" and s not in parsed]
     if any(c in hyper.columns for c in stats):
         raise ValueError("columns exist already")
     out = hyper
-    if parsed or "activity" in stats:
-        members = hyper.select("rid", "time", F.explode("I").alias("member"))
-        past = members.select(F.col("rid").alias("__past"), F.col("time").alias("__before"), F.col("member").alias("__member"))
-        shared = members.join(past, (F.col("member") == F.col("__member")) & (F.col("__before") < F.col("time")))
-        shared = shared.groupBy("rid", "__past").agg(F.count(F.lit(1)).alias("__a"))
-        own = hyper.select("rid", F.size("I").alias("__i"), F.size("J").alias("__j"), F.col("J").alias("__own"))
-        other = hyper.select(F.col("rid").alias("__past"), F.col("J").alias("__other"))
-        shared = shared.join(own, "rid").join(other, "__past").withColumn("__b", F.size(F.array_intersect("__own", "__other")))
-        sums = [F.sum(_choose(F.col("__a"), r) * _choose(F.col("__b"), k)).alias(s) for s, (r, k) in parsed.items()]
-        if "activity" in stats:
-            sums.append(F.sum(((F.col("__a") == F.col("__i")) & (F.col("__b") == F.col("__j"))).cast("double")).alias("activity"))
-        found = shared.groupBy(F.col("rid").alias("__rid")).agg(*sums)
-        out = out.join(found, F.col("rid") == F.col("__rid"), "left").drop("__rid")
-        for s, (r, k) in parsed.items():
-            all_ = _choose(F.size("I"), r) * _choose(F.size("J"), k)
-            out = out.withColumn(s, F.when((F.size("I") >= r) & (F.size("J") >= k), F.coalesce(F.col(s), F.lit(0.0)) / F.greatest(all_, F.lit(1.0))))
-        if "activity" in stats:
-            out = out.withColumn("activity", F.coalesce("activity", F.lit(0.0)))
+    for s in [*parsed, *(["activity"] if "activity" in stats else [])]:
+        found = _subset_counts(hyper, *parsed[s]) if s in parsed else _held_counts(hyper)
+        out = out.join(found.select(F.col("rid").alias("__rid"), F.col("met").alias(s)), F.col("rid") == F.col("__rid"), "left").drop("__rid")
+        out = out.withColumn(s, F.coalesce(F.col(s), F.lit(0.0)))
+    for s, (r, k) in parsed.items():
+        all_ = _choose(F.size("I"), r) * _choose(F.size("J"), k)
+        out = out.withColumn(s, F.when((F.size("I") >= r) & (F.size("J") >= k), F.col(s) / F.greatest(all_, F.lit(1.0))))
     if dyadic:
         found = endogenous_features(as_dyadic_log(hyper), dyadic, half_life).select(F.col("rid").alias("__rid"), *dyadic)
         out = out.join(found, F.col("rid") == F.col("__rid"), "left").drop("__rid")
