@@ -88,6 +88,14 @@ def test_repeated_pieces_meet_in_several_tasks(spark):
     assert got.count() == 900 and got.select(F.shiftright("sequence_id", 24)).distinct().count() >= 5
 
 
+def test_best_fit_deals_repeated_rows_to_several_tasks(spark):
+    from braidlog.llm.packing import pack_documents
+
+    same = spark.range(900).select(F.lit(7).cast("long").alias("doc_id"), F.lit("a b c").alias("text"))
+    got = pack_documents(same, PATH, capacity=16, group_pieces=100)
+    assert got.count() == 900 and got.select(F.shiftright("sequence_id", 32)).distinct().count() >= 5
+
+
 def test_assignment_by_two_trees():
     rng = np.random.default_rng(0)
     for trial in range(120):
