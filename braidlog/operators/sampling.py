@@ -64,7 +64,8 @@ def sample_non_events(
     same time. Scope "all": all actors; "appearance": those of earlier rows (all for the first);
     "citation": senders that debut at the event's time and its own, with actors that have sent before and
     its own receiver. Mode "one" draws both from one pool. Draws are hashes of seed, stratum, control and
-    attempt, so they don't depend on how the log lies. An event for which max_attempts find nothing has
+    attempt, so they don't depend on how the log lies. After max_attempts (or LISTED_FROM, if that is less)
+    an event with few pairs draws from a list of those that are left. One without any valid pair has
     no controls, or with strict is an error. Other columns of controls are null.
     """
     check_log(log)
