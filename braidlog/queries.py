@@ -262,6 +262,26 @@ def _stream_dyads(spark, sf_dir):
     return _streamed(spark, sf_dir, lambda log: stream_dyad_features(log, HALF_LIFE)).select("rid", "recency", "reciprocity_count", "reciprocity_time_recent", "reciprocity_time_first", "late")
 
 
+@registered("stream_two_paths", _triad_sql(f"SELECT s, r, t, rid, true AS ev, t AS v FROM ({DENSE})", "transitivity"))
+def _stream_two_paths(spark, sf_dir):
+    """The log arrives in four pieces; a query goes on from its checkpoint with each, and so stops and starts again."""
+    from uuid import uuid4
+
+    from braidlog.storage import application_dir
+    from braidlog.streaming.features import TriadSink
+
+    log = dense_log(spark, sf_dir).select("sender", "receiver", "time", "rid")
+    path, stats = f"{application_dir(spark)}/paths-{uuid4().hex}", _names("transitivity")
+    sink = TriadSink(f"{path}/kept", stats, HALF_LIFE)
+    top = log.agg(F.max("rid")).first()[0] or 0
+    piece = F.floor(F.col("rid") * 4 / (top + 1))
+    for k in range(4):
+        log.filter(piece == k).write.parquet(f"{path}/in/piece{k}")
+        stream = spark.readStream.schema(log.schema).option("recursiveFileLookup", True).parquet(f"{path}/in")
+        stream.writeStream.foreachBatch(sink).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    return _shown(spark.read.parquet(f"{path}/kept/features"), stats)
+
+
 @registered("transform_recency", f"""
 WITH x AS ({SPARSE}), d AS (SELECT rid, t - lag(t) OVER (PARTITION BY s, r ORDER BY t) AS recency FROM x)
 SELECT rid, recency, round(exp(-recency / (SELECT 2 * median(recency) FROM d)), 6) AS weight FROM d""")

@@ -40,6 +40,11 @@ def _delete(context: SparkContext, at: str) -> None:
     path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def deleted(spark: SparkSession, at: str) -> None:
+    """Deletes a folder, if it is there."""
+    _delete(spark.sparkContext, at)
+
+
 def application_dir(spark: SparkSession) -> str:
     """A folder of this application within the shared one. It goes when the context stops, or at the latest when its JVM ends."""
     context = spark.sparkContext

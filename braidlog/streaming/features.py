@@ -1,4 +1,4 @@
-"""The same statistics on a stream: state for actors and dyads, a kept edge table for two-paths.
+"""The same statistics on a stream: state for actors and dyads, kept events by actor for two-paths.
 
 Rows of a micro-batch are read in (time, number) order, each sees those before it, and rows of earlier
 batches come before. Statistics of past rows can't be taken back, so a stream must be in order up to
@@ -10,15 +10,17 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from braidlog.plans.catalog import LEGS
 from braidlog.plans.features import endogenous_features
+from braidlog.storage import deleted
 
 DYAD = ("recency", "reciprocity_binary", "reciprocity_count", "reciprocity_time_recent", "reciprocity_time_first", "reciprocity_exp_decay")
 _ROW = "sender string, receiver string, time double, rid long"
@@ -122,26 +124,93 @@ def stream_degree(stream: DataFrame, actor: str = "sender") -> DataFrame:
 class TriadSink:
     """For foreachBatch: statistics of two-paths of each batch, over all events of the batches so far.
 
-    What a batch needs of the past is kept as a table of events under path; a batch is the log and the
-    table is its prior log, so results are those of one strict run. A late row sees the events before its time;
-    rows of earlier batches aren't given anew. A batch that is given again replaces what it wrote.
+    Both legs of a two-path touch the row's sender or receiver, so a batch needs only the past events of its
+    own actors. Those are kept under path by actor: each event lies with its sender and with its receiver, in
+    one of `buckets` folders by the actor's hash, and a batch reads the folders of its actors. A batch adds a
+    segment; every FOLD segments of one size become one, so few are read and an event is written
+    anew a logarithmic number of times. The past is the batch's prior log, so results are those of one
+    strict run. A late row sees the events before its time; rows of earlier batches aren't given anew.
+    A batch that is given again replaces what it wrote. Batches are numbered from 0 without gaps, as a
+    streaming query numbers them. A row without a sender,
+    receiver or time is given with what its own batch knows, and isn't an event for later ones.
     """
 
-    def __init__(self, path: str, stats: list[str], half_life: float | None = None):
+    FOLD = 4
+
+    def __init__(self, path: str, stats: list[str], half_life: float | None = None, buckets: int = 64):
         if not all(s.startswith(tuple(LEGS)) for s in stats):
             raise ValueError("only statistics of two-paths")
-        self.path, self.stats, self.half_life = path, stats, half_life
+        if buckets < 1:
+            raise ValueError("buckets must be positive")
+        self.path, self.stats, self.half_life, self.buckets = path.rstrip("/"), stats, half_life, buckets
+
+    def _segments(self, batches: int) -> list[tuple[int, int]]:
+        """The segments (from, to) that hold the first batches: those of the greatest size first."""
+        out, start, size = [], 0, 1
+        while size * self.FOLD <= batches:
+            size *= self.FOLD
+        while start < batches:
+            if start + size <= batches:
+                out.append((start, start + size))
+                start += size
+            else:
+                size //= self.FOLD
+        return out
+
+    def _folded(self, batches: int) -> list[tuple[int, int]]:
+        """The segments that end with this number of batches and are made of smaller ones, smallest first."""
+        out, size = [], self.FOLD
+        while batches and batches % size == 0:
+            out.append((batches - size, batches))
+            size *= self.FOLD
+        return out
+
+    def _at(self, segment: tuple[int, int]) -> str:
+        return f"{self.path}/events/segment={segment[0]}-{segment[1]}"
+
+    def kept(self, spark: SparkSession, segments: list[tuple[int, int]]) -> DataFrame:
+        """actor, sender, receiver, time, rid, bucket of segments; one that isn't there has no events."""
+        schema = f"actor string, {_ROW}, bucket int"
+        files = spark._jvm.org.apache.hadoop.fs.Path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
+        there = [at for at in map(self._at, segments) if files.exists(spark._jvm.org.apache.hadoop.fs.Path(at))]
+        parts = [spark.read.schema(schema).parquet(at) for at in there]
+        return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], schema)
+
+    def _keep(self, events: DataFrame, segment: tuple[int, int]) -> None:
+        # A bucket is dealt to several tasks by actors, a hub's events by what they are.
+        dealt = events.repartition("bucket", F.pmod(F.xxhash64("actor", "sender", "receiver", "time", "rid"), F.lit(8)))
+        dealt.write.mode("overwrite").partitionBy("bucket").parquet(self._at(segment))
+
+    def past(self, rows: DataFrame, batch_id: int) -> DataFrame:
+        """sender, receiver, time of the events of earlier batches that touch an actor of rows."""
+        spark = rows.sparkSession
+        actors = rows.select(F.explode(F.array("sender", "receiver")).alias("actor")).distinct()
+        buckets = [r[0] for r in actors.select(self._bucket("actor")).distinct().collect()]  # at most `buckets`
+        near = self.kept(spark, self._segments(batch_id)).filter(F.col("bucket").isin(buckets)).join(actors, "actor", "left_semi")
+        # An event of two of these actors is read with its sender only.
+        others = near.filter("actor <> sender").join(actors.withColumnRenamed("actor", "sender"), "sender", "left_anti")
+        return near.filter("actor = sender").select("sender", "receiver", "time").unionByName(others.select("sender", "receiver", "time"))
+
+    def _bucket(self, actor: str) -> Column:
+        return F.pmod(F.xxhash64(actor), F.lit(self.buckets)).cast("int").alias("bucket")
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        schema = f"{_ROW}, batch long"
-        fs = spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/events")
-        there = fs.getFileSystem(spark._jsc.hadoopConfiguration()).exists(fs)
-        rows = batch.select("sender", "receiver", "time", "rid").persist()
+        rows = batch.select(F.col("sender").cast("string"), F.col("receiver").cast("string"), F.col("time").cast("double"), F.col("rid").cast("long"))
+        rows = rows.persist()
         try:
-            past = spark.read.schema(schema).parquet(f"{self.path}/events").filter(F.col("batch") < batch_id) if there else spark.createDataFrame([], schema)
-            out = endogenous_features(rows, self.stats, self.half_life, prior_log=past.select("sender", "receiver", "time"))
+            # The query is past the batch before, so what that one folded isn't read any more.
+            for start, end in self._folded(batch_id):
+                size = (end - start) // self.FOLD
+                for k in range(start, end, size):
+                    deleted(spark, self._at((k, k + size)))
+            out = endogenous_features(rows, self.stats, self.half_life, prior_log=self.past(rows, batch_id))
             out.withColumn("batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{self.path}/features/batch={batch_id}")
-            rows.write.mode("overwrite").parquet(f"{self.path}/events/batch={batch_id}")
+            ends = F.explode(F.array_distinct(F.array("sender", "receiver"))).alias("actor")
+            whole = rows.dropna(subset=["sender", "receiver", "time"])
+            self._keep(whole.select(ends, *rows.columns).select("*", self._bucket("actor")), (batch_id, batch_id + 1))
+            for start, end in self._folded(batch_id + 1):
+                size = (end - start) // self.FOLD
+                self._keep(self.kept(spark, [(k, k + size) for k in range(start, end, size)]), (start, end))
         finally:
             rows.unpersist()

@@ -76,3 +76,57 @@ def test_two_paths_by_batches(spark, tmp_path, log):
     got = spark.read.parquet(str(tmp_path / "kept" / "features"))
     frame = spark.createDataFrame(log, SCHEMA)
     close(got, endogenous_features(frame, stats, history=frame), stats)
+
+
+def test_segments_of_two_paths():
+    sink = TriadSink("unused", ["cyclic_count"])
+    for n in range(1, 300):
+        held = sink._segments(n)
+        assert held[0][0] == 0 and held[-1][1] == n and all(a[1] == b[0] for a, b in zip(held, held[1:]))
+        assert len(held) <= 3 * 5
+        # Each was written by a batch before: alone, or by folding smaller ones.
+        assert all(b - a == 1 or (a, b) in sink._folded(b) for a, b in held)
+    assert sink._folded(16) == [(12, 16), (0, 16)] and sink._folded(17) == []
+
+
+def test_a_batch_reads_its_own_actors_events(spark, tmp_path):
+    """The past of a batch follows its actors, not the past: folded segments, replayed batches and late rows included."""
+    draw = random.Random(9)
+    rows = [(f"a{draw.randrange(9)}", f"a{draw.randrange(9)}", float(k), k) for k in range(60)]
+    rows += [(f"x{k}", f"y{k % 7}", float(k % 50), 100 + k) for k in range(400)]
+    rows.sort(key=lambda r: (r[2], r[3]))
+    stats = ["receiving_balance_time_first_ordered"]
+    sink = TriadSink(str(tmp_path / "many"), stats, buckets=5)
+    cuts = [r for r in range(0, len(rows) + 1, 92)]
+    batches = [rows[a:b] for a, b in zip(cuts, cuts[1:])]
+    assert len(batches) == 5
+    for k, batch in enumerate(batches):
+        sink(spark.createDataFrame(batch, SCHEMA), k)
+        if k == 3:
+            sink(spark.createDataFrame(batch, SCHEMA), k)
+    asked = spark.createDataFrame([("a1", "a2", 60.0, 999)], SCHEMA)
+    own = sorted((s, r, t) for s, r, t, _ in rows if {s, r} & {"a1", "a2"})
+    assert sorted(map(tuple, sink.past(asked, 5).collect())) == own
+    # Four segments of one batch are one now, and the last stands alone.
+    kept = {p.name for p in (tmp_path / "many" / "events").iterdir()}
+    assert kept == {"segment=0-4", "segment=4-5"}
+    plan = sink.past(asked, 5)._jdf.queryExecution().executedPlan().toString()
+    assert "bucket" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    got = {r["rid"]: r for r in spark.read.parquet(str(tmp_path / "many" / "features")).collect()}
+    assert len(got) == len(rows)
+    # Rows of one batch with equal times see each other's past only, as one strict run does.
+    for k, batch in enumerate(batches):
+        past = [r for b in batches[:k] for r in b]
+        frame = spark.createDataFrame(batch, SCHEMA)
+        want = endogenous_features(frame, stats, prior_log=spark.createDataFrame(past, SCHEMA).drop("rid") if past else spark.createDataFrame([], SCHEMA).drop("rid"))
+        for r in want.collect():
+            assert all(r[s] == got[r["rid"]][s] for s in stats)
+
+
+def test_empty_batches_and_nulls_of_two_paths(spark, tmp_path):
+    sink = TriadSink(str(tmp_path / "nulls"), ["transitivity_count"])
+    sink(spark.createDataFrame([], SCHEMA), 0)
+    sink(spark.createDataFrame([("a", "k", 1.0, 0), (None, "k", 1.0, 1), ("k", "b", None, 2), ("k", "b", 2.0, 3), ("c", "c", 2.0, 4)], SCHEMA), 1)
+    sink(spark.createDataFrame([("a", "b", 3.0, 5), ("c", "c", 4.0, 6)], SCHEMA), 2)
+    got = {r["rid"]: r["transitivity_count"] for r in spark.read.parquet(str(tmp_path / "nulls" / "features")).collect()}
+    assert got.keys() == set(range(7)) and {k: got[k] for k in (0, 3, 4, 5, 6)} == {0: 0.0, 3: 0.0, 4: 0.0, 5: 1.0, 6: 0.0}
