@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from braidlog.functions.quantiles import exact_quantile
 from braidlog.plans.features import check_log
 
 
@@ -108,8 +109,7 @@ def recency_scale(values: DataFrame, delta: str, half_life: float | None = None,
         if half_life <= 0:
             raise ValueError("half_life must be positive")
         return half_life
-    source = reference.select(F.col(reference.columns[0]).alias("x")) if reference is not None else values.select(F.col(delta).alias("x"))
-    median = source.agg(F.median("x")).first()[0]
+    median = exact_quantile(values, delta, 0.5) if reference is None else exact_quantile(reference, reference.columns[0], 0.5)
     if median is None or median <= 0:
         raise ValueError("the median must be positive")
     return 2 * float(median)

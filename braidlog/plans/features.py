@@ -178,7 +178,8 @@ def _triad(rows: DataFrame, strict: bool, family: str, stats: list[Statistic], h
         later = events.select(F.col("__s").alias(two[0]), F.col("__r").alias(two[1]), F.col("__t").alias("t"), F.lit(0).alias("kind"), F.struct("__t", "__rid").alias("e"))
         later = later.withColumn("s" if b_end == "r" else "r", F.lit(None).cast("string")).select("s", "r", "k", "t", "kind", "e")
         # Events at the same time come before the two-paths that begin then, and so aren't after them.
-        following = Window.partitionBy("k", b_end).orderBy("t", "kind").rowsBetween(1, Window.unboundedFollowing)
+        # Read backwards, as a frame that ends with the partition is formed anew for each row.
+        following = Window.partitionBy("k", b_end).orderBy(F.desc("t"), F.desc("kind")).rowsBetween(Window.unboundedPreceding, -1)
         nexts = begun.unionByName(later).withColumn("o", F.min("e").over(following)).filter("kind = 1 AND o IS NOT NULL")
         chained = mark(nexts, "o.__t", "o.__rid", s=F.col("s"), r=F.col("r"))
         parts.append(_answers(asked.unionByName(chained), ["s", "r"], strict, half_life, gates["ordered"], family, "ordered"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from braidlog.functions.temporal import as_of, as_of_small
+from braidlog.functions.temporal import as_of, as_of_small, interval_join
 from braidlog.operators.hyper import as_dyadic_log, as_hyperedge_log, hyperedge_activity, hyperedge_features, hyperedge_log, hyperedge_sizes, hyperedge_subrep
 from braidlog.operators.log import attach_distance, attach_dyadic_covariates, attach_static_covariates, nearest_value, set_minus_receiver, standardize_event_log, transform_recency
 from braidlog.operators.reshape import derive_stratum, widen_case_control
@@ -396,6 +396,53 @@ def _locf(spark, sf_dir):
     return rounded(as_of_small(times, _daily(spark, sf_dir), "time", "day", ["price"], compat=True), "price", places=4)
 
 
+_ORDERED = "SELECT o_custkey AS customer, date_diff('day', DATE '1970-01-01', o_orderdate::DATE)::DOUBLE AS day, max(o_totalprice) AS price FROM orders GROUP BY 1, 2"
+_SHIPPED = "SELECT DISTINCT o_custkey AS customer, date_diff('day', DATE '1970-01-01', l_shipdate::DATE)::DOUBLE AS time FROM lineitem JOIN orders ON l_orderkey = o_orderkey"
+
+
+def _day(column: str):
+    return F.datediff(F.col(column).cast("date"), F.lit("1970-01-01").cast("date")).cast("double")
+
+
+@registered("as_of_by_key", f"""
+WITH v AS ({_ORDERED}), x AS ({_SHIPPED}), m AS (SELECT x.customer, x.time, max(v.day) AS day FROM x LEFT JOIN v ON v.customer = x.customer AND v.day <= x.time GROUP BY 1, 2),
+f AS (SELECT customer, arg_min(price, day) AS price FROM v GROUP BY 1)
+SELECT m.customer, m.time, round(coalesce(v.price, f.price), 4) AS price FROM m LEFT JOIN v USING (customer, day) LEFT JOIN f ON f.customer = m.customer""")
+def _keyed_lookup(spark, sf_dir):
+    orders, items = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("orders", "lineitem"))
+    values = orders.groupBy(F.col("o_custkey").alias("customer"), _day("o_orderdate").alias("day")).agg(F.max("o_totalprice").alias("price"))
+    asked = items.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("customer"), _day("l_shipdate").alias("time")).distinct()
+    return rounded(as_of(asked, values, "time", "day", ["price"], by=["customer"]), "price", places=4)
+
+
+_TRANSIT = "SELECT l_suppkey AS supplier, date_diff('day', DATE '1970-01-01', l_shipdate::DATE)::DOUBLE AS since, date_diff('day', DATE '1970-01-01', l_shipdate::DATE)::DOUBLE + l_quantity::DOUBLE AS until, l_quantity AS quantity FROM lineitem"
+
+
+@registered("interval_join", f"""
+WITH v AS ({_TRANSIT}), x AS (SELECT DISTINCT supplier, since AS time FROM v)
+SELECT x.supplier, x.time, count(*) AS n, round(sum(v.quantity)::DOUBLE, 4) AS quantity FROM x JOIN v ON v.supplier = x.supplier AND v.since <= x.time AND x.time < v.until GROUP BY 1, 2""")
+def _in_transit(spark, sf_dir):
+    """What of a supplier's is under way on each day on which it ships, if an item takes as many days as its quantity."""
+    items = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    spans = items.select(F.col("l_suppkey").alias("supplier"), _day("l_shipdate").alias("since"), (_day("l_shipdate") + F.col("l_quantity").cast("double")).alias("until"), F.col("l_quantity").cast("double").alias("quantity"))
+    asked = spans.select("supplier", F.col("since").alias("time")).distinct()
+    met = interval_join(asked, spans, "time", "since", "until", by=["supplier"])
+    return rounded(met.groupBy("supplier", "time").agg(F.count(F.lit(1)).alias("n"), F.sum("quantity").alias("quantity")), "quantity", places=4)
+
+
+@registered("exact_quantiles", f"""
+WITH g AS (SELECT t - lag(t) OVER (PARTITION BY s, r ORDER BY t) AS gap FROM ({DENSE}))
+{' UNION ALL '.join(f'SELECT {q}::DOUBLE AS q, round(quantile_cont(gap, {q}), 6) AS gap FROM g' for q in (0.0, 0.1, 0.5, 0.99, 1.0))}""")
+def _quantiles(spark, sf_dir):
+    """Of the recencies of a log."""
+    from braidlog.functions.quantiles import exact_quantile
+    from braidlog.storage import written
+
+    gaps = written(endogenous_features(dense_log(spark, sf_dir), ["recency"]).select("recency"), "gaps")
+    found = [(q, round(exact_quantile(gaps, "recency", q), 6)) for q in (0.0, 0.1, 0.5, 0.99, 1.0)]
+    return spark.createDataFrame(found, "q double, gap double")
+
+
 def _sampled(scope: str, mode: str, risk: str) -> Query:
     """For each event's stratum its controls, and how many of them break a rule, found from the log apart from the sampler.
 

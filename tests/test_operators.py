@@ -5,7 +5,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from braidlog.functions.temporal import as_of, as_of_small, days_since_first
+from braidlog.functions.quantiles import exact_quantile, value_at
+from braidlog.functions.temporal import as_of, as_of_small, days_since_first, interval_join
 from braidlog.operators.hyper import as_dyadic_log, as_hyperedge_log, hyperedge_activity, hyperedge_features, hyperedge_log, hyperedge_sizes, hyperedge_subrep, is_hyperedge_log
 from braidlog.operators.log import attach_static_covariates, standardize_event_log, transform_recency
 from braidlog.operators.reshape import derive_stratum, widen_case_control
@@ -95,6 +96,61 @@ def test_as_of(spark):
     assert [r["time"] for r in days_since_first(frame(spark, [(86_400.0,), (259_200.0,)], "time double")).orderBy("time").collect()] == [0.0, 2.0]
 
 
+def test_as_of_within_keys(spark):
+    """Keys of one range, a key over all ranges, a null key, equal times, and a key without values."""
+    draw = random.Random(6)
+    keys = ["hot"] * 12 + ["a", "b", None]
+    known = [(draw.choice(keys), float(draw.randrange(60)), 0.0) for _ in range(300)]
+    known = [(k, t, t / 3) for k, t, _ in {(k, t, 0.0) for k, t, _ in known}]
+    asked = [(draw.choice([*keys, "none"]), draw.randrange(-4, 130) / 2, n) for n in range(900)] + [("hot", 30.0, 1000 + n) for n in range(200)]
+    for first_before in (True, False):
+        got = as_of(frame(spark, asked, "g string, time double, n int"), frame(spark, known, "g string, at double, v double"), "time", "at", ["v"], by=["g"], first_before=first_before)
+        got = {r["n"]: r["v"] for r in got.collect()}
+        for g, t, n in asked:
+            own = sorted((at, v) for k, at, v in known if k == g)
+            want = next((v for at, v in reversed(own) if at <= t), own[0][1] if own and first_before else None)
+            assert got[n] == want, (g, t, n)
+    plan = as_of(frame(spark, asked, "g string, time double, n int"), frame(spark, known, "g string, at double, v double"), "time", "at", ["v"], by=["g"])
+    tables = plan.groupBy(F.spark_partition_id()).count().collect()
+    assert plan.count() == len(asked) and max(r["count"] for r in tables) <= len(asked) * 0.6
+
+
+def test_interval_join(spark):
+    draw, inf = random.Random(7), float("inf")
+    spans = [(g, a, a + draw.choice([0.0, 1e-9, 0.5, 1, 3, 50, 1e6]), n) for n in range(150) for g, a in [(draw.choice("ab"), float(draw.randrange(-20, 60)))]]
+    spans += [("a", 5.0, None, 900), ("b", -inf, 3.0, 901), ("a", None, 9.0, 902), ("b", -inf, inf, 903), ("a", 9.0, 4.0, 904), ("a", 7.0, 8.0, 905), ("a", 7.0, 8.0, 905)]
+    asked = [(draw.choice("abc"), draw.randrange(-60, 200) / 2, n) for n in range(300)] + [("a", None, 1000), ("a", 1e12, 1001), ("b", -inf, 1002), ("b", 7.0, 1003), ("b", 7.0, 1003)]
+    one, two = frame(spark, asked, "g string, time double, n int"), frame(spark, spans, "g string, since double, until double, m int")
+    holds = lambda t, a, b: t is not None and a is not None and a <= t and (b is None or t < b)
+    for by in (["g"], []):
+        got = interval_join(one, two if by else two.drop("g"), "time", "since", "until", by=by)
+        want = sorted((n, m) for g, t, n in asked for h, a, b, m in spans if holds(t, a, b) and (not by or g == h))
+        assert sorted((r["n"], r["m"]) for r in got.collect()) == want
+        assert "NestedLoop" not in got._jdf.queryExecution().executedPlan().toString()
+    assert interval_join(one, two.limit(0), "time", "since", "until", by=["g"]).count() == 0
+    with pytest.raises(ValueError):
+        interval_join(one, two, "time", "since", "until")
+
+
+def test_exact_quantiles(spark):
+    import statistics
+
+    draw = random.Random(8)
+    shapes = {
+        "even": [float(k) for k in range(1001)], "skewed": [draw.paretovariate(0.2) for _ in range(1000)], "tied": [draw.choice([1.0, 2.0]) for _ in range(900)],
+        "wide": [draw.choice([-1, 1]) * 10.0 ** draw.randrange(-300, 300) for _ in range(700)], "one": [4.0],
+    }
+    for name, values in shapes.items():
+        df = frame(spark, [(v,) for v in values] + [(None,)], "v double")
+        assert exact_quantile(df, "v", 0.5, little=20) == statistics.median(values), name
+        assert (exact_quantile(df, "v", 0.0, little=20), exact_quantile(df, "v", 1.0, little=20)) == (min(values), max(values))
+    some = frame(spark, [(v,) for v in shapes["tied"]], "x double").repartition(3)
+    assert [value_at(some, k, 900, 5) for k in (0, 450, 899)] == [sorted(shapes["tied"])[k] for k in (0, 450, 899)]
+    assert exact_quantile(df.limit(0), "v", 0.5) is None
+    with pytest.raises(ValueError):
+        exact_quantile(df, "v", 1.5)
+
+
 def test_dyadic_covariates_and_distance(spark):
     from braidlog.operators.log import attach_distance, attach_dyadic_covariates
 
