@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from functools import reduce
 
@@ -47,6 +48,16 @@ def _prepared(log: DataFrame, history: DataFrame | None, prior_log: DataFrame |
     return rows
 
 
+def _always(rows: DataFrame, untimed: DataFrame) -> DataFrame:
+    """Ties without a time as prior rows that come before all others."""
+    if missing := [c for c in KEY[:2] if c not in untimed.columns]:
+        raise ValueError(f"untimed ties lack columns: {', '.join(missing)}")
+    ties = untimed.select(F.col("sender").cast("string").alias("__s"), F.col("receiver").cast("string").alias("__r")).dropna().distinct()
+    return ties.withColumns({
+        "__t": F.lit(-math.inf), "__rid": F.lit(-(1 << 62)), "__row": F.lit(None).cast(rows.schema["__row"].dataType), "__event": F.lit(True), "__prior": F.lit(True),
+    })
+
+
 def _degrees(rows: DataFrame, strict: bool, wanted: set[str]) -> list[DataFrame]:
     """Events of the actor before each row. An actor of many rows is dealt by ranges of time, which begin with the events before them."""
     out = []
@@ -198,6 +209,7 @@ def endogenous_features(
     history: DataFrame | None = None,
     prior_log: DataFrame | None = None,
     order_col: str = "rid",
+    untimed: DataFrame | None = None,
 ) -> DataFrame:
     """log with a column for each statistic.
 
@@ -208,24 +220,33 @@ def endogenous_features(
     sees those of strictly earlier times; prior_log holds events that are seen but not returned. Counts
     and decays are 0 and times are null where nothing is seen; the set is an array, in order of first
     contact, and always strict. half_life is that of exp(-ln 2 * age / half_life).
+
+    untimed: sender, receiver of ties from before the log whose time isn't known; order is strict then. They are in
+    the sender's set, first and by name, and two-paths that rest on one count, in binary and count, from when their
+    other leg is there. As such a two-path has no time of forming, it is in no time, decay, ordered or
+    interrupted statistic until both legs have fired. Other statistics don't see untimed ties.
     """
     check_log(log)
     wanted = bound(tuple(stats), half_life)
     if clash := [s.name for s in wanted if s.name in log.columns]:
         raise ValueError(f"columns exist already: {', '.join(clash)}")
-    strict = history is not None or prior_log is not None
+    strict = history is not None or prior_log is not None or untimed is not None
     rows = _prepared(log, history, prior_log, order_col)
+    known = rows if untimed is None else rows.unionByName(_always(rows, untimed))
     parts = _degrees(rows, strict, {s.name for s in wanted})
     if any(s.name == "sender_receivers_set" for s in wanted):
-        parts.append(_reached(rows))
+        parts.append(_reached(known))
     dyadic = [s for s in wanted if s.family == "reciprocity" or s.name == "recency"]
     if any(s.name == "reciprocity" for s in dyadic) and not any(s.name == "reciprocity_binary" for s in dyadic):
         parts.append(_dyad(rows, strict, [*dyadic, STATISTICS["reciprocity_binary"]], half_life).drop("reciprocity_binary"))
     elif dyadic:
         parts.append(_dyad(rows, strict, dyadic, half_life))
     for family in LEGS:
-        if own := [s for s in wanted if s.family == family]:
-            parts.append(_triad(rows, strict, family, own, half_life))
+        own = [s for s in wanted if s.family == family]
+        counts = [s for s in own if untimed is not None and not s.gate and s.measure in ("binary", "count")]
+        for seen, stats in ((known, counts), (rows, [s for s in own if s not in counts])):
+            if stats:
+                parts.append(_triad(seen, strict, family, stats, half_life))
     out = rows.filter("NOT __prior").select("__rid", "__row")
     for k, part in enumerate(parts):
         part = part.withColumnRenamed("__rid", f"__rid{k}")

@@ -163,6 +163,32 @@ def _warm_tied(spark, sf_dir):
     return endogenous_features(log.filter("is_event"), ["reciprocity_count", "reciprocity_time_recent"], prior_log=log.filter("NOT is_event")).select("rid", "reciprocity_count", "reciprocity_time_recent")
 
 
+_PRESENT = """
+tr{0} AS (SELECT d.s, d.r, greatest(a.t, b.t) AS f FROM d JOIN {1} a ON a.s = d.s JOIN {1} b ON b.s = a.r AND b.r = d.r WHERE a.r NOT IN (d.s, d.r)),
+cy{0} AS (SELECT d.s, d.r, greatest(a.t, b.t) AS f FROM d JOIN {1} a ON a.s = d.r JOIN {1} b ON b.s = a.r AND b.r = d.s WHERE a.r NOT IN (d.s, d.r))"""
+
+
+@registered("untimed_ties", f"""
+WITH x AS (SELECT s, r, t, rid FROM ({DENSE}) WHERE ev), u AS (SELECT s, r FROM ({DENSE}) GROUP BY 1, 2 HAVING count(*) FILTER (NOT ev) > count(*) FILTER (ev)),
+f AS (SELECT s, r, min(t) AS t FROM x GROUP BY 1, 2), p AS (SELECT s, r, min(t) AS t FROM (SELECT s, r, -1.0 AS t FROM u UNION ALL SELECT * FROM f) GROUP BY 1, 2),
+d AS (SELECT DISTINCT s, r FROM x),{_PRESENT.format('p', 'p')},{_PRESENT.format('f', 'f')},
+own AS (SELECT x.rid, max(e.t) AS last FROM x LEFT JOIN x e ON e.s = x.s AND e.r = x.r AND e.t < x.t GROUP BY 1),
+trc AS (SELECT x.rid, count(m.f) AS n FROM x LEFT JOIN trp m ON m.s = x.s AND m.r = x.r AND m.f < x.t GROUP BY 1),
+cyc AS (SELECT x.rid, count(m.f) AS n FROM x LEFT JOIN cyp m ON m.s = x.s AND m.r = x.r AND m.f < x.t GROUP BY 1),
+trt AS (SELECT x.rid, any_value(x.t) - min(m.f) AS first, count(m.f) FILTER (own.last IS NULL OR m.f > own.last) AS n FROM x JOIN own USING (rid) LEFT JOIN trf m ON m.s = x.s AND m.r = x.r AND m.f < x.t GROUP BY 1),
+cyt AS (SELECT x.rid, any_value(x.t) - max(m.f) AS recent FROM x LEFT JOIN cyf m ON m.s = x.s AND m.r = x.r AND m.f < x.t GROUP BY 1),
+st AS (SELECT x.rid, coalesce(string_agg(p.r, ',' ORDER BY p.t, p.r), '') AS reached FROM x LEFT JOIN p ON p.s = x.s AND p.t < x.t GROUP BY 1)
+SELECT rid, trc.n::DOUBLE AS transitivity_count, (trc.n > 0)::INTEGER AS transitivity_binary, trt.first AS transitivity_time_first, trt.n::DOUBLE AS transitivity_count_interrupted,
+  cyc.n::DOUBLE AS cyclic_count, cyt.recent AS cyclic_time_recent, reached FROM trc JOIN cyc USING (rid) JOIN trt USING (rid) JOIN cyt USING (rid) JOIN st USING (rid)""")
+def _untimed(spark, sf_dir):
+    """Pairs that are seen more often than they act are tied from before the log."""
+    log = dense_log(spark, sf_dir)
+    ties = log.groupBy("sender", "receiver").agg(F.sum(F.when(F.col("is_event"), -1).otherwise(1)).alias("more")).filter("more > 0")
+    stats = ["transitivity_count", "transitivity_binary", "transitivity_time_first", "transitivity_count_interrupted", "cyclic_count", "cyclic_time_recent"]
+    got = endogenous_features(log.filter("is_event"), [*stats, "sender_receivers_set"], untimed=ties)
+    return got.select("rid", *stats, F.array_join("sender_receivers_set", ",").alias("reached"))
+
+
 @registered("standardize_event_log", f"SELECT s AS sender, r AS receiver, t AS time FROM ({TRADE}) WHERE s <> r GROUP BY ALL")
 def _standard(spark, sf_dir):
     return standardize_event_log(trade_log(spark, sf_dir), drop_loops=True, remove_duplicates=True).select("sender", "receiver", "time")

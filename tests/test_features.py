@@ -92,3 +92,21 @@ def test_decay_over_many_stretches(spark):
     for s, r, t, rid in rows[:10_000:501]:
         want = sum(2.0 ** -(t - x) for x in back if x < t and t - x < 2000)
         assert got[rid] == pytest.approx(want, rel=1e-9, abs=1e-300), rid
+
+
+def test_untimed_ties(spark):
+    """Ties without a time count before everything and have no time of forming."""
+    log = spark.createDataFrame([("a", "b", 1.0, 0), ("k", "b", 2.0, 1), ("a", "b", 3.0, 2), ("a", "k", 4.0, 3), ("a", "b", 5.0, 4), ("a", "b", 5.0, 5)], "sender string, receiver string, time double, rid long")
+    ties = spark.createDataFrame([("a", "k"), ("a", "k"), ("m", "b"), ("a", "m"), ("a", None)], "sender string, receiver string")
+    stats = ["transitivity_count", "transitivity_binary", "transitivity_time_recent", "transitivity_exp_decay", "transitivity_count_ordered", "transitivity_count_interrupted", "sender_outdegree", "recency", "sender_receivers_set"]
+    got = {r["rid"]: r for r in endogenous_features(log, stats, 1.0, untimed=ties).collect()}
+    assert [got[k]["transitivity_count"] for k in (0, 2, 4, 5)] == [1.0, 2.0, 2.0, 2.0]
+    assert [got[k]["transitivity_binary"] for k in (0, 1, 2)] == [1, 0, 1]
+    assert [got[k]["transitivity_time_recent"] for k in (0, 2, 4)] == [None, None, 1.0]
+    assert [got[k]["transitivity_exp_decay"] for k in (0, 2, 4)] == [0.0, 0.0, pytest.approx(0.5)]
+    assert [got[k]["transitivity_count_ordered"] for k in (2, 4)] == [0.0, 0.0]
+    assert [got[k]["transitivity_count_interrupted"] for k in (2, 4)] == [0.0, 1.0]
+    assert [got[k]["sender_outdegree"] for k in (0, 5)] == [0.0, 3.0] and got[0]["recency"] is None
+    assert got[0]["sender_receivers_set"] == ["k", "m"] and got[5]["sender_receivers_set"] == ["k", "m", "b"] and got[1]["sender_receivers_set"] == []
+    with pytest.raises(ValueError):
+        endogenous_features(log, stats, 1.0, untimed=ties.drop("receiver"))
