@@ -200,9 +200,11 @@ def _placed(listed: DataFrame, base: DataFrame, firsts: DataFrame, seconds: Data
     """
     top = listed.agg(F.max("__a").alias("a"), F.max("__b").alias("b")).first()
     n = base.count()
-    one = firsts.filter(F.col("place") < top["a"]).select(F.col("actor").alias("s"), F.col("since").alias("__since"))
-    two = seconds.filter(F.col("place") < top["b"]).select(F.col("actor").alias("r"), F.col("since").alias("__also"))
-    pairs = F.broadcast(one).crossJoin(two) if top["a"] < top["b"] else one.crossJoin(F.broadcast(two))
+    one = firsts.select(F.col("actor").alias("s"), F.col("since").alias("__since"), F.col("place").alias("__x"))
+    two = seconds.select(F.col("actor").alias("r"), F.col("since").alias("__also"), F.col("place").alias("__y"))
+    # Pairs are numbers, which name both places; that they are few is why their events are listed.
+    cells = base.sparkSession.range(top["a"] * top["b"]).select((F.col("id") % top["a"]).alias("__x"), F.expr(f"id div {top['a']}").alias("__y"))
+    pairs = cells.join(one, "__x").join(two, "__y").drop("__x", "__y")
     if not allow_loops:
         pairs = pairs.filter("s <> r")
     same = (F.col("s") == F.col("__s")) & (F.col("r") == F.col("__r"))

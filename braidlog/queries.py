@@ -194,6 +194,14 @@ def _standard(spark, sf_dir):
     return standardize_event_log(trade_log(spark, sf_dir), drop_loops=True, remove_duplicates=True).select("sender", "receiver", "time")
 
 
+@registered("standardize_incomplete", f"SELECT s AS sender, r AS receiver, t AS time, rid FROM ({SPARSE}) WHERE value >= 2 AND value <= 40 AND s <> r")
+def _incomplete(spark, sf_dir):
+    """Rows without a receiver or a time go."""
+    log = sparse_log(spark, sf_dir)
+    log = log.withColumns({"receiver": F.when(F.col("value") >= 2, F.col("receiver")), "time": F.when(F.col("value") <= 40, F.col("time"))})
+    return standardize_event_log(log, drop_loops=True).select("sender", "receiver", "time", "rid")
+
+
 @registered("standardize_keeps_first", f"""
 SELECT s AS sender, r AS receiver, day AS time, rid, value FROM (SELECT *, floor(t / 50) AS day, row_number() OVER (PARTITION BY s, r, floor(t / 50) ORDER BY rid) AS n FROM ({DENSE})) WHERE n = 1""")
 def _first(spark, sf_dir):
@@ -522,6 +530,26 @@ for _scope, _mode, _risk in _PAIRS:
     )(_sampled(_scope, _mode, _risk))
 
 
+_EXCLUDED = f"SELECT s, r FROM ({DENSE}) GROUP BY 1, 2 HAVING count(*) FILTER (ev) > 3 * count(*) FILTER (NOT ev)"
+
+
+@registered("sample_excluding_pairs", f"""
+WITH x AS ({DENSE}), e AS ({_EXCLUDED}), n AS (SELECT count(*) AS n FROM (SELECT s FROM x UNION SELECT r FROM x)), o AS (SELECT count(*) AS o FROM e WHERE s <> r),
+p AS (SELECT x.*, n * (n - 1) - o - (x.s <> x.r AND e.s IS NULL)::INT AS pairs FROM x CROSS JOIN n CROSS JOIN o LEFT JOIN e ON e.s = x.s AND e.r = x.r)
+SELECT row_number() OVER (ORDER BY rid) AS stratum, s AS sender, r AS receiver, CASE WHEN pairs > 0 THEN 3 ELSE 0 END::BIGINT AS controls, 0::BIGINT AS broken FROM p""")
+def _excluded(spark, sf_dir):
+    """Pairs that nearly always act are never controls."""
+    log = dense_log(spark, sf_dir)
+    active = log.groupBy("sender", "receiver").agg(F.sum(F.when(F.col("is_event"), 1).otherwise(-3)).alias("more")).filter("more > 0").select("sender", "receiver")
+    cc = sample_non_events(log.select("sender", "receiver", "time", "rid"), 3, "all", "one", exclude_pairs=active, seed=6)
+    case = cc.filter("event = 1").select("stratum", "sender", "receiver")
+    ruled = active.select(F.col("sender").alias("es"), F.col("receiver").alias("er"))
+    out = cc.filter("event = 0").select("stratum", F.col("sender").alias("s"), F.col("receiver").alias("r")).join(case, "stratum").join(ruled, (F.col("s") == F.col("es")) & (F.col("r") == F.col("er")), "left")
+    broken = F.col("es").isNotNull() | (F.col("s") == F.col("r")) | ((F.col("s") == F.col("sender")) & (F.col("r") == F.col("receiver")))
+    found = out.groupBy("stratum").agg(F.count(F.lit(1)).alias("controls"), F.count(F.when(broken, 1)).alias("broken"))
+    return case.join(found, "stratum", "left").select("stratum", "sender", "receiver", F.coalesce("controls", F.lit(0)).cast("long").alias("controls"), F.coalesce("broken", F.lit(0)).cast("long").alias("broken"))
+
+
 @registered("clogit_step", f"""
 WITH x AS (SELECT floor(rid / 4)::BIGINT AS g, rid % 4 = 0 AS y, value AS v, exp(0.01 * value) AS w FROM ({SPARSE})),
 p AS (SELECT g, sum(w) AS w, sum(w * v) / sum(w) AS m, sum(w * v * v) / sum(w) AS q, max(v) FILTER (y) AS c, max(w) FILTER (y) AS wc FROM x GROUP BY g HAVING count(*) FILTER (y) = 1 AND count(*) > 1)
