@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,7 +15,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from braidlog.llm.common import bounded_batches, tidied
 from braidlog.llm.toxicity import Adam, fit_logistic
-from braidlog.llm.words import blocks_of, words_of
+from braidlog.llm.words import _SPACE, blocks_of, words_of
 
 #: Kinds of bytes: lower case, upper case, digit, space, line end, sentence mark, other mark, byte of a longer character.
 KINDS = 8
@@ -50,6 +51,8 @@ class Training:
 
 
 STATISTICS = 6
+#: Bytes from which a text is read in runs.
+LONG = 1 << 20
 
 
 def passage_inputs(texts: pa.Array, shape: Shape) -> tuple[np.ndarray, np.ndarray]:
@@ -93,6 +96,48 @@ def passage_inputs(texts: pa.Array, shape: Shape) -> tuple[np.ndarray, np.ndarra
     return np.concatenate([shares, stats], 1).astype(np.float32), of
 
 
+def pieces(data: np.ndarray, passage_words: int, size: int) -> Iterator[tuple[int, int]]:
+    """From and to of runs of whole passages of a text's bytes, of about size each; a passage that is longer is a run by itself."""
+    at = 0
+    while len(data) - at > size:
+        span, whole = size, 0
+        while True:
+            begins = ~_SPACE[data[at : at + span]]
+            begins[1:] &= _SPACE[data[at : at + span - 1]][: len(begins) - 1]
+            begin = np.flatnonzero(begins)
+            whole = (len(begin) - 1) // passage_words * passage_words
+            if whole > 0 or at + span >= len(data):
+                break
+            span *= 2
+        if whole <= 0:
+            break
+        yield at, at + int(begin[whole])
+        at += int(begin[whole])
+    yield at, len(data)
+
+
+def passage_runs(data: np.ndarray, shape: Shape, size: int = 1 << 18) -> Iterator[np.ndarray]:
+    """The inputs of one text's passages, a run at a time."""
+    for at, to in pieces(data, shape.passage_words, size):
+        piece = data[at : to + 2]  # the triples of bytes that begin in a run may end after it
+        text = pa.Array.from_buffers(pa.large_string(), 1, [None, pa.py_buffer(np.array([0, len(piece)], np.int64)), pa.py_buffer(piece)])
+        rows, _ = passage_inputs(text, shape)
+        yield rows[:-1] if to < len(data) else rows  # without the word that these two bytes begin
+
+
+def inputs_in_runs(texts: pa.Array, shape: Shape) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """passage_inputs of texts in order; those of more than LONG bytes a run at a time."""
+    sizes, at = np.asarray(pa.compute.binary_length(texts).fill_null(0)), 0
+    for k in [*np.flatnonzero(sizes > LONG).tolist(), len(texts)]:
+        if k > at:
+            rows, of = passage_inputs(texts.slice(at, k - at), shape)
+            yield rows, of + at
+        if k < len(texts):
+            for rows in passage_runs(np.frombuffer(texts[k].as_buffer(), np.uint8), shape):
+                yield rows, np.full(len(rows), k)
+        at = k + 1
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-x))
 
@@ -109,13 +154,30 @@ class Network:
         self.middle, self.wide = np.zeros(d, np.float32), np.ones(d, np.float32)
         self.scale, self.shift = 1.0, 0.0
 
-    def logits(self, rows: np.ndarray, of: np.ndarray, texts: int, keep: dict | None = None) -> np.ndarray:
-        """Of each text; `of` is sorted and names every text."""
+    def attended(self, rows: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Of passages: scaled inputs, their encoding, both sides of the gate, the attention's score."""
         p = self.p
         x = (rows - self.middle) / self.wide
         encoded = np.tanh(x @ p["E"] + p["e"])
         left, right = np.tanh(encoded @ p["V"]), _sigmoid(encoded @ p["U"])
-        score = (left * right) @ p["w"]
+        return x, encoded, left, right, (left * right) @ p["w"]
+
+    def long_logit(self, data: np.ndarray, size: int = 1 << 18) -> float:
+        """Of one text's bytes, a run of passages at a time: attention is pooled as it goes, against the greatest score so far."""
+        top, total, whole = -np.inf, 0.0, np.zeros(self.shape.encoded)
+        for rows in passage_runs(data, self.shape, size):
+            _, encoded, _, _, score = self.attended(rows)
+            peak = max(top, float(score.max()))
+            weight = np.exp(score - peak)
+            total = total * np.exp(top - peak) + weight.sum()
+            whole = whole * np.exp(top - peak) + weight @ encoded
+            top = peak
+        return float(whole / total @ self.p["c"] + self.p["b"][0])
+
+    def logits(self, rows: np.ndarray, of: np.ndarray, texts: int, keep: dict | None = None) -> np.ndarray:
+        """Of each text; `of` is sorted and names every text."""
+        p = self.p
+        x, encoded, left, right, score = self.attended(rows)
         starts = np.searchsorted(of, np.arange(texts))
         weight = np.exp(score - np.maximum.reduceat(score, starts)[of])
         weight = weight / np.add.reduceat(weight, starts)[of]
@@ -138,8 +200,15 @@ class Network:
         }
 
     def scores(self, texts: pa.Array) -> np.ndarray:
-        rows, of = passage_inputs(texts, self.shape)
-        return np.round(_sigmoid(self.scale * self.logits(rows, of, len(texts)).astype(np.float64) + self.shift), 6)
+        """Texts of more than LONG bytes are read in runs of passages, the others together."""
+        sizes, logit = np.asarray(pa.compute.binary_length(texts).fill_null(0)), np.zeros(len(texts))
+        short = np.flatnonzero(sizes <= LONG)
+        if len(short):
+            rows, of = passage_inputs(texts if len(short) == len(texts) else texts.take(pa.array(short)), self.shape)
+            logit[short] = self.logits(rows, of, len(short))
+        for k in np.flatnonzero(sizes > LONG).tolist():
+            logit[k] = self.long_logit(np.frombuffer(texts[k].as_buffer(), np.uint8))
+        return np.round(_sigmoid(self.scale * logit + self.shift), 6)
 
 
 def train(texts: list[str], labels: np.ndarray, prior: float, shape: Shape = Shape(), training: Training = Training()) -> Network:
@@ -159,8 +228,8 @@ def train(texts: list[str], labels: np.ndarray, prior: float, shape: Shape = Sha
         last[labels == y] = np.arange((labels == y).sum()) % 5 == 4
     parts, of = [], []
     for at, block in blocks_of(pa.array(texts, pa.string()), 1 << 18):
-        x, owner = passage_inputs(block, shape)
-        parts.append(x.astype(np.float16)), of.append(owner + at)
+        for x, owner in inputs_in_runs(block, shape):
+            parts.append(x.astype(np.float16)), of.append(owner + at)
     rows, of = np.concatenate(parts), np.concatenate(of)
     del parts
     bounds = np.searchsorted(of, np.arange(len(texts) + 1))
@@ -195,6 +264,7 @@ def train(texts: list[str], labels: np.ndarray, prior: float, shape: Shape = Sha
 def score_documents(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """id, the carried columns, score of each row: 0 to 1, higher where label 1 is likelier.
 
+    A very long text is scored whole, in runs of passages, so memory follows a run and not the text (but for a single word, which is held whole).
     Every passage of the whole text is encoded and weighed. Null and empty texts are one passage of
     zeros. Repeated rows score alike; an empty table gives no rows.
     """

@@ -128,6 +128,35 @@ def test_attention_forward_pass_text_by_text():
     assert net.logits(rows, of, 4) == pytest.approx(np.array(want), abs=1e-5)
 
 
+def test_long_texts_are_read_in_runs():
+    """The same score as that of all passages at once, from memory that doesn't follow the text."""
+    import tracemalloc
+
+    draw = random.Random(2)
+    net = quality.Network(quality.Shape(), 3)
+    few = ["word", "Ünï", "x", "9,", "a-b.", "漢字", "\u00a0q", "longer" * 5, "z" * 900]
+    for size, gap in ((300, " "), (2000, "\n \t")):
+        text = gap + "".join(draw.choice(few) + draw.choice([" ", gap]) for _ in range(1500))
+        data = np.frombuffer(text.encode(), np.uint8)
+        cuts = list(quality.pieces(data, 40, size))
+        assert cuts[0][0] == 0 and cuts[-1][1] == len(data) and all(a[1] == b[0] for a, b in zip(cuts, cuts[1:])) and len(cuts) > 20
+        rows, of = quality.passage_inputs(pa.array([text]), net.shape)
+        assert net.long_logit(data, size) == pytest.approx(float(net.logits(rows, of, 1)[0]), abs=1e-5)
+    for odd in ("", " " * 50, "w" * 700, "w" * 700 + " x"):
+        rows, of = quality.passage_inputs(pa.array([odd]), net.shape)
+        assert net.long_logit(np.frombuffer(odd.encode(), np.uint8), 64) == pytest.approx(float(net.logits(rows, of, 1)[0]), abs=1e-5)
+    long = pa.array([("several words of a very long text, Again and again. " * 400_000)[: 20 << 20]])
+    tracemalloc.start()
+    assert 0 <= net.scores(long)[0] <= 1
+    assert tracemalloc.get_traced_memory()[1] < 150 << 20
+    tracemalloc.stop()
+    mixed = pa.array(["short text", None, long[0].as_py()[: 3 << 20], "", "another"])
+    rows, of = quality.passage_inputs(mixed, net.shape)
+    assert net.scores(mixed) == pytest.approx(1 / (1 + np.exp(-net.logits(rows, of, 5))), abs=2e-6)
+    runs = list(quality.inputs_in_runs(mixed, net.shape))
+    assert len(runs) > 5 and np.array_equal(np.concatenate([r for r, _ in runs]), rows) and np.array_equal(np.concatenate([o for _, o in runs]), of)
+
+
 @pytest.mark.parametrize("name", ["op2_toxicity", "op7_quality"])
 def test_registered_rows(spark, tmp_path, name):
     """Fold, threshold and one row for each document; labels of the other fold change nothing."""
