@@ -24,7 +24,10 @@ from braidlog.storage import deleted
 
 DYAD = ("recency", "reciprocity_binary", "reciprocity_count", "reciprocity_time_recent", "reciprocity_time_first", "reciprocity_exp_decay")
 _ROW = "sender string, receiver string, time double, rid long"
-_STATE = T.StructType([T.StructField("up", T.BooleanType()), *(T.StructField(c, T.DoubleType()) for c in ("count", "first", "last", "decay"))])
+_WAY = ("count", "first", "last", "decay")
+_KEPT = T.StructType([*(T.StructField(c, T.ArrayType(T.StringType())) for c in ("sender", "receiver")), *(T.StructField(c, T.ArrayType(T.DoubleType())) for c in _WAY)])
+#: Parts of a bucket's state; a batch reads and writes those that its rows are in.
+BLOCKS = 16
 
 
 def ready(spark: SparkSession) -> None:
@@ -33,30 +36,46 @@ def ready(spark: SparkSession) -> None:
 
 
 class DyadProcessor(StatefulProcessor):
-    """Keeps, for both directions of a pair, how many events there were, when the first and last, and a decayed sum as of the last."""
+    """Keeps, for each sender and receiver of a bucket, how many events there were, when the first and last, and a decayed sum as of the last.
+
+    A bucket is many pairs, as each call and each reading of state costs more than some hundred rows do.
+    """
 
     def __init__(self, half_life: float | None):
         self.rate = math.log(2) / half_life if half_life else 0.0
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.ways = handle.getMapState("ways", T.StructType([T.StructField("up", T.BooleanType())]), T.StructType(_STATE.fields[1:]))
+        self.blocks = handle.getMapState("blocks", T.StructType([T.StructField("block", T.IntegerType())]), _KEPT)
+
+    def _read(self, block: int) -> dict[tuple[str, str], list[float]]:
+        if not self.blocks.containsKey((block,)):
+            return {}
+        senders, receivers, *ways = self.blocks.getValue((block,))
+        return dict(zip(zip(senders, receivers), map(list, zip(*ways))))
+
+    def _write(self, block: int, kept: dict[tuple[str, str], list[float]]) -> None:
+        if kept:
+            self.blocks.updateValue((block,), (*map(list, zip(*kept)), *map(list, zip(*kept.values()))))
 
     def handleInitialState(self, key, initial: pd.DataFrame, timers) -> None:
-        for r in initial.itertuples(index=False):
-            self.ways.updateValue((bool(r.up),), (float(r.count), float(r.first), float(r.last), float(r.decay)))
+        for block, rows in initial.groupby("block"):
+            kept = self._read(int(block))
+            for r in rows.itertuples(index=False):
+                kept[(r.lo, r.hi) if r.up else (r.hi, r.lo)] = [float(r.count), float(r.first), float(r.last), float(r.decay)]
+            self._write(int(block), kept)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values(["time", "rid"])
-        state = {up: list(self.ways.getValue((up,))) if self.ways.containsKey((up,)) else None for up in (True, False)}
-        out = []
-        seen = max((s[2] for s in state.values() if s), default=-math.inf)
-        for s, r, t, rid in batch[["sender", "receiver", "time", "rid"]].itertuples(index=False):
-            if t < seen:
+        batch = pd.concat(list(rows)).sort_values(["block", "time", "rid"])
+        out, block, kept = [], None, {}
+        for b, s, r, t, rid in zip(*(batch[c].tolist() for c in ("block", "sender", "receiver", "time", "rid"))):
+            if b != block:
+                if block is not None:
+                    self._write(block, kept)
+                block, kept = b, self._read(b)
+            own, back = kept.get((s, r)), kept.get((r, s))
+            if (own and t < own[2]) or (back and t < back[2]):
                 out.append((s, r, t, rid, *[None] * len(DYAD), True))
                 continue
-            seen = t
-            up = s < r
-            own, back = state[up], state[up] if s == r else state[not up]
             n = back[0] if back else 0.0
             decay = back[3] * math.exp(-self.rate * (t - back[2])) if back and self.rate else 0.0
             out.append((s, r, t, rid, t - own[2] if own else None, int(n > 0), n, t - back[2] if back else None, t - back[1] if back else None, decay, False))
@@ -64,10 +83,8 @@ class DyadProcessor(StatefulProcessor):
                 own[3] = own[3] * math.exp(-self.rate * (t - own[2])) + 1
                 own[0], own[2] = own[0] + 1, t
             else:
-                state[up] = [1.0, t, t, 1.0]
-        for up, s in state.items():
-            if s:
-                self.ways.updateValue((up,), tuple(s))
+                kept[s, r] = [1.0, t, t, 1.0]
+        self._write(block, kept)
         out = pd.DataFrame(out, columns=["sender", "receiver", "time", "rid", *DYAD, "late"])
         yield out.astype({"reciprocity_binary": "Int32"})
 
@@ -84,12 +101,23 @@ def dyad_state(log: DataFrame, half_life: float | None = None) -> DataFrame:
     return both.groupBy("lo", "hi", "up", "count", "first", "last").agg(F.sum(F.exp((F.col("time") - F.col("last")) * rate)).alias("decay"))
 
 
-def stream_dyad_features(stream: DataFrame, half_life: float | None = None, initial: DataFrame | None = None) -> DataFrame:
-    """sender, receiver, time, rid, the statistics of DYAD and late of a stream with these columns."""
+def stream_dyad_features(stream: DataFrame, half_life: float | None = None, initial: DataFrame | None = None, buckets: int = 4096) -> DataFrame:
+    """sender, receiver, time, rid, the statistics of DYAD and late of a stream with these columns.
+
+    State is kept by buckets of pairs, whose number stays with a checkpoint. A batch reads and writes the pairs
+    that share one of buckets * BLOCKS places with its own.
+    """
+    if buckets < 1:
+        raise ValueError("buckets must be positive")
+
+    def placed(rows: DataFrame) -> DataFrame:
+        place = F.pmod(F.xxhash64("lo", "hi"), F.lit(buckets * BLOCKS))
+        return rows.withColumns({"bucket": F.pmod(place, F.lit(buckets)).cast("int"), "block": F.floor(place / buckets).cast("int")})
+
     rows = stream.select(F.col("sender").cast("string"), F.col("receiver").cast("string"), F.col("time").cast("double"), F.col("rid").cast("long"))
-    rows = rows.withColumns({"lo": F.least("sender", "receiver"), "hi": F.greatest("sender", "receiver")})
+    rows = placed(rows.withColumns({"lo": F.least("sender", "receiver"), "hi": F.greatest("sender", "receiver")})).drop("lo", "hi")
     schema = f"{_ROW}, recency double, reciprocity_binary int, reciprocity_count double, reciprocity_time_recent double, reciprocity_time_first double, reciprocity_exp_decay double, late boolean"
-    return rows.groupBy("lo", "hi").transformWithStateInPandas(DyadProcessor(half_life), schema, "Append", "None", initial.groupBy("lo", "hi") if initial is not None else None)
+    return rows.groupBy("bucket").transformWithStateInPandas(DyadProcessor(half_life), schema, "Append", "None", placed(initial).groupBy("bucket") if initial is not None else None)
 
 
 class DegreeProcessor(StatefulProcessor):

@@ -54,6 +54,14 @@ def test_initial_state(spark, tmp_path, log):
     close(played(spark, tmp_path, log[40:], 2, lambda s: stream_dyad_features(s, 6.0, before), "warm"), whole, DYAD)
 
 
+def test_many_pairs_share_a_call(spark, tmp_path):
+    """State is read and written by buckets of pairs: 20,000 pairs in two batches, from few buckets and blocks, equal one run."""
+    rows = [(f"s{k % 20_000}", f"r{k % 20_000}", float(k), k) if k % 40_000 < 20_000 else (f"r{k % 20_000}", f"s{k % 20_000}", float(k), k) for k in range(60_000)]
+    got = played(spark, tmp_path, rows, 2, lambda s: stream_dyad_features(s, 5e4, buckets=16), "shared")
+    whole = endogenous_features(spark.createDataFrame(rows, SCHEMA), DYAD, 5e4)
+    close(got, whole, DYAD)
+
+
 def test_late_rows_are_given_without_statistics(spark, tmp_path):
     rows = [("a", "b", 1.0, 0), ("b", "a", 5.0, 1), ("a", "b", 3.0, 2), ("b", "a", 5.0, 3), ("a", "b", 6.0, 4), ("c", "a", 2.0, 5)]
     got = {r["rid"]: r for r in played(spark, tmp_path, rows, 3, stream_dyad_features, "late_dyads").collect()}
